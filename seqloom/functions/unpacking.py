@@ -1,0 +1,23 @@
+"""Byte-level helpers used while a single archive cell is restored."""
+
+import hashlib
+
+import numpy as np
+
+from seqloom.formats import PACKED_ALPHABET
+
+_BASES = np.frombuffer(PACKED_ALPHABET.encode("ascii"), dtype=np.uint8)
+
+
+def checksum(text: bytes | bytearray) -> str:
+    return hashlib.sha256(text).hexdigest()
+
+
+def unpack_bases(payload: bytes, symbols: int) -> str:
+    if symbols < 0:
+        raise ValueError("raw residual symbol count must not be negative")
+    if len(payload) != -(-symbols // 4):
+        raise ValueError("raw residual payload length does not match symbol count")
+    packed = np.frombuffer(payload, dtype=np.uint8)
+    codes = (packed[:, None] >> np.array([6, 4, 2, 0], dtype=np.uint8)) & 3
+    return _BASES[codes.ravel()[:symbols]].tobytes().decode("ascii")

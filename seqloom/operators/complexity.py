@@ -5,13 +5,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions.catalog import expr
 from seqloom.functions.matching import lz76_phrases
 from seqloom.session import spread
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lz76(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """LZ76 phrase count. Each phrase starts where the last one ended, so a record is one pass."""
     for seqs in batches:

@@ -10,6 +10,18 @@ from seqloom.session import task_slots
 CHUNK_POSITIONS = 1 << 16
 
 
+def piece_offsets(width: int, positions: int = CHUNK_POSITIONS) -> Column:
+    """Where the pieces of ``seq`` begin; none when it is shorter than ``width``.
+
+    An empty list, not a filter on the length: a filter would be pushed under the projection
+    that cleans the text, and the cleaning would run twice per row.
+    """
+    return F.expr(
+        f"""IF(length(seq) >= {width}, sequence(0, length(seq) - {width}, {positions}),
+        CAST(array() AS ARRAY<INT>))"""
+    )
+
+
 def chunks(records: DataFrame, width: int, *, positions: int = CHUNK_POSITIONS) -> DataFrame:
     """``(record_id, offset, bases)``: pieces that overlap by ``width - 1`` symbols.
 
@@ -19,13 +31,10 @@ def chunks(records: DataFrame, width: int, *, positions: int = CHUNK_POSITIONS)
     k-mers made from it cost downstream, and no task is left with a whole long record.
     """
     pieces = (
-        records.where(F.length("seq") >= width)
-        .select(
+        records.select(
             "record_id",
             F.col("seq").cast("binary").alias("bases"),
-            F.explode(
-                F.sequence(F.lit(0), F.length("seq") - width, F.lit(positions))
-            ).alias("offset"),
+            F.explode(piece_offsets(width, positions)).alias("offset"),
         )
         .select(
             "record_id",

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.formats import ALPHABET
-from seqloom.operators.kmers import CHUNK_POSITIONS, chunks
+from seqloom.operators.kmers import CHUNK_POSITIONS, piece_offsets
 
 
 def _check(order: int, pseudocount: float) -> None:
@@ -18,7 +18,7 @@ def checked_alphabet(records: DataFrame, column: str = "seq") -> DataFrame:
     """Fail on symbols outside the model's alphabet."""
     return records.withColumn(
         column,
-        F.when(F.translate(column, ALPHABET, "") == "", F.col(column)).otherwise(
+        F.when(F.col(column).rlike(f"^[{ALPHABET}]*$"), F.col(column)).otherwise(
             F.raise_error(
                 F.concat(
                     F.lit("unsupported sequence symbols: "),
@@ -34,66 +34,64 @@ def checked_alphabet(records: DataFrame, column: str = "seq") -> DataFrame:
     )
 
 
-def _grams(sequences: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """``(*keys, gram, n)``: each symbol together with up to ``order`` symbols before it.
+def context_counts(sequences: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """``(*keys, ctx, counts)``: what follows each context, counted in alphabet order.
 
-    The context length follows from the gram's own length, so one column is the key for both
-    context and symbol. Symbols 0..order-1 have shorter contexts and are taken from the head.
+    A context is the up to ``order`` symbols before a position. Pieces of long texts begin
+    ``lead`` symbols early, which leaves every position its full context, and shorter contexts
+    only at the start of the text. One row per context instead of one per context and symbol
+    keeps the shuffle small; everything is counted before it.
     """
-    body = (
-        chunks(sequences.withColumnRenamed(keys[0], "record_id"), order + 1)
-        if keys == ["record_id"]
-        else _pieces(sequences, keys, order + 1)
-    )
-    full = body.select(
+    pieces = sequences.select(
         *keys,
-        "bases",
-        F.explode(F.expr(f"sequence(0, octet_length(bases) - {order + 1})")).alias("step"),
-    ).select(*keys, F.expr(f"substring(bases, step + 1, {order + 1})").alias("gram"))
-    head = (
-        sequences.where(F.length("seq") > 0)
-        .select(
-            *keys,
-            "seq",
-            F.explode(
-                F.expr(f"sequence(1, CAST(least({order}, length(seq)) AS INT))")
-            ).alias("size"),
-        )
-        .select(*keys, F.expr("CAST(left(seq, size) AS BINARY)").alias("gram"))
-    )
-    return (
-        full.unionByName(head)
-        .groupBy(*keys, "gram")
-        .agg(F.count("*").alias("n"))
-        .withColumn("gram", F.col("gram").cast("string"))
+        F.col("seq").cast("binary").alias("bases"),
+        F.explode(piece_offsets(1)).alias("offset"),
+    ).select(
+        *keys,
+        F.expr(f"least({order}, offset)").alias("lead"),
+        F.expr(
+            f"""substring(bases, offset - least({order}, offset) + 1,
+            {CHUNK_POSITIONS} + least({order}, offset))"""
+        ).alias("bases"),
     )
-
-
-def _pieces(fragments: DataFrame, keys: list[str], width: int) -> DataFrame:
     return (
-        fragments.where(F.length("seq") >= width)
-        .select(
+        pieces.select(
             *keys,
-            F.col("seq").cast("binary").alias("bases"),
-            F.explode(
-                F.sequence(F.lit(0), F.length("seq") - width, F.lit(CHUNK_POSITIONS))
-            ).alias("offset"),
+            "bases",
+            F.explode(F.expr("sequence(lead, octet_length(bases) - 1)")).alias("at"),
         )
         .select(
             *keys,
-            F.expr(f"substring(bases, offset + 1, {CHUNK_POSITIONS + width - 1})").alias("bases"),
+            F.expr(f"substring(bases, at - least({order}, at) + 1, least({order}, at))").alias(
+                "ctx"
+            ),
+            F.expr("substring(bases, at + 1, 1)").alias("sym"),
+        )
+        .groupBy(*keys, "ctx")
+        .agg(*[F.count_if(F.col("sym") == F.lit(s.encode())).alias(s) for s in ALPHABET])
+        .select(
+            *keys, F.col("ctx").cast("string").alias("ctx"), F.array(*ALPHABET).alias("counts")
         )
     )
 
 
 def fit(records: DataFrame, order: int = 3, pseudocount: float = 1.0) -> DataFrame:
-    """``(record_id, ctx, sym, n)``."""
+    """``(record_id, ctx, counts)``; :func:`count_rows` lists it by symbol."""
     _check(order, pseudocount)
-    return _grams(checked_alphabet(records), ["record_id"], order).select(
-        "record_id",
-        F.expr("left(gram, length(gram) - 1)").alias("ctx"),
-        F.expr("right(gram, 1)").alias("sym"),
-        "n",
+    return context_counts(checked_alphabet(records), ["record_id"], order)
+
+
+def count_rows(model: DataFrame) -> DataFrame:
+    """``(record_id, ctx, sym, n)`` for the pairs that occur."""
+    return (
+        model.select("record_id", "ctx", F.posexplode("counts").alias("place", "n"))
+        .where(F.col("n") > 0)
+        .select(
+            "record_id",
+            "ctx",
+            F.substring(F.lit(ALPHABET), F.col("place") + 1, F.lit(1)).alias("sym"),
+            "n",
+        )
     )
 
 
@@ -107,25 +105,21 @@ def score(
 ) -> DataFrame:
     """``(record_id, <fragment_key>, bits)`` for ``fragments(record_id, <fragment_key>, seq)``.
 
-    Contexts restart at the beginning of every fragment. Fragment grams are counted before the
-    join, so a fragment sends at most one row per distinct gram however long it is. Unseen
-    contexts cost log2 of the alphabet size.
+    Contexts restart at the beginning of every fragment. Fragments are counted by context before
+    the join, so a fragment sends at most one row per distinct context however long it is.
+    Unseen contexts cost log2 of the alphabet size.
     """
     _check(order, pseudocount)
-    size = len(ALPHABET)
-    totals = model.groupBy("record_id", "ctx").agg(F.sum("n").alias("total"))
-    grams = _grams(checked_alphabet(fragments), ["record_id", fragment_key], order).select(
-        "record_id",
-        fragment_key,
-        F.expr("left(gram, length(gram) - 1)").alias("ctx"),
-        F.expr("right(gram, 1)").alias("sym"),
-        F.col("n").alias("times"),
-    )
-    seen = F.coalesce(F.col("n"), F.lit(0)) + F.lit(float(pseudocount))
-    mass = F.coalesce(F.col("total"), F.lit(0)) + F.lit(float(pseudocount) * size)
+    used = context_counts(
+        checked_alphabet(fragments), ["record_id", fragment_key], order
+    ).withColumnRenamed("counts", "times")
+    alpha = f"{float(pseudocount)}D"
+    known = f"coalesce(counts, array_repeat(0L, {len(ALPHABET)}))"
+    mass = f"aggregate({known}, {len(ALPHABET)} * {alpha}, (t, n) -> t + n)"
+    bits = f"""aggregate(zip_with(times, {known}, (used, n) -> IF(used = 0, 0D,
+        -used * log2((n + {alpha}) / {mass}))), 0D, (t, b) -> t + b)"""
     return (
-        grams.join(model, ["record_id", "ctx", "sym"], "left")
-        .join(totals, ["record_id", "ctx"], "left")
+        used.join(model, ["record_id", "ctx"], "left")
         .groupBy("record_id", fragment_key)
-        .agg(F.sum(-F.col("times") * F.log2(seen / mass)).alias("bits"))
+        .agg(F.sum(F.expr(bits)).alias("bits"))
     )

@@ -125,17 +125,18 @@ def spans(copies: str = "copies", length: str = "length(seq)") -> Column:
 
     ``ARRAY<STRUCT<start, length, source>>``; ``source`` is null for a gap.
     """
-    ends = f"transform({copies}, c -> c.start + c.length)"
+    def end(index: str) -> str:
+        return f"{copies}[{index}].start + {copies}[{index}].length"
+
+    tail = f"IF(size({copies}) = 0, 0L, {end(f'size({copies}) - 1')})"
     return F.expr(
         f"""filter(flatten(concat(
         transform({copies}, (c, i) -> array(
-          named_struct('start', IF(i = 0, 0L, {ends}[i - 1]),
-                       'length', c.start - IF(i = 0, 0L, {ends}[i - 1]),
+          named_struct('start', IF(i = 0, 0L, {end('i - 1')}),
+                       'length', c.start - IF(i = 0, 0L, {end('i - 1')}),
                        'source', CAST(NULL AS BIGINT)),
           named_struct('start', c.start, 'length', c.length, 'source', c.source))),
-        array(array(named_struct(
-          'start', IF(size({copies}) = 0, 0L, {ends}[size({copies}) - 1]),
-          'length', CAST({length} AS BIGINT)
-                    - IF(size({copies}) = 0, 0L, {ends}[size({copies}) - 1]),
-          'source', CAST(NULL AS BIGINT)))))), s -> s.length > 0)"""
+        array(array(named_struct('start', {tail},
+                                 'length', CAST({length} AS BIGINT) - {tail},
+                                 'source', CAST(NULL AS BIGINT)))))), s -> s.length > 0)"""
     )
