@@ -1,6 +1,7 @@
 """Session defaults and the few cluster-facing helpers the operators share."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,17 +45,29 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints.
+
+    Only where none is configured (single-machine tests) a local folder is made, once.
+    """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+        "spark.checkpoint.dir", None
+    )
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="seqloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint between iterations; survives the loss of executors.
+    """Write an intermediate table and read it back, between iterations.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where none is
-    configured (single-machine tests) is a scratch folder used.
+    The next step neither repeats the plan so far nor depends on executors that may be lost,
+    and it is planned with the table's real size, so Spark broadcasts only what is small.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/seqloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_empty(df: DataFrame) -> bool:
