@@ -28,6 +28,15 @@ def _define(name: str, params: str, returns: str, body: str) -> None:
     CATALOG[name] = ScalarFunction(pairs, returns, " ".join(body.split("\n")))
 
 
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once per row and use it as ``name`` in ``body``.
+
+    Without it an argument that is itself an expression would be evaluated again for every
+    element a higher-order function visits.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def sql(name: str, *args: str) -> str:
     """Inline a catalogue function over SQL argument texts."""
     function = CATALOG[name]
@@ -82,10 +91,13 @@ _define(
 )
 _define(
     "kmers", "seq:STRING,k:INT", "ARRAY<STRING>",
-    """CASE WHEN {k} > 0 AND length({seq}) >= {k}
-    THEN transform(sequence(0, length({seq}) - {k}),
-         i -> CAST(substring(CAST({seq} AS BINARY), i + 1, {k}) AS STRING))
-    ELSE CAST(array() AS ARRAY<STRING>) END""",
+    let(
+        "bases", "CAST({seq} AS BINARY)",
+        """CASE WHEN {k} > 0 AND octet_length(bases) >= {k}
+        THEN transform(sequence(0, octet_length(bases) - {k}),
+             i -> CAST(substring(bases, i + 1, {k}) AS STRING))
+        ELSE CAST(array() AS ARRAY<STRING>) END""",
+    ),
 )
 _define(
     "mermaid_id", "label:STRING", "STRING",
@@ -104,10 +116,13 @@ _define(
 )
 _define(
     "shannon_bits", "seq:STRING", "DOUBLE",
-    """CASE WHEN length({seq}) = 0 THEN 0.0D ELSE aggregate(
-       transform(filter(array_distinct(split({seq}, '')), c -> c <> ''),
-         c -> CAST(length({seq}) - length(replace({seq}, c, '')) AS DOUBLE) / length({seq})),
-       0.0D, (total, p) -> total - p * log2(p)) END""",
+    let(
+        "s", "{seq}",
+        """CASE WHEN length(s) = 0 THEN 0.0D ELSE aggregate(
+        transform(filter(array_distinct(split(s, '')), c -> c <> ''),
+          c -> CAST(length(s) - length(replace(s, c, '')) AS DOUBLE) / length(s)),
+        0.0D, (total, p) -> total - p * log2(p)) END""",
+    ),
 )
 
 # --- bits ------------------------------------------------------------------
@@ -115,75 +130,96 @@ _define(
 
 _define(
     "pack_bases", "seq:STRING", "BINARY",
-    """CASE WHEN length({seq}) = 0 THEN X''
-    WHEN translate({seq}, 'ACGT', '') <> '' THEN raise_error(concat(
-         '2-bit packing supports only A/C/G/T, found: ',
-         array_join(array_sort(array_distinct(filter(
-         split(translate({seq}, 'ACGT', ''), ''), c -> c <> ''))), '')))
-    ELSE substring(unhex(array_join(transform(
-         sequence(0, (length({seq}) - 1) DIV 32),
-         i -> lpad(conv(rpad(CAST(substring(CAST(translate({seq}, 'ACGT', '0123') AS BINARY),
-              32 * i + 1, 32) AS STRING), 32, '0'), 4, 16), 16, '0')), '')),
-         1, (length({seq}) + 3) DIV 4) END""",
+    let(
+        "digits", "CAST(translate({seq}, 'ACGT0123', '0123####') AS BINARY)",
+        """CASE WHEN octet_length(digits) = 0 THEN X''
+        WHEN NOT CAST(digits AS STRING) RLIKE '^[0-3]*$' THEN raise_error(concat(
+             '2-bit packing supports only A/C/G/T, found: ',
+             array_join(array_sort(array_distinct(filter(split(
+             translate(CAST(digits AS STRING), '0123', ''), ''), c -> c <> ''))), '')))
+        ELSE substring(unhex(array_join(transform(
+             sequence(0, (octet_length(digits) - 1) DIV 32),
+             i -> lpad(conv(rpad(CAST(substring(digits, 32 * i + 1, 32) AS STRING), 32, '0'),
+                  4, 16), 16, '0')), '')),
+             1, (octet_length(digits) + 3) DIV 4) END""",
+    ),
 )
 _define(
     "unpack_bases", "payload:BINARY,symbols:BIGINT", "STRING",
-    """CASE WHEN {symbols} < 0 THEN raise_error('symbol count must not be negative')
-    WHEN octet_length({payload}) <> ({symbols} + 3) DIV 4
-    THEN raise_error('payload length does not match symbol count')
-    WHEN {symbols} = 0 THEN ''
-    ELSE left(translate(array_join(transform(
-         sequence(0, (octet_length({payload}) - 1) DIV 8),
-         i -> lpad(conv(rpad(hex(substring({payload}, 8 * i + 1, 8)), 16, '0'), 16, 4), 32, '0')),
-         ''), '0123', 'ACGT'), CAST({symbols} AS INT)) END""",
+    let(
+        "cell", "named_struct('bytes', {payload}, 'symbols', {symbols})",
+        """CASE WHEN cell.symbols < 0
+        THEN raise_error('raw residual symbol count must not be negative')
+        WHEN octet_length(cell.bytes) <> (cell.symbols + 3) DIV 4
+        THEN raise_error('raw residual payload length does not match symbol count')
+        WHEN cell.symbols = 0 THEN ''
+        ELSE left(translate(array_join(transform(
+             sequence(0, (octet_length(cell.bytes) - 1) DIV 8),
+             i -> lpad(conv(rpad(hex(substring(cell.bytes, 8 * i + 1, 8)), 16, '0'), 16, 4),
+                  32, '0')), ''), '0123', 'ACGT'), CAST(cell.symbols AS INT)) END""",
+    ),
 )
 _define(
     "pack_bits", "bits:ARRAY<INT>", "BINARY",
-    """CASE WHEN exists({bits}, b -> b IS NULL OR b NOT IN (0, 1))
-    THEN raise_error('bits must contain only 0 or 1')
-    WHEN size({bits}) = 0 THEN X''
-    ELSE substring(unhex(array_join(transform(
-         sequence(0, (size({bits}) - 1) DIV 64),
-         i -> lpad(conv(rpad(array_join(slice({bits}, 64 * i + 1, 64), ''), 64, '0'),
-              2, 16), 16, '0')), '')), 1, (size({bits}) + 7) DIV 8) END""",
+    let(
+        "b", "{bits}",
+        """CASE WHEN exists(b, x -> x IS NULL OR x NOT IN (0, 1))
+        THEN raise_error('bits must contain only 0 or 1')
+        WHEN size(b) = 0 THEN X''
+        ELSE substring(unhex(array_join(transform(
+             sequence(0, (size(b) - 1) DIV 64),
+             i -> lpad(conv(rpad(array_join(slice(b, 64 * i + 1, 64), ''), 64, '0'),
+                  2, 16), 16, '0')), '')), 1, (size(b) + 7) DIV 8) END""",
+    ),
 )
 _define(
     "unpack_bits", "payload:BINARY,bit_length:BIGINT", "ARRAY<INT>",
-    """CASE WHEN {bit_length} < 0 OR {bit_length} > 8 * octet_length({payload})
-    THEN raise_error('bit length is outside the payload capacity')
-    WHEN {bit_length} = 0 THEN CAST(array() AS ARRAY<INT>)
-    ELSE slice(flatten(transform(
-         sequence(0, (octet_length({payload}) - 1) DIV 8),
-         i -> transform(filter(split(lpad(conv(rpad(hex(substring({payload}, 8 * i + 1, 8)),
-              16, '0'), 16, 2), 64, '0'), ''), c -> c <> ''), c -> CAST(c AS INT)))),
-         1, CAST({bit_length} AS INT)) END""",
+    let(
+        "cell", "named_struct('bytes', {payload}, 'size', {bit_length})",
+        """CASE WHEN cell.size < 0 OR cell.size > 8 * octet_length(cell.bytes)
+        THEN raise_error('bit length is outside the payload capacity')
+        WHEN cell.size = 0 THEN CAST(array() AS ARRAY<INT>)
+        ELSE slice(flatten(transform(
+             sequence(0, (octet_length(cell.bytes) - 1) DIV 8),
+             i -> transform(filter(split(lpad(conv(rpad(hex(substring(
+                  cell.bytes, 8 * i + 1, 8)), 16, '0'), 16, 2), 64, '0'), ''), c -> c <> ''),
+                  c -> CAST(c AS INT)))), 1, CAST(cell.size AS INT)) END""",
+    ),
 )
 
 # --- cumulative frequencies ------------------------------------------------
 
 _define(
     "cdf_is_valid", "cdf:ARRAY<BIGINT>", "BOOLEAN",
-    """size({cdf}) > 0 AND {cdf}[0] > 0 AND forall(
-       sequence(1, greatest(size({cdf}) - 1, 1)),
-       i -> i >= size({cdf}) OR {cdf}[i] > {cdf}[i - 1])""",
+    let(
+        "marks", "{cdf}",
+        """size(marks) > 0 AND marks[0] > 0 AND forall(
+        sequence(1, greatest(size(marks) - 1, 1)),
+        i -> i >= size(marks) OR marks[i] > marks[i - 1])""",
+    ),
 )
 # rint() rounds half to even, which the format needs (round() would not)
 _define(
     "integer_cdf", "weights:ARRAY<DOUBLE>,scale:BIGINT", "ARRAY<BIGINT>",
-    """CASE WHEN size({weights}) <= 0 OR exists({weights}, w -> w < 0)
-    THEN raise_error('probability distribution must be non-empty and non-negative')
-    WHEN aggregate({weights}, 0.0D, (t, w) -> t + w) <= 0
-    THEN raise_error('probability distribution must have positive mass')
-    WHEN {scale} <= 0 THEN raise_error('scale must be positive')
-    ELSE aggregate(
-      transform({weights}, w -> w / aggregate({weights}, 0.0D, (t, v) -> t + v)),
-      named_struct('mass', 0.0D, 'last', 0L, 'cdf', CAST(array() AS ARRAY<BIGINT>)),
-      (s, p) -> named_struct(
-        'mass', s.mass + p,
-        'last', greatest(CAST(rint((s.mass + p) * {scale}) AS BIGINT), s.last + 1),
-        'cdf', concat(s.cdf, array(
-           greatest(CAST(rint((s.mass + p) * {scale}) AS BIGINT), s.last + 1)))),
-      s -> s.cdf) END""",
+    let(
+        "dist",
+        """named_struct('weights', {weights}, 'scale', {scale},
+        'mass', aggregate({weights}, 0.0D, (t, w) -> t + w))""",
+        """CASE WHEN size(dist.weights) <= 0 OR exists(dist.weights, w -> w < 0)
+        THEN raise_error('probability distribution must be non-empty and non-negative')
+        WHEN dist.mass <= 0
+        THEN raise_error('probability distribution must have positive mass')
+        WHEN dist.scale <= 0 THEN raise_error('scale must be positive')
+        ELSE aggregate(dist.weights,
+          named_struct('mass', 0.0D, 'last', 0L, 'cdf', CAST(array() AS ARRAY<BIGINT>)),
+          (s, w) -> named_struct(
+            'mass', s.mass + w / dist.mass,
+            'last', greatest(CAST(rint((s.mass + w / dist.mass) * dist.scale) AS BIGINT),
+                             s.last + 1),
+            'cdf', concat(s.cdf, array(greatest(
+               CAST(rint((s.mass + w / dist.mass) * dist.scale) AS BIGINT), s.last + 1)))),
+          s -> s.cdf) END""",
+    ),
 )
 _define(
     "interval_bits", "cdf:ARRAY<BIGINT>,symbol:INT", "DOUBLE",
