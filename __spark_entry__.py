@@ -6,6 +6,7 @@ All queries run over whole tables and whole texts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from seqloom.operators import blocks, complexity, graph, kmers, markov, repeats
 from seqloom.operators.residual import ModelCodec, PlainCodec
 from seqloom.operators.token_models import MarkovModel, SuccessorModel, train_markov
 from seqloom.plans import archive_v1, archive_v2, benchmark
+from seqloom.session import ship_package
 from seqloom.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -518,6 +520,15 @@ def bench_variants(spark, folder):
     return benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
 
 
+def _shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark, folder):
+        ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     listed = (
         fasta_text, fasta_normalise, alphabet_violations, seq_checksum, context_tails,
@@ -534,7 +545,7 @@ def queries() -> dict[str, Query]:
         roundtrip_any, archive_scan, archive_scan_v1,
         gzip_sizes, bench_variants,
     )
-    return {query.__name__: query for query in listed}
+    return {query.__name__: _shipped(query) for query in listed}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -543,5 +554,6 @@ def oracle_sql() -> dict[str, str]:
 
 def entry(spark: SparkSession) -> DataFrame:
     """Most frequent de Bruijn edges of every record."""
+    ship_package(spark)
     edges = graph.debruijn_edges(docs(spark, SMALL), 15)
     return graph.top_edges(edges, 10).orderBy("record_id", "edge_rank")

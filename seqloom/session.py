@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,27 @@ def build_session(master: str | None = None, app: str = "seqloom", **extra: str)
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed wherever the executors do not have it installed; skipped when the driver itself
+    runs from an archive that was submitted with the job.
+    """
+    context = spark.sparkContext
+    source = Path(__file__).resolve().parent
+    if getattr(context, "_seqloom_shipped", False) or not source.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="seqloom-package-")) / "seqloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for file in sorted(source.rglob("*.py")):
+            target.write(file, file.relative_to(source.parent))
+    context.addPyFile(str(archive))
+    context._seqloom_shipped = True
 
 
 def task_slots(spark: SparkSession) -> int:
