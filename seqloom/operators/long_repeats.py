@@ -183,6 +183,9 @@ def select_greedily(best: DataFrame) -> DataFrame:
     best = cut_lineage(best)
     jumps = cut_lineage(_pointers(best))
     reached = best.groupBy("record_id").agg(F.min("start").alias("start"))
+    # only first candidates and places some pointer leads to can be met
+    met = jumps.select("record_id", F.col("next").alias("start")).distinct().unionByName(reached)
+    jumps = cut_lineage(jumps.join(met, ["record_id", "start"], "left_semi"))
     while not is_empty(jumps):
         ahead = reached.join(jumps, ["record_id", "start"]).select(
             "record_id", F.col("next").alias("start")

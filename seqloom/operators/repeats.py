@@ -27,14 +27,21 @@ def check_lengths(k: int, min_length: int) -> None:
 def split_by_length(
     records: DataFrame, local_bases: int, longest: int | None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Records one task can hold, and the others (``None`` when there are none)."""
+    """Records one task can hold, and the others (``None`` when there are none).
+
+    A ``size_bound`` column, where the source has one, answers the usual case from the raw
+    sizes alone.
+    """
     records = spread(records, "record_id")
     if longest is not None and longest <= local_bases:
         return records, None
-    long = records.where(F.length("seq") > local_bases)
-    if is_empty(long.select(F.lit(1))):
+    size = F.col("size_bound") if "size_bound" in records.columns else F.length("seq")
+    if is_empty(records.where(size > local_bases).select(F.lit(1))):
         return records, None
-    return records.where(F.length("seq") <= local_bases), long
+    return (
+        records.where(F.length("seq") <= local_bases),
+        records.where(F.length("seq") > local_bases),
+    )
 
 
 def _list_udf(search):

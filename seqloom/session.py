@@ -56,13 +56,15 @@ def task_slots(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread rows by ``keys``, only when the input has fewer splits than there are cores.
+    """Hash-spread rows by ``keys``, only when a plain scan has fewer splits than there are cores.
 
-    A cluster-sized table already has enough splits, so no shuffle is added there; a
-    table stored as one row group would otherwise run in one task.
+    A cluster-sized table already has enough splits, so no shuffle is added there; a table
+    stored as one row group would otherwise run in one task. A plan that already shuffles is
+    left alone: its partitions are chosen at run time, and counting them would run it.
     """
+    adaptive = "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().nodeName()
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if adaptive or df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, *keys)
 

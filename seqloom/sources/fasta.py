@@ -54,16 +54,23 @@ def _parse_column(fail_fast: bool):
 
 
 def parse_files(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
-    """Records from ``(path, content)`` rows; batch or streaming."""
+    """Records from ``(path, length, content)`` rows; batch or streaming."""
     if mode not in ("FAILFAST", "QUARANTINE"):
         raise ValueError("mode must be FAILFAST or QUARANTINE")
-    parsed = files.select("path", _parse_column(mode == "FAILFAST")("content").alias("parsed"))
-    rows = parsed.select(F.xxhash64("path").alias("record_id"), "path", "parsed.*")
+    parsed = files.select(
+        "path", "length", _parse_column(mode == "FAILFAST")("content").alias("parsed")
+    )
+    rows = parsed.select(
+        F.xxhash64("path").alias("record_id"),
+        "path",
+        "parsed.*",
+        F.col("length").alias("size_bound"),
+    )
     return rows.drop("error") if mode == "FAILFAST" else rows
 
 
 def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """``(record_id, path, header, seq)`` for a file, folder or glob.
+    """``(record_id, path, header, seq, size_bound)`` for a file, folder or glob.
 
     A bad file fails the job, or with ``QUARANTINE`` becomes a row with its ``error``.
     """

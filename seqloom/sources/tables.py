@@ -15,8 +15,9 @@ def keep_symbols(text: Column, alphabet: str) -> Column:
 def records_from_text(
     df: DataFrame, id_column: str, text_column: str, *, alphabet: str = ALPHABET
 ) -> DataFrame:
-    """``(record_id, header, seq)``, one record per row of a text table.
+    """``(record_id, header, seq, size_bound)``, one record per row of a text table.
 
+    ``size_bound`` bounds the length of ``seq`` without cleaning the text.
     A table stored as a single split is spread before the text is cleaned, so that the
     cleaning runs on every core too.
     """
@@ -24,6 +25,8 @@ def records_from_text(
         F.col(id_column).cast("long").alias("record_id"),
         F.concat(F.lit(f">{id_column}_"), F.col(id_column).cast("string")).alias("header"),
         keep_symbols(F.col(text_column), alphabet).alias("seq"),
+        # no character gives more symbols than it has bytes
+        F.octet_length(text_column).alias("size_bound"),
     )
 
 

@@ -35,8 +35,9 @@ def test_chunked_kmers_equal_whole(table):
 def test_edges(table):
     assert rows(graph.debruijn_edges(table("ATATAT"), 2)) == [(0, "AT", "TA", 2), (0, "TA", "AT", 2)]
     edges = graph.debruijn_edges(table(SAMPLE), 3)
-    ranked = [tuple(r) for r in graph.top_edges(edges).orderBy("edge_rank").collect()]
-    assert [(s, t, c) for _, s, t, c, _ in ranked] == [
+    ranked = [tuple(r)[1:4] for r in graph.top_edges(edges, 50).orderBy("edge_rank").collect()]
+    assert [tuple(r)[1:] for r in graph.top_edges(edges).collect()] == ranked
+    assert ranked == [
         ("ACG", "CGT", 4), ("CGT", "GTA", 2), ("GTA", "TAC", 2), ("TAC", "ACG", 2),
         ("CGT", "GTG", 1), ("GAC", "ACG", 1), ("GGA", "GAC", 1), ("GTG", "TGG", 1),
         ("TGG", "GGA", 1),
@@ -228,9 +229,7 @@ def planned(spark, n, items, policy="auto", codec=None):
 
 
 def test_candidate_choice(spark):
-    assert planned(spark, 18, [(10, 0, 8)]) == ("no_graph", 2, 22 + 9, []) or planned(
-        spark, 18, [(10, 0, 8)]
-    ) == ("no_graph", 2, 22, [])
+    assert planned(spark, 18, [(10, 0, 8)]) == ("no_graph", 2, 22, [])
     assert planned(spark, 1000, [(400, 100, 300)]) == (
         "pruned_graph", 2, 240, [(400, 100, 300)]
     )
