@@ -3,11 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import task_slots
+from seqloom.session import is_empty, task_slots
 
-# Long sequences are cut into chunks of this many positions before they are exploded,
-# so that one long record is worked on by many tasks.
+# Sequences are cut into chunks of this many positions before they are exploded.
 CHUNK_POSITIONS = 1 << 16
+# From this size on a record is worth the shuffle that gives its chunks to many tasks.
+LONG_RECORD = 1 << 22
 
 
 def piece_offsets(width: int, positions: int = CHUNK_POSITIONS) -> Column:
@@ -26,9 +27,9 @@ def chunks(records: DataFrame, width: int, *, positions: int = CHUNK_POSITIONS)
     """``(record_id, offset, bases)``: pieces that overlap by ``width - 1`` symbols.
 
     Every window of ``width`` symbols lies in exactly one piece. ``bases`` is binary:
-    slicing binary is constant-time, slicing a string scans from its start. Pieces are
-    spread by (record, piece); that moves each symbol once, a small part of what the
-    k-mers made from it cost downstream, and no task is left with a whole long record.
+    slicing binary is constant-time, slicing a string scans from its start. Unless the sizes
+    say that no record is long, pieces are spread by (record, piece): that moves each symbol
+    once, and no task is left with a whole long record.
     """
     pieces = (
         records.select(
@@ -42,9 +43,17 @@ def chunks(records: DataFrame, width: int, *, positions: int = CHUNK_POSITIONS)
             F.expr(f"substring(bases, offset + 1, {positions + width - 1})").alias("bases"),
         )
     )
+    if not may_be_long(records):
+        return pieces
     return pieces.repartition(task_slots(records.sparkSession), "record_id", "offset")
 
 
+def may_be_long(records: DataFrame, limit: int = LONG_RECORD) -> bool:
+    if "size_bound" not in records.columns:
+        return True
+    return not is_empty(records.where(F.col("size_bound") > limit).select(F.lit(1)))
+
+
 def explode_kmers(records: DataFrame, k: int, *, positions: int = CHUNK_POSITIONS) -> DataFrame:
     """``(record_id, pos, kmer)`` for every position; records shorter than ``k`` give no rows.
 

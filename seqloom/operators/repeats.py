@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from seqloom.formats import COPY_LIST
 from seqloom.functions.matching import every_copy, greedy_copies
 from seqloom.operators import long_repeats
+from seqloom.operators.kmers import may_be_long
 from seqloom.session import is_empty, spread
 
 # A Python worker keeps one index entry per position of the record it works on.
@@ -35,13 +36,12 @@ def split_by_length(
     records = spread(records, "record_id")
     if longest is not None and longest <= local_bases:
         return records, None
-    size = F.col("size_bound") if "size_bound" in records.columns else F.length("seq")
-    if is_empty(records.where(size > local_bases).select(F.lit(1))):
+    if not may_be_long(records, local_bases):
         return records, None
-    return (
-        records.where(F.length("seq") <= local_bases),
-        records.where(F.length("seq") > local_bases),
-    )
+    long = records.where(F.length("seq") > local_bases)
+    if is_empty(long.select(F.lit(1))):
+        return records, None
+    return records.where(F.length("seq") <= local_bases), long
 
 
 def _list_udf(search):
