@@ -517,7 +517,31 @@ def gzip_sizes(spark, folder):
 
 
 def bench_variants(spark, folder):
-    return benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
+    """What each variant does with each record."""
+    rows = benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
+    return rows.select(
+        "name",
+        "record_id",
+        "candidate_count",
+        "selected_candidate",
+        "selected_estimated_bytes",
+        "selected_repeat_count",
+        "graph_copy_blocks",
+        "residual_blocks",
+        "graph_copy_bases",
+        "residual_bases",
+        "llm_residual_blocks",
+        "raw_residual_blocks",
+        "context_residual_blocks",
+        "raw_residual_payload_bytes",
+    )
+
+
+def bench_variant_totals(spark, folder):
+    """Archive bytes of each variant over all records."""
+    return benchmark.totals(
+        benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
+    )
 
 
 def _shipped(query: Query) -> Query:
@@ -543,7 +567,7 @@ def queries() -> dict[str, Query]:
         pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, integer_cdf, ideal_bits,
         roundtrip_plain, roundtrip_model, roundtrip_model_forced, roundtrip_v1, roundtrip_v2,
         roundtrip_any, archive_scan, archive_scan_v1,
-        gzip_sizes, bench_variants,
+        gzip_sizes, bench_variants, bench_variant_totals,
     )
     return {query.__name__: _shipped(query) for query in listed}
 

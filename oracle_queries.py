@@ -351,8 +351,7 @@ def all_queries() -> dict[str, str]:
       SELECT record_id, start, source, length FROM pruned"""
     out["plan_cost"] = f"""{repeats(PACKED)}, {model_blocks('pick')}, {cost('blk', 'c')}
       SELECT record_id, CAST(bytes AS BIGINT) AS estimated_bytes, fragmented FROM c"""
-    none = "none AS (SELECT * FROM pick WHERE false)"
-    out["candidate_choice"] = f"""{repeats(PACKED)}, {PRUNE}, {none},
+    choice = f"""none AS (SELECT * FROM pick WHERE false),
       plain AS (WITH {model_blocks('none', 'b0')}, {cost('b0', 'c0')} SELECT * FROM c0),
       hybrid AS (WITH {model_blocks('pruned', 'b1')}, {cost('b1', 'c1')} SELECT * FROM c1),
       found AS (SELECT record_id, count(*) AS copies FROM pick GROUP BY record_id),
@@ -362,8 +361,8 @@ def all_queries() -> dict[str, str]:
           f.copies IS NOT NULL AND k.copies IS NOT NULL AND NOT h.fragmented
             AND h.bytes < p.bytes AS hybrid
         FROM plain p JOIN hybrid h USING (record_id) LEFT JOIN found f USING (record_id)
-          LEFT JOIN kept k USING (record_id))
-      SELECT record_id,
+          LEFT JOIN kept k USING (record_id)),
+      choice AS MATERIALIZED (SELECT record_id,
         CAST(CASE WHEN found IS NULL OR kept IS NULL THEN 1 ELSE 2 END AS BIGINT)
           AS candidate_count,
         CASE WHEN found IS NULL THEN 'original' WHEN hybrid THEN 'pruned_graph'
@@ -371,7 +370,46 @@ def all_queries() -> dict[str, str]:
         CAST(CASE WHEN found IS NULL THEN 0 WHEN hybrid THEN hybrid_bytes ELSE plain_bytes END
           AS BIGINT) AS selected_estimated_bytes,
         CAST(CASE WHEN hybrid THEN kept ELSE 0 END AS BIGINT) AS selected_repeat_count
-      FROM judged"""
+      FROM judged)"""
+    out["candidate_choice"] = f"""{repeats(PACKED)}, {PRUNE}, {choice} SELECT * FROM choice"""
+    taken = "(SELECT record_id FROM choice WHERE selected_candidate = 'pruned_graph')"
+    out["bench_variants"] = f"""{repeats(PACKED)}, {PRUNE}, {choice},
+      v AS (
+        SELECT 'graph_only' AS name, * FROM (WITH {spans('pick')}
+          SELECT record_id, 'graph_copy' AS type, length, false AS use_context FROM pick
+          UNION ALL SELECT record_id, 'llm_residual', length, false FROM gaps)
+        UNION ALL SELECT 'dnagpt2_residual_only', * FROM (WITH {model_blocks('none', 'v0')}
+          SELECT record_id, type, length, use_context FROM v0)
+        UNION ALL SELECT 'graph_plus_dnagpt2', * FROM (WITH {model_blocks('pick', 'v1')}
+          SELECT record_id, type, length, use_context FROM v1)
+        UNION ALL SELECT 'adaptive_dnagpt2_hybrid', * FROM (WITH {model_blocks('pruned', 'v2')}
+          SELECT record_id, type, length, use_context FROM v2 WHERE record_id IN {taken})
+        UNION ALL SELECT 'adaptive_dnagpt2_hybrid', * FROM (WITH {model_blocks('none', 'v3')}
+          SELECT record_id, type, length, use_context FROM v3 WHERE record_id NOT IN {taken})),
+      plans AS (
+        SELECT 'graph_only' AS name, record_id, 1 AS candidate_count,
+          'original' AS selected_candidate, 0 AS selected_estimated_bytes,
+          coalesce(copies, 0) AS selected_repeat_count
+        FROM docs LEFT JOIN found USING (record_id)
+        UNION ALL SELECT 'dnagpt2_residual_only', record_id, 1, 'original', 0, 0 FROM docs
+        UNION ALL SELECT 'graph_plus_dnagpt2', record_id, 1, 'force_graph', 0,
+          coalesce(copies, 0) FROM docs LEFT JOIN found USING (record_id)
+        UNION ALL SELECT 'adaptive_dnagpt2_hybrid', record_id, candidate_count,
+          selected_candidate, selected_estimated_bytes, selected_repeat_count FROM choice)
+      SELECT p.name, p.record_id, any_value(CAST(candidate_count AS BIGINT)) AS candidate_count,
+        any_value(selected_candidate) AS selected_candidate,
+        any_value(CAST(selected_estimated_bytes AS BIGINT)) AS selected_estimated_bytes,
+        any_value(CAST(selected_repeat_count AS BIGINT)) AS selected_repeat_count,
+        count(*) FILTER (type = 'graph_copy') AS graph_copy_blocks,
+        count(*) FILTER (type <> 'graph_copy') AS residual_blocks,
+        CAST(coalesce(sum(length) FILTER (type = 'graph_copy'), 0) AS BIGINT) AS graph_copy_bases,
+        CAST(coalesce(sum(length) FILTER (type <> 'graph_copy'), 0) AS BIGINT) AS residual_bases,
+        count(*) FILTER (type = 'llm_residual') AS llm_residual_blocks,
+        count(*) FILTER (type = 'raw_residual') AS raw_residual_blocks,
+        count(*) FILTER (use_context) AS context_residual_blocks,
+        CAST(coalesce(sum((length + 3) // 4) FILTER (type = 'raw_residual'), 0) AS BIGINT)
+          AS raw_residual_payload_bytes
+      FROM plans p LEFT JOIN v USING (name, record_id) GROUP BY p.name, p.record_id"""
 
     out["markov_counts"] = f"""WITH {DOCS}, {grams(3, 'docs', 'record_id', 'g')}
       SELECT record_id, ctx, sym, count(*) AS n FROM g GROUP BY ALL"""
