@@ -44,14 +44,6 @@ ALPHABET = "ACGTN"
 PACKED_ALPHABET = "ACGT"
 # ---------------------------------------------------------------------------
 
-RECORD = T.StructType(
-    [
-        T.StructField("record_id", T.LongType(), False),
-        T.StructField("header", T.StringType()),
-        T.StructField("seq", T.StringType()),
-    ]
-)
-
 COPY_ITEM = T.StructType(
     [
         T.StructField("start", T.LongType()),

@@ -240,7 +240,8 @@ def plan(records: DataFrame, codec: ResidualCodec, policy: str = "auto") -> Data
 def explode_blocks(planned: DataFrame, codec: ResidualCodec, *carry: str) -> DataFrame:
     """One row per block with its text and, where used, the symbols before it.
 
-    A record without symbols keeps one row with a null ``type``.
+    Columns in ``carry`` stay on the first block only. A record without symbols keeps one row
+    with a null ``type``.
     """
     window = codec.context_window
     return (
@@ -252,7 +253,7 @@ def explode_blocks(planned: DataFrame, codec: ResidualCodec, *carry: str) -> Dat
         )
         .select(
             "record_id",
-            *carry,
+            *[F.when(F.coalesce("block_no", F.lit(0)) == 0, F.col(c)).alias(c) for c in carry],
             F.coalesce("block_no", F.lit(0)).alias("block_no"),
             "block.*",
             F.expr(

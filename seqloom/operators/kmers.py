@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import is_empty, task_slots
+from seqloom.session import is_empty, rebalance
 
 # Sequences are cut into chunks of this many positions before they are exploded.
 CHUNK_POSITIONS = 1 << 16
@@ -45,7 +45,7 @@ def chunks(records: DataFrame, width: int, *, positions: int = CHUNK_POSITIONS)
     )
     if not may_be_long(records):
         return pieces
-    return pieces.repartition(task_slots(records.sparkSession), "record_id", "offset")
+    return rebalance(pieces, "record_id", "offset")
 
 
 def may_be_long(records: DataFrame, limit: int = LONG_RECORD) -> bool:

@@ -6,6 +6,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,7 +60,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-spread rows by ``keys``, only when a plain scan has fewer splits than there are cores.
 
     A cluster-sized table already has enough splits, so no shuffle is added there; a table
-    stored as one row group would otherwise run in one task. A plan that already shuffles is
+    stored as one row group would otherwise run in one task, whatever its number of splits. A plan that already shuffles is
     left alone: its partitions are chosen at run time, and counting them would run it.
     """
     adaptive = "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().nodeName()
@@ -69,15 +70,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys)
 
 
+def rebalance(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute rows by ``keys`` into partitions of the advisory size, however many."""
+    return df.hint("rebalance", *[F.col(key) for key in keys])
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
-    Only where none is configured (single-machine tests) a local folder is made, once.
+    Only where none is configured on a single machine (tests) a local folder is made, once.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

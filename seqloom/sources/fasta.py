@@ -61,7 +61,7 @@ def parse_files(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
         "path", "length", _parse_column(mode == "FAILFAST")("content").alias("parsed")
     )
     rows = parsed.select(
-        F.xxhash64("path").alias("record_id"),
+        F.col("path").alias("record_id"),
         "path",
         "parsed.*",
         F.col("length").alias("size_bound"),
@@ -70,7 +70,7 @@ def parse_files(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """``(record_id, path, header, seq, size_bound)`` for a file, folder or glob.
+    """``(record_id, path, header, seq, size_bound)``, ``record_id`` being the path, for a file, folder or glob.
 
     A bad file fails the job, or with ``QUARANTINE`` becomes a row with its ``error``.
     """

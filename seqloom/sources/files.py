@@ -54,11 +54,11 @@ def write_files(files: DataFrame, folder: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(record_id, path, archive BINARY)`` for a file, folder or glob of archives."""
+    """``(record_id, path, archive BINARY)``, ``record_id`` being the path, for a file, folder or glob of archives."""
     return (
         spark.read.format("binaryFile")
         .load(path)
-        .select(F.xxhash64("path").alias("record_id"), "path", F.col("content").alias("archive"))
+        .select(F.col("path").alias("record_id"), "path", F.col("content").alias("archive"))
     )
 
 
