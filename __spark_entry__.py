@@ -5,12 +5,16 @@ All queries run over whole tables and whole texts.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import oracle_queries
 from seqloom.formats import COPY, PACKED_ALPHABET, RAW, VARIANTS
 from seqloom.functions.catalog import expr, register, sql

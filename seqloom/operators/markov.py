@@ -1,9 +1,12 @@
 """Order-n symbol models: fit, score and per-residual code length."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.formats import ALPHABET
+from seqloom.functions.context_bits import gap_bits
 from seqloom.operators.kmers import CHUNK_POSITIONS, piece_offsets
 
 
@@ -95,6 +98,28 @@ def count_rows(model: DataFrame) -> DataFrame:
     )
 
 
+def gap_bits_column(order: int = 3, pseudocount: float = 1.0):
+    """UDF ``(seq, starts, lengths) -> ARRAY<DOUBLE>``: :func:`score` for gaps of one record.
+
+    Model and gaps lie in the same cell, so nothing is exploded or shuffled. For records that
+    fit one task; :func:`score` has no such limit.
+    """
+    _check(order, pseudocount)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def bits(seqs: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
+        rows = zip(seqs.to_pylist(), starts.to_pylist(), lengths.to_pylist())
+        return pa.array(
+            [
+                gap_bits(seq or "", list(zip(begin, size)), order, pseudocount)
+                for seq, begin, size in rows
+            ],
+            type=pa.list_(pa.float64()),
+        )
+
+    return bits.asNondeterministic()
+
+
 def score(
     model: DataFrame,
     fragments: DataFrame,

@@ -31,6 +31,19 @@ def test_v1_archive(table):
     assert archive_v1.parse_blocks(cells).count() == 2
 
 
+def test_v1_long_records_score_the_same(table):
+    records = table("GATTACA" * 12 + "CCNN" * 9 + "GATTACA" * 9, SAMPLE, "ACG")
+    options = {"k": 3, "min_repeat_len": 12, "lm_order": 3}
+    cells = archive_v1.compress(records, **options)
+    local = sorted(tuple(r) for r in archive_v1.blocks(records, **options).collect())
+    joined = sorted(
+        tuple(r) for r in archive_v1.blocks(records, local_bases=20, **options).collect()
+    )
+    assert [r[:-1] for r in local] == [r[:-1] for r in joined]
+    assert [r[-1] for r in local] == pytest.approx([r[-1] for r in joined], abs=2e-6)
+    assert archive_v1.decompress(cells).count() == 3
+
+
 def test_v1_errors(table):
     text = archive_v1.compress(table(SAMPLE), **OPTIONS).first()["archive"]
 
