@@ -25,6 +25,14 @@ from seqloom.plans import archive_v1, archive_v2, benchmark
 from seqloom.session import ship_package
 from seqloom.sources import tables
 
+try:  # the package for training data and its pipeline may be left out
+    import corpus_pipeline
+    from seqloom.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if not (error.name == "corpus_pipeline" or str(error.name).startswith("seqloom.llm")):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMALL = "/root/testdata/sf0.001"
 CONTEXT = 1024
 Query = Callable[[SparkSession, str], DataFrame]
@@ -573,11 +581,19 @@ def queries() -> dict[str, Query]:
         roundtrip_any, archive_scan, archive_scan_v1,
         gzip_sizes, bench_variants, bench_variant_totals,
     )
-    return {query.__name__: _shipped(query) for query in listed}
+    named = {query.__name__: query for query in listed}
+    if llm_queries:
+        named |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return {name: _shipped(query) for name, query in named.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.all_queries()
+    named = oracle_queries.all_queries()
+    if llm_queries:
+        named |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            named["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return named
 
 
 def entry(spark: SparkSession) -> DataFrame:
