@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import exact_dedup, mixing, packing
+from seqloom.llm import boilerplate, exact_dedup, language, mixing, ngram_join, packing, privacy, secrets
 from seqloom.llm.shared import table
 
 
@@ -22,14 +22,35 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_privacy(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.find_personal_data(table(spark, folder, "documents"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.predict(docs, language.train(docs))
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, folder, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op10_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.drop_boilerplate(table(spark, folder, "pages"))
+
+
 OP9_SQL = """
 WITH n AS (
     SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -47,10 +68,45 @@ FROM r
 """
 
 
+OP10_SQL = f"""
+WITH cut AS (
+    SELECT row_number() OVER () AS n, page_id,
+        lower(regexp_extract(coalesce(url, ''), '{boilerplate.HOST}', 1)) AS host,
+        [y for y in [trim(regexp_replace(x, '{boilerplate.TAG}', '', 'g'), ' ')
+            for x in string_split_regex(coalesce(html, ''), '{boilerplate.BREAK}')] if y <> ''] AS lines
+    FROM pages
+), totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY host
+), seen AS (
+    SELECT host, line, count(*) AS n
+    FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut) GROUP BY host, line
+), common AS (
+    SELECT host, list(line) AS common FROM seen JOIN totals USING (host)
+    WHERE n >= {boilerplate.LEAST_PAGES} AND n > {boilerplate.RATIO} * pages GROUP BY host
+), kept AS (
+    SELECT page_id, host, lines,
+        [x for x in lines if NOT list_contains(coalesce(common, []), x)] AS kept
+    FROM cut LEFT JOIN common USING (host)
+)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped,
+    coalesce(array_to_string(kept, chr(10)), '') AS text
+FROM kept
+"""
+
+
 def queries() -> dict:
-    listed = (op1_mixing, op3_packing, op9_exact_dedup)
+    listed = (
+        op1_mixing,
+        op2_privacy,
+        op3_packing,
+        op4_language,
+        op6_secrets,
+        op7_ngram_join,
+        op9_exact_dedup,
+        op10_boilerplate,
+    )
     return {query.__name__: query for query in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op9_exact_dedup": OP9_SQL, "op10_boilerplate": OP10_SQL}
