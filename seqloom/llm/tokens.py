@@ -13,41 +13,72 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Words a worker remembers (about 200 bytes each) before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 DEFAULT = "word_bpe_49k.json"
 
-_LETTERS = re.compile(rb"[A-Za-z]+")
+# Latin letters (composed, with a lower case of one character), and what may follow them in a
+# word: signs, without the apostrophe of contractions.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_WORD = re.compile(rf"([a-z{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
+_LONGEST = 1000
 _loaded: dict[str, WordIds] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin letters as the byte-level vocabulary spells them: one printable letter per byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    spelled = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+    latin = [c for c in range(0xC0, 0x250) if _WORD.fullmatch(chr(c))]
+    return {c: "".join(spelled[b] for b in chr(c).lower().encode()) for c in latin}
+
+
 class WordIds:
     """Little-endian 32-bit ids per word of ``path``'s tokenizer (split at ASCII white space).
 
-    A word of ASCII letters is one unit for the pre-tokenizer, so it goes straight to the model.
+    It ignores case, so ASCII letters are lower-cased first, except where a special token could
+    appear. A run of Latin letters is one unit for its pre-tokenizer and goes straight to the model;
+    the signs after it are another unit, of which there are few.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.spelling = _byte_letters()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
 
     def learn(self, words: set[bytes]) -> None:
-        known, other = self.known, []
-        tokenize = self.model.tokenize
+        known, signs, packed, other = self.known, self.signs, self.packed, []
+        tokenize, split, spelling = self.model.tokenize, _WORD.fullmatch, self.spelling
         for word in words:
-            if len(word) < 1000 and _LETTERS.fullmatch(word):
-                found = [token.id for token in tokenize(word.lower().decode())]
-                known[word] = np.array(found, dtype="<u4").tobytes()
+            text = word.decode("utf-8", "replace")
+            if len(word) < _LONGEST and (parts := split(text)):
+                letters, tail = parts.groups()
+                if tail not in signs:
+                    if len(signs) > 10_000:
+                        signs.clear()
+                        signs[""] = b""
+                    signs[tail] = self._encoded([tail])[0]
+                if len(text) != len(word):
+                    letters = letters.translate(spelling)
+                ids = [packed[token.id] for token in tokenize(letters)]
+                known[word] = b"".join(ids) + signs[tail]
             else:
                 other.append(word)
         texts = [word.decode("utf-8", "replace") for word in other]
-        for word, found in zip(
-            other, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True
-        ):
-            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        known.update(zip(other, self._encoded(texts), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+        split = []
+        for text in texts:
+            data = (text or "").encode("utf-8", "replace")
+            split.append((data if b"<|" in data else data.lower()).split())
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
