@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import boilerplate, exact_dedup, language, mixing, ngram_join, packing, privacy, secrets
+from seqloom.llm import (
+    boilerplate,
+    exact_dedup,
+    language,
+    mixing,
+    neighbours,
+    ngram_join,
+    packing,
+    privacy,
+    secrets,
+    token_shards,
+)
 from seqloom.llm.shared import table
 
 
@@ -35,6 +46,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
+def op5_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_shards.write_shards(docs, token_shards.shard_folder(spark))
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
@@ -43,6 +59,10 @@ def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, folder, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
@@ -100,8 +120,10 @@ def queries() -> dict:
         op2_privacy,
         op3_packing,
         op4_language,
+        op5_token_shards,
         op6_secrets,
         op7_ngram_join,
+        op8_neighbours,
         op9_exact_dedup,
         op10_boilerplate,
     )
