@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import SPACE, cut_lineage, text_of
+from seqloom.llm.shared import SPACE, cut_lineage, keep_ids, text_of
 
 #: Chain heads a bucket holds before it splits.
 CAPACITY = 50_000
@@ -98,13 +98,13 @@ def build_index(heads: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def differing(docs: DataFrame, index: DataFrame, key_bits: int = 64) -> list[DataFrame]:
     """Rows that share a key with other bytes, as ``(doc_id, key, link)``, one table per link.
 
-    Only texts of keys with several rows travel, once to meet their index entry and once to
-    meet the head of their chain.
+    Only texts of keys with several rows travel, to meet the head of their chain; the list of
+    those keys goes to the texts as far as its checked size allows.
     """
     wanted = index.where("group_size > 1").select("key")
     bodies = docs.select("doc_id", F.length(text_of()).alias("n_chars"), body().alias("body"))
     bodies = bodies.withColumn("key", content_key(F.col("body"), key_bits))
-    left = cut_lineage(bodies.join(wanted, "key"))
+    left = cut_lineage(keep_ids(bodies, wanted, "key", wanted.count()))
     links: list[DataFrame] = []
     heads = index.select("key", "keep_id")
     while True:
