@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import exact_dedup, mixing, packing
+from seqloom.llm import exact_dedup, language, mixing, ngram_join, packing
 from seqloom.session import scratch_folder, ship_package
 
 
@@ -18,10 +18,18 @@ def _shipped(stage):
     return run_stage
 
 
+def _known_language(docs: DataFrame) -> DataFrame:
+    return language.accepted(docs, language.train(docs))
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def _near_copies(docs: DataFrame) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
 def _mixed(docs: DataFrame) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -31,9 +39,11 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", _shipped(_known_language)),
     ("exact dedup", _shipped(_copies)),
-    ("mixing", _shipped(_mixed)),
-    ("packing", _shipped(_packed)),
+    ("n-gram Jaccard join", _shipped(_near_copies)),
+    ("mixing to target weights", _shipped(_mixed)),
+    ("best-fit packing", _shipped(_packed)),
 ]
 
 #: Language ID and token ids have no SQL; the tests hold run() against a brute-force version.
