@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import SPACE, cut_lineage, keep_ids, text_of
+from seqloom.llm.shared import SPACE, cut_lineage, free_name, id_text, keep_ids, text_of
 
 #: Chain heads a bucket holds before it splits.
 CAPACITY = 50_000
@@ -158,13 +158,10 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows one stays."""
+    sha, name = free_name(docs, "sha"), free_name(docs, "id")
     kept = exact_groups(docs).where("kept")
-    kept = kept.select(F.col("text_sha256").alias("_sha"), _text_id().alias("_id")).distinct()
-    rows = docs.withColumn("_sha", F.sha2(body(), 256)).withColumn("_id", _text_id())
-    held = rows.join(kept, ["_sha", "_id"], "left_semi")
+    kept = kept.select(F.col("text_sha256").alias(sha), id_text().alias(name)).distinct()
+    rows = docs.withColumn(sha, F.sha2(body(), 256)).withColumn(name, id_text())
+    held = rows.join(kept, [sha, name], "left_semi")
     # same keys as the join: no second shuffle
-    return held.dropDuplicates(["_sha", "_id"]).select(*docs.columns)
-
-
-def _text_id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return held.dropDuplicates([sha, name]).select(*docs.columns)

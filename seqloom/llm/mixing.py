@@ -19,12 +19,14 @@ rows are documents of their own. A source without words has target 0. Empty tabl
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import cut_lineage, text_of
+from seqloom.llm.shared import cut_lineage, free_name, id_text, text_of
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -91,15 +93,35 @@ def sized(docs: DataFrame, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
     )
 
 
-def _fill(words: dict[int, int], rest: float) -> tuple[list[int], int | None, float]:
-    """Blocks taken in their order while they fit, the shortest one left over, words missing."""
+def _fill(
+    words: dict[int, int], rest: float, again: int, goal: float
+) -> tuple[Counter, int | None, float]:
+    """Copies of blocks taken in their order while they fit, the shortest block left over, words
+    missing. Where those are over 1 % of the goal, blocks are taken up to ``again`` times."""
     taken = []
     for block in sorted(words):
         if words[block] <= rest:
             rest -= words[block]
             taken.append(block)
+    for _ in range(3):  # exchange one block for another where that comes closer
+        out = sorted(set(words).difference(taken))
+        if not (taken and out):
+            break
+        more = np.array([words[b] for b in out]) - np.array([[words[b]] for b in taken])
+        more = np.where((more > 0) & (more <= rest), more, 0)
+        i, k = np.unravel_index(more.argmax(), more.shape)
+        if not more[i, k]:
+            break
+        rest -= int(more[i, k])
+        taken[i] = out[k]
     left = sorted(set(words).difference(taken), key=lambda b: (words[b], b))
-    return taken, left[0] if left else None, rest
+    copies = Counter(taken)
+    for _ in range(again - 1):
+        for block in sorted(copies, key=lambda b: (-words[b], b)):
+            if 0 < words[block] <= rest and rest > goal / 100:
+                rest -= words[block]
+                copies[block] += 1
+    return copies, left[0] if left else None, rest
 
 
 def _by_source(rows: DataFrame, block: str) -> dict:
@@ -125,15 +147,19 @@ def block_plan(rows: DataFrame, seed: int, shards: int, blocks: int) -> tuple[Da
     for n in names:
         whole[n] = min(int(goals[n] // sizes[n]), MOST_REPEATS) if sizes[n] else 0
         missing = goals[n] - whole[n] * sizes[n] if whole[n] < MOST_REPEATS else 0.0
-        taken[n], edge[n], rest[n] = _fill(words[n], missing)
+        taken[n], edge[n], rest[n] = _fill(
+            words[n], missing, MOST_REPEATS - whole[n], goals[n]
+        )
     edges = spark.createDataFrame([(n, edge[n]) for n in names], "source string, edge long")
     parts = _by_source(_with_cells(rows, edges, blocks).where(F.col("cell") >= blocks), "fine")
     cells: list[dict[int, int]] = []  # per colour of the tree: copies of each cell
     last: dict = {}
     for n in names:
-        more, last[n], rest[n] = _fill(parts.get(n, {}), rest[n])
-        cells.append({b: whole[n] + (b in set(taken[n])) for b in words[n] if b != edge[n]})
-        cells.append({blocks + f: whole[n] + (f in more) for f in parts.get(n, {})})
+        more, last[n], rest[n] = _fill(
+            parts.get(n, {}), rest[n], MOST_REPEATS - whole[n], goals[n]
+        )
+        cells.append({b: whole[n] + taken[n][b] for b in words[n] if b != edge[n]})
+        cells.append({blocks + f: whole[n] + more[f] for f in parts.get(n, {})})
     quota = split_quotas(np.array([sum(c.values()) for c in cells]), shards, seed)
     plan = []
     for i, held in enumerate(cells):
@@ -213,15 +239,15 @@ def shard_rows(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The columns of ``docs``, each document as often as the mixture takes it."""
-    wanted = mixture(docs, seed).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
-        F.size("shards").alias("_copies"),
-    )
-    # rows that repeat a doc_id carry their copies together
-    wanted = wanted.groupBy("_id").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    repeated = rows.join(wanted, "_id").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    """The columns of ``docs``, each document as often as the mixture takes it.
+
+    Rows that repeat a ``doc_id`` within a source are taken equally often.
+    """
+    name, number = free_name(docs, "id"), free_name(docs, "copies")
+    taken = mixture(docs, seed).select(
+        id_text().alias(name), F.size("shards").alias(number)
     )
-    return repeated.select(*docs.columns)
+    wanted = taken.groupBy(name).agg(F.max(number).alias(number)).where(F.col(number) > 0)
+    rows = docs.withColumn(name, id_text()).join(wanted, name)
+    each = F.explode(F.array_repeat(F.lit(0), F.col(number)))
+    return rows.select(*docs.columns, each.alias(number)).drop(number)

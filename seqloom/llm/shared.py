@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.session import cut_lineage, scratch_folder
 
-__all__ = ["SPACE", "cut_lineage", "keep_ids", "scratch_folder", "spread_scan", "table", "text_of"]
+__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "scratch_folder", "table", "text_of"]
 
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -23,17 +23,21 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``rows`` has it."""
+    taken = {column.lower() for column in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def id_text(column: str = "doc_id") -> Column:
+    """An id as text, so that null ids are equal to one another in joins."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def keep_ids(rows: DataFrame, ids: DataFrame, name: str, count: int) -> DataFrame:
     """Rows whose ``name`` is in ``ids`` (one column ``name``, distinct), ``count`` of them."""
     if count <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return rows.join(ids, name, "left_semi")
-
-
-def spread_scan(rows: DataFrame) -> DataFrame:
-    """Deal a scan out by size before per-row work that costs far more than reading.
-
-    A table in a few small files would otherwise be one task. Rows move once; AQE chooses the
-    number of partitions from their size.
-    """
-    return rows.hint("rebalance")
