@@ -10,11 +10,11 @@ A document is the set of its different word shingles. Two documents link when
 3. *Global order.* Over what is left, shingles are ordered by how many sets hold them, rarest
    first, then by hash. Linked sets share one of their first ``d + 1``, so passages that many
    documents hold, which come last, bring no candidates.
-4. *Candidates.* Sets that share a prefix shingle meet in its bucket. Each bucket first compares
-   its members with one pivot, which is linear; links merge components. Jaccard distance is a
-   metric, so a pair in different components can only be linked where its distances to the pivot
-   differ by at most the threshold; those pairs, and no others, are compared as well. No pair
-   of a group of near copies is listed beyond that.
+4. *Candidates.* Sets that share a prefix shingle meet in its bucket. A linked pair passes, at
+   the first shingle it shares, the bound on what can still be common from there on; no other
+   pair is looked at. Each bucket first compares its members with one pivot, which is linear;
+   links merge components. Then pairs of different components, one of them outside the pivot's,
+   are compared where they pass the bound. Pairs within a group of near copies are not listed.
 5. *Overlaps.* A set is cut into fragments of the global hash order. Each fragment of a pair is
    counted on its own, and the counts are summed per pair: no task needs a whole long document.
 6. *Components* by hooking to the smallest neighbour and pointer jumping, cut with written tables.
@@ -32,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, keep_ids
+from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, id_text, keep_ids
 
 WORDS = 4
 LEAST = 85
@@ -165,7 +165,11 @@ def _left_after_first_cut(base: DataFrame, classes: DataFrame, least: int) -> Da
 
 
 def _prefixes(fragments: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """``shingle, rep, n`` of the first shingles, rarest first, that several sets hold."""
+    """``shingle, rep, n, reach`` of the first shingles, rarest first, that several sets hold.
+
+    ``reach`` counts the shingles of the set from this one on: what it can have in common with a
+    set that it meets here first.
+    """
     listed = _unpacked(fragments)
     counted = listed.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("holders"), F.min("rep").alias("rep")
@@ -176,7 +180,8 @@ def _prefixes(fragments: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     # shingles of one set come first in the order: where they fill the prefix, nothing is left
     open_ = cut_lineage(
         sizes.join(alone, "rep", "left")
-        .select("rep", "n", (allowed + 1 - F.coalesce("alone", F.lit(0))).alias("room"))
+        .withColumn("alone", F.coalesce("alone", F.lit(0)))
+        .select("rep", "n", "alone", (allowed + 1 - F.col("alone")).alias("room"))
         .where("room > 0")
     )
     shared = counted.where("holders > 1").select("shingle", "holders")
@@ -186,7 +191,7 @@ def _prefixes(fragments: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     return (
         met.withColumn("place", F.expr("row_number() OVER (PARTITION BY rep ORDER BY holders, shingle)"))
         .where("place <= room")
-        .select("shingle", "rep", "n")
+        .select("shingle", "rep", "n", (F.col("n") - F.col("alone") - F.col("place") + 1).alias("reach"))
     )
 
 
@@ -264,59 +269,48 @@ def linked(pairs: DataFrame, least: int) -> DataFrame:
 
 def class_links(prefixes: DataFrame, fragments: DataFrame, least: int) -> DataFrame:
     """``a, b``: links between classes, at least enough of them to give every component."""
+
+    def fits(n: str, reach: str, other: str, other_reach: str) -> Column:
+        size = 100 * F.least(n, other) >= least * F.greatest(n, other)
+        common = (100 + least) * F.least(reach, other_reach) >= least * (F.col(n) + F.col(other))
+        return size & common
+
+    def in_order(pairs: DataFrame) -> DataFrame:
+        first = F.col("rep") < F.col("rep2")
+        swapped = [F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("rep", "rep2"), ("rep2", "rep"), ("n", "n2"), ("n2", "n"))]
+        return pairs.select(*(c.alias(k) for c, k in zip(swapped, ("a", "b", "na", "nb"), strict=True))).distinct()
+
+    best = F.max(F.struct((F.col("reach") / F.col("n")).alias("share"), F.bitwise_not("rep").alias("order"), "n", "reach"))
     pivots = (
         prefixes.groupBy("shingle")
-        .agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("members"))
+        .agg(best.alias("p"), F.count(F.lit(1)).alias("members"), F.max("reach").alias("top"), F.min("n").alias("low"))
         .where("members > 1")
-        .select("shingle", F.col("pivot.rep").alias("a"), F.col("pivot.n").alias("na"))
+        .select("shingle", F.bitwise_not("p.order").alias("rep2"), F.col("p.n").alias("n2"), F.col("p.reach").alias("reach2"), "top", "low")
     )
     pivots = cut_lineage(pivots)
-    fits = (100 * F.least("na", "nb")) >= least * F.greatest("na", "nb")
-    met = prefixes.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    star = met.join(pivots, "shingle").where("a <> b").select("a", "b", "na", "nb").distinct()
-    # the pivot's distance is needed for pairs of unlike sizes too: it is what rules others out
+    # what no member of the bucket can be near enough to does not go on
+    smallest = F.greatest(F.col("low"), F.expr(f"({least} * n + 99) DIV 100"))
+    able = (100 + least) * F.least("reach", "top") >= least * (F.col("n") + smallest)
+    met = cut_lineage(prefixes.join(pivots, "shingle").where(able))
+    star = in_order(met.where("rep <> rep2").where(fits("n", "reach", "n2", "reach2")))
     star = _compared(star, fragments)
     first = linked(star, least)
     labels = components(first)
-    apart = F.expr("1.0D - both / CAST(na + nb - both AS double)")
-    far = star.select("a", F.col("b").alias("rep"), apart.alias("far"))
+    homes = labels.select(F.col("rep").alias("rep2"), F.col("label").alias("home"))
     members = (
-        met.join(pivots.select("shingle", "a"), "shingle")
-        .withColumnRenamed("b", "rep")
-        .join(far, ["a", "rep"], "left")
+        met.select("shingle", "rep", "n", "reach", "rep2")
         .join(labels, "rep", "left")
-        .select(
-            "shingle", "rep", F.col("nb").alias("n"),
-            F.coalesce("far", F.lit(0.0)).alias("far"),
-            F.coalesce("label", "rep").alias("label"),
-        )
-    )
+        .join(homes, "rep2", "left")
+        .select("shingle", "rep", "n", "reach", F.coalesce("label", "rep").alias("label"), F.coalesce("home", "rep2").alias("home"))
+    )
     members = cut_lineage(members)
-    # buckets whose members are in one component have nothing left to say
-    open_ = members.groupBy("shingle").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")
-    ).where("low < high").select("shingle")
-    members = cut_lineage(members.join(open_, "shingle", "left_semi"))
-    limit = 1 - least / 100 + 1e-9
-    band = F.floor(F.col("far") / limit).cast("long")
-    x = members.select(
-        "shingle", F.col("rep").alias("a"), F.col("n").alias("na"),
-        F.col("far").alias("fa"), F.col("label").alias("la"), band.alias("band"),
+    # pairs within the pivot's component have nothing left to say: one side is outside it
+    outside = members.where("label <> home").select(
+        "shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"),
+        F.col("reach").alias("reach2"), F.col("label").alias("label2"),
     )
-    y = members.select(
-        "shingle", F.col("rep").alias("b"), F.col("n").alias("nb"),
-        F.col("far").alias("fb"), F.col("label").alias("lb"),
-        F.explode(F.array(band - 1, band, band + 1)).alias("band"),
-    )
-    rest = (
-        x.join(y, ["shingle", "band"])
-        .where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits)
-        .where(F.abs(F.col("fa") - F.col("fb")) <= limit)
-        .select("a", "b", "na", "nb")
-        .distinct()
-        .join(star.select("a", "b"), ["a", "b"], "left_anti")
-        .join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    )
+    rest = members.join(outside, "shingle").where("label <> label2").where(fits("n", "reach", "n2", "reach2"))
+    rest = in_order(rest).join(star.select("a", "b"), ["a", "b"], "left_anti")
     second = linked(_compared(rest, fragments), least)
     return first.select("a", "b").unionByName(second.select("a", "b"))
 
@@ -382,6 +376,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Data
     found = near_copies(docs, words, least)
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = found.where(same | (F.col("n_shingles") == 0)).select("doc_id").distinct()
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"))
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return rows.join(kept, "_id", "left_semi").select(*docs.columns)
+    name = free_name(docs, "id")
+    kept = kept.select(id_text().alias(name))
+    rows = docs.withColumn(name, id_text())
+    return rows.join(kept, name, "left_semi").select(*docs.columns)
