@@ -27,10 +27,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import cut_lineage, scratch_folder
+from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, scratch_folder
 from seqloom.llm.tokens import DEFAULT, word_ids
 
-STRIDE = 1024
+STRIDE = 2048
 PER_SHARD = 4096
 CLOSING = (1).to_bytes(4, "little")
 ROUNDS = 6
@@ -85,7 +85,7 @@ def sequences(docs: DataFrame, tokenizer: str = DEFAULT, stride: int = STRIDE) -
     """``split, place, n_tokens, ids, parts``: gapless sequences of each input split, compressed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = word_ids(tokenizer), zstandard.ZstdCompressor(level=1)
+        encoder, pack = word_ids(tokenizer), zstandard.ZstdCompressor(level=5)
         width = width_of(len(encoder.packed))
         rest, parts, filled = [], [], 0
 
@@ -136,7 +136,6 @@ def slotted(held: DataFrame, key: int, per_shard: int = PER_SHARD) -> tuple[Data
     """Sequences with ``slot`` and ``shard``, and their number. ``held`` is a written table."""
     counted = held.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     size = int(counted.agg(F.sum("n")).first()[0] or 0)
-    # one row per input split
     before = counted.select("split", (F.expr("sum(n) OVER (ORDER BY split)") - F.col("n")).alias("before"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +145,9 @@ def slotted(held: DataFrame, key: int, per_shard: int = PER_SHARD) -> tuple[Data
             batch = batch.drop_columns(["number"])
             yield batch.append_column("slot", pa.array(slot)).append_column("shard", pa.array(slot // per_shard))
 
+    # a row per input split; the sequences themselves do not move for their numbers
+    if before.count() <= BROADCAST_IDS:
+        before = F.broadcast(before)
     rows = held.join(before, "split").withColumn("number", F.col("before") + F.col("place"))
     rows = rows.select("n_tokens", "ids", "parts", "number")
     schema = "n_tokens int, ids binary, parts array<struct<doc_id:bigint, at:int, length:int>>, slot bigint, shard bigint"
