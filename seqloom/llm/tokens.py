@@ -13,7 +13,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Words a worker remembers (about 200 bytes each) before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 DEFAULT = "word_bpe_49k.json"
 
 # Latin letters (composed, with a lower case of one character), and what may follow them in a
