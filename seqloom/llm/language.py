@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.shared import lowest
+
 DIMENSIONS = 1 << 16
 #: Bound of the training sample: rows per label.
 PER_LABEL = 500
@@ -166,13 +168,8 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
     rows, counts = _document_counts(usable)
     idf = np.log((1 + rows) / (1 + counts)) + 1
     order = F.xxhash64(F.lit("language"), "doc_id")
-    chosen = (
-        usable.select("doc_id", "lang", order.alias("_order"))
-        .withColumn("_rank", F.expr("row_number() OVER (PARTITION BY lang ORDER BY _order, doc_id)"))
-        .where(F.col("_rank") <= per_label)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    ids = usable.select("doc_id", "lang").distinct()
+    chosen = lowest(ids, "lang", order, per_label).select("doc_id", "lang")
     # per_label rows a label: bounded by a parameter
     sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select(
         "doc_id", "text", "lang", order.alias("_order")

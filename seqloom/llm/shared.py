@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.session import cut_lineage, scratch_folder
 
-__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "scratch_folder", "table", "text_of"]
+__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "lowest", "scratch_folder", "table", "text_of"]
 
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -36,6 +36,21 @@ def id_text(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def lowest(rows: DataFrame, key: str, place: Column, most: int) -> DataFrame:
+    """At most ``most`` rows of each ``key``, those of the smallest ``place``, a uniform hash.
+
+    How many rows a key has tells which hashes can be among the smallest, so a frequent key sends
+    about twice as many rows as are kept, however many tasks it is spread over.
+    """
+    spread = rows.withColumn("_place", place)
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * most + 100) / F.col("_n"))
+    edge = F.lit(float(-(2**63))) + share * float(2**64)
+    near = spread.join(counts, F.col(key) == F.col("_key")).where(F.col("_place") <= edge)
+    rank = F.expr(f"row_number() OVER (PARTITION BY {key} ORDER BY _place, {key})")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_key", "_n", "_rank")
+
+
 def keep_ids(rows: DataFrame, ids: DataFrame, name: str, count: int) -> DataFrame:
     """Rows whose ``name`` is in ``ids`` (one column ``name``, distinct), ``count`` of them."""
     if count <= BROADCAST_IDS:
