@@ -10,6 +10,7 @@ from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import oracle_queries
 from seqloom.formats import COPY, PACKED_ALPHABET, RAW, VARIANTS
 from seqloom.functions.catalog import expr, register, sql
+from seqloom.functions.rangecoder import decode_run, encode_run
 from seqloom.operators import blocks, complexity, graph, kmers, markov, repeats
 from seqloom.operators.residual import ModelCodec, PlainCodec
-from seqloom.operators.token_models import MarkovModel, SuccessorModel, train_markov
+from seqloom.operators.token_models import UniformModel, train_markov
 from seqloom.plans import archive_v1, archive_v2, benchmark
 from seqloom.session import ship_package
 from seqloom.sources import tables
@@ -39,7 +41,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def model_codec() -> ModelCodec:
-    return ModelCodec(SuccessorModel(CONTEXT))
+    """For plans and sizes, which depend on the codec's chunks and not on its frequencies."""
+    return ModelCodec(UniformModel(CONTEXT))
+
+
+def trained_codec(records: DataFrame, order: int, context: int = CONTEXT) -> ModelCodec:
+    return ModelCodec(train_markov(records, order, context_length=context))
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,6 +154,25 @@ def mermaid_charts(spark, folder):
     return graph.mermaid(records, graph.debruijn_edges(records, 6), 20, 2)
 
 
+def mermaid_all_lines(spark, folder):
+    """Charts without a limit on their edges, as ordered lines."""
+    edges = graph.debruijn_edges(docs(spark, folder), 4)
+    return graph.mermaid_lines(edges).select(
+        "record_id", "cnt", "source", "target", F.col("slot").cast("long").alias("slot"), "line"
+    )
+
+
+def output_names(spark, folder):
+    """File names for records of all documents, and how many records would share each."""
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    path = F.concat(F.lit("in/"), "source", F.lit("/doc.v"), F.col("doc_id") % 1000, F.lit(".fa"))
+    named = rows.select("doc_id", F.concat(path).alias("path")).select(
+        "doc_id", F.concat(expr("file_stem", "path"), F.lit(".ghdna")).alias("name")
+    )
+    shared = named.groupBy("name").agg(F.count("*").alias("inputs"))
+    return named.join(shared, "name")
+
+
 def mermaid_node_ids(spark, folder):
     parts = spark.read.parquet(f"{folder}/part.parquet")
     return parts.select(
@@ -197,7 +223,7 @@ def v1_blocks(spark, folder):
         "length",
         "source",
         "seq",
-        F.round("lm_bits", 3).alias("lm_bits"),
+        F.round("lm_bits", 6).alias("lm_bits"),
     )
 
 
@@ -308,16 +334,15 @@ def markov_counts(spark, folder):
 
 
 def markov_bits(spark, folder):
-    records = docs(spark, folder)
-    whole = records.select("record_id", F.lit(0).cast("long").alias("start"), "seq")
-    bits = markov.score(markov.fit(records, 3), whole, 3)
+    bits = markov.record_bits(docs(spark, folder), 3)
     return bits.select("record_id", F.round("bits", 3).alias("bits"))
 
 
 def markov_trained(spark, folder):
-    """One model over all records (the executor-side model of the arithmetic codec)."""
-    rows = markov.count_rows(markov.fit(docs(spark, folder), 2))
-    return rows.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
+    """One model over all records (the model of the arithmetic codec)."""
+    rows = docs(spark, folder)
+    counts = markov.context_counts(markov.checked_alphabet(rows), [], 2)
+    return markov.count_rows(counts.withColumn("record_id", F.lit(0))).drop("record_id")
 
 
 def composition(spark, folder):
@@ -349,14 +374,14 @@ def sequence_complexity(spark, folder):
 
 def block_metrics(spark, folder):
     """Blocks by kind and bits per base of the block table and payload."""
-    rows = archive_v2.compress(docs(spark, folder)).where("length > 0")
+    rows = archive_v2.compress(docs(spark, folder))
     return rows.select(
         "record_id",
         "graph_copy_blocks",
         (F.col("llm_residual_blocks") + F.col("raw_residual_blocks")).alias("residual_blocks"),
         F.expr(
             """round((13 * graph_copy_blocks + 26 * llm_residual_blocks
-            + 17 * raw_residual_blocks + payload_bytes) * 8D / length, 6)"""
+            + 17 * raw_residual_blocks + payload_bytes) * 8D / nullif(length, 0), 6)"""
         ).alias("body_bits_per_base"),
     )
 
@@ -408,34 +433,67 @@ def _symbol_weights(spark, folder):
     counts = ", ".join(
         f"CAST(length(seq) - length(replace(seq, '{s}', '')) AS DOUBLE)" for s in "ACGTN"
     )
-    return docs(spark, folder).where("length(seq) > 0").select(
-        "record_id", "seq", F.expr(f"array({counts})").alias("weights")
+    return docs(spark, folder).select(
+        "record_id", "seq", F.expr(f"IF(seq = '', NULL, array({counts}))").alias("weights")
     )
 
 
+def _own_cdf(rows):
+    """Integer frequencies of each record's symbols; null for an empty record."""
+    cdf = sql("integer_cdf", "weights", "32768")
+    return rows.withColumn("cdf", F.expr(f"CASE WHEN weights IS NOT NULL THEN {cdf} END"))
+
+
 def integer_cdf(spark, folder):
-    rows = _symbol_weights(spark, folder).withColumn(
-        "cdf", expr("integer_cdf", "weights", "32768")
-    )
+    rows = _own_cdf(_symbol_weights(spark, folder))
     raw = "transform(sequence(1, 5), i -> CAST(aggregate(slice(weights, 1, i), 0D, (t, w) -> t + w) AS BIGINT))"
     return rows.select(
         "record_id",
         F.array_join(F.col("cdf").cast("array<string>"), ",").alias("cdf"),
-        expr("cdf_is_valid", "cdf").alias("valid"),
-        expr("cdf_is_valid", raw).alias("raw_valid"),
+        F.expr(f"IF(cdf IS NULL, NULL, {sql('cdf_is_valid', 'cdf')})").alias("valid"),
+        F.expr(f"IF(cdf IS NULL, NULL, {sql('cdf_is_valid', raw)})").alias("raw_valid"),
     )
 
 
 def ideal_bits(spark, folder):
     """Code length of each record under its own symbol frequencies."""
-    rows = _symbol_weights(spark, folder).withColumn(
-        "cdf", expr("integer_cdf", "weights", "32768")
+    rows = _own_cdf(_symbol_weights(spark, folder))
+    bits = " + ".join(
+        f"IF(weights[{i}] = 0, 0D, weights[{i}] * {sql('interval_bits', 'cdf', str(i))})"
+        for i in range(5)
     )
+    return rows.select("record_id", F.expr(f"round(IF(cdf IS NULL, 0D, {bits}), 3)").alias("bits"))
+
+
+def coder_bits(spark, folder):
+    """Whole records through the arithmetic coder under their own order-0 frequencies.
+
+    ``near_ideal``: the code is at most two bits longer than the ideal and decodes to the record.
+    """
+    rows = _own_cdf(_symbol_weights(spark, folder))
+
+    @F.arrow_udf("long")
+    def coded(seqs: pa.Array, tables: pa.Array) -> pa.Array:
+        sizes = []
+        for seq, table in zip(seqs.to_pylist(), tables.to_pylist(), strict=True):
+            tokens = ["ACGTN".index(c) for c in seq]
+            payload, bits = encode_run(tokens, 0, lambda _, t=table: t, lambda state, _: state)
+            back = decode_run(payload, bits, len(tokens), 0, lambda _, t=table: t, lambda s, _: s)
+            sizes.append(bits if tokens and back == tokens else 0 if not tokens else None)
+        return pa.array(sizes, pa.int64())
+
     bits = " + ".join(
         f"IF(weights[{i}] = 0, 0D, weights[{i}] * {sql('interval_bits', 'cdf', str(i))})"
         for i in range(5)
     )
-    return rows.select("record_id", F.expr(f"round({bits}, 3)").alias("bits"))
+    rows = rows.withColumn("bit_length", coded("seq", "cdf")).withColumn(
+        "ideal", F.expr(f"IF(cdf IS NULL, 0D, {bits})")
+    )
+    return rows.select(
+        "record_id",
+        F.expr("round(ideal, 3)").alias("ideal_bits"),
+        F.expr("bit_length <= floor(ideal + 0.000001D) + 2").alias("near_ideal"),
+    )
 
 
 def roundtrip_plain(spark, folder):
@@ -460,14 +518,15 @@ def _restored(rows):
 
 def roundtrip_model(spark, folder):
     """Adaptive plan, arithmetic coding with context, binary archive and back."""
-    codec = model_codec()
-    return _restored(archive_v2.decompress(archive_v2.compress(packed(spark, folder), codec), codec))
+    records = packed(spark, folder)
+    codec = trained_codec(records, 3)
+    return _restored(archive_v2.decompress(archive_v2.compress(records, codec), codec))
 
 
 def roundtrip_model_forced(spark, folder):
-    """All copies kept; residuals coded under a Markov model trained by a Spark job."""
+    """All copies kept; residuals in short chunks under a model of high order."""
     records = packed(spark, folder)
-    codec = ModelCodec(train_markov(records, 2, context_length=256))
+    codec = trained_codec(records, 7, 256)
     return _restored(
         archive_v2.decompress(archive_v2.compress(records, codec, policy="force_graph"), codec)
     )
@@ -524,10 +583,6 @@ def archive_scan_v1(spark, folder):
 # --- benchmark -------------------------------------------------------------
 
 
-def gzip_sizes(spark, folder):
-    return benchmark.gzip_baseline(docs(spark, folder))
-
-
 def bench_variants(spark, folder):
     """What each variant does with each record."""
     rows = benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
@@ -550,10 +605,9 @@ def bench_variants(spark, folder):
 
 
 def bench_variant_totals(spark, folder):
-    """Archive bytes of each variant over all records."""
-    return benchmark.totals(
-        benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
-    )
+    """Blocks, bases and raw bytes of each variant over all records."""
+    rows = benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
+    return benchmark.totals(rows).drop("variant_no", "compressed_size")
 
 
 def _shipped(query: Query) -> Query:
@@ -569,17 +623,17 @@ def queries() -> dict[str, Query]:
     listed = (
         fasta_text, fasta_normalise, alphabet_violations, seq_checksum, context_tails,
         kmer_counts, kmer_sql, debruijn_edges, debruijn_adjacency, debruijn_degrees, edges_topk,
-        mermaid_charts, mermaid_node_ids,
+        mermaid_charts, mermaid_all_lines, mermaid_node_ids, output_names,
         seed_index, best_sources, graph_repeats, graph_repeats_pages, graph_repeats_overlap,
         graph_repeats_by_joins,
         v1_blocks, v2_blocks_plain, v2_raw_blocks, chunk_plan, prune_repeats, plan_cost,
         candidate_choice, diagnostics_plain,
         markov_counts, markov_bits, markov_trained, composition, lz76, sequence_complexity,
         block_metrics,
-        pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, integer_cdf, ideal_bits,
+        pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, integer_cdf, ideal_bits, coder_bits,
         roundtrip_plain, roundtrip_model, roundtrip_model_forced, roundtrip_v1, roundtrip_v2,
         roundtrip_any, archive_scan, archive_scan_v1,
-        gzip_sizes, bench_variants, bench_variant_totals,
+        bench_variants, bench_variant_totals,
     )
     named = {query.__name__: query for query in listed}
     if llm_queries:

@@ -257,6 +257,19 @@ def all_queries() -> dict[str, str]:
       SELECT record_id, 'flowchart LR' || chr(10) ||
         coalesce(body, '    empty["No edges to display"]') AS chart
       FROM docs LEFT JOIN bodies USING (record_id)"""
+    out["mermaid_all_lines"] = f"""WITH {DOCS}, {edges(4)},
+      ends AS (SELECT record_id, cnt, source, target, 0 AS slot, source AS node FROM edges
+        UNION ALL SELECT record_id, cnt, source, target, 1, target FROM edges),
+      firsts AS (SELECT *, row_number() OVER (PARTITION BY record_id, node
+        ORDER BY cnt DESC, source, target, slot) AS place FROM ends)
+      SELECT record_id, cnt, source, target, CAST(slot AS BIGINT) AS slot,
+        '    ' || node || '["' || node || '"]' AS line FROM firsts WHERE place = 1
+      UNION ALL SELECT record_id, cnt, source, target, 2,
+        '    ' || source || ' -->|' || cnt || '| ' || target FROM edges"""
+    out["output_names"] = r"""WITH named AS (SELECT doc_id, regexp_replace(list_extract(
+        string_split('in/' || source || '/doc.v' || (doc_id % 1000) || '.fa', '/'), -1),
+        '[.][^.]*$', '') || '.ghdna' AS name FROM documents)
+      SELECT doc_id, name, count(*) OVER (PARTITION BY name) AS inputs FROM named"""
     out["mermaid_node_ids"] = """SELECT p_partkey,
       CASE WHEN p_name = '' OR regexp_matches(p_name, '^[0-9]') THEN 'node_' ELSE '' END
         || regexp_replace(p_name, '[^0-9A-Za-z_]', '_', 'g') AS name_id,
@@ -280,7 +293,7 @@ def all_queries() -> dict[str, str]:
       rows AS (SELECT record_id, 'graph_copy' AS type, start, length, source,
           CAST(NULL AS VARCHAR) AS seq, CAST(NULL AS DOUBLE) AS lm_bits FROM pick
         UNION ALL SELECT f.record_id, 'lm_raw', f.start, length(f.seq), NULL, f.seq,
-          round(b.bits, 3) FROM frag f JOIN bits b USING (record_id, start)),
+          round(b.bits, 6) FROM frag f JOIN bits b USING (record_id, start)),
       placed AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY start) - 1
         AS block_no FROM rows)"""
     out["v1_blocks"] = f"""{v1} SELECT record_id, block_no, type, start, length, source, seq,
@@ -330,9 +343,9 @@ def all_queries() -> dict[str, str]:
       SELECT d.record_id, count(*) FILTER (type = 'graph_copy') AS graph_copy_blocks,
         count(*) FILTER ({residual}) AS residual_blocks,
         round((13 * count(*) FILTER (type = 'graph_copy') + 26 * count(*) FILTER ({residual})
-          + coalesce(sum(payload_length), 0)) * 8.0::DOUBLE / any_value(length(d.seq)), 6)
+          + coalesce(sum(payload_length), 0)) * 8.0::DOUBLE / nullif(any_value(length(d.seq)), 0), 6)
           AS body_bits_per_base
-      FROM docs d JOIN numbered n USING (record_id) GROUP BY d.record_id"""
+      FROM docs d LEFT JOIN numbered n USING (record_id) GROUP BY d.record_id"""
     out["v2_raw_blocks"] = f"""{repeats(PACKED)}, {model_blocks('pick')},
       raws AS (SELECT b.record_id, b.start, b.length,
           substr(d.seq, CAST(b.start + 1 AS INT), CAST(b.length AS INT)) AS text
@@ -411,12 +424,22 @@ def all_queries() -> dict[str, str]:
           AS raw_residual_payload_bytes
       FROM plans p LEFT JOIN v USING (name, record_id) GROUP BY p.name, p.record_id"""
 
+    out["bench_variant_totals"] = f"""SELECT name, count(*) AS records,
+        CAST(sum(residual_bases) AS BIGINT) AS residual_bases,
+        CAST(sum(graph_copy_bases) AS BIGINT) AS graph_copy_bases,
+        CAST(sum(graph_copy_blocks) AS BIGINT) AS graph_copy_blocks,
+        CAST(sum(llm_residual_blocks) AS BIGINT) AS llm_residual_blocks,
+        CAST(sum(raw_residual_blocks) AS BIGINT) AS raw_residual_blocks,
+        CAST(sum(raw_residual_payload_bytes) AS BIGINT) AS raw_residual_payload_bytes
+      FROM ({out["bench_variants"]}) GROUP BY name"""
+
     out["markov_counts"] = f"""WITH {DOCS}, {grams(3, 'docs', 'record_id', 'g')}
       SELECT record_id, ctx, sym, count(*) AS n FROM g GROUP BY ALL"""
     out["markov_trained"] = f"""WITH {DOCS}, {grams(2, 'docs', 'record_id', 'g')}
       SELECT ctx, sym, count(*) AS n FROM g GROUP BY ALL"""
     out["markov_bits"] = f"""WITH {DOCS}, whole AS (SELECT record_id, 0 AS start, seq FROM docs),
-      {scored(3, 'whole')} SELECT record_id, round(bits, 3) AS bits FROM bits"""
+      {scored(3, 'whole')} SELECT record_id, round(coalesce(bits, 0), 3) AS bits
+      FROM docs LEFT JOIN bits USING (record_id)"""
     out["composition"] = f"WITH {DOCS} SELECT record_id, {COMPOSITION} FROM docs"
     out["lz76"] = f"""WITH RECURSIVE {DOCS}, {LZ76}
       SELECT record_id, coalesce(phrases, 0) AS lz76_complexity
@@ -441,11 +464,15 @@ def all_queries() -> dict[str, str]:
         FOR i IN range(length(full_bits) // 4)], 'string_agg', ''), '') AS payload FROM p"""
     out["integer_cdf"] = f"""WITH {DOCS}, {weights_cdf()}
       SELECT record_id, concat_ws(',', c1, c2, c3, c4, c5) AS cdf, true AS valid,
-        w[1] > 0 AND w[2] > 0 AND w[3] > 0 AND w[4] > 0 AND w[5] > 0 AS raw_valid FROM cdfs"""
-    out["ideal_bits"] = f"""WITH {DOCS}, {weights_cdf()}
+        w[1] > 0 AND w[2] > 0 AND w[3] > 0 AND w[4] > 0 AND w[5] > 0 AS raw_valid FROM cdfs
+      UNION ALL SELECT record_id, NULL, NULL, NULL FROM docs WHERE seq = ''"""
+    ideal = f"""WITH {DOCS}, {weights_cdf()}
       SELECT record_id, round(w[1] * log2(c5::DOUBLE / c1) + w[2] * log2(c5::DOUBLE / (c2 - c1))
         + w[3] * log2(c5::DOUBLE / (c3 - c2)) + w[4] * log2(c5::DOUBLE / (c4 - c3))
-        + w[5] * log2(c5::DOUBLE / (c5 - c4)), 3) AS bits FROM cdfs"""
+        + w[5] * log2(c5::DOUBLE / (c5 - c4)), 3) AS bits FROM cdfs
+      UNION ALL SELECT record_id, 0.0 FROM docs WHERE seq = ''"""
+    out["ideal_bits"] = ideal
+    out["coder_bits"] = f"""SELECT record_id, bits AS ideal_bits, true AS near_ideal FROM ({ideal})"""
     out["roundtrip_plain"] = f"""WITH {DOCS} SELECT record_id, seq,
       CAST(8 * length(seq) AS BIGINT) AS bit_length, CAST(length(seq) AS BIGINT) AS symbol_count
       FROM docs"""

@@ -52,6 +52,15 @@ def expr(name: str, *args: str) -> Column:
     return F.expr(sql(name, *args))
 
 
+def apart(column: Column) -> Column:
+    """``column``, in a projection that Spark does not merge with the one that uses it.
+
+    Needed for arguments of Python calls that can raise an error: merged, Spark would leave the
+    call unplanned. The condition always holds, and is non-deterministic to Spark.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Create every catalogue function as a temporary SQL function."""
     for name, function in CATALOG.items():
@@ -68,6 +77,10 @@ def register(spark: SparkSession) -> list[str]:
 
 # --- text ------------------------------------------------------------------
 
+_define(
+    "file_stem", "path:STRING", "STRING",
+    r"regexp_replace(element_at(split({path}, '/'), -1), '[.][^.]*$', '')",
+)
 _define(
     "normalise_sequence", "body:STRING", "STRING",
     r"upper(regexp_replace({body}, r'^\s+|\s*\R\s*|\s+$', ''))",

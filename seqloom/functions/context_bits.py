@@ -1,5 +1,7 @@
 """Code lengths of a record's gaps under the record's own order-n model, in one cell."""
 
+from functools import lru_cache
+
 import numpy as np
 
 from seqloom.formats import ALPHABET
@@ -20,6 +22,35 @@ def _contexts(codes: np.ndarray, order: int) -> np.ndarray:
     return keys
 
 
+def _coded(text: bytes) -> np.ndarray:
+    codes = _CODES[np.frombuffer(text, dtype=np.uint8)].astype(np.int64)
+    if (codes == 255).any():
+        unknown = "".join(sorted(set(text.decode("utf-8", "replace")).difference(ALPHABET)))
+        raise ValueError(f"unsupported sequence symbols: {unknown}")
+    return codes
+
+
+def following_counts(text: bytes, order: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of the positions from ``lead`` on, as numbers, and what follows each of them."""
+    codes = _coded(text)
+    keys = (_contexts(codes, order) * ABSENT + codes)[lead:]
+    pairs, times = np.unique(keys, return_counts=True)
+    contexts, place = np.unique(pairs // ABSENT, return_inverse=True)
+    counts = np.zeros((len(contexts), ABSENT), dtype=np.int64)
+    counts[place, pairs % ABSENT] = times
+    return contexts, counts
+
+
+@lru_cache(maxsize=100_000)
+def context_text(context: int, order: int) -> str:
+    """The symbols of a context's number, without those before the start."""
+    symbols = []
+    for _ in range(order):
+        context, digit = divmod(context, ABSENT + 1)
+        symbols.append("" if digit == ABSENT else ALPHABET[digit])
+    return "".join(reversed(symbols))
+
+
 def _tally(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """How often each wanted value occurs in ``values``."""
     known, counts = np.unique(values, return_counts=True)
@@ -29,10 +60,7 @@ def _tally(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def gap_bits(seq: str, gaps: list[tuple[int, int]], order: int, pseudocount: float) -> list[float]:
     """Bits of each ``(start, length)`` gap; contexts restart at the beginning of a gap."""
-    codes = _CODES[np.frombuffer(seq.encode("latin-1", "replace"), dtype=np.uint8)].astype(np.int64)
-    if (codes == 255).any():
-        unknown = "".join(sorted(set(seq).difference(ALPHABET)))
-        raise ValueError(f"unsupported sequence symbols: {unknown}")
+    codes = _coded(seq.encode("utf-8"))
     if not gaps:
         return []
     contexts = _contexts(codes, order)

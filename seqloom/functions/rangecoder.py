@@ -6,8 +6,9 @@ settled or pending bits are shifted at once, found by the bit length of ``low ^
 """
 
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import accumulate, pairwise
+from typing import Any
 
 
 def integer_cdf(weights: Sequence[float], scale: int) -> list[int]:
@@ -134,3 +135,41 @@ class Decoder:
             shifted = (self._code << pending) & interval.below
             self._code = kept | shifted | self._take(pending)
         return symbol
+
+
+def encode_run(
+    tokens: Sequence[int],
+    state: Any,
+    frequencies: Callable[[Any], Sequence[int]],
+    step: Callable[[Any, int], Any],
+    state_bits: int = 64,
+    trusted: bool = False,
+) -> tuple[bytes, int]:
+    """Payload and bit length of tokens whose frequencies follow from a walk of states.
+
+    ``trusted`` tables are valid by construction and not checked again.
+    """
+    coder = Encoder(state_bits)
+    put = coder.put
+    for token in tokens:
+        put(token, frequencies(state), trusted)
+        state = step(state, token)
+    return coder.finish()
+
+
+def decode_run(
+    payload: bytes,
+    bit_length: int,
+    count: int,
+    state: Any,
+    frequencies: Callable[[Any], Sequence[int]],
+    step: Callable[[Any, int], Any],
+    state_bits: int = 64,
+    trusted: bool = False,
+) -> list[int]:
+    coder, tokens = Decoder(payload, bit_length, state_bits), []
+    for _ in range(count):
+        token = coder.get(frequencies(state), trusted)
+        tokens.append(token)
+        state = step(state, token)
+    return tokens

@@ -135,7 +135,7 @@ def _tokenised_chunks(codec: ResidualCodec):
                         "source": None,
                         "use_context": bool(
                             codec.is_model and not short and before
-                            and codec.takes_context(text, before)
+                            and codec.joins(text, before)
                         ),
                     }
                 )

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 
 from seqloom.functions.catalog import expr
 from seqloom.functions.matching import lz76_phrases
-from seqloom.session import spread
 
 
 @F.pandas_udf(T.LongType())
@@ -32,7 +31,7 @@ def composition(records: DataFrame) -> DataFrame:
 def complexity(records: DataFrame, bits_per_base: Column | None = None) -> DataFrame:
     bpb = F.lit(None) if bits_per_base is None else bits_per_base
     rows = records.select("record_id", "seq", bpb.cast("double").alias("bits_per_base"))
-    return spread(rows, "record_id").select(
+    return rows.select(
         "record_id",
         F.length("seq").cast("long").alias("length"),
         expr("gc_fraction", "seq").alias("gc_fraction"),

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.catalog import expr
-from seqloom.operators.kmers import as_text, explode_kmers
+from seqloom.operators.kmers import as_text, window_counts
 
 
 def check_graph_input(records: DataFrame, k: int) -> DataFrame:
@@ -22,24 +22,18 @@ def check_graph_input(records: DataFrame, k: int) -> DataFrame:
 def debruijn_edges(records: DataFrame, k: int = 15, *, strict: bool = False) -> DataFrame:
     """``(record_id, source, target, cnt)``.
 
-    An edge joins the k-mers at positions i and i+1, so it is the (k+1)-mer at i: one
-    exploded row and one grouping key per position. Counts combine before the shuffle.
+    An edge joins the k-mers at positions i and i+1, so it is the (k+1)-mer at i.
     Records with at most ``k`` symbols have no edges, or fail the job when ``strict``.
     """
     if k <= 0:
         raise ValueError("k must be positive and smaller than the sequence length")
     if strict:
         records = check_graph_input(records, k)
-    return (
-        explode_kmers(records, k + 1)
-        .groupBy("record_id", "kmer")
-        .agg(F.count("*").alias("cnt"))
-        .select(
-            "record_id",
-            F.expr(f"CAST(substring(kmer, 1, {k}) AS STRING)").alias("source"),
-            F.expr(f"CAST(substring(kmer, 2, {k}) AS STRING)").alias("target"),
-            "cnt",
-        )
+    return window_counts(records, k + 1).select(
+        "record_id",
+        F.expr(f"CAST(substring(kmer, 1, {k}) AS STRING)").alias("source"),
+        F.expr(f"CAST(substring(kmer, 2, {k}) AS STRING)").alias("target"),
+        F.col("occurrences").alias("cnt"),
     )
 
 
@@ -89,28 +83,36 @@ def top_edges(
     return shown.withColumn("edge_rank", rank).where(F.col("edge_rank") <= max_edges)
 
 
-def mermaid_lines(ranked: DataFrame) -> DataFrame:
-    """``(record_id, edge_rank, slot, line)``: node declarations on first use, then the edge."""
-    ends = ranked.select(
-        "record_id",
-        "edge_rank",
-        F.posexplode(F.array("source", "target")).alias("slot", "node"),
+def mermaid_lines(edges: DataFrame) -> DataFrame:
+    """``(record_id, cnt, source, target, slot, line)``, a line of the chart each.
+
+    Sorted by ``cnt`` descending, ``source``, ``target`` and ``slot``, a record's lines are its
+    chart: a node is declared in front of the first edge that uses it. Nothing is gathered by
+    record, so a chart without a limit on its edges is a table like any other.
+    """
+    place = F.struct((-F.col("cnt")).alias("order"), "source", "target")
+    ends = edges.select(
+        "record_id", place.alias("place"), F.posexplode(F.array("source", "target")).alias("slot", "node")
     )
     nodes = (
         ends.groupBy("record_id", "node")
-        .agg(F.min(F.struct("edge_rank", "slot")).alias("first"))
+        .agg(F.min(F.struct("place", "slot")).alias("first"))
         .select(
             "record_id",
-            F.col("first.edge_rank").alias("edge_rank"),
+            (-F.col("first.place.order")).alias("cnt"),
+            F.col("first.place.source").alias("source"),
+            F.col("first.place.target").alias("target"),
             F.col("first.slot").alias("slot"),
             F.concat(
                 F.lit("    "), expr("mermaid_id", "node"), F.lit('["'), F.col("node"), F.lit('"]')
             ).alias("line"),
         )
     )
-    arrows = ranked.select(
+    arrows = edges.select(
         "record_id",
-        "edge_rank",
+        "cnt",
+        "source",
+        "target",
         F.lit(2).alias("slot"),
         F.concat(
             F.lit("    "),
@@ -125,11 +127,13 @@ def mermaid_lines(ranked: DataFrame) -> DataFrame:
 
 
 def mermaid(records: DataFrame, edges: DataFrame, max_edges: int, min_count: int = 1) -> DataFrame:
-    """``(record_id, chart)``; ``max_edges`` bounds the text of each record."""
+    """``(record_id, chart)``; ``max_edges`` bounds the text. :func:`mermaid_lines` has no bound."""
+    shown = top_edges(edges, max_edges, min_count).drop("edge_rank")
+    order = F.struct((-F.col("cnt")).alias("order"), "source", "target", "slot", "line")
     text = (
-        mermaid_lines(top_edges(edges, max_edges, min_count))
+        mermaid_lines(shown)
         .groupBy("record_id")
-        .agg(F.array_sort(F.collect_list(F.struct("edge_rank", "slot", "line"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(order)).alias("parts"))
         .select("record_id", F.array_join(F.col("parts.line"), "\n").alias("body"))
     )
     return records.select("record_id").join(text, "record_id", "left").select(
@@ -148,13 +152,7 @@ def seed_index(records: DataFrame, k: int) -> DataFrame:
     record costs as much as any other.
     """
     return (
-        explode_kmers(records, k)
-        .groupBy("record_id", "kmer")
-        .agg(
-            F.min("pos").alias("first_pos"),
-            F.max("pos").alias("last_pos"),
-            F.count("*").alias("occurrences"),
-        )
+        window_counts(records, k)
         .where(F.col("occurrences") > 1)
         .select(
             "record_id",

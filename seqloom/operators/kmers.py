@@ -1,14 +1,29 @@
 """Positions, k-mers and chunked access to long sequences."""
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import is_empty, rebalance
+from seqloom.session import rebalance
 
-# Sequences are cut into chunks of this many positions before they are exploded.
+# Sequences are cut into pieces of this many positions before they are exploded.
 CHUNK_POSITIONS = 1 << 16
-# From this size on a record is worth the shuffle that gives its chunks to many tasks.
-LONG_RECORD = 1 << 22
+# Records up to this size are worked on where they lie; longer ones are dealt out in pieces.
+LOCAL_RECORD = 1 << 20
+
+
+def route(records: DataFrame, limit: int = LOCAL_RECORD) -> tuple[DataFrame, DataFrame]:
+    """Records that fit one task, and the others; each record by its own size, in every plan.
+
+    ``size_bound``, where the source has one, is a narrow column that prunes row groups, so the
+    second part costs next to nothing where there is none. An unknown size counts as long.
+    """
+    size = F.col("size_bound") if "size_bound" in records.columns else F.length("seq")
+    short = F.coalesce(size <= limit, F.lit(False))
+    return records.where(short), records.where(~short)
 
 
 def piece_offsets(width: int, positions: int = CHUNK_POSITIONS) -> Column:
@@ -24,11 +39,10 @@ def piece_offsets(width: int, positions: int = CHUNK_POSITIONS) -> Column:
 
 
 def chunks(records: DataFrame, width: int, *, positions: int = CHUNK_POSITIONS) -> DataFrame:
-    """``(record_id, offset, bases)``: pieces that overlap by ``width - 1`` symbols.
+    """``(record_id, offset, bases)``: pieces that overlap by ``width - 1`` symbols, dealt out.
 
     Every window of ``width`` symbols lies in exactly one piece. ``bases`` is binary:
-    slicing binary is constant-time, slicing a string scans from its start. Unless the sizes
-    say that no record is long, pieces are spread by (record, piece): that moves each symbol
+    slicing binary is constant-time, slicing a string scans from its start. Each symbol moves
     once, and no task is left with a whole long record.
     """
     pieces = (
@@ -43,17 +57,9 @@ def chunks(records: DataFrame, width: int, *, positions: int = CHUNK_POSITIONS)
             F.expr(f"substring(bases, offset + 1, {positions + width - 1})").alias("bases"),
         )
     )
-    if not may_be_long(records):
-        return pieces
     return rebalance(pieces, "record_id", "offset")
 
 
-def may_be_long(records: DataFrame, limit: int = LONG_RECORD) -> bool:
-    if "size_bound" not in records.columns:
-        return True
-    return not is_empty(records.where(F.col("size_bound") > limit).select(F.lit(1)))
-
-
 def explode_kmers(records: DataFrame, k: int, *, positions: int = CHUNK_POSITIONS) -> DataFrame:
     """``(record_id, pos, kmer)`` for every position; records shorter than ``k`` give no rows.
 
@@ -77,16 +83,110 @@ def explode_kmers(records: DataFrame, k: int, *, positions: int = CHUNK_POSITION
     )
 
 
-def kmer_counts(records: DataFrame, k: int) -> DataFrame:
-    """``(record_id, kmer, occurrences, first_pos)``."""
-    return (
-        explode_kmers(records, k)
+def count_windows(text: bytes, k: int) -> tuple[np.ndarray, ...]:
+    """Different windows of ``k`` bytes, how often, and where first and last."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    if len(data) < k:
+        return np.zeros((0, k), np.uint8), *(np.zeros(0, np.int64) for _ in range(3))
+    windows = np.lib.stride_tricks.sliding_window_view(data, k)
+    if k <= 8:  # as one number each, in the same order
+        numbers = np.zeros(len(windows), dtype=np.uint64)
+        for i in range(k):
+            numbers = (numbers << np.uint64(8)) | windows[:, i].astype(np.uint64)
+        _, first, group, counts = np.unique(
+            numbers, return_index=True, return_inverse=True, return_counts=True
+        )
+    else:
+        whole = np.ascontiguousarray(windows).view(f"V{k}").ravel()
+        # hashes group equal windows; runs of one hash that differ are settled by the bytes
+        mixed = np.zeros(len(windows), dtype=np.uint64)
+        for i in range(k):
+            mixed = (mixed ^ windows[:, i]) * np.uint64(0x100000001B3)
+            mixed ^= mixed >> np.uint64(29)
+        _, first, group, counts = np.unique(
+            mixed, return_index=True, return_inverse=True, return_counts=True
+        )
+        if (whole[first][group] != whole).any():
+            listed = np.ascontiguousarray(windows).view(f"S{k}").ravel()
+            _, first, group, counts = np.unique(
+                listed, return_index=True, return_inverse=True, return_counts=True
+            )
+    last = np.zeros(len(counts), dtype=np.int64)
+    np.maximum.at(last, group, np.arange(len(windows)))
+    return np.ascontiguousarray(windows[first]), counts, first, last
+
+
+def _counter(k: int, with_offset: bool) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            offsets = batch.column(2).to_pylist() if with_offset else [0] * len(texts)
+            rows, kmers, counts, firsts, lasts = [], [], [], [], []
+
+            def emit() -> pa.RecordBatch:
+                data = np.concatenate(kmers).tobytes()
+                number = len(data) // k
+                listed = pa.Array.from_buffers(
+                    pa.binary(k), number, [None, pa.py_buffer(data)]
+                ).cast(pa.binary())
+                return pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array(np.concatenate(rows))),
+                        listed,
+                        pa.array(np.concatenate(counts)),
+                        pa.array(np.concatenate(firsts)),
+                        pa.array(np.concatenate(lasts)),
+                    ],
+                    ["record_id", "kmer", "occurrences", "first_pos", "last_pos"],
+                )
+
+            for i, text in enumerate(texts):
+                found, times, first, last = count_windows(text or b"", k)
+                rows.append(np.full(len(times), i))
+                kmers.append(found.reshape(-1))
+                counts.append(times)
+                firsts.append(first + offsets[i])
+                lasts.append(last + offsets[i])
+                if sum(map(len, rows)) > 200_000:
+                    yield emit()
+                    rows, kmers, counts, firsts, lasts = [], [], [], [], []
+            if sum(map(len, rows)):
+                yield emit()
+
+    return count
+
+
+def window_counts(records: DataFrame, k: int) -> DataFrame:
+    """``(record_id, kmer BINARY, occurrences, first_pos, last_pos)``.
+
+    A record that fits one task is counted there and is final: no position is shuffled. Pieces
+    of longer ones are counted on their own, and only their sums meet.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    kind = dict(records.dtypes)["record_id"]
+    schema = f"record_id {kind}, kmer binary, occurrences bigint, first_pos bigint, last_pos bigint"
+    short, long = route(records)
+    bases = F.col("seq").cast("binary").alias("bases")
+    one = short.select("record_id", bases).mapInArrow(_counter(k, False), schema)
+    parts = chunks(long, k).select("record_id", "bases", "offset")
+    many = (
+        parts.mapInArrow(_counter(k, True), schema)
         .groupBy("record_id", "kmer")
-        .agg(F.count("*").alias("occurrences"), F.min("pos").alias("first_pos"))
-        .select(
-            "record_id", F.col("kmer").cast("string").alias("kmer"), "occurrences", "first_pos"
+        .agg(
+            F.sum("occurrences").alias("occurrences"),
+            F.min("first_pos").alias("first_pos"),
+            F.max("last_pos").alias("last_pos"),
         )
     )
+    return one.unionByName(many)
+
+
+def kmer_counts(records: DataFrame, k: int) -> DataFrame:
+    """``(record_id, kmer, occurrences, first_pos)``."""
+    return window_counts(records, k).select(
+        "record_id", as_text("kmer").alias("kmer"), "occurrences", "first_pos"
+    )
 
 
 def as_text(column: str) -> Column:

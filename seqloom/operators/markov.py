@@ -1,16 +1,20 @@
 """Order-n symbol models: fit, score and per-residual code length."""
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.formats import ALPHABET
-from seqloom.functions.context_bits import gap_bits
-from seqloom.operators.kmers import CHUNK_POSITIONS, piece_offsets
+from seqloom.functions.context_bits import MAX_ORDER, context_text, following_counts, gap_bits
+from seqloom.operators.kmers import CHUNK_POSITIONS, piece_offsets, route
+from seqloom.session import rebalance
 
 
-def _check(order: int, pseudocount: float) -> None:
+def check_order(order: int, pseudocount: float) -> None:
     if order <= 0:
         raise ValueError("order must be positive")
     if pseudocount <= 0:
@@ -37,14 +41,8 @@ def checked_alphabet(records: DataFrame, column: str = "seq") -> DataFrame:
     )
 
 
-def context_counts(sequences: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """``(*keys, ctx, counts)``: what follows each context, counted in alphabet order.
-
-    A context is the up to ``order`` symbols before a position. Pieces of long texts begin
-    ``lead`` symbols early, which leaves every position its full context, and shorter contexts
-    only at the start of the text. One row per context instead of one per context and symbol
-    keeps the shuffle small; everything is counted before it.
-    """
+def _exploded_counts(sequences: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """:func:`context_counts` for orders whose contexts do not fit one number: a row a position."""
     pieces = sequences.select(
         *keys,
         F.col("seq").cast("binary").alias("bases"),
@@ -78,9 +76,80 @@ def context_counts(sequences: DataFrame, keys: list[str], order: int) -> DataFra
     )
 
 
+def _counter(order: int, keys: list[str], fields: str, with_lead: bool):
+    """Counts every row's contexts; without ``keys``, those of a batch together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("bases").to_pylist()
+            leads = batch.column("lead").to_pylist() if with_lead else [0] * len(texts)
+            rows, contexts, counts = [], [], []
+            for i, (text, lead) in enumerate(zip(texts, leads, strict=True)):
+                found, times = following_counts(text or b"", order, lead)
+                rows.append(np.full(len(found), i))
+                contexts.append(found)
+                counts.append(times)
+            if not texts:
+                continue
+            context, times = np.concatenate(contexts), np.concatenate(counts)
+            if not keys:
+                context, place = np.unique(context, return_inverse=True)
+                summed = np.zeros((len(context), len(ALPHABET)), dtype=np.int64)
+                np.add.at(summed, place, times)
+                times = summed
+            names = pa.array([context_text(int(c), order) for c in context], pa.string())
+            ends = pa.array(np.arange(len(context) + 1, dtype=np.int32) * len(ALPHABET))
+            lists = pa.ListArray.from_arrays(ends, pa.array(times.reshape(-1), pa.int64()))
+            at = pa.array(np.concatenate(rows)) if keys else None
+            columns = [batch.column(key).take(at) for key in keys]
+            yield pa.RecordBatch.from_arrays([*columns, names, lists], [*keys, "ctx", "counts"])
+
+    return count
+
+
+def context_counts(sequences: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """``(*keys, ctx, counts)``: what follows each context, counted in alphabet order.
+
+    A context is the up to ``order`` symbols before a position. Texts that fit one task are
+    counted there, and where ``keys`` name one text each that is final. Pieces of longer texts
+    begin ``lead`` symbols early, which leaves every position its full context; their counts,
+    and those of all texts where there are no keys, are summed by context.
+    """
+    if order > MAX_ORDER:
+        return _exploded_counts(sequences, keys, order)
+    kinds = dict(sequences.dtypes)
+    schema = "".join(f"{key} {kinds[key]}, " for key in keys) + "ctx string, counts array<bigint>"
+    short, long = route(sequences)
+    bases = F.col("seq").cast("binary").alias("bases")
+    one = short.select(*keys, bases).mapInArrow(_counter(order, keys, schema, False), schema)
+    offset = F.explode(piece_offsets(1)).alias("offset")
+    pieces = rebalance(
+        long.select(*keys, bases, offset).select(
+            *keys,
+            F.expr(
+                f"""substring(bases, offset - least({order}, offset) + 1,
+                {CHUNK_POSITIONS} + least({order}, offset))"""
+            ).alias("bases"),
+            F.expr(f"least({order}, offset)").alias("lead"),
+            "offset",
+        ),
+        *keys,
+        "offset",
+    ).drop("offset")
+    many = pieces.mapInArrow(_counter(order, keys, schema, True), schema)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        sums = [F.sum(F.col("counts")[i]).alias(s) for i, s in enumerate(ALPHABET)]
+        return rows.groupBy(*keys, "ctx").agg(*sums).select(
+            *keys, "ctx", F.array(*ALPHABET).alias("counts")
+        )
+
+    return one.unionByName(summed(many)) if keys else summed(one.unionByName(many))
+
+
 def fit(records: DataFrame, order: int = 3, pseudocount: float = 1.0) -> DataFrame:
     """``(record_id, ctx, counts)``; :func:`count_rows` lists it by symbol."""
-    _check(order, pseudocount)
+    check_order(order, pseudocount)
     return context_counts(checked_alphabet(records), ["record_id"], order)
 
 
@@ -99,27 +168,47 @@ def count_rows(model: DataFrame) -> DataFrame:
 
 
 def gap_bits_column(order: int = 3, pseudocount: float = 1.0):
-    """UDF ``(seq, starts, lengths) -> ARRAY<DOUBLE>``: :func:`score` for gaps of one record.
+    """UDF ``(seq, starts, lengths, sources) -> ARRAY<DOUBLE>``: :func:`score` for gaps of one record.
 
+    Spans with a source are copies and get null.
     Model and gaps lie in the same cell, so nothing is exploded or shuffled. For records that
     fit one task; :func:`score` has no such limit.
     """
-    _check(order, pseudocount)
+    check_order(order, pseudocount)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def bits(seqs: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
-        rows = zip(seqs.to_pylist(), starts.to_pylist(), lengths.to_pylist())
-        return pa.array(
-            [
-                gap_bits(seq or "", list(zip(begin, size)), order, pseudocount)
-                for seq, begin, size in rows
-            ],
-            type=pa.list_(pa.float64()),
-        )
+    def bits(seqs: pa.Array, starts: pa.Array, lengths: pa.Array, sources: pa.Array) -> pa.Array:
+        cells = []
+        for seq, *spans in zip(*(c.to_pylist() for c in (seqs, starts, lengths, sources)), strict=True):
+            spans = list(zip(*spans, strict=True))
+            gaps = [(start, length) for start, length, source in spans if source is None]
+            scored = iter(gap_bits(seq or "", gaps, order, pseudocount))
+            cells.append([next(scored) if source is None else None for _, _, source in spans])
+        return pa.array(cells, type=pa.list_(pa.float64()))
 
     return bits.asNondeterministic()
 
 
+def record_bits(records: DataFrame, order: int = 3, pseudocount: float = 1.0) -> DataFrame:
+    """``(record_id, bits)``: code length of each whole record under its own model; 0 if empty."""
+    check_order(order, pseudocount)
+    if order > MAX_ORDER:
+        short, long = records.limit(0), records
+    else:
+        short, long = route(records)
+    ends = F.expr("IF(length(seq) = 0, array(), array(CAST(length(seq) AS BIGINT)))")
+    starts = F.expr("IF(length(seq) = 0, array(), array(0L))")
+    nothing = F.expr("IF(length(seq) = 0, array(), array(CAST(NULL AS BIGINT)))").cast("array<bigint>")
+    cell = gap_bits_column(order, pseudocount)(
+        "seq", starts.cast("array<bigint>"), ends.cast("array<bigint>"), nothing
+    )
+    one = short.select("record_id", F.coalesce(F.get(cell, F.lit(0)), F.lit(0.0)).alias("bits"))
+    whole = long.select("record_id", F.lit(0).cast("long").alias("start"), "seq")
+    scored = score(fit(long, order, pseudocount), whole, order, pseudocount).drop("start")
+    many = long.select("record_id").join(scored, "record_id", "left")
+    return one.unionByName(many.select("record_id", F.coalesce("bits", F.lit(0.0)).alias("bits")))
+
+
 def score(
     model: DataFrame,
     fragments: DataFrame,
@@ -134,7 +223,7 @@ def score(
     the join, so a fragment sends at most one row per distinct context however long it is.
     Unseen contexts cost log2 of the alphabet size.
     """
-    _check(order, pseudocount)
+    check_order(order, pseudocount)
     used = context_counts(
         checked_alphabet(fragments), ["record_id", fragment_key], order
     ).withColumnRenamed("counts", "times")

@@ -5,6 +5,7 @@ shuffle. Longer records go through :mod:`seqloom.operators.long_repeats`, which
 positions of one record over the cluster. Both give the same rows.
 """
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from seqloom.formats import COPY_LIST
 from seqloom.functions.matching import every_copy, greedy_copies
 from seqloom.operators import long_repeats
-from seqloom.operators.kmers import may_be_long
-from seqloom.session import is_empty, spread
+from seqloom.operators.kmers import LOCAL_RECORD, route
+from seqloom.session import is_empty
 
 # A Python worker keeps one index entry per position of the record it works on.
-LOCAL_BASES = 1 << 20
+LOCAL_BASES = LOCAL_RECORD
 
 
 def check_lengths(k: int, min_length: int) -> None:
@@ -25,23 +26,14 @@ def check_lengths(k: int, min_length: int) -> None:
         raise ValueError("min_len must be at least k, and k must be positive")
 
 
-def split_by_length(
-    records: DataFrame, local_bases: int, longest: int | None
-) -> tuple[DataFrame, DataFrame | None]:
+def split_by_length(records: DataFrame, local_bases: int) -> tuple[DataFrame, DataFrame | None]:
     """Records one task can hold, and the others (``None`` when there are none).
 
-    A ``size_bound`` column, where the source has one, answers the usual case from the raw
-    sizes alone.
+    Long records take iterations, each a job of its own, so whether there are any is asked first;
+    ``size_bound`` answers that from a narrow column. Each record goes by its own size.
     """
-    records = spread(records, "record_id")
-    if longest is not None and longest <= local_bases:
-        return records, None
-    if not may_be_long(records, local_bases):
-        return records, None
-    long = records.where(F.length("seq") > local_bases)
-    if is_empty(long.select(F.lit(1))):
-        return records, None
-    return records.where(F.length("seq") <= local_bases), long
+    short, long = route(records, local_bases)
+    return short, None if is_empty(long.select(F.lit(1))) else long
 
 
 def _list_udf(search):
@@ -49,13 +41,11 @@ def _list_udf(search):
 
     @F.arrow_udf(COPY_LIST)
     def copies(seqs: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                [dict(zip(("start", "source", "length"), copy)) for copy in search(seq or "")]
-                for seq in seqs.to_pylist()
-            ],
-            type=kind,
-        )
+        found = [np.array(list(search(seq or "")), np.int64).reshape(-1, 3) for seq in seqs.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        columns = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
+        cells = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(ends), cells, type=kind)
 
     # keeps the optimizer from copying the call into the filters it derives from explode()
     return copies.asNondeterministic()
@@ -68,17 +58,15 @@ def with_copies(
     *,
     allow_overlap: bool = False,
     local_bases: int = LOCAL_BASES,
-    longest: int | None = None,
 ) -> DataFrame:
     """Records plus ``copies ARRAY<STRUCT<start, source, length>>`` in start order.
 
     ``allow_overlap`` reproduces the bare-seed overlap that exists only for
     ``min_length == k``. Such copies cannot be restored, so no codec asks for them.
-    ``longest`` is a known bound on record length; without it one scan looks for long records.
     """
     check_lengths(k, min_length)
     local = _list_udf(lambda seq: greedy_copies(seq, k, min_length, allow_overlap))
-    short, long = split_by_length(records, local_bases, longest)
+    short, long = split_by_length(records, local_bases)
     short = short.withColumn("copies", local("seq"))
     if long is None:
         return short
@@ -111,12 +99,11 @@ def best_sources(
     *,
     allow_overlap: bool = False,
     local_bases: int = LOCAL_BASES,
-    longest: int | None = None,
 ) -> DataFrame:
     """``(record_id, start, source, length)`` for every position with a copy of ``min_length``."""
     check_lengths(k, min_length)
     local = _list_udf(lambda seq: every_copy(seq, k, min_length, allow_overlap))
-    short, long = split_by_length(records, local_bases, longest)
+    short, long = split_by_length(records, local_bases)
     rows = short.select("record_id", F.explode(local("seq")).alias("copy")).select(
         "record_id", "copy.start", "copy.source", "copy.length"
     )

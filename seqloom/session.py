@@ -50,28 +50,6 @@ def ship_package(spark: SparkSession) -> None:
     context._seqloom_shipped = True
 
 
-def task_slots(spark: SparkSession) -> int:
-    """Partition count that keeps every core busy without going below the session's own setting."""
-    return max(
-        spark.sparkContext.defaultParallelism,
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-    )
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread rows by ``keys``, only when a plain scan has fewer splits than there are cores.
-
-    A cluster-sized table already has enough splits, so no shuffle is added there; a table
-    stored as one row group would otherwise run in one task, whatever its number of splits. A plan that already shuffles is
-    left alone: its partitions are chosen at run time, and counting them would run it.
-    """
-    adaptive = "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().nodeName()
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if adaptive or df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, *keys)
-
-
 def rebalance(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute rows by ``keys`` into partitions of the advisory size, however many."""
     return df.hint("rebalance", *[F.col(key) for key in keys])

@@ -4,21 +4,38 @@ Large tables of archives belong in Parquet (a BINARY column); this is for exchan
 that expect one file per record.
 """
 
-import os
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
+from seqloom.functions.catalog import expr
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and host, as Spark itself would resolve it; unknown schemes fail."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = system.makeQualified(place).toString()
+    return text.replace("file:/", "file:///", 1) if text.startswith("file:/") else text
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(place) and system.getFileStatus(place).isFile()
+
 
 class RecordFiles(DataSource):
     """Sink for ``(name STRING, content BINARY)``: writes ``<path>/<name>``.
 
-    ``path`` must be a folder every executor can reach. Files appear under their final name
-    only when complete, so a retried task replaces equal content.
+    ``path`` is a URI of a file system that every executor can reach. Files appear under their
+    final name only when complete, so a retried task replaces equal content.
     """
 
     @classmethod
@@ -34,23 +51,31 @@ class RecordFiles(DataSource):
 
 class _RecordFilesWriter(DataSourceWriter):
     def __init__(self, folder: str) -> None:
-        self.folder = folder.removeprefix("file:")
+        self.folder = folder
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(root, recursive=True)
         for row in iterator:
-            if os.path.basename(row["name"]) != row["name"]:
+            if "/" in row["name"] or row["name"] in ("", ".", ".."):
                 raise ValueError(f"not a plain file name: {row['name']}")
-            partial = os.path.join(self.folder, f".{uuid.uuid4().hex}.partial")
-            with open(partial, "wb") as target:
+            partial = f"{root}/.{uuid.uuid4().hex}.partial"
+            with system.open_output_stream(partial) as target:
                 target.write(row["content"])
-            os.replace(partial, os.path.join(self.folder, row["name"]))
+            system.move(partial, f"{root}/{row['name']}")
         return WriterCommitMessage()
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    files.sparkSession.dataSource.register(RecordFiles)
-    files.select("name", "content").write.format("record_files").mode("append").save(folder)
+    """Writes every row as a file of its own; fails before the first write if two names are equal."""
+    spark = files.sparkSession
+    shared = files.groupBy("name").count().where("count > 1").limit(5).collect()
+    if shared:
+        listed = ", ".join(sorted(row["name"] for row in shared))
+        raise ValueError(f"several inputs would be written to the same file: {listed}")
+    spark.dataSource.register(RecordFiles)
+    rows = files.select("name", "content")
+    rows.write.format("record_files").mode("append").save(qualified(spark, folder))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +87,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def stem(path: str = "path"):
+def stem(path: str = "path") -> Column:
     """File name without folder and last extension."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return expr("file_stem", path)

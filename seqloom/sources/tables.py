@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.formats import ALPHABET, PACKED_ALPHABET
-from seqloom.session import spread
+from seqloom.session import rebalance
 
 
 def keep_symbols(text: Column, alphabet: str) -> Column:
@@ -19,6 +19,7 @@ def records_from_text(
     *,
     alphabet: str = ALPHABET,
     size_column: str | None = None,
+    dealt_out: bool = False,
 ) -> DataFrame:
     """``(record_id, header, seq, size_bound)``, one record per row of a text table.
 
@@ -26,14 +27,14 @@ def records_from_text(
     more than one symbol): the table's own character count where it has one, so that looking
     for long records reads one narrow column and skips row groups by their statistics.
 
-    A table stored as a single split is spread before the text is cleaned, so that the
-    cleaning runs on every core too.
+    ``dealt_out`` moves the rows once, by size, before the text is cleaned: for tables stored in
+    fewer splits than there are cores. Other tables need no shuffle.
     """
     size = F.col(size_column) if size_column else F.octet_length(text_column)
     source = df.select(
         id_column, text_column, *([size_column] if size_column else [])
     )
-    return spread(source, id_column).select(
+    return (rebalance(source, id_column) if dealt_out else source).select(
         F.col(id_column).cast("long").alias("record_id"),
         F.concat(F.lit(f">{id_column}_"), F.col(id_column).cast("string")).alias("header"),
         keep_symbols(F.col(text_column), alphabet).alias("seq"),
@@ -48,6 +49,7 @@ def documents(spark: SparkSession, folder: str, *, alphabet: str = ALPHABET) ->
         "text",
         alphabet=alphabet,
         size_column="n_chars",
+        dealt_out=True,
     )
 
 
@@ -57,4 +59,5 @@ def documents_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return records_from_text(spark.read.parquet(f"{folder}/pages.parquet"), "page_id", "html")
+    table = spark.read.parquet(f"{folder}/pages.parquet")
+    return records_from_text(table, "page_id", "html", dealt_out=True)

@@ -5,6 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seqloom.operators.residual import ResidualCodec
 from seqloom.plans import archive_v2
+from seqloom.session import cut_lineage
 from seqloom.sources.fasta import parse_files
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -29,6 +30,7 @@ def archive_stream(
     """
 
     def save(batch: DataFrame, number: int) -> None:
+        batch = cut_lineage(batch)  # parsed once for both outputs
         good = batch.where("error IS NULL").drop("error")
         archive_v2.compress(good, codec, **options).write.mode("overwrite").parquet(
             f"{output}/batch={number}"

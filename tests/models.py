@@ -1,6 +1,6 @@
 """Token models that only the tests need."""
 
-from seqloom.operators.token_models import TokenModel
+from seqloom.operators.token_models import SymbolModel, TokenModel
 
 
 class PairModel(TokenModel):
@@ -11,8 +11,7 @@ class PairModel(TokenModel):
     def __init__(self, context_length):
         self.context_length = context_length
 
-    @property
-    def metadata(self):
+    def describe(self):
         return {"model": "pairs", "context_length": self.context_length}
 
     def tokenize(self, text):
@@ -21,5 +20,22 @@ class PairModel(TokenModel):
     def detokenize(self, tokens):
         return "".join(self.symbols[t] for t in tokens)
 
-    def cdf(self, prefix):
+    def start(self, before):
+        return None
+
+    def step(self, state, token):
+        return None
+
+    def frequencies(self, state):
         return list(range(1, len(self.symbols) + 1))
+
+
+class NextModel(SymbolModel):
+    """Expects the alphabet's order, so that a context changes the code."""
+
+    name = "next"
+    order = 1
+
+    def weights(self, recent):
+        place = (self.alphabet.index(recent) + 1) % len(self.alphabet) if recent else -1
+        return [8.0 if i == place else 1.0 for i in range(len(self.alphabet))]

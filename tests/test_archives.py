@@ -1,13 +1,13 @@
+import hashlib
 import json
 
 import pytest
 
 from conftest import SAMPLE
-from models import PairModel
+from models import NextModel, PairModel
 from seqloom import cli
-from seqloom.operators.neural import NeuralModel, find_model, trim_cache
 from seqloom.operators.residual import ModelCodec, PlainCodec
-from seqloom.operators.token_models import SuccessorModel, UniformModel
+from seqloom.operators.token_models import UniformModel
 from seqloom.plans import archive_v1, archive_v2, benchmark
 from seqloom.sources import fasta, files
 from seqloom.streaming import fasta_stream
@@ -44,7 +44,15 @@ def test_v1_long_records_score_the_same(table):
     assert archive_v1.decompress(cells).count() == 3
 
 
-def test_v1_errors(table):
+def test_v1_bytes_do_not_depend_on_neighbours(table):
+    seq = "GATTACA" * 12 + "CCNN" * 9 + "GATTACA" * 9
+    options = {"k": 3, "min_repeat_len": 12, "lm_order": 3, "local_bases": 200}
+    alone = archive_v1.compress(table(seq), **options).first()["archive"]
+    among = archive_v1.compress(table(seq, "ACGTTGCA" * 60), **options)
+    assert among.where("record_id = 0").first()["archive"] == alone
+
+
+def test_v1_errors(spark, table):
     text = archive_v1.compress(table(SAMPLE), **OPTIONS).first()["archive"]
 
     def broken(**changes):
@@ -52,14 +60,15 @@ def test_v1_errors(table):
 
     copy = {"type": "graph_copy", "start": 0, "source": 0, "length": 1}
     for changed, message in [
-        ("{", "JSON"), ("[]", "object"), (broken(magic="x"), "magic"),
+        ("{", "JSON"), ("[]", "object"), ('{"a": }', "magic"), (broken(magic="x"), "magic"),
         (broken(blocks={}), "list"), (broken(sha256="0"), "checksum"),
         (broken(length=3), "length"), (broken(blocks=[copy]), "reference"),
         (broken(blocks=[{**copy, "start": 4}]), "contiguous"),
         (broken(blocks=[{"type": "other", "start": 0}]), "unknown"),
     ]:
-        with pytest.raises(ValueError, match=message):
-            archive_v1.restore_json(changed)
+        cells = spark.createDataFrame([(0, changed)], "record_id long, archive string")
+        with pytest.raises(Exception, match=message):
+            archive_v1.decompress(cells).collect()
 
 
 # --- binary archives -------------------------------------------------------
@@ -67,7 +76,7 @@ def test_v1_errors(table):
 
 def test_v2_blocks(table):
     cell = bytes(archive_v2.compress(table(SAMPLE), **OPTIONS).first()["archive"])
-    metadata, blocks, payload = archive_v2.open_archive(cell)
+    metadata, blocks, payload = archive_v2.read_container(cell)
     assert blocks == [
         {"type": "llm_residual", "start": 0, "length": 10, "symbol_count": 10, "bit_length": 80,
          "payload_offset": 0, "payload_length": 10},
@@ -81,9 +90,9 @@ def test_v2_blocks(table):
 
 
 def test_v2_context_blocks(table):
-    codec = ModelCodec(SuccessorModel(80))
+    codec = ModelCodec(NextModel(80))
     cells = archive_v2.compress(table("ACGT" * 43), codec, k=100, min_repeat_len=100)
-    _, blocks, payload = archive_v2.open_archive(bytes(cells.first()["archive"]))
+    _, blocks, payload = archive_v2.read_container(bytes(cells.first()["archive"]))
     assert [(b["type"], b["start"], b["length"], b.get("use_context")) for b in blocks] == [
         ("llm_residual", 0, 80, None),
         ("llm_residual", 80, 80, True),
@@ -107,7 +116,13 @@ def test_v2_n_under_model_codec(table):
         archive_v2.compress(table("ACGTN"), ModelCodec(UniformModel())).collect()
 
 
-def test_v2_errors(table):
+def restore(spark, content, codec=None):
+    cells = spark.createDataFrame([(0, bytearray(content))], "record_id long, archive binary")
+    row = archive_v2.decompress(cells, codec).first()
+    return row["header"], row["seq"]
+
+
+def test_v2_errors(spark, table):
     cell = bytes(archive_v2.compress(table(SAMPLE), **OPTIONS).first()["archive"])
     for content, message in [
         (b"OTHER!!", "magic"),
@@ -121,10 +136,13 @@ def test_v2_errors(table):
         (cell[:-1] + b"A", "checksum"),
         (cell[:-3], "payload range"),
     ]:
-        with pytest.raises(ValueError, match=message):
-            archive_v2.restore_text(content, PlainCodec())
-    with pytest.raises(ValueError, match="not available"):
-        archive_v2.restore_text(cell, ModelCodec(UniformModel()))
+        with pytest.raises(Exception, match=message):
+            restore(spark, content)
+    with pytest.raises(Exception, match="not available"):
+        restore(spark, cell, ModelCodec(UniformModel()))
+    coded = archive_v2.compress(table("ACGT" * 40), ModelCodec(UniformModel(100))).first()["archive"]
+    with pytest.raises(Exception, match="metadata differs"):
+        restore(spark, coded, ModelCodec(UniformModel(90)))
     with pytest.raises(ValueError, match="unknown"):
         archive_v2.encode_table([{"type": "x"}])
     with pytest.raises(ValueError, match="unknown"):
@@ -133,16 +151,16 @@ def test_v2_errors(table):
         archive_v2.decode_table(b"\x01\x00")
 
 
-def test_v2_json_block_list():
+def test_v2_json_block_list(spark):
     metadata = {
         "magic": "GHDNA_2", "header": ">a", "length": 3, "residual_codec": "plain_ascii_v1",
-        "sha256": archive_v2.checksum(b"ACG"),
+        "sha256": hashlib.sha256(b"ACG").hexdigest(),
         "blocks": [{"type": "llm_residual", "start": 0, "length": 3, "symbol_count": 3,
                     "bit_length": 24, "payload_offset": 0, "payload_length": 3}],
     }
     text = json.dumps(metadata).encode()
     cell = b"GHDNA2\0" + len(text).to_bytes(4, "big") + text + b"ACG"
-    assert archive_v2.restore_text(cell, PlainCodec()) == (">a", "ACG")
+    assert restore(spark, cell) == (">a", "ACG")
 
 
 # --- files, command line, streaming ----------------------------------------
@@ -203,9 +221,40 @@ def test_command_line_chart_and_errors(spark, tmp_path):
     with pytest.raises(Exception, match="k must"):
         cli.main(["visualize-graph", str(source), str(chart), "--k", "18"])
     with pytest.raises(ValueError, match="archive-version 2"):
-        cli.main(["compress", str(source), "--residual-codec", "dnagpt2"])
+        cli.main(["compress", str(source), "--residual-codec", "markov"])
     args = cli.parser().parse_args(["compress", "x.fa"])
-    assert (args.k, args.min_repeat_len, args.context_length, args.stride) == (15, 40, 1024, 512)
+    assert (args.k, args.min_repeat_len, args.context_length) == (15, 40, 1024)
+
+
+def test_command_line_model(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.fa").write_text(f">{name}\n" + "ACGTTGCAAC" * 30 + "\n")
+    model = ["--residual-codec", "markov", "--model", str(tmp_path / "m"), "--model-order", "2"]
+    cli.main(["compress", str(tmp_path / "in"), str(tmp_path / "out"), "--archive-version", "2", *model])
+    cli.main(["decompress", str(tmp_path / "out"), str(tmp_path / "back"), *model])
+    back = (tmp_path / "back" / "a.restored.fa").read_text()
+    assert back.replace("\n", "") == ">a" + "ACGTTGCAAC" * 30
+
+
+@pytest.mark.parametrize("command", ["compress", "decompress", "visualize-graph"])
+def test_equal_names_fail_before_any_write(spark, tmp_path, command):
+    for folder in ("a", "b"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        source = tmp_path / "in" / folder / "x.fa"
+        source.write_text(f">x\n{SAMPLE}\n")
+        if command == "decompress":
+            cli.main(["compress", str(source), str(source.with_suffix(".ghdna"))])
+    suffix = "ghdna" if command == "decompress" else "fa"
+    with pytest.raises(ValueError, match="same file"):
+        cli.main([command, str(tmp_path / "in" / "*" / f"*.{suffix}"), str(tmp_path / "out")])
+    assert not (tmp_path / "out").exists()
+
+
+def test_unknown_file_systems_are_refused(spark):
+    rows = spark.createDataFrame([("a", bytearray(b"x"))], "name string, content binary")
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        files.write_files(rows, "nowhere://host/out")
 
 
 def test_benchmark_command(spark, tmp_path):
@@ -217,6 +266,9 @@ def test_benchmark_command(spark, tmp_path):
     result = json.loads((tmp_path / "r" / "s.benchmark.json").read_text())
     assert result["graph_copy_blocks"] == 1 and result["residual_blocks"] == 1
     assert [v["name"] for v in result["variants"]] == ["graph_only"]
+    assert result["original_size"] == source.stat().st_size
+    assert (tmp_path / "r" / "s.restored.fa").read_text() == source.read_text()
+    assert (tmp_path / "r" / "s.ghdna").stat().st_size == result["compressed_size"]
     assert "Variants" in (tmp_path / "r" / "s.benchmark.txt").read_text()
 
 
@@ -247,28 +299,3 @@ def test_streaming(spark, tmp_path):
     cells = spark.read.parquet(str(tmp_path / "out"))
     assert archive_v2.decompress(cells).first()["seq"] == SAMPLE
     assert "header" in spark.read.json(str(tmp_path / "out_rejected")).first()["error"]
-
-
-# --- optional neural model -------------------------------------------------
-
-
-def test_find_model(tmp_path, monkeypatch):
-    monkeypatch.chdir(tmp_path)
-    monkeypatch.delenv("HF_HOME", raising=False)
-    assert find_model("some/name", "rev", tmp_path) == "some/name"
-    snapshot = tmp_path / ".cache/huggingface/hub/models--some--name/snapshots/rev"
-    snapshot.mkdir(parents=True)
-    for name in ("config.json", "model.safetensors", "tokenizer.json"):
-        (snapshot / name).write_text("{}")
-    assert find_model("some/name", "rev", tmp_path) == snapshot
-    assert find_model(str(snapshot), "rev", tmp_path) == snapshot
-
-
-def test_neural_model_is_optional():
-    assert trim_cache(None, 3) is None and trim_cache((), 0) is None
-    try:
-        import torch  # noqa: F401
-        import transformers  # noqa: F401
-    except ImportError:
-        with pytest.raises(ImportError, match="torch"):
-            NeuralModel()

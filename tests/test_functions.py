@@ -9,7 +9,6 @@ from seqloom.functions.catalog import expr
 from seqloom.functions.matching import every_copy, greedy_copies, lz76_phrases
 from seqloom.functions.rangecoder import Decoder, Encoder, integer_cdf
 from seqloom.functions.register import register_functions
-from seqloom.functions.unpacking import unpack_bases
 
 
 def value(spark, name, *args):
@@ -169,11 +168,6 @@ def test_integer_cdf_is_strict(weights, scale):
     assert marks[0] > 0 and all(a < b for a, b in zip(marks, marks[1:]))
 
 
-def test_unpack_bases_errors():
-    assert unpack_bases(bytes.fromhex("1B10"), 6) == "ACGTAC"
-    with pytest.raises(ValueError, match="symbol count"):
-        unpack_bases(b"", 1)
-
 
 def test_functions_are_built_in_expressions(table):
     plan = table("ACGT").select(expr("pack_bases", "seq"), expr("shannon_bits", "seq"))

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from brute import copies
 from conftest import SAMPLE
-from models import PairModel
+from models import NextModel, PairModel
 from seqloom.operators import blocks, complexity, graph, kmers, markov, repeats
 from seqloom.operators.residual import Encoded, ModelCodec, PlainCodec
 from seqloom.operators.token_models import (
     MarkovModel,
-    SuccessorModel,
     UniformModel,
+    load_markov,
     train_markov,
 )
 
@@ -180,36 +180,46 @@ def test_plain_codec():
 
 
 def test_model_codec():
-    codec = ModelCodec(SuccessorModel(4))
+    codec = ModelCodec(NextModel(4))
     assert codec.split("ACGTNAC") == ["ACGT", "NAC"]
     coded = codec.encode("ACGTNACGTACGT")
     assert coded.symbol_count == 13 and coded.bit_length <= 13
     assert codec.decode(coded) == "ACGTNACGTACGT"
     assert codec.decode(codec.encode("")) == ""
-    with pytest.raises(ValueError, match="empty residual"):
+    with pytest.raises(ValueError, match="no bits"):
         codec.decode(Encoded(b"\x80", 1, 0))
-    with pytest.raises(ValueError, match="metadata"):
-        codec.check_archive_metadata({})
+    alone, after = codec.encode("CGTA"), codec.encode("CGTA", "TTA")
+    assert after.used_context and after.bit_length < alone.bit_length
+    assert codec.decode(after, "A") == "CGTA"
 
 
 def test_model_codec_context_and_tokens():
     codec = ModelCodec(PairModel(3))
     assert codec.chunk_symbols is None
     assert codec.split("ACGTACGTA") == ["ACGTAC", "GTA"]
-    assert codec.takes_context("GT", "AC") and not codec.takes_context("GT", "A")
+    assert codec.joins("GT", "AC") and not codec.joins("GT", "A")
     coded = codec.encode("GTAC", "AC")
     assert coded.used_context and codec.decode(coded, "AC") == "GTAC"
 
 
 def test_trained_model(table):
     model = train_markov(table("ACACAC", "ACAC"), 1)
-    assert isinstance(model, MarkovModel) and model.counts["A"] == {"C": 5}
+    assert isinstance(model, MarkovModel) and model.counts["A"] == [0, 5, 0, 0, 0]
     codec = ModelCodec(model)
     coded = codec.encode("ACACACACACAC")
     assert codec.decode(coded) == "ACACACACACAC"
     assert coded.bit_length < ModelCodec(UniformModel()).encode("ACACACACACAC").bit_length
+    assert ModelCodec(train_markov(table("ACGT" * 9), 9)).encode("ACGTACGT").bit_length < 16
     with pytest.raises(ValueError, match="order"):
-        train_markov(table("A"), 9)
+        train_markov(table("A"), 0)
+
+
+def test_saved_model(spark, table, tmp_path):
+    model = train_markov(table("ACACAC", "GATTACA"), 2, context_length=8)
+    model.save(spark, str(tmp_path / "m"))
+    again = load_markov(spark, str(tmp_path / "m"), 2, context_length=8)
+    assert again.describe() == model.describe() and len(model.describe()["counts_sha256"]) == 64
+    assert ModelCodec(again).decode(ModelCodec(model).encode("GATTACA")) == "GATTACA"
 
 
 # --- planner ---------------------------------------------------------------
@@ -267,8 +277,8 @@ def test_token_sized_chunks_match_fixed(spark, table):
     """The tokenizer path and the fixed-width path agree for one-symbol tokens."""
     seq = "ACGT" * 60
     records = repeats.with_copies(table(seq), 300, 300)
-    fixed = ModelCodec(SuccessorModel(80))
-    by_tokens = ModelCodec(SuccessorModel(80))
+    fixed = ModelCodec(NextModel(80))
+    by_tokens = ModelCodec(NextModel(80))
     by_tokens.model.one_token_per_symbol = False
     one = blocks.plan(records, fixed).first()["blocks"]
     two = blocks.plan(records, by_tokens).first()["blocks"]
