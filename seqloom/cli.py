@@ -13,7 +13,7 @@ from seqloom.formats import VARIANTS
 from seqloom.operators.residual import ModelCodec, PlainCodec, ResidualCodec
 from seqloom.operators.token_models import load_markov, train_markov
 from seqloom.plans import archive_v1, archive_v2, benchmark, visualise
-from seqloom.session import build_session
+from seqloom.session import build_session, drop_scratch
 from seqloom.sources.fasta import fasta_files, read_fasta
 from seqloom.sources.files import is_file, read_archives, stem, write_files
 
@@ -147,7 +147,11 @@ RUN = {
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    RUN[args.command](SparkSession.getActiveSession() or build_session(), args)
+    spark = SparkSession.getActiveSession() or build_session()
+    try:
+        RUN[args.command](spark, args)
+    finally:
+        drop_scratch(spark)
     return 0
 
 

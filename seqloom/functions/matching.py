@@ -1,9 +1,11 @@
 """Small exact helpers on one in-memory sequence: the longest earlier copy, and its two uses."""
 
 
-def common_extension(seq: bytes | str, left: int, right: int) -> int:
-    """How many symbols agree from ``left`` and from ``right`` on (``left < right``)."""
+def common_extension(seq: bytes | str, left: int, right: int, most: int | None = None) -> int:
+    """How many symbols, up to ``most``, agree from ``left`` and from ``right`` on (``left < right``)."""
     size, step, limit = 0, 16, len(seq) - right
+    if most is not None:
+        limit = min(limit, most)
     while size < limit:
         step = min(step, limit - size)
         if seq[left + size : left + size + step] == seq[right + size : right + size + step]:
@@ -69,7 +71,8 @@ def every_copy(
     """``(start, source, length)`` of the best earlier copy at every start that has one."""
     copies: list[tuple[int, int, int]] = []
     first: dict = {}
-    agreed: dict[int, int] = {}  # distance -> where the two texts stop agreeing
+    agreed: dict[int, int] = {}  # distance -> up to where the two texts are known to agree
+    exact: set[int] = set()  # distances whose texts differ or end there
     overlap = allow_overlap and min_length == seed
     for start in range(len(seq) - min_length + 1):
         source = first.setdefault(seq[start : start + min_length], start)
@@ -80,8 +83,16 @@ def every_copy(
             gap = start - source
             end = agreed.get(gap, 0)
             if end <= start:
-                end = start + common_extension(seq, source, start)
+                end = start
+                exact.discard(gap)
+            # a copy is no longer than its distance: nothing beyond that is compared
+            missing = start + gap - end
+            if missing > 0 and gap not in exact:
+                more = common_extension(seq, end - gap, end, missing)
+                end += more
                 agreed[gap] = end
+                if more < missing:
+                    exact.add(gap)
             if min(end - start, gap) > best[0]:
                 best = (min(end - start, gap), source)
             if end - start >= gap or end >= len(seq):

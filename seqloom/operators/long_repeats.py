@@ -15,7 +15,8 @@ No step lists pairs of equal k-mers and no step gathers a record in one task.
    end. These pointers are followed from the first candidate of each record by doubling.
 
 Every grouping combines before its shuffle (min and count only). Joins are equi-joins on
-(record, position); a hot representative is split by adaptive skew handling.
+(record, position) between written tables, so that adaptive skew handling can split a window that
+fills much of a record.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -29,13 +30,15 @@ BLOCK = 4096
 
 def _named(positions: DataFrame, keys: list[str]) -> DataFrame:
     """First position of every group with at least two members, joined back to the members."""
+    positions = cut_lineage(positions)
     groups = (
         positions.groupBy("record_id", *keys)
         .agg(F.min("pos").alias("name_"), F.count("*").alias("members_"))
         .where(F.col("members_") > 1)
         .drop("members_")
     )
-    return positions.join(groups, ["record_id", *keys])
+    # written: between two plain scans Spark splits a group that fills a third of all rows
+    return positions.join(cut_lineage(groups), ["record_id", *keys])
 
 
 def window_names(records: DataFrame, width: int) -> list[DataFrame]:
@@ -109,7 +112,8 @@ def best_copies(
             F.col("rep").alias("source"),
             fitting.alias("length"),
         ).where(F.col("length") >= min_length)
-        found = offers if found is None else found.unionByName(offers)
+        # one table a round: the plan does not grow with the number of rounds
+        found = cut_lineage(offers if found is None else _better(found.unionByName(offers)))
         branch = levels[0].select(
             "record_id", F.col("pos").alias("leaves"), F.col("name").alias("branch")
         )
@@ -129,15 +133,17 @@ def best_copies(
             "record_id", F.col("pos").alias("start"), F.col("rep").alias("source"),
             F.lit(0).cast("long").alias("length"),
         )
-    return (
-        found.groupBy("record_id", "start")
-        .agg(F.max(F.struct("length", (-F.col("source")).alias("nearest"))).alias("best"))
-        .select(
-            "record_id",
-            "start",
-            (-F.col("best.nearest")).alias("source"),
-            F.col("best.length").alias("length"),
-        )
+    return _better(found).select("record_id", "start", "source", "length")
+
+
+def _better(offers: DataFrame) -> DataFrame:
+    """The longest copy at every start, the smallest source among equal ones."""
+    best = F.max(F.struct("length", (-F.col("source")).alias("first"))).alias("best")
+    return offers.groupBy("record_id", "start").agg(best).select(
+        "record_id",
+        "start",
+        (-F.col("best.first")).alias("source"),
+        F.col("best.length").alias("length"),
     )
 
 
@@ -146,21 +152,23 @@ def _pointers(best: DataFrame) -> DataFrame:
     blocks = best.groupBy("record_id", F.expr(f"start DIV {BLOCK}").alias("block")).agg(
         F.array_sort(F.collect_list("start")).alias("starts")  # at most BLOCK of them
     )
+    # the running frame sees one number per BLOCK positions, not the lists
+    firsts = blocks.select("record_id", "block", F.get("starts", F.lit(0)).alias("first"))
     every = (
-        blocks.groupBy("record_id")
+        firsts.groupBy("record_id")
         .agg(F.max("block").alias("last"))
         .select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
-        .join(blocks, ["record_id", "block"], "left")
+        .join(firsts, ["record_id", "block"], "left")
     )
-    # one row per BLOCK positions of a record; the running frame is linear
     backwards = (
         Window.partitionBy("record_id")
         .orderBy(F.desc("block"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    indexed = every.withColumn(
-        "later", F.last(F.get("starts", F.lit(0)), ignorenulls=True).over(backwards)
+    later = every.select(
+        "record_id", "block", F.last("first", ignorenulls=True).over(backwards).alias("later")
     )
+    indexed = later.join(blocks, ["record_id", "block"], "left")
     ends = best.select(
         "record_id",
         "start",

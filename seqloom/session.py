@@ -16,7 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # one Arrow batch holds whole sequences, so keep batches small in rows
+    # whole sequences travel; Spark's limit of bytes per batch protects memory, this keeps the
+    # working set of one Python call small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
@@ -71,16 +72,31 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate table and read it back, between iterations.
 
     The next step neither repeats the plan so far nor depends on executors that may be lost,
     and it is planned with the table's real size, so Spark broadcasts only what is small.
+    :func:`drop_scratch` deletes the tables when no result needs them any more.
     """
     path = f"{scratch_folder(df.sparkSession).rstrip('/')}/seqloom-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote; call it when its results are out."""
+    dropped = 0
+    while _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        dropped += bool(system.delete(place, True))
+    return dropped
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.head(1)

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from brute import copies
 from conftest import SAMPLE
 from models import NextModel, PairModel
-from seqloom.operators import blocks, complexity, graph, kmers, markov, repeats
+from seqloom.operators import blocks, complexity, graph, kmers, long_repeats, markov, repeats
 from seqloom.operators.residual import Encoded, ModelCodec, PlainCodec
 from seqloom.operators.token_models import (
     MarkovModel,
@@ -283,3 +284,44 @@ def test_token_sized_chunks_match_fixed(spark, table):
     one = blocks.plan(records, fixed).first()["blocks"]
     two = blocks.plan(records, by_tokens).first()["blocks"]
     assert one == two and [b["length"] for b in one] == [80, 80, 80]
+
+
+def test_scratch_tables_can_be_dropped(spark, table):
+    from seqloom import session
+
+    found = repeats.graph_repeats(table("GATTACA" * 12), 3, 8, local_bases=10)
+    assert found.count() > 0 and session._written
+    paths = list(session._written)
+    assert session.drop_scratch(spark) == len(paths)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_hot_window_is_split_over_tasks(spark):
+    """A group that fills most rows is read by several tasks of the join that names it."""
+    rows = spark.range(200_000).selectExpr(
+        "0L AS record_id", "id AS pos", "IF(id % 10 = 0, id, -1L) AS kmer"
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        named = long_repeats._named(rows, ["kmer"])
+        parts = named.where("kmer = -1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(r["count"] for r in parts) == 180_000 and len(parts) > 1
+
+
+def test_counts_do_not_shuffle_positions(table):
+    """Records of known small size are final where they are counted."""
+    records = table("ACGTACGT").withColumn("size_bound", F.lit(8).cast("long"))
+    plan = kmers.kmer_counts(records, 3)._jdf.queryExecution().optimizedPlan().toString()
+    first = plan.split("Aggregate")[0]
+    assert "MapInArrow" in first and "Generate" not in first
