@@ -1,5 +1,7 @@
 """Small exact helpers on one in-memory sequence: the longest earlier copy, and its two uses."""
 
+from array import array
+
 
 def common_extension(seq: bytes | str, left: int, right: int, most: int | None = None) -> int:
     """How many symbols, up to ``most``, agree from ``left`` and from ``right`` on (``left < right``)."""
@@ -103,10 +105,19 @@ def every_copy(
     return copies
 
 
-def lz76_phrases(seq: str) -> int:
-    """Number of LZ76 phrases; an unfinished last phrase is not counted."""
+#: From this length on searching for each phrase costs more than an index of all substrings.
+INDEXED = 1 << 11
+
+
+def lz76_phrases(seq: str, indexed: int = INDEXED) -> int:
+    """Number of LZ76 phrases; an unfinished last phrase is not counted.
+
+    A phrase is the longest text that occurs before its start, and one symbol more.
+    """
     if not seq:
         return 0
+    if len(seq) >= indexed:
+        return _phrases_by_index(seq)
     phrases, at = 1, 0
     while at < len(seq):
         source = seq.find(seq[at], 0, at)
@@ -116,3 +127,49 @@ def lz76_phrases(seq: str) -> int:
             break
         phrases += 1
     return phrases
+
+
+def _phrases_by_index(seq: str) -> int:
+    """The same in linear time: an automaton of all substrings of what lies before the phrase.
+
+    Each symbol is read once, to find where the phrase ends, and then added once. A state is a
+    row of ``moves`` (0: none; the root is 1), ``size`` the longest text that leads to it, and
+    ``link`` the state of its longest suffix that occurs elsewhere too.
+    """
+    symbols = {symbol: place for place, symbol in enumerate(sorted(set(seq)))}
+    codes = list(map(symbols.__getitem__, seq))
+    width, total = len(symbols), len(seq)
+    moves = array("i", bytes(4 * width * (2 * total + 3)))
+    size, link = array("i", bytes(4 * (2 * total + 3))), array("i", bytes(4 * (2 * total + 3)))
+    last, states, at, phrases = 1, 2, 0, 0
+    while True:
+        state, end = 1, at
+        while end < total and (state := moves[state * width + codes[end]]):
+            end += 1
+        phrases += 1
+        if end + 1 >= total:
+            return phrases
+        for code in codes[at : end + 1]:
+            new, states = states, states + 1
+            size[new] = size[last] + 1
+            state = last
+            while state and not moves[state * width + code]:
+                moves[state * width + code] = new
+                state = link[state]
+            if not state:
+                link[new] = 1
+            else:
+                target = moves[state * width + code]
+                if size[target] == size[state] + 1:
+                    link[new] = target
+                else:
+                    split, states = states, states + 1
+                    size[split] = size[state] + 1
+                    row = target * width
+                    moves[split * width : (split + 1) * width] = moves[row : row + width]
+                    link[split], link[target], link[new] = link[target], split, split
+                    while state and moves[state * width + code] == target:
+                        moves[state * width + code] = split
+                        state = link[state]
+            last = new
+        at = end + 1

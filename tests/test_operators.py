@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brute import copies
 from conftest import SAMPLE
 from models import NextModel, PairModel
+from seqloom.functions import matching
 from seqloom.operators import blocks, complexity, graph, kmers, long_repeats, markov, repeats
 from seqloom.operators.residual import Encoded, ModelCodec, PlainCodec
 from seqloom.operators.token_models import (
@@ -325,3 +326,13 @@ def test_counts_do_not_shuffle_positions(table):
     plan = kmers.kmer_counts(records, 3)._jdf.queryExecution().optimizedPlan().toString()
     first = plan.split("Aggregate")[0]
     assert "MapInArrow" in first and "Generate" not in first
+
+
+@pytest.mark.parametrize("symbols", ["A", "AC", "ACGTN"])
+def test_lz76_by_index(symbols):
+    draw = random.Random(len(symbols))
+    for _ in range(300):
+        seq = "".join(draw.choices(symbols, k=draw.randint(1, 90)))
+        assert matching.lz76_phrases(seq, 1) == matching.lz76_phrases(seq, 1000)
+    long = "".join(draw.choices(symbols, k=300_000))
+    assert matching.lz76_phrases(long) > 10
