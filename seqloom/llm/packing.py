@@ -37,8 +37,9 @@ from seqloom.llm.tokens import DEFAULT, word_ids
 
 CAPACITY = 4096
 GROUPS = 48
-#: Lengths above this share of the capacity are grouped; the rest is best-fitted.
-LARGE = 8
+#: Lengths above the capacity divided by this are grouped; the rest is best-fitted. Every value is
+#: planned, which costs the driver little, and the plan of the fewest sequences is taken.
+LARGE = (2, 3, 4, 8)
 CLOSING = (1).to_bytes(4, "little")
 #: Pieces ranked together in one bucket, on average.
 BUCKET_ROWS = 200_000
@@ -202,10 +203,18 @@ def _substitute(groups, capacity: int) -> list[tuple[int, list[int]]]:
 
 
 def make_plan(
-    histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS
+    histogram: dict[int, int],
+    capacity: int = CAPACITY,
+    groups: int = GROUPS,
+    thresholds: tuple[int, ...] = LARGE,
 ) -> Plan:
+    plans = [_plan(histogram, capacity, groups, part) for part in thresholds]
+    return min(plans, key=lambda plan: plan.sequences)
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, part: int) -> Plan:
     plan = Plan(capacity)
-    large = {n: c for n, c in histogram.items() if n * LARGE > capacity}
+    large = {n: c for n, c in histogram.items() if n * part > capacity}
     plan.runs = _substitute(_groups(large, groups), capacity)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
@@ -219,7 +228,7 @@ def make_plan(
         open_at[gap].append(i)
         mask |= 1 << gap
 
-    for length in sorted((n for n in histogram if n * LARGE <= capacity), reverse=True):
+    for length in sorted((n for n in histogram if n * part <= capacity), reverse=True):
         left = histogram[length]
         while left:
             fitting = mask >> length
