@@ -29,6 +29,8 @@ DIMENSIONS = 1 << 16
 #: Bound of the training sample: rows per label.
 PER_LABEL = 500
 EPOCHS = 3
+#: Characters worked on at a time.
+BLOCK = 1 << 20
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -43,23 +45,39 @@ def _letter_table() -> np.ndarray:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Used dimensions and damped frequencies, or None where the text has no letter."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    letters = _letter_table()[codes]
-    if not letters.any():
+    counts, before, seen = np.zeros(DIMENSIONS, dtype=np.int64), np.array([32], np.uint32), False
+    text = text or ""
+    for begin in range(0, len(text), BLOCK):  # long texts in blocks: memory stays bounded
+        block = text[begin : begin + BLOCK].lower()
+        codes = np.frombuffer(block.encode("utf-32-le", "replace"), dtype=np.uint32)
+        letters = _letter_table()[codes]
+        seen |= bool(letters.any())
+        codes = np.where(letters, codes, 32).astype(np.uint32)
+        # runs of other characters count as one space, and the text has one at each end
+        keep = codes != 32
+        keep[1:] |= codes[:-1] != 32
+        keep[:1] |= before[-1:] != 32
+        before = _count_grams(counts, before, codes[keep])
+    if not seen:
         return None
-    codes = np.where(letters, codes, 32)
-    # runs of other characters count as one space, and the text has one at each end
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-    codes = np.concatenate(([32], codes[keep], [32])).astype(np.uint32)
-    one = codes * np.uint32(2654435761)
+    if before[-1] != 32:
+        _count_grams(counts, before, np.array([32], np.uint32))
+    used = np.flatnonzero(counts)
+    return used, np.log1p(counts[used])
+
+
+def _count_grams(counts: np.ndarray, before: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Adds the grams that end in ``codes``; gives the codes that later grams reach back to."""
+    line = np.concatenate([before, codes])
+    one = line * np.uint32(2654435761)
     two = (one[:-1] ^ np.uint32(0x9E3779B9)) * np.uint32(2246822519) + one[1:]
     three = (two[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(3266489917) + one[2:]
-    grams = np.concatenate([one, two, three])
+    new = len(codes)
+    grams = np.concatenate([g[max(0, len(g) - new) :] for g in (one, two, three)])
     grams ^= grams >> np.uint32(15)
-    counts = np.bincount((grams * np.uint32(668265263)) >> np.uint32(16), minlength=DIMENSIONS)
-    used = np.flatnonzero(counts)
-    return used, np.log1p(counts[used])
+    places = (grams * np.uint32(668265263)) >> np.uint32(16)
+    counts += np.bincount(places, minlength=DIMENSIONS)
+    return line[-2:]
 
 
 @dataclass

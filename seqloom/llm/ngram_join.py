@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, id_text, keep_ids
+from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, id_text, keep_ids, word_blocks
 
 WORDS = 4
 LEAST = 85
@@ -51,12 +51,16 @@ _A, _B, _C, _D = (
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles; A-Z are lower-cased, nothing else."""
-    split = (text or "").encode("utf-8", "replace").lower().split()
-    if not split:
-        return np.zeros(0, np.uint64)
-    size = min(words, len(split))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split))
-    number = len(split) - size + 1
+    data = (text or "").encode("utf-8", "replace").lower()
+    parts = []
+    for block in word_blocks(data):
+        split = block.split()
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split)))
+    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(hashes):
+        return hashes
+    size = min(words, len(hashes))
+    number = len(hashes) - size + 1
     mixed = np.full(number, np.uint64(size), np.uint64)
     for k in range(size):
         mixed = (mixed ^ (mixed >> np.uint64(29))) * _A

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.session import cut_lineage, scratch_folder
 
-__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "lowest", "scratch_folder", "table", "text_of"]
+__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "lowest", "scratch_folder", "table", "text_of", "word_blocks"]
 
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -15,6 +18,19 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 BROADCAST_IDS = 1_000_000
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """``data`` in blocks of about ``size`` bytes that end between words."""
+    begin = 0
+    while begin < len(data):
+        gap = _GAP.search(data, begin + size)
+        end = gap.start() if gap else len(data)
+        yield data[begin:end]
+        begin = end
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

@@ -12,9 +12,13 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from seqloom.llm.shared import word_blocks
+
 #: Words a worker remembers (about 200 bytes each) before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 DEFAULT = "word_bpe_49k.json"
+#: Bytes of text worked on at a time.
+BLOCK = 1 << 22
 
 # Latin letters (composed, with a lower case of one character), and what may follow them in a
 # word: signs, without the apostrophe of contractions.
@@ -75,10 +79,27 @@ class WordIds:
         known.update(zip(other, self._encoded(texts), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
+        """Ids of each text; very long ones block by block, so that memory stays bounded."""
+        blocks, owners = [], []
+        for owner, text in enumerate(texts):
             data = (text or "").encode("utf-8", "replace")
-            split.append((data if b"<|" in data else data.lower()).split())
+            for block in word_blocks(data if b"<|" in data else data.lower()):
+                blocks.append(block)
+                owners.append(owner)
+        parts: list[list[bytes]] = [[] for _ in texts]
+        begin = 0
+        while begin < len(blocks):  # about one block's worth of text at a time
+            end, size = begin, 0
+            while end < len(blocks) and (end == begin or size + len(blocks[end]) <= BLOCK):
+                size += len(blocks[end])
+                end += 1
+            for owner, ids in zip(owners[begin:end], self._ids(blocks[begin:end]), strict=True):
+                parts[owner].append(ids)
+            begin = end
+        return [b"".join(part) for part in parts]
+
+    def _ids(self, blocks: list[bytes]) -> list[bytes]:
+        split = [block.split() for block in blocks]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
