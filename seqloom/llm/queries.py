@@ -71,6 +71,29 @@ def op10_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.drop_boilerplate(table(spark, folder, "pages"))
 
 
+OP7_SQL = """
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]
+            for i in range(1, len(w) - 2)])) END AS s
+    FROM words
+), flat AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets
+), links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.h = b.h AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM sets
+    UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), lowest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id,
+    CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END AS class_size
+FROM sets JOIN lowest USING (doc_id)
+"""
+
 OP9_SQL = """
 WITH n AS (
     SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -131,4 +154,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL, "op10_boilerplate": OP10_SQL}
+    return {"op7_ngram_join": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_boilerplate": OP10_SQL}
