@@ -429,6 +429,23 @@ def block_table_hex(spark, folder):
     )
 
 
+def block_table_model(spark, folder):
+    """Block tables of model archives, read back: copies, coded and packed residuals, contexts."""
+    cells = archive_v2.compress(packed(spark, folder), model_codec(), policy="force_graph")
+    rows = archive_v2.scan(cells).select("record_id", F.posexplode("blocks").alias("block_no", "b"))
+    return rows.select(
+        "record_id",
+        F.col("block_no").cast("long").alias("block_no"),
+        "b.type",
+        "b.start",
+        "b.length",
+        "b.source",
+        F.coalesce("b.use_context", F.lit(False)).alias("use_context"),
+        "b.symbol_count",
+        F.expr(f"IF(b.type = '{RAW}', b.payload_length, NULL)").alias("raw_bytes"),
+    )
+
+
 def _symbol_weights(spark, folder):
     counts = ", ".join(
         f"CAST(length(seq) - length(replace(seq, '{s}', '')) AS DOUBLE)" for s in "ACGTN"
@@ -630,7 +647,7 @@ def queries() -> dict[str, Query]:
         candidate_choice, diagnostics_plain,
         markov_counts, markov_bits, markov_trained, composition, lz76, sequence_complexity,
         block_metrics,
-        pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, integer_cdf, ideal_bits, coder_bits,
+        pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, block_table_model, integer_cdf, ideal_bits, coder_bits,
         roundtrip_plain, roundtrip_model, roundtrip_model_forced, roundtrip_v1, roundtrip_v2,
         roundtrip_any, archive_scan, archive_scan_v1,
         bench_variants, bench_variant_totals,

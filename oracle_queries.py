@@ -351,6 +351,11 @@ def all_queries() -> dict[str, str]:
           substr(d.seq, CAST(b.start + 1 AS INT), CAST(b.length AS INT)) AS text
         FROM blk b JOIN docs d USING (record_id) WHERE type = 'raw_residual')
       SELECT record_id, start, length, {packed_hex('text')} AS payload FROM raws"""
+    out["block_table_model"] = f"""{repeats(PACKED)}, {model_blocks('pick')}
+      SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY start) - 1 AS block_no,
+        type, start, length, source, use_context,
+        CASE WHEN type = 'llm_residual' THEN length END AS symbol_count,
+        CASE WHEN type = 'raw_residual' THEN (length + 3) // 4 END AS raw_bytes FROM blk"""
     out["chunk_plan"] = f"""{repeats(PACKED)}, {model_blocks('pick')}
       SELECT b.record_id, row_number() OVER (PARTITION BY b.record_id ORDER BY b.start) - 1
           AS block_no, type, start, length, source, use_context,

@@ -1,6 +1,8 @@
 """Order-n symbol models: fit, score and per-residual code length."""
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -237,3 +239,34 @@ def score(
         .groupBy("record_id", fragment_key)
         .agg(F.sum(F.expr(bits)).alias("bits"))
     )
+
+
+class Scorer(Protocol):
+    """Anything that learns from records and gives code lengths of fragments of them."""
+
+    def fit(self, records: DataFrame) -> "Scorer": ...
+
+    def bits(self, fragments: DataFrame, fragment_key: str = "start") -> DataFrame: ...
+
+
+@dataclass
+class MarkovScorer:
+    """:class:`Scorer` of an order-n model per record; fitting again forgets the last fit."""
+
+    order: int = 3
+    pseudocount: float = 1.0
+    model: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        check_order(self.order, self.pseudocount)
+
+    def fit(self, records: DataFrame) -> "MarkovScorer":
+        self.model = fit(records, self.order, self.pseudocount)
+        return self
+
+    def bits(self, fragments: DataFrame, fragment_key: str = "start") -> DataFrame:
+        if self.model is None:
+            raise ValueError("fit the scorer first")
+        return score(
+            self.model, fragments, self.order, self.pseudocount, fragment_key=fragment_key
+        )

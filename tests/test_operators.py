@@ -336,3 +336,15 @@ def test_lz76_by_index(symbols):
         assert matching.lz76_phrases(seq, 1) == matching.lz76_phrases(seq, 1000)
     long = "".join(draw.choices(symbols, k=300_000))
     assert matching.lz76_phrases(long) > 10
+
+
+def test_scorer(table):
+    records = table("AC" * 6)
+    scorer = markov.MarkovScorer(2)
+    with pytest.raises(ValueError, match="fit"):
+        scorer.bits(records)
+    pieces = records.selectExpr(
+        "record_id", "explode(array(struct(0L AS start, 'ACACAC' AS seq), struct(1L AS start, 'AAAAAA' AS seq))) AS p"
+    ).select("record_id", "p.start", "p.seq")
+    got = {r["start"]: r["bits"] for r in scorer.fit(records).bits(pieces).collect()}
+    assert got[0] == pytest.approx(6.117787, abs=1e-6) and got[1] == pytest.approx(13.457637, abs=1e-6)
