@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import SPACE, cut_lineage, free_name, id_text, keep_ids, text_of
+from seqloom.llm.shared import SPACE, cut_lineage, free_name, keep_ids, text_of, without_ids
 
 #: Chain heads a bucket holds before it splits.
 CAPACITY = 50_000
@@ -129,6 +129,10 @@ def exact_groups(
     docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64
 ) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row."""
+    return _groups(docs, capacity, key_bits).drop("key")
+
+
+def _groups(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     rows = entries(docs, key_bits)
     index = build_index(chain_heads(rows, "key"), capacity)
     links = differing(docs, index, key_bits)
@@ -153,15 +157,26 @@ def exact_groups(
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
+        "key",
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows one stays."""
-    sha, name = free_name(docs, "sha"), free_name(docs, "id")
-    kept = exact_groups(docs).where("kept")
-    kept = kept.select(F.col("text_sha256").alias(sha), id_text().alias(name)).distinct()
-    rows = docs.withColumn(sha, F.sha2(body(), 256)).withColumn(name, id_text())
-    held = rows.join(kept, [sha, name], "left_semi")
-    # same keys as the join: no second shuffle
-    return held.dropDuplicates([sha, name]).select(*docs.columns)
+    """The rows that stay, with all their columns; of repeated rows one stays.
+
+    Texts do not move: the list of rows to drop, by hashes of id and text, goes to them as far as
+    its checked size allows.
+    """
+    mark, key = free_name(docs, "mark"), free_name(docs, "key")
+    found = _groups(docs).select(F.xxhash64("doc_id").alias(mark), F.col("key").alias(key), "kept")
+    found = cut_lineage(found)
+    gone = cut_lineage(found.where("NOT kept").select(mark, key).distinct())
+    again = cut_lineage(
+        found.where("kept").groupBy(mark, key).count().where("count > 1").select(mark, key)
+    )
+    rows = docs.withColumn(mark, F.xxhash64("doc_id")).withColumn(key, content_key(body()))
+    rows = without_ids(rows, gone, [mark, key], gone.count())
+    if not again.isEmpty():  # rows that repeat an id and its text
+        repeated = rows.join(again, [mark, key], "left_semi").dropDuplicates([mark, key])
+        rows = rows.join(again, [mark, key], "left_anti").unionByName(repeated)
+    return rows.select(*docs.columns)

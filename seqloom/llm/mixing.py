@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import cut_lineage, free_name, id_text, text_of
+from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, text_of
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -191,14 +191,18 @@ def mixture(
     """``doc_id, source, size, draw, source_size, target, shards``: the shard of each taken copy."""
     rows = sized(docs, seed, blocks)
     edges, plan = block_plan(rows, seed, shards, blocks)
+    joined = _placed(rows, edges, plan, blocks)
+    edge = _fit_edge(joined.where("rest IS NOT NULL"), seed, shards)
+    return joined.where("rest IS NULL").unionByName(edge).drop("rest")
+
+
+def _placed(rows: DataFrame, edges: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
     placed = _with_cells(rows, edges, blocks)
     same = F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.cell") == F.col("p.cell"))
-    joined = placed.alias("r").join(plan.alias("p"), same).select(
+    return placed.alias("r").join(plan.alias("p"), same).select(
         "r.doc_id", "r.source", "r.size", "r.draw",
         "p.source_size", "p.target", "p.shards", "p.rest",
     )
-    edge = _fit_edge(joined.where("rest IS NOT NULL"), seed, shards)
-    return joined.where("rest IS NULL").unionByName(edge).drop("rest")
 
 
 def _fit_edge(rows: DataFrame, seed: int, shards: int) -> DataFrame:
@@ -238,16 +242,39 @@ def shard_rows(mixed: DataFrame) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, seed: int = 7, shards: int = SHARDS, blocks: int = BLOCKS
+) -> DataFrame:
     """The columns of ``docs``, each document as often as the mixture takes it.
 
-    Rows that repeat a ``doc_id`` within a source are taken equally often.
+    Texts do not move: their block follows from a hash, and the plan, ``2 * blocks`` rows a source,
+    goes to them as far as its checked size allows. Documents of the edge part come by id; rows
+    that repeat a ``doc_id`` within a source are taken equally often.
     """
-    name, number = free_name(docs, "id"), free_name(docs, "copies")
-    taken = mixture(docs, seed).select(
-        id_text().alias(name), F.size("shards").alias(number)
+    rows = sized(docs, seed, blocks)
+    edges, plan = block_plan(rows, seed, shards, blocks)
+    held, draw = free_name(docs, "held"), free_name(docs, "draw")
+    sources = edges.withColumnRenamed("source", "of")
+    cells = plan.select(F.col("source").alias("in"), "cell", F.size("shards").alias("times"), "rest")
+    last = _fit_edge(_placed(rows, edges, plan, blocks).where("rest IS NOT NULL"), seed, shards)
+    last = cut_lineage(
+        last.groupBy(F.col("draw").alias("one")).agg(F.max(F.size("shards")).alias("more"))
+    )
+    if cells.count() <= BROADCAST_IDS // 4:
+        sources, cells = F.broadcast(sources), F.broadcast(cells)
+    if last.count() <= BROADCAST_IDS:
+        last = F.broadcast(last)
+    # the document as one column, so that no name of its own can meet one of the plan's
+    whole = docs.select(
+        F.struct(*docs.columns).alias(held),
+        F.col("source").alias("_source"),
+        F.xxhash64(F.lit(seed), "doc_id", "source").alias(draw),
     )
-    wanted = taken.groupBy(name).agg(F.max(number).alias(number)).where(F.col(number) > 0)
-    rows = docs.withColumn(name, id_text()).join(wanted, name)
-    each = F.explode(F.array_repeat(F.lit(0), F.col(number)))
-    return rows.select(*docs.columns, each.alias(number)).drop(number)
+    block, fine = F.pmod(F.col(draw), F.lit(blocks)), F.pmod(F.xxhash64(draw), F.lit(blocks))
+    cell = F.when(block == F.col("edge"), fine + blocks).otherwise(block)
+    met = whole.join(sources, F.col("_source").eqNullSafe(F.col("of"))).withColumn("_cell", cell)
+    met = met.join(cells, F.col("_source").eqNullSafe(F.col("in")) & (F.col("_cell") == F.col("cell")))
+    met = met.join(last, F.col(draw) == F.col("one"), "left")
+    times = F.when(F.col("rest").isNull(), F.col("times")).otherwise(F.coalesce("more", F.lit(0)))
+    each = F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")
+    return met.select(held, each).select(f"{held}.*")

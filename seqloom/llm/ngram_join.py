@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, id_text, keep_ids, word_blocks
+from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, id_text, keep_ids, without_ids, word_blocks
 
 WORDS = 4
 LEAST = 85
@@ -378,9 +378,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Data
     Documents without words stay. Rows that repeat an id with one text count as one document.
     """
     found = near_copies(docs, words, least)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = found.where(same | (F.col("n_shingles") == 0)).select("doc_id").distinct()
     name = free_name(docs, "id")
-    kept = kept.select(id_text().alias(name))
-    rows = docs.withColumn(name, id_text())
-    return rows.join(kept, name, "left_semi").select(*docs.columns)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)
+    gone = (
+        found.groupBy(id_text().alias(name)).agg(F.max(stays).alias("_stays")).where("NOT _stays")
+    )
+    gone = cut_lineage(gone.select(name))
+    # texts do not move: the list of ids that go is sent to them as far as its checked size allows
+    rows = without_ids(docs.withColumn(name, id_text()), gone, [name], 4 * gone.count())
+    return rows.select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.session import cut_lineage, scratch_folder
 
-__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "lowest", "scratch_folder", "table", "text_of", "word_blocks"]
+__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "lowest", "scratch_folder", "table", "text_of", "without_ids", "word_blocks"]
 
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -18,6 +18,13 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 BROADCAST_IDS = 1_000_000
 
 
+def without_ids(rows: DataFrame, ids: DataFrame, names: list[str], count: int) -> DataFrame:
+    """Rows whose ``names`` are not in ``ids`` (distinct), ``count`` of them."""
+    if count <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, names, "left_anti")
+
+
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
