@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import lowest
+from seqloom.llm.shared import lowest, tidy
 
 DIMENSIONS = 1 << 16
 #: Bound of the training sample: rows per label.
@@ -171,7 +171,7 @@ def _document_counts(training: DataFrame) -> tuple[int, np.ndarray]:
             [pa.array(used, pa.int32()), pa.array(held[used])], ["dimension", "rows"]
         )
 
-    sums = training.select("text").mapInArrow(count, "dimension int, rows bigint")
+    sums = training.select("text").mapInArrow(tidy(count), "dimension int, rows bigint")
     total = np.zeros(DIMENSIONS + 1, dtype=np.int64)
     for r in sums.groupBy("dimension").agg(F.sum("rows").alias("rows")).collect():
         total[r["dimension"]] = r["rows"]
@@ -211,7 +211,7 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
 
     schema = "_order bigint, doc_id bigint, lang string, used binary, values binary"
     listed = sorted(
-        sample.mapInArrow(extract, schema).collect(),
+        sample.mapInArrow(tidy(extract), schema).collect(),
         key=lambda r: (r["_order"], r["doc_id"], r["lang"], bytes(r["used"])),
     )
     labels = sorted({r["lang"] for r in listed})
@@ -251,7 +251,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(label, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(label), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
@@ -264,4 +264,4 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
             kept = [name != UNKNOWN and score >= least for name, score in found]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(tidy(choose), docs.schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, id_text, keep_ids, without_ids, word_blocks
+from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, free_name, id_text, keep_ids, tidy, without_ids, word_blocks
 
 WORDS = 4
 LEAST = 85
@@ -98,7 +98,7 @@ def _sets(rows: DataFrame, id_type: str, words: int, least: int) -> DataFrame:
                 )
 
     return rows.mapInArrow(
-        build, f"doc_id {id_type}, n bigint, digest binary, head array<bigint>"
+        tidy(build), f"doc_id {id_type}, n bigint, digest binary, head array<bigint>"
     )
 
 
@@ -127,7 +127,7 @@ def _fragments(rows: DataFrame, words: int) -> DataFrame:
                     ["digest", "fragment", "part"],
                 )
 
-    return rows.mapInArrow(build, "digest binary, fragment int, part binary")
+    return rows.mapInArrow(tidy(build), "digest binary, fragment int, part binary")
 
 
 def _unpacked(fragments: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _unpacked(fragments: DataFrame) -> DataFrame:
                     [pa.array(owners), pa.array(hashes)], ["rep", "shingle"]
                 )
 
-    return fragments.select("rep", "part").mapInArrow(unpack, "rep bigint, shingle bigint")
+    return fragments.select("rep", "part").mapInArrow(tidy(unpack), "rep bigint, shingle bigint")
 
 
 def _left_after_first_cut(base: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -219,7 +219,7 @@ def _overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     left = fragments.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("left"))
     right = fragments.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("right"))
     met = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    parts = met.select("a", "b", "left", "right").mapInArrow(count, "a bigint, b bigint, part bigint")
+    parts = met.select("a", "b", "left", "right").mapInArrow(tidy(count), "a bigint, b bigint, part bigint")
     return parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import cut_lineage
+from seqloom.llm.shared import cut_lineage, tidy
 from seqloom.llm.tokens import DEFAULT, word_ids
 
 CAPACITY = 4096
@@ -80,10 +80,11 @@ def pieces(
                     columns.append(pa.array(ids, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.forget()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, schema + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(tidy(cut), schema + (", ids binary" if with_ids else ""))
 
 
 class Plan:
@@ -311,7 +312,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Dat
 
     numbered = ranked(rows)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.drop("rank").schema]
-    return numbered.mapInArrow(place, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
+    return numbered.mapInArrow(tidy(place), ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:

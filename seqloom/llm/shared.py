@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.session import cut_lineage, scratch_folder
 
-__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "lowest", "scratch_folder", "table", "text_of", "without_ids", "word_blocks"]
+__all__ = ["SPACE", "cut_lineage", "free_name", "id_text", "keep_ids", "lowest", "scratch_folder", "table", "text_of", "tidy", "without_ids", "word_blocks"]
 
 #: White space of the text contracts: space and the controls 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -25,6 +26,20 @@ def without_ids(rows: DataFrame, ids: DataFrame, names: list[str], count: int) -
     return rows.join(ids, names, "left_anti")
 
 
+def tidy(work: Callable) -> Callable:
+    """``work`` over Arrow batches, which gives Arrow's unused memory back when a task ends.
+
+    Workers outlive their tasks, and a pool that keeps the largest batch of each stage would count
+    against the stages that follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 

@@ -98,6 +98,10 @@ class WordIds:
             begin = end
         return [b"".join(part) for part in parts]
 
+    def forget(self) -> None:
+        """Drop the words met so far; for stages whose worker goes on to other work."""
+        self.known = {}
+
     def _ids(self, blocks: list[bytes]) -> list[bytes]:
         split = [block.split() for block in blocks]
         new = set().union(*split).difference(self.known)
