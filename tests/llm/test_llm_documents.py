@@ -358,6 +358,33 @@ def test_secrets(spark, odd, empty, documents):
         assert r["base_sha256"] == plain.digest(plain.secret_spans(texts[r["doc_id"]]))
 
 
+UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+FORMATS = {
+    "ghp": ("ghp_", UPPER + UPPER.lower() + DIGITS, 36), "xoxb": ("xoxb-", UPPER + UPPER.lower() + DIGITS, 48),
+    "aiza": ("AIza", UPPER + UPPER.lower() + DIGITS + "_-", 35), "bare": ("", UPPER + UPPER.lower() + DIGITS, 32),
+    "capitals": ("", UPPER + DIGITS, 20), "dotted": ("", UPPER + UPPER.lower() + DIGITS + ".", 24),
+    "short": ("", UPPER + UPPER.lower() + DIGITS, 12), "letters": ("", UPPER + UPPER.lower(), 24),
+}
+
+
+@pytest.mark.parametrize("name", FORMATS)
+def test_secrets_of_any_alphabet(spark, documents, name):
+    """Unlabelled values of a labelled format are found, whatever its symbols; other tokens are not."""
+    draw = random.Random(4)
+    prefix, symbols, size = FORMATS[name]
+    value = lambda: prefix + "".join(draw.choices(symbols, k=size - 1)) + draw.choice(DIGITS if "0" in symbols else UPPER)
+    rows = [(i, f"set token={value()} now", "en", "a") for i in range(500)]
+    loose = [value().lstrip(".") for _ in range(40)]
+    rows += [(1000 + i, f"see {v} there", "en", "a") for i, v in enumerate(loose)]
+    rows += [(2000 + i, f"user{i:08d} internationalisation 2024-05-{i % 28 + 1:02d} getUserNameById {i:020d}", "en", "a") for i in range(40)]
+    rows += [(10_000 + r["doc_id"], r["text"], "en", "b") for r in documents.collect()]
+    found = secrets.find_secrets(make(spark, rows)).collect()
+    hits = {r["doc_id"]: r["spans"] for r in found if r["n_format"]}
+    right = sum(hits.get(1000 + i) == f"format:4:{4 + len(v)}" for i, v in enumerate(loose))
+    assert right >= 36
+    assert not [k for k in hits if not 1000 <= k < 2000]
+
+
 def test_automaton_merges_and_generalises():
     draw = random.Random(8)
     values = ["id-" + "".join(draw.choices("0123456789", k=12)) for _ in range(400)]
