@@ -5,10 +5,13 @@ failing matches drop out without retry). Their values are the protected entities
 
 A word ``t`` reveals an entity ``e`` as far as the corpus says so: with documents as contexts,
 ``PMI(e, t) = log(N n_et / (n_e n_t))``, of which ``IC(e) = log(N / n_e)`` is the most there can be.
-Where ``PMI >= GENERALISE * IC`` the word is a ``term`` span in the documents that hold ``e``, and
-is generalised to its first letter; from ``REMOVE`` on it is removed. A pair counts once it is seen
-in ``SUPPORT`` different texts, since an estimate from one text says nothing. Documents without an
-entity are left alone.
+Where ``PMI >= GENERALISE * IC`` the word is a ``term`` span in every document that holds it, with
+an entity or without, and is generalised to its first letter; from ``REMOVE`` on it is removed.
+
+Every entity counts, however rare. For pairs seen in fewer than ``SUPPORT`` different texts the
+share ``n_et / n_e`` of an entity with ``k`` texts is shrunk to the word's share of all documents,
+``(k n_et / n_e + SHRINK n_t / N) / (k + SHRINK)``, so that one text gives away only its rarest
+words. Entities that stand in one text only have the same estimates and are treated as one.
 
 All of it is DataFrame and SQL functions. Offsets are code points, end exclusive; they come from
 the lengths of the pieces between matches. Null text counts as empty. Repeated rows are scanned
@@ -20,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import cut_lineage, keep_ids, text_of
+from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, keep_ids, text_of
 
 GENERALISE = 0.8
 REMOVE = 0.95
+#: Texts from which on an estimate is not shrunk.
 SUPPORT = 3
+#: Texts' worth of the word's share of all documents in each estimate.
+SHRINK = 0.5
 SHORTEST = 4
 
 # The base patterns, so written that a run of characters is tried once: a match starts where a
@@ -45,6 +51,9 @@ NEEDED = {
 }
 WORD = rf"\p{{L}}{{{SHORTEST},}}+"
 
+#: Matches listed together.
+BLOCK = 128
+
 SPAN = "struct<kind:string,start:bigint,end:bigint,value:string>"
 
 
@@ -55,18 +64,28 @@ def _sql(text: str) -> str:
 def located(text: str, pattern: str, kind: str) -> str:
     """SQL: spans of all matches, offsets from the pieces between them."""
     pieces, found = f"split({text}, {pattern}, -1)", f"regexp_extract_all({text}, {pattern}, 0)"
+    # the last piece has no match after it
+    pairs = (
+        f"filter(zip_with({pieces}, {found}, (p, v) -> named_struct('piece', p, 'value', v)),"
+        " x -> x.value IS NOT NULL)"
+    )
     step = (
         "named_struct('at', a.at + length(x.piece) + length(x.value), 'spans', concat(a.spans, array("
         f"named_struct('kind', '{kind}', 'start', a.at + length(x.piece),"
         " 'end', a.at + length(x.piece) + length(x.value), 'value', x.value))))"
     )
-    empty = f"named_struct('at', 0L, 'spans', CAST(array() AS array<{SPAN}>))"
-    # the last piece has no match after it
-    pairs = (
-        f"filter(zip_with({pieces}, {found}, (p, v) -> named_struct('piece', p, 'value', v)),"
-        " x -> x.value IS NOT NULL)"
+    empty = f"CAST(array() AS array<{SPAN}>)"
+    # in blocks, since each step copies what is listed before it
+    block = (
+        f"aggregate(block, named_struct('at', b.at, 'spans', {empty}), (a, x) -> {step},"
+        " a -> named_struct('at', a.at, 'parts', concat(b.parts, array(a.spans))))"
+    )
+    blocks = (
+        f"transform(array({pairs}), y -> transform(sequence(0, size(y) div {BLOCK}),"
+        f" k -> slice(y, k * {BLOCK} + 1, {BLOCK})))[0]"
     )
-    return f"aggregate({pairs}, {empty}, (a, x) -> {step}, a -> a.spans)"
+    start = f"named_struct('at', 0L, 'parts', CAST(array() AS array<array<{SPAN}>>))"
+    return f"aggregate({blocks}, {start}, (b, block) -> {block}, b -> flatten(b.parts))"
 
 
 _DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
@@ -104,57 +123,72 @@ def words(text: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans`` of every row, with ``text`` and ``row`` where there are spans."""
+    """``doc_id, spans, text, row`` of every row."""
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("spans", base_spans())
-    held = F.size("spans") > 0
     return cut_lineage(
-        rows.select(
-            "doc_id",
-            "spans",
-            F.when(held, F.col("text")).alias("text"),
-            F.when(held, F.monotonically_increasing_id()).alias("row"),
-        )
+        rows.select("doc_id", "spans", "text", F.monotonically_increasing_id().alias("row"))
     )
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """``entity, term, share``: pairs whose PMI is at least ``GENERALISE`` of the entity's IC."""
+    """``entity, term, share``: pairs whose PMI is at least ``GENERALISE`` of the entity's IC.
+
+    Entities of one text only come once, as that text's hash in place of ``entity``.
+    """
     total = scanned.count()
-    held = scanned.where("row IS NOT NULL").select(
-        "row",
+    held = scanned.where("size(spans) > 0").select(
         F.xxhash64("text").alias("content"),
         F.expr("array_distinct(transform(spans, s -> s.value))").alias("entities"),
         words("text").alias("terms"),
     )
-    entities = held.select("row", "content", "terms", F.explode("entities").alias("entity"))
-    # copies of a text support a pair once
-    known = cut_lineage(
-        entities.groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_e"))
-        .where(F.col("n_e") >= SUPPORT)
-    )
-    pairs = cut_lineage(
-        entities.join(known.select("entity"), "entity", "left_semi")
-        .groupBy("entity", "content")
-        .agg(F.count(F.lit(1)).alias("copies"), F.first("terms").alias("terms"))
+    # copies of a text are one text
+    texts = cut_lineage(
+        held.groupBy("content").agg(
+            F.count(F.lit(1)).alias("copies"),
+            F.first("entities").alias("entities"),
+            F.first("terms").alias("terms"),
+        )
+    )
+    holders = cut_lineage(texts.select("content", "copies", F.explode("entities").alias("entity")))
+    counted = cut_lineage(
+        holders.groupBy("entity").agg(
+            F.sum("copies").alias("n_e"),
+            F.count(F.lit(1)).alias("texts"),
+            F.first("content").alias("content"),
+        )
+    )
+    alone = counted.where("texts = 1").select("content").distinct()
+    single = texts.join(alone, "content", "left_semi").select(
+        F.col("content").cast("string").alias("entity"),
+        F.explode("terms").alias("term"),
+        F.col("copies").alias("n_et"),
+        F.col("copies").alias("n_e"),
+        F.lit(1).cast("long").alias("texts"),
+        F.lit(1).cast("long").alias("support"),
+    )
+    shared = counted.where("texts > 1").select("entity", "n_e", "texts")
+    several = (
+        holders.join(shared.select("entity"), "entity", "left_semi")
+        .join(texts.select("content", "terms"), "content")
         .select("entity", "copies", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= SUPPORT)
-        .drop("texts")
+        .agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("support"))
+        .join(shared, "entity")
+        .select("entity", "term", "n_et", "n_e", "texts", "support")
     )
+    pairs = cut_lineage(single.unionByName(several))
     wanted = cut_lineage(pairs.select("term").distinct())
-    said = docs.select(F.explode(words_of_all()).alias("term"))
+    said = scanned.select(F.explode(words_of_all()).alias("term"))
     counts = keep_ids(said, wanted, "term", wanted.count()).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_t")
     )
-    share = F.expr(
-        f"ln({float(total)}D * n_et / (CAST(n_e AS double) * n_t)) / ln({float(total)}D / n_e)"
-    )
+    n, base = f"{float(total)}D", f"n_t / {float(total)}D"
+    weight = f"IF(support < {SUPPORT}, {SHRINK}D, 0D)"
+    shrunk = f"((texts * n_et / CAST(n_e AS double) + {weight} * {base}) / (texts + {weight}))"
+    share = F.expr(f"ln({shrunk} / ({base})) / ln({n} / n_e)")
     return (
-        pairs.join(cut_lineage(counts), "term")
-        .join(known, "entity")
-        .where(F.col("n_e") < total)
+        pairs.where(F.col("n_e") < total)
+        .join(cut_lineage(counts), "term")
         .select("entity", "term", share.alias("share"))
         .where(F.col("share") >= GENERALISE)
     )
@@ -165,43 +199,33 @@ def words_of_all() -> Column:
 
 
 def term_spans(scanned: DataFrame, revealed: DataFrame) -> DataFrame:
-    """``row, terms``: spans of revealing words, with ``share`` of the most they give away."""
-    held = scanned.where("row IS NOT NULL")
-    terms = (
-        held.select(
-            "row",
-            F.explode(words("text")).alias("term"),
-            F.expr("array_distinct(transform(spans, s -> s.value))").alias("entities"),
-        )
-        .select("row", "term", F.explode("entities").alias("entity"))
-        .join(revealed, ["entity", "term"])
-        .groupBy("row", "term")
-        .agg(F.max("share").alias("share"))
-        .groupBy("row")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
-    )
-    every = located("text", _sql(WORD), "term")
+    """``row, terms``: spans of revealing words, with ``share`` of the most they give away.
+
+    A word counts wherever it stands, also in documents that do not hold the entity.
+    """
+    most = cut_lineage(revealed.groupBy("term").agg(F.max("share").alias("share")))
+    told = most
+    if most.count() <= BROADCAST_IDS:
+        told = F.broadcast(most)
+    rows = scanned.select("row", F.explode(words_of_all()).alias("term"))
+    rows = rows.join(told, "term", "left_semi").select("row").distinct()
     apart = "NOT exists(spans, b -> b.start < s.end AND s.start < b.end)"
-    listed = f"filter({every}, s -> map_contains_key(shares, s.value) AND {apart})"
-    return held.join(terms, "row").select(
-        "row",
-        F.expr(
-            f"transform({listed}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end,"
-            " 'value', s.value, 'share', shares[s.value]))"
-        ).alias("terms"),
+    listed = f"filter({located('text', _sql(WORD), 'term')}, s -> {apart})"
+    said = scanned.join(rows, "row", "left_semi").select("row", F.explode(F.expr(listed)).alias("s"))
+    return (
+        said.select("row", "s.*", F.col("s.value").alias("term"))
+        .join(told, "term")
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value", "share"))).alias("terms"))
     )
 
 
 def protect(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans, terms, text``; ``text`` is null in documents without an entity."""
+    """``doc_id, spans, terms, text``; ``terms`` is null or empty in documents without any."""
     scanned = scan(docs)
     revealed = cut_lineage(disclosures(docs, scanned))
-    terms = term_spans(scanned, revealed)
-    plain = scanned.where("row IS NULL").select("doc_id", "spans", "text", F.lit(None).alias("terms"))
-    held = scanned.where("row IS NOT NULL").join(terms, "row", "left")
-    return held.select("doc_id", "spans", "text", "terms").unionByName(
-        plain.select("doc_id", "spans", "text", F.col("terms").cast(dict(held.dtypes)["terms"]).alias("terms"))
-    )
+    terms = cut_lineage(term_spans(scanned, revealed))
+    return scanned.join(terms, "row", "left").select("doc_id", "spans", "text", "terms")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -225,9 +249,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: base spans as ``[kind]``, words removed or cut to their first letter.
 
-    Only rows with an entity come back; every other text stays as it is.
+    Only rows with a span come back; every other text stays as it is.
     """
-    found = protect(docs).where("text IS NOT NULL")
+    found = protect(docs).where("size(spans) > 0 OR size(terms) > 0")
     base = "transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'by', concat('[', s.kind, ']')))"
     by = f"IF(s.share >= {REMOVE}, '', concat(substring(s.value, 1, 1), '*'))"
     terms = (

@@ -330,6 +330,25 @@ def test_privacy_terms(spark):
     assert share == pytest.approx(1.0)
 
 
+def test_privacy_terms_of_rare_entities(spark):
+    """One document is enough for an entity, and its words count in documents without it."""
+    rows = [(0, "the mayor Quillfeather wrote from q@town.org today", "en", "a")]
+    rows += [(1, "a letter by Quillfeather came today", "en", "a")]
+    rows += [(2, "the baker Ashgrove wrote from r@town.org today", "en", "a")] * 2
+    rows += [(3, "the clerk Ashgrove and a mayor wrote from town today", "en", "a")]
+    rows += [(100 + i, f"the mayor or baker or clerk wrote letter {i} from town today", "en", "a") for i in range(3000)]
+    docs = make(spark, rows)
+    found = {r["doc_id"]: r for r in privacy.find_personal_data(docs).collect()}
+    for k, name in ((0, "Quillfeather"), (1, "Quillfeather"), (2, "Ashgrove"), (3, "Ashgrove")):
+        at = rows[k if k < 3 else 4][1].index(name)
+        assert f"term:{at}:{at + len(name)}" in found[k]["spans"].split(",")
+        assert found[k]["n_term"] == 1
+    assert sum(r["n_term"] for k, r in found.items() if k >= 100) == 0
+    clean = [(r["doc_id"], r["text"]) for r in privacy.sanitised(docs).collect()]
+    assert sorted(k for k, _ in clean) == [0, 1, 2, 2, 3]
+    assert not any("Quillfeather" in text or "Ashgrove" in text for _, text in clean)
+
+
 def test_secrets(spark, odd, empty, documents):
     draw = random.Random(8)
     hexes = ["".join(draw.choices("0123456789abcdef", k=40)) for _ in range(300)]
