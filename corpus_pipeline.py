@@ -10,6 +10,10 @@ from seqloom.llm import exact_dedup, language, mixing, ngram_join, packing
 from seqloom.session import scratch_folder, ship_package
 
 
+#: The near-duplicate stage: words a shingle, and the least Jaccard similarity in hundredths.
+WORDS, LEAST = 5, 80
+
+
 def _shipped(stage):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -27,7 +31,7 @@ def _copies(docs: DataFrame) -> DataFrame:
 
 
 def _near_copies(docs: DataFrame) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, words=WORDS, least=LEAST)
 
 
 def _mixed(docs: DataFrame) -> DataFrame:

@@ -115,3 +115,17 @@ def test_stages_keep_columns_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("doc_id < 0"), FOLDER).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES][2] == "n-gram Jaccard join" and ngram_join.LEAST == 85
+
+
+def test_near_copies_of_the_pipeline_by_five_words(spark):
+    """One replaced run: below 0.85 of four words a shingle, above 0.80 of five."""
+    words = [f"w{i}" for i in range(100)]
+    other = words[:40] + [f"new{i}" for i in range(5)] + words[45:]
+    four, five = ((97 - 8) / (97 + 8), (96 - 9) / (96 + 9))
+    assert 0.8 <= five < four < 0.85
+    docs = spark.createDataFrame(
+        [(1, " ".join(words), "en", "a", 1), (2, " ".join(other), "en", "a", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    assert [r["doc_id"] for r in stage(spark, docs, FOLDER).collect()] == [1]
