@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import (
     boilerplate,
+    conversations,
     exact_dedup,
     language,
     mixing,
     neighbours,
     ngram_join,
     packing,
+    periodic_runs,
     privacy,
+    quality,
     secrets,
     token_shards,
 )
@@ -71,6 +74,19 @@ def op10_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.drop_boilerplate(table(spark, folder, "pages"))
 
 
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, folder, "conversations"))
+
+
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, folder, "documents"), repeat_tails=True)
+
+
 OP7_SQL = """
 WITH RECURSIVE words AS MATERIALIZED (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -149,6 +165,9 @@ def queries() -> dict:
         op8_neighbours,
         op9_exact_dedup,
         op10_boilerplate,
+        op11_conversations,
+        op12_quality,
+        op13_periodic_runs,
     )
     return {query.__name__: query for query in listed}
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", re.A)
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", re.A)
@@ -98,3 +99,119 @@ def jaccard_components(rows, least=85):
                 a, b = sorted((root(key), root(other)))
                 label[b] = a
     return {key: (len(held), root(key)) for key, held in sets.items()}
+
+
+def faults(rows):
+    """Fault of each ``(role, text)`` row of one conversation, in order."""
+    seen, found = set(), []
+    for role, text in rows:
+        body = text.strip(" \t\n\v\f\r")
+        if not body:
+            found.append("blank")
+        elif (role, text) in seen:
+            found.append("duplicate")
+        else:
+            found.append("" if body[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return found
+
+
+def cheapest_audit(initials, faults):
+    """``(cost, audit)`` by search over whole strings: every edit of every row, two inserts at most."""
+    best = {"": (0, "")}  # the last two roles' worth of pattern: "", "s", "u", "a"
+    follow = {"s": {"": "s"}, "u": {"": "u", "s": "u", "a": "u"}, "a": {"u": "a"}}
+
+    def with_inserts(held):
+        for _ in range(3):
+            for state, (cost, audit) in list(held.items()):
+                for role in "ua":
+                    then = follow[role].get(state)
+                    if then:
+                        held[then] = min(held.get(then, (10**9, "")), (cost + 3, audit + "I"))
+        return held
+
+    best = with_inserts(best)
+    for initial, fault in zip(initials, faults, strict=True):
+        then = {}
+
+        def offer(state, cost, audit):
+            then[state] = min(then.get(state, (10**9, "")), (cost, audit))
+
+        for state, (cost, audit) in best.items():
+            offer(state, cost + 4, audit + "D")
+            if fault in ("blank", "duplicate"):
+                continue
+            more = 3 * (fault == "truncated")
+            if state in follow.get(initial, {}):
+                offer(follow[initial][state], cost + more, audit + "K")
+            for role in "ua":
+                if state in follow[role]:
+                    offer(follow[role][state], cost + more + 3, audit + "R")
+        best = with_inserts(then)
+    return min(best[state] for state in ("", "a") if state in best)
+
+
+def repaired(rows, audit):
+    """Rows an audit leaves; their number tells whether a system row comes first."""
+    rows, left = iter(rows), []
+    for letter in audit:
+        row = None if letter == "I" else next(rows)
+        if letter != "D":
+            left.append((letter, row))
+    odd = len(left) % 2
+    out = []
+    for k, (letter, row) in enumerate(left):
+        due = "system" if odd and not k else ("user", "assistant")[(k - odd) % 2]
+        role, text = row if letter == "K" else (due, row[1] if row else "")
+        assert role[:1] == due[0]
+        out.append(f"{role}:{text}")
+    return out
+
+
+def damage(rows):
+    """``(conv_id, turn, role, text)`` rows as the query has them."""
+    out = []
+    for conv_id, turn, role, text in rows:
+        role, text = (" " if value is None else value for value in (role, text))
+        name = ":".join(" " if value is None else str(value) for value in (conv_id, turn))
+        kind = zlib.crc32(name.encode()) % 20
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        out += [(conv_id, turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def conversation(rows):
+    """All columns of one conversation's damaged rows."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+    plain_rows = [(role, text) for _, _, role, text in rows]
+    initials = [role[:1] for role, _ in plain_rows]
+    found = faults(plain_rows)
+    turns = {turn for _, turn, _, _ in rows if turn is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+    cost, audit = cheapest_audit(initials, found)
+    digest = hashlib.sha256("\n".join(repaired(plain_rows, audit)).encode()).hexdigest()
+    return (gaps, *map(found.count, ("blank", "duplicate", "truncated")), illegal, cost, audit, digest)
+
+
+def runs(words, least=12):
+    """``(start, length, period)`` of all runs, by comparing at every distance."""
+    n, found = len(words), {}
+    for period in range(1, n // 2 + 1):
+        i = 0
+        while i + period < n:
+            if words[i] != words[i + period]:
+                i += 1
+                continue
+            start = i
+            while i + period < n and words[i] == words[i + period]:
+                i += 1
+            end = i + period
+            if end - start >= max(least, 2 * period):
+                found[start, end] = min(period, found.get((start, end), period))
+    return sorted((start, end - start, period) for (start, end), period in found.items())
