@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import cut_lineage, lowest, tidy
+from seqloom.llm.shared import cut_lineage, lowest, text_of, tidy
 
 #: Bound of the training sample: rows per label, and blocks of each.
 PER_LABEL = 1000
@@ -131,17 +131,17 @@ def held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     marked = marked.where(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    usable = docs.select("doc_id", "text").join(marked.distinct(), "doc_id")
-    usable = usable.select("quality", F.coalesce("text", F.lit("")).alias("text"), "doc_id")
-    place = F.xxhash64(F.lit("quality"), "doc_id", "text")
-    totals = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}  # two rows
+    place = F.xxhash64(F.lit("quality"), "doc_id", text_of())
+    # texts stay where they are: only ids and hashes meet the labels
+    narrow = cut_lineage(docs.select("doc_id", place.alias("_at")).join(marked.distinct(), "doc_id"))
+    totals = {r["quality"]: r["count"] for r in narrow.groupBy("quality").count().collect()}  # two rows
     if len(totals) < 2:
         return Model(b"", b"", 0.0, math.log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1)))
-    narrow = usable.select("quality", "doc_id", place.alias("_at")).distinct()
-    chosen = lowest(narrow, "quality", F.col("_at"), per_label).select("quality", "doc_id", "_at")
-    joined = usable.withColumn("_at", place).join(F.broadcast(chosen), ["quality", "doc_id", "_at"])
+    chosen = lowest(narrow.distinct(), "quality", F.col("_at"), per_label).select("quality", "doc_id", "_at")
+    placed = docs.select("doc_id", text_of().alias("text"), place.alias("_at"))
     # per_label rows a label, repeats of one row counting once
-    sample = cut_lineage(joined.dropDuplicates(["quality", "doc_id", "_at"]).drop("doc_id"))
+    joined = placed.join(F.broadcast(chosen), ["doc_id", "_at"])
+    sample = cut_lineage(joined.dropDuplicates(["quality", "doc_id", "_at"]).select("quality", "_at", "text"))
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
