@@ -6,6 +6,7 @@ All queries run over whole tables and whole texts.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
@@ -20,12 +21,13 @@ import oracle_queries
 from seqloom.formats import COPY, PACKED_ALPHABET, RAW, VARIANTS
 from seqloom.functions.catalog import expr, register, sql
 from seqloom.functions.rangecoder import decode_run, encode_run
-from seqloom.operators import blocks, complexity, graph, kmers, markov, repeats
+from seqloom.operators import blocks, complexity, graph, kmers, lz76_joins, markov, repeats
 from seqloom.operators.residual import ModelCodec, PlainCodec
 from seqloom.operators.token_models import UniformModel, train_markov
-from seqloom.plans import archive_v1, archive_v2, benchmark
-from seqloom.session import ship_package
-from seqloom.sources import tables
+from seqloom.plans import archive_v1, archive_v2, benchmark, restoring_by_joins
+from seqloom.session import cut_lineage, scratch_folder, ship_package
+from seqloom.sources import archive_blocks, fasta, files, tables
+from seqloom.sources import fasta_pieces as fasta_pieces_source
 
 try:  # the package for training data and its pipeline may be left out
     import corpus_pipeline
@@ -111,6 +113,38 @@ def context_tails(spark, folder):
     )
 
 
+FASTA_PIECE = 1000  # bytes a range, so that ranges meet lines and headers in every way
+
+
+def _fasta_pieces(spark, folder):
+    """All documents with symbols, written as FASTA files and read back by byte ranges."""
+    target = f"{scratch_folder(spark).rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    named = docs(spark, folder).where("seq <> ''").withColumn("name", F.expr("concat(record_id, '.fa')"))
+    files.write_files(fasta.fasta_files(named), target)
+    key = F.expr("CAST(regexp_extract(record_id, '([0-9]+)[.]fa$', 1) AS BIGINT)")
+    heads, pieces = fasta_pieces_source.read_pieces(spark, target, pieceBytes=FASTA_PIECE)
+    return heads.withColumn("record_id", key), pieces.withColumn("record_id", key)
+
+
+def fasta_pieces(spark, folder):
+    """Where each piece lies in its record, and its symbols."""
+    heads, pieces = _fasta_pieces(spark, folder)
+    return pieces.join(heads, "record_id").select(
+        "record_id",
+        "header",
+        F.col("length").alias("record_length"),
+        "offset",
+        F.octet_length("bases").cast("long").alias("length"),
+        F.sha2("bases", 256).alias("sha256"),
+    )
+
+
+def fasta_piece_edges(spark, folder):
+    """Edges of records that are in no cell as a whole."""
+    _, pieces = _fasta_pieces(spark, folder)
+    return graph.piece_edges(fasta_pieces_source.recut(pieces, 16, 512), 15)
+
+
 # --- k-mers and graph ------------------------------------------------------
 
 
@@ -335,7 +369,7 @@ def markov_counts(spark, folder):
 
 def markov_bits(spark, folder):
     bits = markov.record_bits(docs(spark, folder), 3)
-    return bits.select("record_id", F.round("bits", 3).alias("bits"))
+    return bits.select("record_id", F.round("bits", 6).alias("bits"))
 
 
 def markov_trained(spark, folder):
@@ -359,6 +393,11 @@ def lz76(spark, folder):
     return docs(spark, folder).select("record_id", complexity.lz76("seq").alias("lz76_complexity"))
 
 
+def lz76_by_joins(spark, folder):
+    """Phrases of all documents without a record in any task."""
+    return lz76_joins.lz76_by_joins(docs(spark, folder))
+
+
 def sequence_complexity(spark, folder):
     records = docs(spark, folder)
     rows = complexity.complexity(records, F.lit(8.0) / (F.length("seq") + 1))
@@ -567,6 +606,50 @@ def roundtrip_any(spark, folder):
     return _restored(archive_v1.decompress_any(json_cells.unionByName(binary_cells)))
 
 
+def _archive_folder(spark, folder):
+    """All documents as binary archives, a file each."""
+    target = f"{scratch_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    cells = archive_v2.compress(docs(spark, folder))
+    named = cells.select(F.expr("concat(record_id, '.ghdna')").alias("name"), F.col("archive").alias("content"))
+    files.write_files(named, target)
+    return target
+
+
+_ARCHIVE_ID = "CAST(regexp_extract(path, '([0-9]+)[.]ghdna$', 1) AS BIGINT)"
+
+
+def archive_files_scan(spark, folder):
+    """Block rows of archive files, of which only header and block table are read."""
+    rows = archive_blocks.scan_blocks(spark, _archive_folder(spark, folder))
+    return rows.select(F.expr(_ARCHIVE_ID).alias("record_id"), *[
+        "block_no", "type", "start", "length", "source", "symbol_count", "bit_length",
+        "payload_offset", "payload_length",
+    ])
+
+
+def archive_files_payloads(spark, folder):
+    """Payloads of the longer residuals that are not their archive's first block."""
+    rows = archive_blocks.scan_blocks(spark, _archive_folder(spark, folder), payload=True)
+    long = rows.where("type = 'llm_residual' AND length >= 20 AND block_no > 0")
+    return long.select(
+        F.expr(_ARCHIVE_ID).alias("record_id"), "block_no", "start", "length", F.hex("payload").alias("payload")
+    )
+
+
+def roundtrip_by_joins(spark, folder):
+    """Both archive formats restored without a record in any cell."""
+    records = docs(spark, folder)
+    written = archive_v1.compress(records)
+    json_tiles = archive_v1.tile_rows(written)
+    binary_tiles = archive_v2.tile_rows(archive_v2.compress(records))
+    both = []
+    for about, tiles in (json_tiles, binary_tiles):
+        about, tiles = cut_lineage(about), cut_lineage(tiles)
+        pieces = restoring_by_joins.restored_pieces(tiles, about)
+        both.append(restoring_by_joins.verified(pieces, about))
+    return both[0].unionByName(both[1])
+
+
 def archive_scan(spark, folder):
     """Block rows read back from binary archives."""
     opened = archive_v2.scan(archive_v2.compress(docs(spark, folder)))
@@ -638,18 +721,19 @@ def _shipped(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     listed = (
-        fasta_text, fasta_normalise, alphabet_violations, seq_checksum, context_tails,
+        fasta_text, fasta_pieces, fasta_piece_edges, fasta_normalise, alphabet_violations, seq_checksum, context_tails,
         kmer_counts, kmer_sql, debruijn_edges, debruijn_adjacency, debruijn_degrees, edges_topk,
         mermaid_charts, mermaid_all_lines, mermaid_node_ids, output_names,
         seed_index, best_sources, graph_repeats, graph_repeats_pages, graph_repeats_overlap,
         graph_repeats_by_joins,
         v1_blocks, v2_blocks_plain, v2_raw_blocks, chunk_plan, prune_repeats, plan_cost,
         candidate_choice, diagnostics_plain,
-        markov_counts, markov_bits, markov_trained, composition, lz76, sequence_complexity,
+        markov_counts, markov_bits, markov_trained, composition, lz76, lz76_by_joins, sequence_complexity,
         block_metrics,
         pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, block_table_model, integer_cdf, ideal_bits, coder_bits,
         roundtrip_plain, roundtrip_model, roundtrip_model_forced, roundtrip_v1, roundtrip_v2,
-        roundtrip_any, archive_scan, archive_scan_v1,
+        roundtrip_any, roundtrip_by_joins, archive_scan, archive_scan_v1,
+        archive_files_scan, archive_files_payloads,
         bench_variants, bench_variant_totals,
     )
     named = {query.__name__: query for query in listed}

@@ -145,7 +145,7 @@ cnt AS MATERIALIZED (SELECT record_id, ctx, sym, count(*) AS c FROM doc_grams GR
 tot AS MATERIALIZED (SELECT record_id, ctx, sum(c) AS t FROM cnt GROUP BY ALL),
 {grams(order, fragments, 'record_id, start', 'frag_grams')},
 bits AS (SELECT f.record_id, f.start,
-    sum(-log2((coalesce(c.c, 0) + 1.0) / (coalesce(t.t, 0) + 5.0))) AS bits
+    fsum(-log2((coalesce(c.c, 0) + 1.0) / (coalesce(t.t, 0) + 5.0))) AS bits
   FROM frag_grams f LEFT JOIN cnt c USING (record_id, ctx, sym)
     LEFT JOIN tot t USING (record_id, ctx)
   GROUP BY f.record_id, f.start)"""
@@ -218,6 +218,20 @@ def all_queries() -> dict[str, str]:
         'string_agg', chr(10)), '') || chr(10) AS text FROM docs)
     SELECT record_id, sha256(text) AS text_sha256, CAST(length(text) AS BIGINT) AS text_length,
       sha256(seq) AS seq_sha256 FROM t"""
+    # symbols in front of byte x of a file: whole lines of 81 bytes, and what the last one has
+    def symbols_before(x: str) -> str:
+        y = f"greatest({x} - head, 0)"
+        return f"least(n, ({y} // 81) * 80 + least({y} % 81, 80))"
+
+    out["fasta_pieces"] = f"""WITH {DOCS}, f AS (SELECT record_id, seq, length(seq) AS n,
+        '>doc_id_' || record_id AS header, length('>doc_id_' || record_id) + 1 AS head
+        FROM docs WHERE seq <> ''),
+      r AS (SELECT *, unnest(range(0, head + n + (n + 79) // 80, 1000)) AS a FROM f),
+      p AS (SELECT *, {symbols_before("a")} AS first, {symbols_before("(a + 1000)")} AS last FROM r)
+      SELECT record_id, header, CAST(n AS BIGINT) AS record_length, CAST(first AS BIGINT) AS offset,
+        CAST(last - first AS BIGINT) AS length,
+        sha256(substr(seq, CAST(first + 1 AS INT), CAST(last - first AS INT))) AS sha256
+      FROM p WHERE last > first"""
     out["fasta_normalise"] = r"""SELECT doc_id AS record_id,
       upper(regexp_replace(replace(text, 'ß', 'SS'), '^\s+|\s*\n\s*|\s+$', '', 'g')) AS seq FROM documents"""
     out["alphabet_violations"] = """SELECT doc_id AS record_id, coalesce(list_aggregate(
@@ -238,6 +252,7 @@ def all_queries() -> dict[str, str]:
           substr(kmer, 2, {k}) AS target, count(*) AS cnt FROM km GROUP BY ALL)"""
 
     out["debruijn_edges"] = f"WITH {DOCS}, {edges(15)} SELECT * FROM edges"
+    out["fasta_piece_edges"] = out["debruijn_edges"]
     out["debruijn_adjacency"] = f"WITH {DOCS}, {edges(5)} SELECT * FROM edges"
     out["debruijn_degrees"] = f"""WITH {DOCS}, {edges(6)} SELECT record_id, source,
       count(*) AS out_degree, CAST(sum(cnt) AS BIGINT) AS weight FROM edges GROUP BY ALL"""
@@ -257,15 +272,18 @@ def all_queries() -> dict[str, str]:
       SELECT record_id, 'flowchart LR' || chr(10) ||
         coalesce(body, '    empty["No edges to display"]') AS chart
       FROM docs LEFT JOIN bodies USING (record_id)"""
-    out["mermaid_all_lines"] = f"""WITH {DOCS}, {edges(4)},
-      ends AS (SELECT record_id, cnt, source, target, 0 AS slot, source AS node FROM edges
-        UNION ALL SELECT record_id, cnt, source, target, 1, target FROM edges),
-      firsts AS (SELECT *, row_number() OVER (PARTITION BY record_id, node
-        ORDER BY cnt DESC, source, target, slot) AS place FROM ends)
-      SELECT record_id, cnt, source, target, CAST(slot AS BIGINT) AS slot,
-        '    ' || node || '["' || node || '"]' AS line FROM firsts WHERE place = 1
+    # an edge's place in its chart is its rank; a node's first line is the least of three per edge
+    out["mermaid_all_lines"] = f"""WITH {DOCS}, {edges(4).replace("edges AS (", "edges AS MATERIALIZED (")},
+      ranked AS MATERIALIZED (SELECT *, row_number() OVER (
+        PARTITION BY record_id ORDER BY cnt DESC, source, target) AS place FROM edges),
+      firsts AS (SELECT record_id, node, min(line_no) AS line_no FROM (
+        SELECT record_id, source AS node, 3 * place AS line_no FROM ranked
+        UNION ALL SELECT record_id, target, 3 * place + 1 FROM ranked) GROUP BY ALL)
+      SELECT f.record_id, cnt, source, target, CAST(line_no % 3 AS BIGINT) AS slot,
+        '    ' || node || '["' || node || '"]' AS line
+      FROM firsts f JOIN ranked r ON f.record_id = r.record_id AND line_no // 3 = place
       UNION ALL SELECT record_id, cnt, source, target, 2,
-        '    ' || source || ' -->|' || cnt || '| ' || target FROM edges"""
+        '    ' || source || ' -->|' || cnt || '| ' || target FROM ranked"""
     out["output_names"] = r"""WITH named AS (SELECT doc_id, regexp_replace(list_extract(
         string_split('in/' || source || '/doc.v' || (doc_id % 1000) || '.fa', '/'), -1),
         '[.][^.]*$', '') || '.ghdna' AS name FROM documents)
@@ -443,12 +461,13 @@ def all_queries() -> dict[str, str]:
     out["markov_trained"] = f"""WITH {DOCS}, {grams(2, 'docs', 'record_id', 'g')}
       SELECT ctx, sym, count(*) AS n FROM g GROUP BY ALL"""
     out["markov_bits"] = f"""WITH {DOCS}, whole AS (SELECT record_id, 0 AS start, seq FROM docs),
-      {scored(3, 'whole')} SELECT record_id, round(coalesce(bits, 0), 3) AS bits
+      {scored(3, 'whole')} SELECT record_id, round(coalesce(bits, 0), 6) AS bits
       FROM docs LEFT JOIN bits USING (record_id)"""
     out["composition"] = f"WITH {DOCS} SELECT record_id, {COMPOSITION} FROM docs"
     out["lz76"] = f"""WITH RECURSIVE {DOCS}, {LZ76}
       SELECT record_id, coalesce(phrases, 0) AS lz76_complexity
       FROM docs LEFT JOIN phrases USING (record_id)"""
+    out["lz76_by_joins"] = out["lz76"]
     out["sequence_complexity"] = f"""WITH RECURSIVE {DOCS}, {LZ76}
       SELECT record_id, {COMPOSITION}, coalesce(phrases, 0) AS lz76_complexity,
         round(8.0::DOUBLE / (length(seq) + 1), 9) AS bits_per_base
@@ -490,4 +509,8 @@ def all_queries() -> dict[str, str]:
         out[name] = RESTORED.replace("{drop}", drop)
     both = RESTORED.replace("{drop}", "[^ACGTN]+")
     out["roundtrip_any"] = f"{both} UNION ALL {both}"
+    out["roundtrip_by_joins"] = out["roundtrip_any"]
+    out["archive_files_scan"] = f"SELECT * FROM ({out['archive_scan']}) WHERE block_no >= 0"
+    out["archive_files_payloads"] = f"""SELECT record_id, block_no, start, length, payload
+      FROM ({out["v2_blocks_plain"]}) WHERE type = 'llm_residual' AND length >= 20 AND block_no > 0"""
     return out

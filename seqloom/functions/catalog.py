@@ -131,9 +131,11 @@ _define(
     "shannon_bits", "seq:STRING", "DOUBLE",
     let(
         "s", "{seq}",
+        # one pass per symbol of the alphabet; only what is left is listed symbol by symbol
         """CASE WHEN length(s) = 0 THEN 0.0D ELSE aggregate(
-        transform(filter(array_distinct(split(s, '')), c -> c <> ''),
-          c -> CAST(length(s) - length(replace(s, c, '')) AS DOUBLE) / length(s)),
+        filter(transform(concat(array('A', 'C', 'G', 'T', 'N'), filter(array_distinct(
+          split(translate(s, 'ACGTN', ''), '')), c -> c <> '')),
+          c -> CAST(length(s) - length(replace(s, c, '')) AS DOUBLE) / length(s)), p -> p > 0),
         0.0D, (total, p) -> total - p * log2(p)) END""",
     ),
 )

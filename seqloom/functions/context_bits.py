@@ -58,6 +58,22 @@ def _tally(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[place] == wanted, counts[place], 0)
 
 
+#: Code lengths are summed in whole units of this part of a bit, so no order of summing matters.
+UNITS = 10**12
+
+
+def unit_bits(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Code lengths of probabilities ``seen / total``, in units."""
+    return np.rint(-np.log2(seen / total) * float(UNITS)).astype(np.int64)
+
+
+def _sums(units: np.ndarray, edges: np.ndarray) -> list[int]:
+    """Exact sums from each edge to the next, also past 64 bits."""
+    high = np.add.reduceat(units >> 20, edges).tolist()
+    low = np.add.reduceat(units & ((1 << 20) - 1), edges).tolist()
+    return [(h << 20) + rest for h, rest in zip(high, low, strict=True)]
+
+
 def gap_bits(seq: str, gaps: list[tuple[int, int]], order: int, pseudocount: float) -> list[float]:
     """Bits of each ``(start, length)`` gap; contexts restart at the beginning of a gap."""
     codes = _coded(seq.encode("utf-8"))
@@ -75,4 +91,4 @@ def gap_bits(seq: str, gaps: list[tuple[int, int]], order: int, pseudocount: flo
     seen = _tally(contexts * ABSENT + codes, used * ABSENT + symbols) + pseudocount
     total = _tally(contexts, used) + pseudocount * len(ALPHABET)
     edges = np.concatenate([[0], np.cumsum([length for _, length in gaps])[:-1]])
-    return np.add.reduceat(-np.log2(seen / total), edges).tolist()
+    return [float(bits) / UNITS for bits in _sums(unit_bits(seen, total), edges)]

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.catalog import expr
-from seqloom.operators.kmers import as_text, window_counts
+from seqloom.operators.kmers import as_text, piece_window_counts, window_counts
 
 
 def check_graph_input(records: DataFrame, k: int) -> DataFrame:
@@ -29,7 +29,18 @@ def debruijn_edges(records: DataFrame, k: int = 15, *, strict: bool = False) ->
         raise ValueError("k must be positive and smaller than the sequence length")
     if strict:
         records = check_graph_input(records, k)
-    return window_counts(records, k + 1).select(
+    return _as_edges(window_counts(records, k + 1), k)
+
+
+def piece_edges(pieces: DataFrame, k: int = 15) -> DataFrame:
+    """The edges of records that lie in pieces overlapping by ``k`` symbols, of any length."""
+    if k <= 0:
+        raise ValueError("k must be positive and smaller than the sequence length")
+    return _as_edges(piece_window_counts(pieces, k + 1), k)
+
+
+def _as_edges(windows: DataFrame, k: int) -> DataFrame:
+    return windows.select(
         "record_id",
         F.expr(f"CAST(substring(kmer, 1, {k}) AS STRING)").alias("source"),
         F.expr(f"CAST(substring(kmer, 2, {k}) AS STRING)").alias("target"),

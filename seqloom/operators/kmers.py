@@ -112,7 +112,7 @@ def count_windows(text: bytes, k: int) -> tuple[np.ndarray, ...]:
                 listed, return_index=True, return_inverse=True, return_counts=True
             )
     last = np.zeros(len(counts), dtype=np.int64)
-    np.maximum.at(last, group, np.arange(len(windows)))
+    last[group] = np.arange(len(windows))  # of a repeated place the last value stays
     return np.ascontiguousarray(windows[first]), counts, first, last
 
 
@@ -169,9 +169,16 @@ def window_counts(records: DataFrame, k: int) -> DataFrame:
     short, long = route(records)
     bases = F.col("seq").cast("binary").alias("bases")
     one = short.select("record_id", bases).mapInArrow(_counter(k, False), schema)
-    parts = chunks(long, k).select("record_id", "bases", "offset")
-    many = (
-        parts.mapInArrow(_counter(k, True), schema)
+    return one.unionByName(piece_window_counts(chunks(long, k), k))
+
+
+def piece_window_counts(pieces: DataFrame, k: int) -> DataFrame:
+    """The same from pieces that overlap by ``k - 1`` symbols."""
+    kind = dict(pieces.dtypes)["record_id"]
+    schema = f"record_id {kind}, kmer binary, occurrences bigint, first_pos bigint, last_pos bigint"
+    return (
+        pieces.select("record_id", "bases", "offset")
+        .mapInArrow(_counter(k, True), schema)
         .groupBy("record_id", "kmer")
         .agg(
             F.sum("occurrences").alias("occurrences"),
@@ -179,7 +186,6 @@ def window_counts(records: DataFrame, k: int) -> DataFrame:
             F.max("last_pos").alias("last_pos"),
         )
     )
-    return one.unionByName(many)
 
 
 def kmer_counts(records: DataFrame, k: int) -> DataFrame:

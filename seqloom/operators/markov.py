@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.formats import ALPHABET
-from seqloom.functions.context_bits import MAX_ORDER, context_text, following_counts, gap_bits
+from seqloom.functions.context_bits import (
+    MAX_ORDER,
+    UNITS,
+    context_text,
+    following_counts,
+    gap_bits,
+    unit_bits,
+)
 from seqloom.operators.kmers import CHUNK_POSITIONS, piece_offsets, route
 from seqloom.session import rebalance
 
@@ -229,18 +236,37 @@ def score(
     used = context_counts(
         checked_alphabet(fragments), ["record_id", fragment_key], order
     ).withColumnRenamed("counts", "times")
-    alpha = f"{float(pseudocount)}D"
-    known = f"coalesce(counts, array_repeat(0L, {len(ALPHABET)}))"
-    mass = f"aggregate({known}, {len(ALPHABET)} * {alpha}, (t, n) -> t + n)"
-    bits = f"""aggregate(zip_with(times, {known}, (used, n) -> IF(used = 0, 0D,
-        -used * log2((n + {alpha}) / {mass}))), 0D, (t, b) -> t + b)"""
+    known = F.coalesce("counts", F.expr(f"array_repeat(0L, {len(ALPHABET)})"))
+    # whole numbers: the sum is the same in any order, and in one task or many
+    bits = """aggregate(zip_with(times, units, (used, u) -> CAST(used AS DECIMAL(19, 0)) *
+        CAST(u AS DECIMAL(19, 0))), CAST(0 AS DECIMAL(38, 0)), (t, b) -> CAST(t + b AS DECIMAL(38, 0)))"""
     return (
         used.join(model, ["record_id", "ctx"], "left")
+        .withColumn("units", _symbol_units(pseudocount)(known))
         .groupBy("record_id", fragment_key)
-        .agg(F.sum(F.expr(bits)).alias("bits"))
+        .agg(F.sum(F.expr(bits)).alias("units"))
+        .select(
+            "record_id",
+            fragment_key,
+            (F.col("units").cast("double") / F.lit(float(UNITS))).alias("bits"),
+        )
     )
 
 
+def _symbol_units(pseudocount: float):
+    """Code length in units of each symbol after a context with these counts."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def units(lists: pa.Array) -> pa.Array:
+        counts = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(ALPHABET))
+        total = counts.sum(axis=1, keepdims=True) + pseudocount * len(ALPHABET)
+        ends = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * len(ALPHABET))
+        cells = unit_bits(counts + pseudocount, total)
+        return pa.ListArray.from_arrays(ends, pa.array(cells.reshape(-1)))
+
+    return units.asNondeterministic()
+
+
 class Scorer(Protocol):
     """Anything that learns from records and gives code lengths of fragments of them."""
 

@@ -65,21 +65,33 @@ def with_copies(
     ``min_length == k``. Such copies cannot be restored, so no codec asks for them.
     """
     check_lengths(k, min_length)
-    local = _list_udf(lambda seq: greedy_copies(seq, k, min_length, allow_overlap))
     short, long = split_by_length(records, local_bases)
-    short = short.withColumn("copies", local("seq"))
+    short = copies_in_place(short, k, min_length, allow_overlap)
     if long is None:
         return short
-    found = long_repeats.greedy_copies(long, k, min_length, allow_overlap=allow_overlap)
+    return short.unionByName(copies_by_joins(long, k, min_length, allow_overlap))
+
+
+def copies_in_place(
+    records: DataFrame, k: int, min_length: int, allow_overlap: bool = False
+) -> DataFrame:
+    """:func:`with_copies` of records that fit one task each."""
+    return records.withColumn(
+        "copies", _list_udf(lambda seq: greedy_copies(seq, k, min_length, allow_overlap))("seq")
+    )
+
+
+def copies_by_joins(
+    records: DataFrame, k: int, min_length: int, allow_overlap: bool = False
+) -> DataFrame:
+    """:func:`with_copies` of records of any length."""
+    found = long_repeats.greedy_copies(records, k, min_length, allow_overlap=allow_overlap)
     # the list of one record is a fraction (at most 1/min_length) of its own cell
     lists = found.groupBy("record_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "source", "length"))).alias("copies")
     )
-    empty = F.array().cast(COPY_LIST)
-    return short.unionByName(
-        long.join(lists, "record_id", "left").withColumn(
-            "copies", F.coalesce(F.col("copies"), empty)
-        )
+    return records.join(lists, "record_id", "left").withColumn(
+        "copies", F.coalesce(F.col("copies"), F.array().cast(COPY_LIST))
     )
 
 

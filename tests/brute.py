@@ -58,3 +58,12 @@ def coded_bits(symbols, cdfs, width):
             waiting += 1
             low, high = 2 * (low - full // 4), 2 * (high - full // 4) + 1
     return bits + [1]
+
+
+def restore(tiles):
+    """Text of ``(start, length, source, literal)`` tiles, one after the other."""
+    text = ""
+    for start, length, source, literal in tiles:
+        assert start == len(text)
+        text += literal if source is None else text[source : source + length]
+    return text
