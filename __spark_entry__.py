@@ -19,11 +19,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries
 from seqloom.formats import COPY, PACKED_ALPHABET, RAW, VARIANTS
+from seqloom.functions import table_functions
 from seqloom.functions.catalog import expr, register, sql
 from seqloom.functions.rangecoder import decode_run, encode_run
 from seqloom.operators import blocks, complexity, graph, kmers, lz76_joins, markov, repeats
 from seqloom.operators.residual import ModelCodec, PlainCodec
-from seqloom.operators.token_models import UniformModel, train_markov
+from seqloom.operators.token_models import UniformModel, train_markov, train_stretches
 from seqloom.plans import archive_v1, archive_v2, benchmark, restoring_by_joins
 from seqloom.session import cut_lineage, scratch_folder, ship_package
 from seqloom.sources import archive_blocks, fasta, files, tables
@@ -428,6 +429,35 @@ def block_metrics(spark, folder):
 # --- bits and coding -------------------------------------------------------
 
 
+def _in_pieces(records, width=1, positions=4096):
+    """Records in aligned pieces, none of them in a cell."""
+    return fasta_pieces_source.recut(kmers.chunks(records, 1, positions=1000), width, positions)
+
+
+def composition_by_pieces(spark, folder):
+    records = docs(spark, folder)
+    rows = complexity.composition_of_pieces(records, _in_pieces(records))
+    return rows.select(
+        "record_id",
+        "length",
+        F.round("gc_fraction", 9).alias("gc_fraction"),
+        F.round("shannon_bits_per_base", 6).alias("shannon_bits_per_base"),
+    )
+
+
+def pack_by_pieces(spark, folder):
+    """Two bits a symbol and one bit a symbol, each piece at its own byte of the record."""
+    pieces = _in_pieces(packed(spark, folder))
+    text = "CAST(bases AS STRING)"
+    return pieces.select(
+        "record_id",
+        F.expr("offset DIV 4").alias("byte_offset"),
+        F.hex(expr("pack_bases", text)).alias("payload"),
+        F.expr("offset DIV 8").alias("bit_byte_offset"),
+        F.hex(expr("pack_bit_text", f"translate({text}, 'ACGT', '1010')")).alias("purines"),
+    )
+
+
 def pack_2bit(spark, folder):
     return packed(spark, folder).select(
         "record_id", F.hex(expr("pack_bases", "seq")).alias("payload")
@@ -588,6 +618,41 @@ def roundtrip_model_forced(spark, folder):
     )
 
 
+STRETCH = 4  # symbols a token
+
+
+def _stretch_codec(records):
+    return ModelCodec(train_stretches(records, STRETCH, context_length=100))
+
+
+def token_chunk_plan(spark, folder):
+    """Chunks of at most so many tokens of several symbols, and where context may be used."""
+    records = packed(spark, folder)
+    codec = _stretch_codec(records)
+    planned = blocks.plan(repeats.with_copies(records), codec, "force_graph")
+    return (
+        blocks.explode_blocks(planned, codec)
+        .where("type IS NOT NULL")
+        .select(
+            "record_id",
+            F.col("block_no").cast("long").alias("block_no"),
+            "type",
+            "start",
+            "length",
+            "source",
+            "use_context",
+            F.sha2("context", 256).alias("context_sha256"),
+        )
+    )
+
+
+def roundtrip_tokens(spark, folder):
+    """Binary archives under a model whose tokens are several symbols."""
+    records = packed(spark, folder)
+    codec = _stretch_codec(records)
+    return _restored(archive_v2.decompress(archive_v2.compress(records, codec, policy="force_graph"), codec))
+
+
 def roundtrip_v1(spark, folder):
     return _restored(archive_v1.decompress(archive_v1.compress(docs(spark, folder))))
 
@@ -667,6 +732,52 @@ def archive_scan(spark, folder):
     )
 
 
+def archive_metadata(spark, folder):
+    """What the metadata of both formats says, asked for by path."""
+    records = docs(spark, folder)
+    json_cells = archive_v1.compress(records).select(
+        "record_id", F.lit("json").alias("format"), F.try_parse_json("archive").alias("metadata")
+    )
+    binary = archive_v2.front(archive_v2.compress(records)).select(
+        "record_id", F.lit("binary").alias("format"), "metadata"
+    )
+    wanted = {
+        "magic": "string", "length": "bigint", "sha256": "string", "parameters.k": "bigint",
+        "parameters.lm_order": "bigint", "residual_codec": "string", "diagnostics.payload_bytes": "bigint",
+        "block_table_count": "bigint",
+    }
+    return json_cells.unionByName(binary).select(
+        "record_id",
+        "format",
+        *[F.try_variant_get("metadata", f"$.{path}", kind).alias(path.split(".")[-1]) for path, kind in wanted.items()],
+        F.expr("schema_of_variant(variant_get(metadata, '$.parameters')) LIKE 'OBJECT<%'").alias("has_parameters"),
+    )
+
+
+def blocks_by_lateral(spark, folder):
+    """Block tables cut out of archives and listed by a table function."""
+    table_functions.register(spark)
+    archive_v2.front(archive_v2.compress(docs(spark, folder))).createOrReplaceTempView("archive_fronts")
+    return spark.sql(
+        """SELECT record_id, b.type, b.start, b.length, b.source, b.symbol_count, b.bit_length,
+            b.payload_offset, b.payload_length
+        FROM archive_fronts, LATERAL decode_blocks(block_table) AS b"""
+    )
+
+
+def repeats_by_table_function(spark, folder):
+    table_functions.register(spark)
+    docs(spark, folder).createOrReplaceTempView("sequence_records")
+    return spark.sql("SELECT * FROM repeats_of(TABLE(sequence_records), 15, 40)")
+
+
+def digest_by_table_function(spark, folder):
+    """Pieces of each record read in order by a table function."""
+    table_functions.register(spark)
+    _in_pieces(docs(spark, folder), positions=500).createOrReplaceTempView("sequence_pieces")
+    return spark.sql("SELECT * FROM digest_of(TABLE(sequence_pieces) PARTITION BY record_id ORDER BY offset)")
+
+
 def archive_scan_v1(spark, folder):
     """Block rows parsed from JSON archives."""
     return archive_v1.parse_blocks(archive_v1.compress(docs(spark, folder))).select(
@@ -704,6 +815,16 @@ def bench_variants(spark, folder):
     )
 
 
+def variant_sizes_measured(spark, folder):
+    """Archive and payload bytes of each variant, measured in the job that writes the archives."""
+    target = f"{scratch_folder(spark).rstrip('/')}/variants-{uuid.uuid4().hex}"
+    records = packed(spark, folder)
+    rows = benchmark.measured_variants(records, VARIANTS, trained_codec(records, 3), target)
+    names = ("records", "compressed_size", "payload_bytes", *(n for n in benchmark.SUMMED if n != "payload_bytes"))
+    schema = "name string, " + ", ".join(f"{name} bigint" for name in names)
+    return spark.createDataFrame([(r["name"], *(r[n] for n in names)) for r in rows], schema)
+
+
 def bench_variant_totals(spark, folder):
     """Blocks, bases and raw bytes of each variant over all records."""
     rows = benchmark.variant_sizes(packed(spark, folder), VARIANTS, model_codec())
@@ -730,11 +851,12 @@ def queries() -> dict[str, Query]:
         candidate_choice, diagnostics_plain,
         markov_counts, markov_bits, markov_trained, composition, lz76, lz76_by_joins, sequence_complexity,
         block_metrics,
-        pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, block_table_model, integer_cdf, ideal_bits, coder_bits,
-        roundtrip_plain, roundtrip_model, roundtrip_model_forced, roundtrip_v1, roundtrip_v2,
+        composition_by_pieces, pack_by_pieces, pack_2bit, roundtrip_2bit, roundtrip_bits, block_table_hex, block_table_model, integer_cdf, ideal_bits, coder_bits,
+        roundtrip_plain, roundtrip_model, roundtrip_model_forced, token_chunk_plan, roundtrip_tokens, roundtrip_v1, roundtrip_v2,
         roundtrip_any, roundtrip_by_joins, archive_scan, archive_scan_v1,
-        archive_files_scan, archive_files_payloads,
-        bench_variants, bench_variant_totals,
+        archive_files_scan, archive_files_payloads, archive_metadata,
+        blocks_by_lateral, repeats_by_table_function, digest_by_table_function,
+        bench_variants, bench_variant_totals, variant_sizes_measured,
     )
     named = {query.__name__: query for query in listed}
     if llm_queries:

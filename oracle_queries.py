@@ -509,6 +509,43 @@ def all_queries() -> dict[str, str]:
         out[name] = RESTORED.replace("{drop}", drop)
     both = RESTORED.replace("{drop}", "[^ACGTN]+")
     out["roundtrip_any"] = f"{both} UNION ALL {both}"
+    out["roundtrip_tokens"] = out["roundtrip_model"]
+    out["blocks_by_lateral"] = f"SELECT * EXCLUDE (block_no) FROM ({out['archive_scan']})"
+    out["repeats_by_table_function"] = out["graph_repeats"]
+    out["digest_by_table_function"] = f"""WITH {DOCS} SELECT record_id,
+      CAST((length(seq) + 499) // 500 AS BIGINT) AS pieces, CAST(length(seq) AS BIGINT) AS length,
+      sha256(seq) AS sha256 FROM docs WHERE seq <> ''"""
+    out["composition_by_pieces"] = out["composition"]
+    cut = "substr(seq, CAST(4096 * i + 1 AS INT), 4096)"
+    out["pack_by_pieces"] = f"""WITH {PACKED}, p AS (SELECT record_id, seq,
+        unnest(range((length(seq) + 4095) // 4096)) AS i FROM docs),
+      t AS (SELECT record_id, i, {cut} AS seq, translate({cut}, 'ACGT', '1010') AS bits FROM p),
+      u AS (SELECT *, rpad(bits, CAST((length(bits) + 7) // 8 * 8 AS INT), '0') AS full_bits FROM t)
+      SELECT record_id, CAST(i * 1024 AS BIGINT) AS byte_offset, {packed_hex('seq')} AS payload,
+        CAST(i * 512 AS BIGINT) AS bit_byte_offset, list_aggregate([substr('0123456789ABCDEF', CAST(1
+          + 8 * CAST(substr(full_bits, CAST(4 * j + 1 AS INT), 1) AS INT)
+          + 4 * CAST(substr(full_bits, CAST(4 * j + 2 AS INT), 1) AS INT)
+          + 2 * CAST(substr(full_bits, CAST(4 * j + 3 AS INT), 1) AS INT)
+          + CAST(substr(full_bits, CAST(4 * j + 4 AS INT), 1) AS INT) AS INT), 1)
+        FOR j IN range(length(full_bits) // 4)], 'string_agg', '') AS purines FROM u"""
+    out["archive_metadata"] = f"""WITH d AS ({out["diagnostics_plain"]}), r AS ({both})
+      SELECT record_id, 'json' AS format, 'GHDNA_1' AS magic, length, sha256, CAST(15 AS BIGINT) AS k,
+        CAST(3 AS BIGINT) AS lm_order, NULL AS residual_codec, NULL AS payload_bytes,
+        NULL AS block_table_count, true AS has_parameters FROM r
+      UNION ALL SELECT record_id, 'binary', 'GHDNA_2', r.length, sha256, 15, 3, 'plain_ascii_v1',
+        payload_bytes, llm_residual_blocks + selected_repeat_count, true FROM r JOIN d USING (record_id)"""
+    # chunks of 100 tokens of 4 symbols; a context of whole tokens stays the same in front of a chunk
+    out["token_chunk_plan"] = f"""{repeats(PACKED)}, {spans('pick')},
+      b AS (SELECT record_id, 'graph_copy' AS type, start, length, source, false AS use_context FROM pick
+        UNION ALL SELECT record_id, CASE WHEN size < 64 THEN 'raw_residual' ELSE 'llm_residual' END,
+          p, size, NULL, size >= 64 AND p > 0 AND least(100, p) % 4 = 0
+        FROM (SELECT record_id, p, least(400, start + length - p) AS size
+          FROM (SELECT record_id, start, length, unnest(range(start, start + length, 400)) AS p FROM gaps)))
+      SELECT b.record_id, row_number() OVER (PARTITION BY b.record_id ORDER BY b.start) - 1 AS block_no,
+        type, start, length, source, use_context, sha256(CASE WHEN use_context THEN substr(d.seq,
+          CAST(greatest(0, start - 100) + 1 AS INT), CAST(least(100, start) AS INT)) ELSE '' END)
+          AS context_sha256
+      FROM b JOIN docs d USING (record_id)"""
     out["roundtrip_by_joins"] = out["roundtrip_any"]
     out["archive_files_scan"] = f"SELECT * FROM ({out['archive_scan']}) WHERE block_no >= 0"
     out["archive_files_payloads"] = f"""SELECT record_id, block_no, start, length, payload

@@ -93,7 +93,7 @@ _define(
 _define("sequence_checksum", "seq:STRING", "STRING", "sha2({seq}, 256)")
 _define(
     "fasta_text", "header:STRING,seq:STRING,width:INT", "STRING",
-    r"""CASE WHEN {width} <= 0 THEN raise_error('line_width must be positive')
+    r"""CASE WHEN {width} <= 0 THEN raise_error('lines need a width above zero')
     ELSE concat({header}, '\n',
          regexp_replace({seq}, concat('(.{', {width}, '})(?=.)'), '$1\n'), '\n') END""",
 )
@@ -149,7 +149,7 @@ _define(
         "digits", "CAST(translate({seq}, 'ACGT0123', '0123####') AS BINARY)",
         """CASE WHEN octet_length(digits) = 0 THEN X''
         WHEN NOT CAST(digits AS STRING) RLIKE '^[0-3]*$' THEN raise_error(concat(
-             '2-bit packing supports only A/C/G/T, found: ',
+             'only A/C/G/T pack into two bits, not ',
              array_join(array_sort(array_distinct(filter(split(
              translate(CAST(digits AS STRING), '0123', ''), ''), c -> c <> ''))), '')))
         ELSE substring(unhex(array_join(transform(
@@ -164,9 +164,9 @@ _define(
     let(
         "cell", "named_struct('bytes', {payload}, 'symbols', {symbols})",
         """CASE WHEN cell.symbols < 0
-        THEN raise_error('raw residual symbol count must not be negative')
+        THEN raise_error('fewer than no packed symbols')
         WHEN octet_length(cell.bytes) <> (cell.symbols + 3) DIV 4
-        THEN raise_error('raw residual payload length does not match symbol count')
+        THEN raise_error('packed symbols and their number do not go together')
         WHEN cell.symbols = 0 THEN ''
         ELSE left(translate(array_join(transform(
              sequence(0, (octet_length(cell.bytes) - 1) DIV 8),
@@ -179,7 +179,7 @@ _define(
     let(
         "b", "{bits}",
         """CASE WHEN exists(b, x -> x IS NULL OR x NOT IN (0, 1))
-        THEN raise_error('bits must contain only 0 or 1')
+        THEN raise_error('every bit is 0 or 1')
         WHEN size(b) = 0 THEN X''
         ELSE substring(unhex(array_join(transform(
              sequence(0, (size(b) - 1) DIV 64),
@@ -192,7 +192,7 @@ _define(
     let(
         "cell", "named_struct('bytes', {payload}, 'size', {bit_length})",
         """CASE WHEN cell.size < 0 OR cell.size > 8 * octet_length(cell.bytes)
-        THEN raise_error('bit length is outside the payload capacity')
+        THEN raise_error('the payload does not hold that bit length')
         WHEN cell.size = 0 THEN CAST(array() AS ARRAY<INT>)
         ELSE slice(flatten(transform(
              sequence(0, (octet_length(cell.bytes) - 1) DIV 8),
@@ -202,6 +202,19 @@ _define(
     ),
 )
 
+_define(
+    "pack_bit_text", "bits:STRING", "BINARY",
+    let(
+        "b", "CAST({bits} AS BINARY)",
+        """CASE WHEN octet_length(b) = 0 THEN X''
+        WHEN NOT CAST(b AS STRING) RLIKE '^[01]*$' THEN raise_error('every bit is 0 or 1')
+        ELSE substring(unhex(array_join(transform(
+             sequence(0, (octet_length(b) - 1) DIV 64),
+             i -> lpad(conv(rpad(CAST(substring(b, 64 * i + 1, 64) AS STRING), 64, '0'),
+                  2, 16), 16, '0')), '')), 1, (octet_length(b) + 7) DIV 8) END""",
+    ),
+)
+
 # --- cumulative frequencies ------------------------------------------------
 
 _define(
@@ -221,10 +234,10 @@ _define(
         """named_struct('weights', {weights}, 'scale', {scale},
         'mass', aggregate({weights}, 0.0D, (t, w) -> t + w))""",
         """CASE WHEN size(dist.weights) <= 0 OR exists(dist.weights, w -> w < 0)
-        THEN raise_error('probability distribution must be non-empty and non-negative')
+        THEN raise_error('weights are needed, and none may be below zero')
         WHEN dist.mass <= 0
-        THEN raise_error('probability distribution must have positive mass')
-        WHEN dist.scale <= 0 THEN raise_error('scale must be positive')
+        THEN raise_error('weights add up to nothing')
+        WHEN dist.scale <= 0 THEN raise_error('the scale has to be above zero')
         ELSE aggregate(dist.weights,
           named_struct('mass', 0.0D, 'last', 0L, 'cdf', CAST(array() AS ARRAY<BIGINT>)),
           (s, w) -> named_struct(

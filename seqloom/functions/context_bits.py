@@ -26,7 +26,7 @@ def _coded(text: bytes) -> np.ndarray:
     codes = _CODES[np.frombuffer(text, dtype=np.uint8)].astype(np.int64)
     if (codes == 255).any():
         unknown = "".join(sorted(set(text.decode("utf-8", "replace")).difference(ALPHABET)))
-        raise ValueError(f"unsupported sequence symbols: {unknown}")
+        raise ValueError(f"symbols outside the model's alphabet: {unknown}")
     return codes
 
 

@@ -14,12 +14,12 @@ from typing import Any
 def integer_cdf(weights: Sequence[float], scale: int) -> list[int]:
     """Strictly increasing integer cumulative frequencies; halves round to even."""
     if not weights or min(weights) < 0:
-        raise ValueError("probability distribution must be non-empty and non-negative")
+        raise ValueError("weights are needed, and none may be below zero")
     mass = sum(weights)
     if mass <= 0:
-        raise ValueError("probability distribution must have positive mass")
+        raise ValueError("weights add up to nothing")
     if scale <= 0:
-        raise ValueError("scale must be positive")
+        raise ValueError("the scale has to be above zero")
     marks: list[int] = []
     floor = 1
     for share in accumulate(weight / mass for weight in weights):
@@ -30,17 +30,21 @@ def integer_cdf(weights: Sequence[float], scale: int) -> list[int]:
 
 def check_cdf(cdf: Sequence[int]) -> None:
     if not cdf or cdf[0] <= 0:
-        raise ValueError("CDF must contain positive cumulative frequencies")
+        raise ValueError("a CDF begins above zero")
     if not all(a < b for a, b in pairwise(cdf)):
-        raise ValueError("CDF must be strictly increasing")
+        raise ValueError("every mark of a CDF lies above the one before")
+
+
+def check_state_bits(state_bits: int) -> None:
+    if state_bits < 16:
+        raise ValueError("a coder state needs 16 bits or more")
 
 
 class _Interval:
     """The current ``[low, high]`` and the two renormalisation shifts."""
 
     def __init__(self, state_bits: int) -> None:
-        if state_bits < 16:
-            raise ValueError("state_bits must be at least 16")
+        check_state_bits(state_bits)
         self.width = state_bits
         self.mask = (1 << state_bits) - 1
         self.top = 1 << (state_bits - 1)
@@ -49,6 +53,7 @@ class _Interval:
 
     def narrow(self, bottom: int, ceiling: int, total: int) -> tuple[int, int, int]:
         """Take a symbol's share. Returns (settled bits, their count, new pending bits)."""
+        # These two roundings must be those of the format, or bits would differ.
         span = self.high - self.low + 1
         self.high = self.low + ceiling * span // total - 1
         self.low += bottom * span // total
@@ -76,7 +81,7 @@ class Encoder:
         if not checked:
             check_cdf(cdf)
         if not 0 <= symbol < len(cdf):
-            raise ValueError("symbol is outside the CDF")
+            raise ValueError("the CDF has no such symbol")
         bottom = cdf[symbol - 1] if symbol else 0
         value, settled, pending = self._interval.narrow(bottom, cdf[symbol], cdf[-1])
         if settled:
@@ -100,7 +105,7 @@ class Decoder:
 
     def __init__(self, payload: bytes, bit_length: int, state_bits: int = 64) -> None:
         if not 0 <= bit_length <= 8 * len(payload):
-            raise ValueError("bit length is outside the payload capacity")
+            raise ValueError("the payload does not hold that bit length")
         self._interval = _Interval(state_bits)
         self._payload = payload
         self._size = bit_length

@@ -1,26 +1,8 @@
 """Everything callable from ``spark.sql`` in one call."""
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
-
-from seqloom.functions import catalog
-from seqloom.plans.archive_v2 import decode_table
-
-BLOCK_COLUMNS = (
-    "type STRING, start BIGINT, length BIGINT, source BIGINT, symbol_count BIGINT, "
-    "bit_length BIGINT, payload_offset BIGINT, payload_length BIGINT, use_context BOOLEAN"
-)
-
-
-class DecodeBlocks:
-    """``SELECT ... FROM t, LATERAL decode_blocks(t.block_table)``"""
 
-    def eval(self, table: bytes) -> Iterator[tuple]:
-        names = [column.split()[0] for column in BLOCK_COLUMNS.split(", ")]
-        for block in decode_table(bytes(table)):
-            yield tuple(block.get(name) for name in names)
+from seqloom.functions import catalog, table_functions
 
 
 def register_functions(spark: SparkSession) -> list[str]:
@@ -28,5 +10,4 @@ def register_functions(spark: SparkSession) -> list[str]:
 
     names = catalog.register(spark)
     spark.udf.register("lz76_complexity", lz76)
-    spark.udtf.register("decode_blocks", udtf(DecodeBlocks, returnType=BLOCK_COLUMNS))
-    return sorted([*names, "lz76_complexity", "decode_blocks"])
+    return sorted([*names, "lz76_complexity", *table_functions.register(spark)])

@@ -10,11 +10,11 @@ from seqloom.operators.kmers import as_text, piece_window_counts, window_counts
 def check_graph_input(records: DataFrame, k: int) -> DataFrame:
     """Fail the job on a record too short for ``k`` (the strict, single-record behaviour)."""
     if k <= 0:
-        raise ValueError("k must be positive and smaller than the sequence length")
+        raise ValueError("a k-mer needs a length from 1 to below the record's")
     return records.withColumn(
         "seq",
         F.when(F.length("seq") > k, F.col("seq")).otherwise(
-            F.raise_error(F.lit("k must be positive and smaller than the sequence length"))
+            F.raise_error(F.lit("a k-mer needs a length from 1 to below the record's"))
         ),
     )
 
@@ -26,7 +26,7 @@ def debruijn_edges(records: DataFrame, k: int = 15, *, strict: bool = False) ->
     Records with at most ``k`` symbols have no edges, or fail the job when ``strict``.
     """
     if k <= 0:
-        raise ValueError("k must be positive and smaller than the sequence length")
+        raise ValueError("a k-mer needs a length from 1 to below the record's")
     if strict:
         records = check_graph_input(records, k)
     return _as_edges(window_counts(records, k + 1), k)
@@ -35,7 +35,7 @@ def debruijn_edges(records: DataFrame, k: int = 15, *, strict: bool = False) ->
 def piece_edges(pieces: DataFrame, k: int = 15) -> DataFrame:
     """The edges of records that lie in pieces overlapping by ``k`` symbols, of any length."""
     if k <= 0:
-        raise ValueError("k must be positive and smaller than the sequence length")
+        raise ValueError("a k-mer needs a length from 1 to below the record's")
     return _as_edges(piece_window_counts(pieces, k + 1), k)
 
 
@@ -83,9 +83,9 @@ def top_edges(
     record over many ranges instead of ranking it in one task.
     """
     if min_count <= 0:
-        raise ValueError("min_count must be positive")
+        raise ValueError("edges occur once or more: min_count is too small")
     if max_edges is not None and max_edges <= 0:
-        raise ValueError("max_edges must be positive when provided")
+        raise ValueError("a limit on edges starts at 1: max_edges is too small")
     shown = edges.where(F.col("cnt") >= min_count)
     order = (F.desc("cnt"), F.col("source"), F.col("target"))
     if max_edges is None:
@@ -105,6 +105,7 @@ def mermaid_lines(edges: DataFrame) -> DataFrame:
     ends = edges.select(
         "record_id", place.alias("place"), F.posexplode(F.array("source", "target")).alias("slot", "node")
     )
+    # The texts of nodes and edges are those of published charts.
     nodes = (
         ends.groupBy("record_id", "node")
         .agg(F.min(F.struct("place", "slot")).alias("first"))

@@ -25,9 +25,9 @@ from seqloom.session import rebalance
 
 def check_order(order: int, pseudocount: float) -> None:
     if order <= 0:
-        raise ValueError("order must be positive")
+        raise ValueError("a model needs an order above zero")
     if pseudocount <= 0:
-        raise ValueError("pseudocount must be positive")
+        raise ValueError("a model needs a pseudocount above zero")
 
 
 def checked_alphabet(records: DataFrame, column: str = "seq") -> DataFrame:
@@ -37,7 +37,7 @@ def checked_alphabet(records: DataFrame, column: str = "seq") -> DataFrame:
         F.when(F.col(column).rlike(f"^[{ALPHABET}]*$"), F.col(column)).otherwise(
             F.raise_error(
                 F.concat(
-                    F.lit("unsupported sequence symbols: "),
+                    F.lit("symbols outside the model's alphabet: "),
                     F.array_join(
                         F.array_sort(
                             F.array_distinct(F.split(F.translate(column, ALPHABET, ""), ""))

@@ -23,7 +23,7 @@ LOCAL_BASES = LOCAL_RECORD
 
 def check_lengths(k: int, min_length: int) -> None:
     if k <= 0 or min_length < k:
-        raise ValueError("min_len must be at least k, and k must be positive")
+        raise ValueError("copies are at least as long as their seed, and a seed has a symbol or more")
 
 
 def split_by_length(records: DataFrame, local_bases: int) -> tuple[DataFrame, DataFrame | None]:

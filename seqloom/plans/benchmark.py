@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -40,7 +40,7 @@ def gzipped(contents: pa.Array) -> pa.Array:
         packed = gzip.compress(data, compresslevel=9)
         middle = time.perf_counter()
         if gzip.decompress(packed) != data:
-            raise RuntimeError("gzip round-trip verification failed")
+            raise RuntimeError("gzip gave back other bytes")
         end = time.perf_counter()
         rows.append(
             {
@@ -72,12 +72,12 @@ def variant_archives(
 ) -> tuple[DataFrame, ResidualCodec]:
     """Archives of one named variant, and the codec that restores them."""
     if variant not in VARIANTS:
-        raise ValueError(f"unknown benchmark variant: {variant}")
+        raise ValueError(f"no variant is called {variant}")
     only_graph, no_graph, forced, _ = VARIANTS
     if variant == only_graph:
         codec = PlainCodec()
     elif codec is None or not codec.is_model:
-        raise ValueError("model benchmark variants require a model residual codec")
+        raise ValueError("this variant needs a codec with a model")
     return (
         archive_v2.compress(
             records,
@@ -121,7 +121,7 @@ def variant_sizes(
         )
         result = rows if result is None else result.unionByName(rows)
     if result is None:
-        raise ValueError("no benchmark variant requested")
+        raise ValueError("name at least one variant")
     return result
 
 
@@ -162,13 +162,13 @@ def timed_round_trip(
     """Write the archives, then restore them from what was written; time both jobs."""
     spark = archives.sparkSession
     started = time.perf_counter()
-    archives.write.mode("overwrite").parquet(f"{folder}/archives")
+    sums = write_measured(archives, f"{folder}/archives")
     compress_seconds = time.perf_counter() - started
     written = spark.read.parquet(f"{folder}/archives")
     started = time.perf_counter()
     restore(written).write.mode("overwrite").parquet(f"{folder}/restored")
     decompress_seconds = time.perf_counter() - started
-    size = written.agg(F.sum(F.octet_length("archive"))).first()[0] or 0
+    size = sums["compressed_size"]
     result: dict[str, Any] = {
         "compressed_size": size,
         "bits_per_base": size * 8 / bases,
@@ -177,15 +177,43 @@ def timed_round_trip(
         "decompression_time": decompress_seconds,
     }
     if "payload_bytes" in written.columns:
-        sums = summary_columns(written).agg(*[F.sum(c).alias(c) for c in SUMMED]).first()
-        result.update({name: int(sums[name] or 0) for name in SUMMED})
-        picks = written.groupBy("selected_candidate").count().collect()  # at most four names
-        result["selected_candidate"] = ",".join(sorted(row["selected_candidate"] for row in picks))
-        result["candidate_count"] = written.agg(F.max("candidate_count")).first()[0]
+        result.update({name: sums[name] for name in SUMMED})
+        result["selected_candidate"] = ",".join(sums["selected_candidate"])
+        result["candidate_count"] = sums["candidate_count"]
         result["graph_copy_fraction"] = result["graph_copy_bases"] / bases
     return result
 
 
+def write_measured(archives: DataFrame, path: str) -> dict[str, Any]:
+    """Write archives and measure them in the same job: no second look at what was written."""
+    size = F.octet_length("archive").cast("long")
+    measures = [F.count(F.lit(1)).alias("records"), F.sum(size).alias("compressed_size")]
+    if "payload_bytes" in archives.columns:
+        residual = F.col("llm_residual_blocks") + F.col("raw_residual_blocks")
+        columns = {name: F.col(name) for name in SUMMED if name != "residual_blocks"}
+        columns["residual_blocks"] = residual
+        measures += [F.sum(column).alias(name) for name, column in columns.items()]
+        measures += [
+            F.array_sort(F.collect_set("selected_candidate")).alias("selected_candidate"),
+            F.max("candidate_count").alias("candidate_count"),
+        ]
+    seen = Observation()
+    archives.observe(seen, *measures).write.mode("overwrite").parquet(path)
+    return {name: 0 if value is None else value for name, value in seen.get.items()}
+
+
+def measured_variants(
+    records: DataFrame, variants: Iterable[str], codec: ResidualCodec | None, folder: str, **options: Any
+) -> list[dict[str, Any]]:
+    """What each variant's archives take, one written table and one look at it a variant."""
+    found = {"k": options.get("k", 15), "min_length": options.get("min_repeat_len", 40)}
+    records = cut_lineage(with_copies(records, **found))
+    return [
+        {"name": variant, **write_measured(variant_archives(records, variant, codec, **options)[0], f"{folder}/{variant}")}
+        for variant in variants
+    ]
+
+
 def run(
     records: DataFrame,
     results_dir: str,
@@ -222,7 +250,7 @@ def run(
             archives, lambda a: archive_v2.decompress(a, codec), folder, bases, original
         )
     else:
-        raise ValueError("archive_version must be 1 or 2")
+        raise ValueError("archives have version 1 or 2")
     result.update(
         original_size=original,
         gzip_size=packed,

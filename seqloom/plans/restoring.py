@@ -5,13 +5,15 @@ one SQL expression over the record's tile array, made before any tile is read. P
 the copies, and the result is held against the stored length and checksum in SQL.
 """
 
+from collections.abc import Generator, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.functions.catalog import apart
-from seqloom.operators.residual import Encoded, ResidualCodec
+from seqloom.operators.residual import TOGETHER, Encoded, ResidualCodec, together
 
 # A tile has a literal text, or a source, or a code. ``length`` is what it adds to the sequence.
 TILE = {
@@ -63,8 +65,8 @@ def checked_tiles(tiles: str, length: str) -> Column:
     )
 
 
-def follow(tiles: list[dict], codec: ResidualCodec | None) -> str:
-    """The sequence that checked tiles describe."""
+def _following(tiles: list[dict], window: int) -> Generator[tuple[Encoded, str], str, str]:
+    """The sequence that checked tiles describe; asks for the text of each coded chunk."""
     text = bytearray()
     for tile in tiles:
         if tile["literal"] is not None:
@@ -72,20 +74,42 @@ def follow(tiles: list[dict], codec: ResidualCodec | None) -> str:
         elif tile["source"] is not None:
             text += text[tile["source"] : tile["source"] + tile["length"]]
         else:
-            window = codec.context_window
             before = text[-window:].decode("ascii") if tile["context"] and window else ""
-            cell = Encoded(tile["code"], tile["bits"], tile["symbols"], bool(tile["context"]))
-            chunk = codec.decode(cell, before)
+            chunk = yield Encoded(tile["code"], tile["bits"], tile["symbols"], bool(tile["context"])), before
             if len(chunk) != tile["length"]:
                 raise ValueError(f"residual at {tile['start']} decodes to another length")
             text += chunk.encode("ascii")
     return text.decode("ascii")
 
 
+def follow_all(cells: list[list[dict] | None], codec: ResidualCodec | None) -> list[str | None]:
+    """Sequences of many records: the chunk that each waits for is decoded with the others'."""
+    texts: list[str | None] = [None] * len(cells)
+    window = codec.context_window if codec else 0
+    going = {k: _following(cell, window) for k, cell in enumerate(cells) if cell is not None}
+    answers: dict[int, str | None] = dict.fromkeys(going)
+    while going:
+        asked = {}
+        for k, record in list(going.items()):
+            try:
+                asked[k] = record.send(answers[k])
+            except StopIteration as end:
+                texts[k] = end.value
+                del going[k]
+        if asked:
+            coded, before = zip(*asked.values(), strict=True)
+            answers = dict(zip(asked, codec.decode_batch(coded, before), strict=True))
+    return texts
+
+
 def _follow_column(codec: ResidualCodec | None):
     @F.arrow_udf(T.StringType())
-    def followed(cells: pa.Array) -> pa.Array:
-        return pa.array([follow(c, codec) if c is not None else None for c in cells.to_pylist()], pa.string())
+    def followed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for group in together(batches, TOGETHER):
+            texts = follow_all(sum((cells.to_pylist() for cells in group), []), codec)
+            for cells in group:
+                yield pa.array(texts[: len(cells)], pa.string())
+                del texts[: len(cells)]
 
     return followed.asNondeterministic()
 

@@ -22,15 +22,15 @@ def parse_fasta(content: bytes) -> tuple[str, str]:
     """``(header, sequence)``; the header keeps its ``>``, the sequence is upper-cased."""
     head, *body = content.decode("utf-8").splitlines() or [""]
     if head[:1] != ">" or not head[1:].strip():
-        raise ValueError("FASTA must start with a non-empty header")
+        raise ValueError("a FASTA file begins with > and a name")
     if any(line[:1] == ">" for line in body):
-        raise ValueError("only single-record FASTA files are supported")
+        raise ValueError("a FASTA file must hold a single record")
     seq = "".join(map(str.strip, body)).upper()
     if not seq:
-        raise ValueError("FASTA sequence must not be empty")
+        raise ValueError("a FASTA sequence must not be empty")
     unknown = sorted(set(seq).difference(ALPHABET))
     if unknown:
-        raise ValueError("unsupported FASTA symbols: " + "".join(unknown))
+        raise ValueError("symbols that FASTA input may not have: " + "".join(unknown))
     return head, seq
 
 
@@ -80,6 +80,6 @@ def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFr
 def fasta_files(records: DataFrame, name: str = "name", line_width: int = 80) -> DataFrame:
     """``(name, content)`` rows for the file sink."""
     if line_width <= 0:
-        raise ValueError("line_width must be positive")
+        raise ValueError("lines need a width above zero")
     text = expr("fasta_text", "header", "seq", str(line_width))
     return records.select(F.col(name).alias("name"), text.cast("binary").alias("content"))

@@ -45,7 +45,7 @@ def read_header(file: RangeFile) -> tuple[str, int]:
     text = head[: end.start()] if end else head
     header = text.decode("utf-8")
     if header[:1] != ">" or not header[1:].strip():
-        raise ValueError("FASTA must start with a non-empty header")
+        raise ValueError("a FASTA file begins with > and a name")
     return header, end.end() if end else len(head)
 
 

@@ -1,4 +1,11 @@
+import itertools
+import random
+from dataclasses import replace
+
 import pytest
+
+from seqloom.operators.residual import ModelCodec
+from seqloom.operators.token_models import MarkovModel, UniformModel
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -56,15 +63,15 @@ def test_scalar_values(spark, name, args, expected):
     [
         ("pack_bases", ["'ACGTN'"], "A/C/G/T"),
         ("pack_bases", ["'AC0'"], "A/C/G/T"),
-        ("unpack_bases", ["X'1B'", "6L"], "symbol count"),
-        ("unpack_bases", ["X''", "-1L"], "negative"),
+        ("unpack_bases", ["X'1B'", "6L"], "do not go together"),
+        ("unpack_bases", ["X''", "-1L"], "fewer"),
         ("pack_bits", ["array(0, 1, 2)"], "0 or 1"),
         ("unpack_bits", ["X'00'", "9L"], "bit length"),
-        ("integer_cdf", ["array(0D, 0D)", "4"], "positive mass"),
-        ("integer_cdf", ["array(-1D, 2D)", "4"], "non-negative"),
+        ("integer_cdf", ["array(0D, 0D)", "4"], "add up to nothing"),
+        ("integer_cdf", ["array(-1D, 2D)", "4"], "below zero"),
         ("integer_cdf", ["array(1D)", "0"], "scale"),
         ("u32_hex", ["4294967296L"], "32 bits"),
-        ("fasta_text", ["'>a'", "'A'", "0"], "line_width"),
+        ("fasta_text", ["'>a'", "'A'", "0"], "width above zero"),
     ],
 )
 def test_scalar_errors(spark, name, args, message):
@@ -150,13 +157,13 @@ def test_coder_edges():
     payload, size = coder.finish()
     decoder = Decoder(payload, size)
     assert [decoder.get([1]) for _ in range(5)] == [0] * 5
-    with pytest.raises(ValueError, match="state_bits"):
+    with pytest.raises(ValueError, match="16 bits"):
         Encoder(8)
-    with pytest.raises(ValueError, match="increasing"):
+    with pytest.raises(ValueError, match="above the one before"):
         Encoder().put(0, [2, 2])
-    with pytest.raises(ValueError, match="outside"):
+    with pytest.raises(ValueError, match="no such symbol"):
         Encoder().put(2, [1, 2])
-    with pytest.raises(ValueError, match="capacity"):
+    with pytest.raises(ValueError, match="bit length"):
         Decoder(b"\0", 9)
 
 
@@ -173,3 +180,33 @@ def test_functions_are_built_in_expressions(table):
     plan = table("ACGT").select(expr("pack_bases", "seq"), expr("shannon_bits", "seq"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and F is not None
+
+
+@pytest.mark.parametrize("state_bits", [64, 63, 40, 24])
+@pytest.mark.parametrize("order", [1, 3])
+def test_lanes_give_the_bits_of_the_coder(order, state_bits):
+    draw = random.Random(order * 100 + state_bits)
+    contexts = ["".join(p) for k in range(order + 1) for p in itertools.product("ACGTN", repeat=k)]
+    # some contexts are missing, some symbols never follow, some nearly always do
+    counts = {c: [draw.choice((0, 0, 1, 9, 10**6)) for _ in "ACGTN"] for c in contexts if draw.random() < 0.8}
+    codec = ModelCodec(MarkovModel(order, counts, context_length=1024), state_bits)
+    weights = [[draw.random() ** 6 + 1e-3 for _ in "ACGTN"] for _ in range(300)]
+    texts = ["".join(draw.choices("ACGTN", w, k=draw.choice((0, 1, 2, 63, 64, 300)))) for w in weights]
+    before = ["".join(draw.choices("ACGTN", k=draw.randrange(6))) for _ in texts]
+    one = [codec.encode_batch([t], [b])[0] for t, b in zip(texts, before, strict=True)]
+    assert codec.in_lanes and codec.encode_batch(texts, before) == one
+    assert codec.decode_batch(one, before) == texts
+    assert [codec.decode(c, b) for c, b in zip(one, before, strict=True)] == texts
+
+
+def test_lanes_of_few_symbols_and_wide_scales():
+    draw = random.Random(1)
+    for model in (UniformModel(64, alphabet="AC", scale=2), UniformModel(64, scale=1 << 30), UniformModel(0)):
+        codec = ModelCodec(model)
+        texts = ["".join(draw.choices(model.alphabet, k=draw.randrange(200))) for _ in range(100)]
+        cells = codec.encode_batch(texts, [""] * 100)
+        assert cells == [codec.encode(t) for t in texts] and codec.decode_batch(cells, [""] * 100) == texts
+    with pytest.raises(ValueError, match="outside the model"):
+        ModelCodec(UniformModel(8)).encode_batch(["ACX"] * 100, [""] * 100)
+    broken = [replace(c, bit_length=4, payload=b"\xff") for c in ModelCodec(UniformModel(0)).encode_batch(["AC"] * 70, [""] * 70)]
+    assert len(ModelCodec(UniformModel(0)).decode_batch(broken, [""] * 70)) == 70

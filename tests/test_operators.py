@@ -49,9 +49,9 @@ def test_edges(table):
 
 
 def test_graph_errors(table):
-    with pytest.raises(ValueError, match="k must"):
+    with pytest.raises(ValueError, match="k-mer"):
         graph.debruijn_edges(table("ACGT"), 0)
-    with pytest.raises(Exception, match="k must"):
+    with pytest.raises(Exception, match="k-mer"):
         graph.debruijn_edges(table("ACGT"), 4, strict=True).collect()
     edges = graph.debruijn_edges(table("ACGTACGT"), 2)
     with pytest.raises(ValueError, match="max_edges"):
@@ -124,7 +124,7 @@ def test_hot_seed_lists_no_pairs(table):
 def test_repeat_values(table):
     assert rows(repeats.graph_repeats(table(SAMPLE), 3, 8)) == [(0, 10, 0, 8)]
     assert rows(repeats.graph_repeats(table("ACGTGGACGT"), 3, 5)) == []
-    with pytest.raises(ValueError, match="min_len"):
+    with pytest.raises(ValueError, match="seed"):
         repeats.graph_repeats(table("ACGT"), 3, 2)
 
 
@@ -154,7 +154,7 @@ def test_markov_pieces_and_errors(table, monkeypatch):
         markov.fit(table("ACGT"), 0)
     with pytest.raises(ValueError, match="pseudocount"):
         markov.fit(table("ACGT"), 1, 0)
-    with pytest.raises(Exception, match="unsupported sequence symbols: X"):
+    with pytest.raises(Exception, match="outside the model's alphabet: X"):
         markov.fit(table("ACXG"), 2).collect()
 
 

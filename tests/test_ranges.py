@@ -7,7 +7,8 @@ import pytest
 from brute import restore
 from pyspark.sql import functions as F
 
-from seqloom.operators import graph, markov
+from seqloom.functions.matching import lz76_phrases
+from seqloom.operators import graph, lz76_joins, markov
 from seqloom.operators.repeats import with_copies
 from seqloom.operators.residual import PlainCodec
 from seqloom.plans import archive_v1, archive_v2, restoring_by_joins
@@ -267,3 +268,21 @@ def test_running_sums(spark):
 def test_with_copies_keeps_both_routes(spark, table):
     seq = "ACGTTGCA" * 30
     assert with_copies(table(seq), 8, 16).collect() == with_copies(table(seq), 8, 16, local_bases=0).collect()
+
+
+@pytest.mark.parametrize("short", [1, 3, 12])
+def test_lz76_by_joins(spark, table, short):
+    draw = random.Random(short)
+    unit = "".join(draw.choices("ACGT", k=60))
+    seqs = ["", "A", "AA", "ACGT" * 50, "A" * 200, "N" * 3 + "AC" * 20]
+    seqs += ["".join(draw.choices("ACGTN"[: draw.randrange(1, 6)], k=draw.randrange(200))) for _ in range(10)]
+    seqs += ["".join(draw.choice((unit, unit[5:40], "G")) for _ in range(9))]
+    got = lz76_joins.lz76_by_joins(table(*seqs), short)
+    assert {r[0]: r[1] for r in got.collect()} == {k: lz76_phrases(s) for k, s in enumerate(seqs)}
+
+
+def test_lz76_over_stretches_and_pieces(spark, table):
+    draw = random.Random(5)
+    seqs = ["".join(draw.choices("ACGT", k=40_000)), "".join(draw.choices("AC", k=9000)) * 2]
+    got = lz76_joins.lz76_by_joins(table(*seqs))
+    assert {r[0]: r[1] for r in got.collect()} == {k: lz76_phrases(s) for k, s in enumerate(seqs)}
