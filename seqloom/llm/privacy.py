@@ -4,14 +4,19 @@ Base spans: email, ip, card and phone by pattern and check (leftmost, non-overla
 failing matches drop out without retry). Their values are the protected entities.
 
 A word ``t`` reveals an entity ``e`` as far as the corpus says so: with documents as contexts,
-``PMI(e, t) = log(N n_et / (n_e n_t))``, of which ``IC(e) = log(N / n_e)`` is the most there can be.
-Where ``PMI >= GENERALISE * IC`` the word is a ``term`` span in every document that holds it, with
-an entity or without, and is generalised to its first letter; from ``REMOVE`` on it is removed.
-
-Every entity counts, however rare. For pairs seen in fewer than ``SUPPORT`` different texts the
-share ``n_et / n_e`` of an entity with ``k`` texts is shrunk to the word's share of all documents,
-``(k n_et / n_e + SHRINK n_t / N) / (k + SHRINK)``, so that one text gives away only its rarest
-words. Entities that stand in one text only have the same estimates and are treated as one.
+``PMI(e, t) = log(p(e | t) / p(e))``, of which ``IC(e) = -log p(e)`` is the most there can be. Where
+``PMI >= GENERALISE * IC`` the word is a ``term`` span in every document that holds it, with an
+entity or without, and is generalised to its first letter; from ``REMOVE`` on it is removed.
+
+* Evidence is what goes beyond one co-occurrence. Any rare word stands beside the address of its
+  document, so the text that brings a pair up says nothing: of the other texts with the word,
+  those with the entity are counted, and ``p(e | t)`` is the lower end of the Wilson interval of
+  that share. A word of one text has no other texts and reveals nothing.
+* Most entities stand in one text. They are protected by the group they belong to as well: the
+  domain of an address, the first three parts of an ip, the first digits of a phone or card. A group
+  is held to the same rule as an entity.
+* Near copies are one text: texts that agree in one of ``BANDS`` sketches of ``ROWS`` minima over
+  shingles of four words (most of those with a similarity of 0.8) count once, and so do copies.
 
 All of it is DataFrame and SQL functions. Offsets are code points, end exclusive; they come from
 the lengths of the pieces between matches. Null text counts as empty. Repeated rows are scanned
@@ -23,14 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, keep_ids, text_of
+from seqloom.llm.shared import SPACE, cut_lineage, keep_ids, text_of
 
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Texts from which on an estimate is not shrunk.
-SUPPORT = 3
-#: Texts' worth of the word's share of all documents in each estimate.
-SHRINK = 0.5
+#: Standard deviations below the share that the Wilson interval reaches (95 % to one side).
+DEVIATIONS = 1.645
+#: Sketches of a text, and minima in each.
+BANDS, ROWS = 12, 5
+#: Bytes of a list of words that goes to every executor; a longer one is joined by word.
+BROADCAST_BYTES = 16 << 20
 SHORTEST = 4
 
 # The base patterns, so written that a run of characters is tried once: a match starts where a
@@ -114,12 +121,37 @@ def base_spans(text: str = "text") -> Column:
     return F.expr(f"concat({', '.join(kinds)})")
 
 
-def words(text: str) -> Column:
-    """Different words of column ``text`` outside what the base patterns match."""
+def _masked(text: str) -> str:
+    """SQL: ``text`` without what the base patterns match."""
     masked = text
     for kind, pattern in PATTERNS.items():
         masked = f"CASE WHEN {text} RLIKE {_sql(NEEDED[kind])} THEN regexp_replace({masked}, {_sql(pattern)}, ' ') ELSE {masked} END"
-    return F.expr(f"array_distinct(regexp_extract_all({masked}, {_sql(WORD)}, 0))")
+    return masked
+
+
+def words(text: str) -> Column:
+    """Different words of column ``text`` outside what the base patterns match."""
+    return F.expr(f"array_distinct(regexp_extract_all({_masked(text)}, {_sql(WORD)}, 0))")
+
+
+def sketches(text: str) -> Column:
+    """``BANDS`` numbers; near copies share one of them nearly always, other texts hardly ever."""
+    listed = f"regexp_extract_all({_masked(text)}, {_sql(f'[^{SPACE[1:-2]}]++')}, 0)"
+    hashed = "transform(sequence(1, greatest(size(w) - 3, 1)), i -> xxhash64(array_join(slice(w, i, 4), ' ')))"
+    bands = ", ".join(
+        f"xxhash64({band}, {', '.join(f'array_min(transform(h, x -> xxhash64(x, {band * ROWS + k})))' for k in range(ROWS))})"
+        for band in range(BANDS)
+    )
+    return F.expr(f"transform(transform(array({listed}), w -> {hashed}), h -> array({bands}))[0]")
+
+
+def groups_of(span: str) -> str:
+    """SQL: an entity and the group it belongs to."""
+    digits = f"regexp_replace({span}.value, '[^0-9]', '')"
+    group = f"""CASE {span}.kind WHEN 'email' THEN lower(substring_index({span}.value, '@', -1))
+        WHEN 'ip' THEN substring_index({span}.value, '.', 3)
+        WHEN 'phone' THEN left({digits}, 6) ELSE left({digits}, 8) END"""
+    return f"array(concat({span}.kind, ':', {span}.value), concat({span}.kind, ' of ', {group}))"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -130,66 +162,71 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """``entity, term, share``: pairs whose PMI is at least ``GENERALISE`` of the entity's IC.
+def entity_texts(scanned: DataFrame) -> DataFrame:
+    """``content, copies, text_id, entities, terms`` of each different text that holds an entity.
 
-    Entities of one text only come once, as that text's hash in place of ``entity``.
+    Near copies have one ``text_id``.
     """
-    total = scanned.count()
     held = scanned.where("size(spans) > 0").select(
         F.xxhash64("text").alias("content"),
-        F.expr("array_distinct(transform(spans, s -> s.value))").alias("entities"),
+        F.expr(f"array_distinct(flatten(transform(spans, s -> {groups_of('s')})))").alias("entities"),
         words("text").alias("terms"),
+        sketches("text").alias("sketches"),
     )
-    # copies of a text are one text
     texts = cut_lineage(
         held.groupBy("content").agg(
             F.count(F.lit(1)).alias("copies"),
-            F.first("entities").alias("entities"),
-            F.first("terms").alias("terms"),
-        )
-    )
-    holders = cut_lineage(texts.select("content", "copies", F.explode("entities").alias("entity")))
-    counted = cut_lineage(
-        holders.groupBy("entity").agg(
-            F.sum("copies").alias("n_e"),
-            F.count(F.lit(1)).alias("texts"),
-            F.first("content").alias("content"),
+            *[F.first(c).alias(c) for c in ("entities", "terms", "sketches")],
         )
     )
-    alone = counted.where("texts = 1").select("content").distinct()
-    single = texts.join(alone, "content", "left_semi").select(
-        F.col("content").cast("string").alias("entity"),
-        F.explode("terms").alias("term"),
-        F.col("copies").alias("n_et"),
-        F.col("copies").alias("n_e"),
-        F.lit(1).cast("long").alias("texts"),
-        F.lit(1).cast("long").alias("support"),
-    )
-    shared = counted.where("texts > 1").select("entity", "n_e", "texts")
-    several = (
-        holders.join(shared.select("entity"), "entity", "left_semi")
-        .join(texts.select("content", "terms"), "content")
-        .select("entity", "copies", F.explode("terms").alias("term"))
+    known = texts.select("content", F.col("content").alias("text_id"), F.explode("sketches").alias("sketch"))
+    for _ in range(2):  # the least number among those that share a sketch, and among theirs
+        least = known.groupBy("sketch").agg(F.min("text_id").alias("least"))
+        joined = known.join(least, "sketch").groupBy("content").agg(F.min("least").alias("text_id"))
+        joined = cut_lineage(joined)
+        known = known.drop("text_id").join(joined, "content")
+    return texts.drop("sketches").join(joined, "content")
+
+
+def lower_share(hits: str, trials: str) -> str:
+    """SQL: lower end of the Wilson interval of ``hits / trials``; 0 without trials."""
+    z = f"{DEVIATIONS}D"
+    share = f"({hits} / CAST({trials} AS DOUBLE))"
+    middle = f"({share} + {z} * {z} / (2 * {trials}))"
+    spread = f"{z} * sqrt(({share} * (1 - {share}) + {z} * {z} / (4 * {trials})) / {trials})"
+    return f"IF({trials} <= 0, 0D, ({middle} - {spread}) / (1 + {z} * {z} / {trials}))"
+
+
+def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """``entity, term, share``: pairs whose PMI is at least ``GENERALISE`` of the entity's IC."""
+    total = scanned.count()
+    texts = cut_lineage(entity_texts(scanned))
+    holders = cut_lineage(texts.select("content", "text_id", F.explode("entities").alias("entity")))
+    counted = holders.groupBy("entity").agg(F.count_distinct("text_id").alias("n_e")).where("n_e > 1")
+    counted = cut_lineage(counted)
+    together = (
+        holders.drop("text_id").join(counted.select("entity"), "entity", "left_semi")
+        .join(texts.select("content", "text_id", "copies", "terms"), "content")
+        .select("entity", "text_id", "copies", F.explode("terms").alias("term"))
+        .groupBy("entity", "term", "text_id")
+        .agg(F.sum("copies").alias("copies"))
         .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("support"))
-        .join(shared, "entity")
-        .select("entity", "term", "n_et", "n_e", "texts", "support")
+        .agg(F.count(F.lit(1)).alias("n_et"), F.sum("copies").alias("documents"))
+        .where("n_et > 1")
     )
-    pairs = cut_lineage(single.unionByName(several))
-    wanted = cut_lineage(pairs.select("term").distinct())
-    said = scanned.select(F.explode(words_of_all()).alias("term"))
-    counts = keep_ids(said, wanted, "term", wanted.count()).groupBy("term").agg(
+    pairs = cut_lineage(together.withColumn("word", F.xxhash64("term")))
+    wanted = cut_lineage(pairs.select("word").distinct())
+    said = scanned.select(F.explode(F.transform(words_of_all(), lambda w: F.xxhash64(w))).alias("word"))
+    counts = keep_ids(said, wanted, "word", wanted.count()).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_t")
     )
-    n, base = f"{float(total)}D", f"n_t / {float(total)}D"
-    weight = f"IF(support < {SUPPORT}, {SHRINK}D, 0D)"
-    shrunk = f"((texts * n_et / CAST(n_e AS double) + {weight} * {base}) / (texts + {weight}))"
-    share = F.expr(f"ln({shrunk} / ({base})) / ln({n} / n_e)")
+    # copies and near copies beside the entity are one text among those that hold the word
+    others = "(n_t - documents + n_et - 1)"
+    share = f"1 + ln({lower_share('(n_et - 1)', others)}) / ln({float(total)}D / n_e)"
     return (
-        pairs.where(F.col("n_e") < total)
-        .join(cut_lineage(counts), "term")
-        .select("entity", "term", share.alias("share"))
+        pairs.join(cut_lineage(counts), "word")
+        .join(counted.where(F.col("n_e") < total), "entity")
+        .select("entity", "term", F.expr(f"IF({others} > 0, {share}, 0D)").alias("share"))
         .where(F.col("share") >= GENERALISE)
     )
 
@@ -204,20 +241,20 @@ def term_spans(scanned: DataFrame, revealed: DataFrame) -> DataFrame:
     A word counts wherever it stands, also in documents that do not hold the entity.
     """
     most = cut_lineage(revealed.groupBy("term").agg(F.max("share").alias("share")))
-    told = most
-    if most.count() <= BROADCAST_IDS:
+    told, size = most, most.agg(F.count(F.lit(1)), F.sum(F.octet_length("term") + 16)).first()
+    if (size[1] or 0) <= BROADCAST_BYTES:
         told = F.broadcast(most)
-    rows = scanned.select("row", F.explode(words_of_all()).alias("term"))
-    rows = rows.join(told, "term", "left_semi").select("row").distinct()
-    apart = "NOT exists(spans, b -> b.start < s.end AND s.start < b.end)"
-    listed = f"filter({located('text', _sql(WORD), 'term')}, s -> {apart})"
-    said = scanned.join(rows, "row", "left_semi").select("row", F.explode(F.expr(listed)).alias("s"))
-    return (
-        said.select("row", "s.*", F.col("s.value").alias("term"))
+    held = (
+        scanned.select("row", F.explode(words_of_all()).alias("term"))
         .join(told, "term")
         .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value", "share"))).alias("terms"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
     )
+    # only the row's own revealing words are listed
+    apart = "map_contains_key(told, s.value) AND NOT exists(spans, b -> b.start < s.end AND s.start < b.end)"
+    item = "named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'value', s.value, 'share', told[s.value])"
+    listed = f"transform(filter({located('text', _sql(WORD), 'term')}, s -> {apart}), s -> {item})"
+    return scanned.join(held, "row").select("row", F.expr(f"array_sort({listed})").alias("terms"))
 
 
 def protect(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Brute-force versions of the operators, in plain Python over small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -215,3 +216,35 @@ def runs(words, least=12):
             if end - start >= max(least, 2 * period):
                 found[start, end] = min(period, found.get((start, end), period))
     return sorted((start, end - start, period) for (start, end), period in found.items())
+
+
+def disclosing(texts, z, least):
+    """``(entity, term) -> share`` of texts without near copies; e-mail addresses and domains only."""
+    total, kinds, held = len(texts), {}, {}
+    for text in texts:
+        masked = EMAIL.sub(" ", text)
+        words = set(re.findall(r"[^\W\d_]{4,}", masked))
+        mails = {m[0] for m in EMAIL.finditer(text)}
+        entities = {f"email:{m}" for m in mails} | {f"email of {m.split('@')[1].lower()}" for m in mails}
+        copies = kinds.setdefault(text, [0, entities, words])
+        copies[0] += 1
+        for word in set(re.findall(r"[^\W\d_]{4,}", text)):
+            held[word] = held.get(word, 0) + 1
+    n_e, n_et, documents = {}, {}, {}
+    for copies, entities, words in kinds.values():
+        for e in entities:
+            n_e[e] = n_e.get(e, 0) + 1
+            for t in words:
+                n_et[e, t] = n_et.get((e, t), 0) + 1
+                documents[e, t] = documents.get((e, t), 0) + copies
+    out = {}
+    for (e, t), both in n_et.items():
+        trials = held[t] - documents[e, t] + both - 1
+        if both < 2 or trials <= 0 or n_e[e] >= total:
+            continue
+        p = (both - 1) / trials
+        low = (p + z * z / (2 * trials) - z * math.sqrt((p * (1 - p) + z * z / (4 * trials)) / trials)) / (1 + z * z / trials)
+        share = 1 + math.log(low) / math.log(total / n_e[e])
+        if share >= least:
+            out[e, t] = share
+    return out

@@ -316,37 +316,61 @@ def test_privacy(spark, odd, empty, documents):
 
 def test_privacy_terms(spark):
     """A word that appears only beside an address gives it away; common words do not."""
-    rows = [(i, f"the mayor Quillfeather wrote {i} from q@town.org today", "en", "a") for i in range(6)]
-    rows += [(100 + i, f"the clerk wrote {i} from town today", "en", "a") for i in range(60)]
+    rows = [(i, f"{i * 7} letters of {i * 5} days the mayor Quillfeather wrote {i} from q@town.org today {i * 3}", "en", "a") for i in range(6)]
+    rows += [(100 + i, f"the clerk wrote {i} from town today", "en", "a") for i in range(400)]
+    rows += [(900, "a note on Quillfeather", "en", "a")]
     docs = make(spark, rows)
     found = {r["doc_id"]: r for r in privacy.find_personal_data(docs).collect()}
-    text = rows[2][1]
-    at = text.index("Quillfeather")
-    assert f"term:{at}:{at + 12}" in found[2]["spans"] and "term" not in found[105]["spans"]
+    for k in (2, 900):
+        at = dict((r[0], r[1]) for r in rows)[k].index("Quillfeather")
+        assert f"term:{at}:{at + 12}" in found[k]["spans"]
+    assert "term" not in found[105]["spans"]
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitised(docs).collect()}
-    assert set(clean) == set(range(6))
+    assert set(clean) == {*range(6), 900}
     assert "Quillfeather" not in clean[2] and "[email]" in clean[2] and "today" in clean[2]
-    share = privacy.disclosures(docs, privacy.scan(docs)).where("term = 'Quillfeather'").first()["share"]
-    assert share == pytest.approx(1.0)
 
 
-def test_privacy_terms_of_rare_entities(spark):
-    """One document is enough for an entity, and its words count in documents without it."""
+def test_privacy_terms_need_more_than_one_text(spark):
+    """Rare words beside an address are no evidence, nor are its copies and near copies."""
+    draw = random.Random(2)
+    body = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    near = lambda k: " ".join([*body[:60], f"n{k}", *body[60:]])
     rows = [(0, "the mayor Quillfeather wrote from q@town.org today", "en", "a")]
-    rows += [(1, "a letter by Quillfeather came today", "en", "a")]
-    rows += [(2, "the baker Ashgrove wrote from r@town.org today", "en", "a")] * 2
-    rows += [(3, "the clerk Ashgrove and a mayor wrote from town today", "en", "a")]
+    rows += [(1, "the baker Ashgrove wrote from r@other.org today", "en", "a")] * 5
+    rows += [(10 + k, f"{near(k)} Larkspur s@third.org", "en", "a") for k in range(8)]
+    # one address each, of one domain: the word is held to the domain
+    rows += [(30 + k, f"{draw.random()} desk {k} of {draw.random()} Fennimore is p{k}@firm.org {draw.random()}", "en", "a") for k in range(9)]
     rows += [(100 + i, f"the mayor or baker or clerk wrote letter {i} from town today", "en", "a") for i in range(3000)]
-    docs = make(spark, rows)
-    found = {r["doc_id"]: r for r in privacy.find_personal_data(docs).collect()}
-    for k, name in ((0, "Quillfeather"), (1, "Quillfeather"), (2, "Ashgrove"), (3, "Ashgrove")):
-        at = rows[k if k < 3 else 4][1].index(name)
-        assert f"term:{at}:{at + len(name)}" in found[k]["spans"].split(",")
-        assert found[k]["n_term"] == 1
+    found = {r["doc_id"]: r for r in privacy.find_personal_data(make(spark, rows)).collect()}
+    assert [found[k]["n_term"] for k in (0, 1, 10, 17)] == [0, 0, 0, 0]
+    assert all("term" in found[30 + k]["spans"] for k in range(9))
     assert sum(r["n_term"] for k, r in found.items() if k >= 100) == 0
-    clean = [(r["doc_id"], r["text"]) for r in privacy.sanitised(docs).collect()]
-    assert sorted(k for k, _ in clean) == [0, 1, 2, 2, 3]
-    assert not any("Quillfeather" in text or "Ashgrove" in text for _, text in clean)
+
+
+def test_privacy_shares_by_brute_force(spark):
+    draw = random.Random(6)
+    terms = [f"term{chr(97 + k)}x" for k in range(26)]
+    rows = []
+    for k in range(500):
+        people = draw.sample(range(12), draw.choice((0, 0, 1, 2)))
+        said = [*draw.sample(terms, 6), *(f"name{chr(97 + p)}x" for p in people if draw.random() < 0.9)]
+        said += [f"m{p}@d{p % 3}.org" for p in people] + [f"x{draw.randrange(10**9)}" for _ in range(8)]
+        draw.shuffle(said)
+        rows.append((k, " ".join(said), "en", "a"))
+    rows += rows[:40]
+    docs = make(spark, rows)
+    got = {(r["entity"], r["term"]): r["share"] for r in privacy.disclosures(docs, privacy.scan(docs)).collect()}
+    want = plain.disclosing([text for _, text, *_ in rows], privacy.DEVIATIONS, privacy.GENERALISE)
+    assert set(got) == set(want) and want
+    assert all(abs(got[pair] - want[pair]) < 1e-9 for pair in want)
+
+
+def test_privacy_leaves_entity_free_documents_alone(spark):
+    """Precision on the given table: hardly a document without personal data is marked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = privacy.find_personal_data(docs).select("n_term", F.expr("n_email + n_ip + n_card + n_phone = 0").alias("free")).collect()
+    marked = [r["n_term"] > 0 for r in rows if r["free"]]
+    assert sum(marked) < 0.02 * len(marked)
 
 
 def test_secrets(spark, odd, empty, documents):
