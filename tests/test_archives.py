@@ -298,4 +298,4 @@ def test_streaming(spark, tmp_path):
     query.awaitTermination(120)
     cells = spark.read.parquet(str(tmp_path / "out"))
     assert archive_v2.decompress(cells).first()["seq"] == SAMPLE
-    assert "header" in spark.read.json(str(tmp_path / "out_rejected")).first()["error"]
+    assert "begins with >" in spark.read.json(str(tmp_path / "out_rejected")).first()["error"]
