@@ -7,10 +7,12 @@ capitals or digits, 16 or more characters), ``hex`` (32 or more lower-case hex d
 Their values are labelled credentials. Of each kind a bounded sample becomes a prefix tree whose
 states merge where their statistics are compatible (Hoeffding bound), red and blue states in the
 usual order; the result is a probabilistic automaton of the format. Every other token of 8 or more
-characters of the labelled alphabet is a candidate. It is a ``format`` span where an automaton and
+characters of the labelled alphabet is a candidate, and so are a token that reaches beyond the base
+spans it holds, as a whole, and its parts beside them (reported where the whole is none). It is a
+``format`` span where an automaton and
 its kind's lengths make it likelier by ``GAIN`` bits than the background does, and its bits per
-character are among those of the labelled values. The background (pairs of symbols, lengths) is
-learned from the candidates that are not typical of a kind: of another length, mix of character
+character are among those of the labelled values. The background (pairs of symbols, lengths; for
+tokens of one class of characters, as runs of digits are, also how frequent the class is) is learned from the candidates that are not typical of a kind: of another length, mix of character
 classes or score than its labelled values.
 
 Spans are code points, end exclusive. Null text counts as empty; repeated rows are scanned each; an
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,22 +75,40 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens apart from base spans; dots at their ends are not part of them."""
-    out, k, edge = [], 0, 0
+#: How a candidate lies to base spans.
+APART, WHOLE, PART = range(3)
+
+
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, int]]:
+    """Tokens with how they lie to base spans; dots at their ends are not part of them."""
+    out: list[tuple[int, int, str, int]] = []
+
+    def add(start: int, end: int, place: int) -> None:
+        token = text[start:end]
+        start += len(token) - len(token.lstrip("."))
+        token = token.strip(".")
+        if len(token) >= SHORTEST:
+            out.append((start, start + len(token), token, place))
+
+    k, held = 0, []  # base spans that may reach into the token
     for m in CANDIDATE.finditer(text):
-        token, start, end = m[0], m.start(), m.end()
+        start, end = m.span()
         while k < len(base) and base[k][0] < end:
-            edge = max(edge, base[k][2])
+            held.append((base[k][0], base[k][2]))
             k += 1
-        if edge > start:
+        held = [span for span in held if span[1] > start]
+        if not held:
+            add(start, end, APART)
             continue
-        if token[0] == "." or token[-1] == ".":
-            start += len(token) - len(token.lstrip("."))
-            token = token.strip(".")
-            end = start + len(token)
-        if len(token) >= SHORTEST:
-            out.append((start, end, token))
+        parts, at = [], start
+        for first, last in sorted(held):
+            parts.append((at, max(at, first)))
+            at = max(at, min(last, end))
+        parts = [part for part in [*parts, (at, end)] if part[1] > part[0]]
+        if parts:  # else base spans cover it
+            add(start, end, WHOLE)
+            for part in parts:
+                add(*part, PART)
     return out
 
 
@@ -129,13 +150,22 @@ class Tokens:
 
 
 class Lengths:
-    """Bits of a length: counted up to ``LONGEST``, smoothed by one falling geometrically."""
+    """Bits of a length: counted up to ``LONGEST``, smoothed by one falling geometrically.
+
+    Longer ones share the last count and fall geometrically from there.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts.astype(float)
 
+    @staticmethod
+    def counted(lengths: np.ndarray) -> np.ndarray:
+        return np.bincount(np.minimum(lengths, LONGEST + 1), minlength=LONGEST + 2)
+
     def bits(self, lengths: np.ndarray) -> np.ndarray:
-        held = np.where(lengths <= LONGEST, self.counts[np.minimum(lengths, LONGEST)], 0.0)
+        beyond = np.maximum(lengths - LONGEST, 0)
+        held = self.counts[np.minimum(lengths, LONGEST + 1)]
+        held = np.where(beyond > 0, held * 0.05 * 0.95 ** np.minimum(beyond, 4 * LONGEST), held)
         falling = 0.05 * 0.95 ** np.minimum(np.maximum(lengths - SHORTEST, 0), 4 * LONGEST)
         return -np.log2((held + falling) / (self.counts.sum() + 1))
 
@@ -146,7 +176,7 @@ class Format:
     def __init__(self, values: list[str]):
         self.cost, self.following = Automaton(values).tables()
         known = Tokens(pa.array(values, pa.string()))
-        counts = np.bincount(known.lengths, minlength=LONGEST + 1)
+        counts = Lengths.counted(known.lengths)
         self.seen = counts > 0
         self.lengths = Lengths(counts)
         self.mixes = np.bincount(known.classes(), minlength=16) >= TYPICAL * len(values)
@@ -168,21 +198,29 @@ class Background:
         single = (pairs.sum(axis=0) + PRIOR_SYMBOL / ALPHABET) / (pairs.sum() + PRIOR_SYMBOL)
         self.cost = -np.log2((pairs + PRIOR_PAIR * single) / (pairs.sum(axis=1, keepdims=True) + PRIOR_PAIR))
         self.following = np.tile(np.arange(1, ALPHABET + 1), (ALPHABET + 1, 1))
-        self.lengths = Lengths(counts[(ALPHABET + 1) * ALPHABET :])
+        rest = counts[(ALPHABET + 1) * ALPHABET :]
+        self.lengths = Lengths(rest[: LONGEST + 2])
+        mixes = rest[LONGEST + 2 :].astype(float)
+        self.classes = -np.log2((mixes + 1) / (mixes.sum() + 16))
+        # symbols of each class, in bits; 0 for mixes
+        self.sizes = np.log2(np.maximum(1, np.array([(_CLASS == m).sum() for m in range(16)])))
 
     @staticmethod
     def counted(tokens: Tokens) -> np.ndarray:
-        """Counts of pairs, then of lengths; of longer tokens the first ``LONGEST`` symbols."""
+        """Counts of pairs, then of lengths, then of mixes of classes."""
         codes = tokens.codes.astype(np.int64)
         before = np.concatenate([[0], codes[:-1] + 1]) if len(codes) else codes
         before[tokens.starts] = 0
-        near = np.arange(len(codes)) - np.repeat(tokens.starts, tokens.lengths) < LONGEST
-        pairs = np.bincount((before * ALPHABET + codes)[near], minlength=(ALPHABET + 1) * ALPHABET)
-        lengths = np.bincount(tokens.lengths[tokens.lengths <= LONGEST], minlength=LONGEST + 1)
-        return np.concatenate([pairs, lengths])
+        pairs = np.bincount(before * ALPHABET + codes, minlength=(ALPHABET + 1) * ALPHABET)
+        mixes = np.bincount(tokens.classes(), minlength=16)
+        return np.concatenate([pairs, Lengths.counted(tokens.lengths), mixes])
 
     def score(self, tokens: Tokens) -> np.ndarray:
-        return tokens.bits(self.cost, self.following) + self.lengths.bits(tokens.lengths)
+        """Bits by pairs of symbols; of a run of one class as that class's symbols, if that is less."""
+        bits, mix = tokens.bits(self.cost, self.following), tokens.classes()
+        alike = self.classes[mix] + self.sizes[mix] * tokens.lengths
+        bits = np.where(self.sizes[mix] > 0, np.minimum(bits, alike), bits)
+        return bits + self.lengths.bits(tokens.lengths)
 
 
 class Automaton:
@@ -316,10 +354,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 bases.append([{"start": s, "kind": k, "end": e, "value": v} for s, k, e, v in base])
                 others += candidates(text, base)
                 ends.append(len(others))
-            start, end, value = zip(*others, strict=True) if others else ((), (), ())
+            start, end, value, place = zip(*others, strict=True) if others else ((), (), (), ())
             parts = [pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(value, pa.string())]
+            parts.append(pa.array(place, pa.int32()))
             listed = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "value"])
+                pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["start", "end", "value", "place"])
             )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(bases, _BASE), listed],
@@ -330,7 +369,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(
         tidy(find),
         "doc_id bigint, base array<struct<start:bigint, kind:int, end:bigint, value:string>>,"
-        " candidates array<struct<start:bigint, end:bigint, value:string>>",
+        " candidates array<struct<start:bigint, end:bigint, value:string, place:int>>",
     )
 
 
@@ -357,14 +396,15 @@ def learn_background(scanned: DataFrame, formats: list[Format]) -> Background:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Background.counted(Tokens(pa.array([], pa.string())))
         for batch in batches:
-            values = batch.column(0).flatten().field("value")
+            flat = batch.column(0).flatten()
+            values = flat.field("value").filter(pc.equal(flat.field("place"), APART))
             if len(values):
                 other = values.filter(pa.array(~typical(Tokens(values), formats)))
                 total += Background.counted(Tokens(other))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["k", "n"])
 
-    counts = np.zeros((ALPHABET + 1) * ALPHABET + LONGEST + 1, dtype=np.int64)
+    counts = Background.counted(Tokens(pa.array([], pa.string())))
     if formats:
         sums = scanned.select("candidates").mapInArrow(tidy(count), "k int, n bigint")
         for r in sums.groupBy("k").agg(F.sum("n").alias("n")).collect():
@@ -385,9 +425,13 @@ def find_secrets(docs: DataFrame, per_kind: int = PER_KIND) -> DataFrame:
             others, flat = batch.column(2), batch.column(2).flatten()
             chosen = credentials(Tokens(flat.field("value")), formats, background)
             row = np.repeat(np.arange(len(others)), others.value_lengths().to_numpy())[chosen]
-            begin, end = (flat.field(name).to_numpy()[chosen].tolist() for name in ("start", "end"))
+            fields = (flat.field(name).to_numpy()[chosen].tolist() for name in ("start", "end", "place"))
             by_row: dict[int, list[Span]] = {}
-            for k, b, e in zip(row.tolist(), begin, end, strict=True):
+            edge = (-1, 0)  # where the last whole token among the chosen ends
+            for k, b, e, place in zip(row.tolist(), *fields, strict=True):
+                if place == PART and edge[0] == k and b < edge[1]:
+                    continue
+                edge = (k, e) if place == WHOLE else edge
                 by_row.setdefault(k, []).append((b, 3, e))
             for k, base in enumerate(batch.column(1)):
                 found = [(b["start"], b["kind"], b["end"]) for b in base.as_py()]

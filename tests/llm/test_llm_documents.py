@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import plain
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -428,6 +429,41 @@ def test_secrets_of_any_alphabet(spark, documents, name):
     assert not [k for k in hits if not 1000 <= k < 2000]
 
 
+def test_candidates_around_base_spans():
+    """A token that reaches beyond a base span is scored as a whole and in its parts."""
+    left, middle, right = "QWxhZGRpbjpvcGVu", "0123456789abcdef" * 2, "ZGVzYW1lU2VjcmV0"
+    text = f"{left}{middle}{right} x {middle} password=abcdefghij {left}"
+    found = secrets.candidates(text, secrets.base_spans(text))
+    assert [(v, p) for _, _, v, p in found] == [
+        (left + middle + right, secrets.WHOLE), (left, secrets.PART), (right, secrets.PART), (left, secrets.APART),
+    ]
+    assert all(text[s:e] == v for s, e, v, _ in found)
+    text = f"{left}{middle[:-4]}.." + middle
+    assert [v for *_, v, p in secrets.candidates(text, secrets.base_spans(text)) if p == secrets.PART] == [left + middle[:-4]]
+
+
+def test_background_counts_every_symbol():
+    tokens = secrets.Tokens(pa.array(["a" * 1000, "b" * 300, "c" * 9, "12345678"]))
+    counts = secrets.Background.counted(tokens)
+    pairs = (secrets.ALPHABET + 1) * secrets.ALPHABET
+    assert counts[:pairs].sum() == 1000 + 300 + 9 + 8
+    lengths = counts[pairs : pairs + secrets.LONGEST + 2]
+    assert lengths.sum() == 4 and lengths[secrets.LONGEST + 1] == 2 and lengths[9] == 1
+    background = secrets.Background(counts)
+    assert np.isfinite(background.score(tokens)).all()
+
+
+def test_runs_of_digits_are_no_secrets(spark, documents):
+    """Precision on the table: no card-like number is taken for a credential."""
+    found = secrets.find_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    values = []
+    for r in found.where("n_format > 0").collect():
+        spans = [s.split(":") for s in r["spans"].split(",") if s.startswith("format")]
+        values += [texts[r["doc_id"]][int(b) : int(e)] for _, b, e in spans]
+    assert not [v for v in values if v.isdigit()]
+
+
 def test_automaton_merges_and_generalises():
     draw = random.Random(8)
     values = ["id-" + "".join(draw.choices("0123456789", k=12)) for _ in range(400)]
