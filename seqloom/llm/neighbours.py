@@ -3,12 +3,14 @@
 1. Each of ``CURVES`` orderings projects the unit vectors onto ``AXES`` random orthogonal
    directions, shifts the grid, and takes the Hilbert number of the cell. Scale and middle of each
    axis come from a bounded sample (``SAMPLE`` vectors); every vector is indexed.
-2. Spark range-partitions and sorts each ordering; ranks come from counts per partition. ``BLOCK``
-   neighbours in rank make a block, packed into one row.
-3. A query looks at its own block and ``radius`` blocks to either side in every ordering. The radius
-   is measured: for ``PROBES`` queries the true neighbours are found among all vectors, and the
-   radius is the smallest that reaches ``RECALL`` of them in one ordering or another. Vectors without
-   structure need many blocks (up to all, then the search is exact), clustered ones few.
+2. Spark range-partitions and sorts each ordering; ranks come from counts per partition. Neighbours
+   in rank make a block, packed into one row: about ``BLOCKS`` blocks an ordering, of ``SMALLEST``
+   to ``BLOCK`` vectors, so that the orderings decide in small tables as in large ones.
+3. A query looks at its own block and ``radius`` blocks to either side in some orderings. Both are
+   measured: for ``PROBES`` queries the true neighbours are found among all vectors; of the numbers
+   of orderings, each with the smallest radius that reaches ``RECALL``, the one with the fewest
+   vectors to look at is taken. Clustered vectors need few; those without structure up to all, in one
+   ordering, and then the search is exact and costs what brute force in blocks costs.
 4. Each pair of a query block and a candidate block is one matrix product; its best go on, and the
    merged best of all orderings are reranked by the exact cosine of the original vectors.
 
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.shared import cut_lineage
 
-CURVES = 4
+CURVES = 8
 AXES = 8
 BITS = 7
-BLOCK = 4096
+#: Blocks of an ordering, and the least and most vectors in one.
+BLOCKS, SMALLEST, BLOCK = 128, 8, 4096
+#: Query blocks that one row brings to a block.
+TOGETHER = 32
 SAMPLE = 4096
 PROBES = 96
 RECALL = 0.96
@@ -157,10 +162,11 @@ def _ordered(rows: DataFrame, fitted: dict[int, Curves], curves: int) -> DataFra
     before = counted.select(
         "curve", "dim", "part",
         (F.expr("sum(n) OVER (PARTITION BY curve, dim ORDER BY part)") - F.col("n") - F.col("first")).alias("shift"),
+        F.expr(f"greatest({SMALLEST}, least({BLOCK}, sum(n) OVER (PARTITION BY curve, dim) DIV {BLOCKS}))").alias("size"),
     )
     return placed.join(before, ["curve", "dim", "part"]).select(
         "curve", "dim", "vec_id", "vector",
-        F.expr(f"(at + shift) DIV {BLOCK}").alias("block"),
+        F.expr("(at + shift) DIV size").alias("block"),
     )
 
 
@@ -213,7 +219,10 @@ def _top(found: DataFrame, nearest: int) -> DataFrame:
     return one.withColumn("rank", place).where(F.col("rank") <= nearest)
 
 
-def _radius(rows: DataFrame, blocks: DataFrame, nearest: int, step: int, recall: float) -> int:
+def search_plan(
+    rows: DataFrame, blocks: DataFrame, nearest: int, step: int, recall: float
+) -> tuple[int, int]:
+    """How many orderings to look into, and how many blocks to either side."""
     listed = (
         rows.where(F.col("vec_id") % step == 0)
         .orderBy(F.xxhash64(F.lit("probe"), "vec_id"), "vec_id")
@@ -226,7 +235,7 @@ def _radius(rows: DataFrame, blocks: DataFrame, nearest: int, step: int, recall:
         probes[dim] = (np.array([r["vec_id"] for r in of]), np.array([r["vector"] for r in of]))
     truth = brute_force(rows, probes, nearest)
     if not truth:
-        return 0
+        return 1, 0
     # PROBES * (nearest + 1) ids at most
     wanted = sorted({x for r in truth for x in (r["query_id"], r["vec_id"])})
     ids = rows.sparkSession.createDataFrame([(x,) for x in wanted], "vec_id bigint")
@@ -235,10 +244,18 @@ def _radius(rows: DataFrame, blocks: DataFrame, nearest: int, step: int, recall:
         for r in blocks.join(F.broadcast(ids), "vec_id").select("curve", "vec_id", "block").collect()
     }
     curves = sorted({curve for curve, _ in where})
-    apart = sorted(
-        min(abs(where[c, r["query_id"]] - where[c, r["vec_id"]]) for c in curves) for r in truth
-    )
-    return int(apart[min(len(apart) - 1, int(np.ceil(recall * len(apart))) - 1)])
+    most = blocks.agg(F.max("block")).first()[0] + 1
+    found, best = np.full(len(truth), most), None
+    for used, curve in enumerate(curves, 1):
+        apart = [abs(where[curve, r["query_id"]] - where[curve, r["vec_id"]]) for r in truth]
+        found = np.minimum(found, apart)
+        radius = int(np.sort(found)[min(len(found), int(np.ceil(recall * len(found)))) - 1])
+        looked_at = used * min(2 * radius + 1, most)
+        if best is None or looked_at < best[0]:
+            best = looked_at, used, radius
+    if best[0] >= most:  # no less than all: then all, once
+        return 1, int(most)
+    return best[1], best[2]
 
 
 def _packs(blocks: DataFrame, step: int, wide: str) -> DataFrame:
@@ -271,13 +288,22 @@ def nearest_neighbours(
     rows = usable(vectors)
     wide = rows.schema["vector"].dataType.elementType.simpleString()
     blocks = cut_lineage(_ordered(rows, _fit(rows, curves), curves))
-    radius = _radius(rows, blocks, nearest, step, recall)
-    packs = cut_lineage(_packs(blocks, step, wide))
-    asked = packs.where("octet_length(asked_ids) > 0").select(
-        "curve", "dim",
-        F.explode(F.sequence(F.col("block") - radius, F.col("block") + radius)).alias("block"),
-        "asked", "asked_ids",
-    )
+    used, radius = search_plan(rows, blocks, nearest, step, recall)
+    packs = cut_lineage(_packs(blocks.where(F.col("curve") < used), step, wide))
+    last = packs.groupBy("curve", "dim").agg(F.max("block").alias("last"))
+    from_, to = F.greatest(F.lit(0), F.col("block") - radius), F.least("last", F.col("block") + radius)
+    asked = (
+        packs.where("octet_length(asked_ids) > 0")
+        .join(last, ["curve", "dim"])
+        .select(
+            "curve", "dim", F.explode(F.sequence(from_, to)).alias("to"),
+            F.expr(f"block DIV {TOGETHER}").alias("some"), "asked", "asked_ids",
+        )
+        .withColumnRenamed("to", "block")
+        # a block's vectors travel once for this many query blocks
+        .groupBy("curve", "dim", "block", "some")
+        .agg(F.collect_list("asked").alias("asked"), F.collect_list("asked_ids").alias("asked_ids"))
+    )
     met = packs.select("curve", "dim", "block", "held", "ids").join(asked, ["curve", "dim", "block"])
     kind = "<f4" if wide == "float" else "<f8"
 
@@ -286,8 +312,8 @@ def nearest_neighbours(
             for r in range(batch.num_rows):
                 dim, held, ids, asked, asked_ids = (c[r].as_py() for c in batch.columns)
                 found = _best(
-                    np.frombuffer(asked, kind).reshape(-1, dim),
-                    np.frombuffer(asked_ids, "<i8"),
+                    np.frombuffer(b"".join(asked), kind).reshape(-1, dim),
+                    np.frombuffer(b"".join(asked_ids), "<i8"),
                     np.frombuffer(held, kind).reshape(-1, dim),
                     np.frombuffer(ids, "<i8"),
                     nearest,

@@ -23,9 +23,8 @@ def truth(ids, vectors, step, nearest=5):
     return out
 
 
-@pytest.mark.parametrize("block", [16, 4096])
-def test_neighbours(spark, monkeypatch, block):
-    monkeypatch.setattr(neighbours, "BLOCK", block)
+@pytest.mark.parametrize("recall", [0.96, 1.0])
+def test_neighbours(spark, recall):
     draw = np.random.default_rng(3)
     middles = draw.standard_normal((6, 12))
     vectors = middles[draw.integers(0, 6, 600)] + 0.2 * draw.standard_normal((600, 12))
@@ -34,7 +33,7 @@ def test_neighbours(spark, monkeypatch, block):
     rows += [rows[50], (None, [1.0] * 12, 1), (700, None, 1), (750, [0.0] * 12, 1), (800, [float("nan")] * 12, 1)]
     rows += [(850, [1.0, None] + [0.0] * 10, 1), (900, [1e200] * 3, 1), (901, [1e200, 0.0, 0.0], 1), (950, [1.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int")
-    found = neighbours.nearest_neighbours(table).orderBy("query_id", "rank").collect()
+    found = neighbours.nearest_neighbours(table, recall=recall).orderBy("query_id", "rank").collect()
     want = truth(np.arange(600), vectors, 50)
     got = {}
     for r in found:
@@ -44,12 +43,43 @@ def test_neighbours(spark, monkeypatch, block):
     assert set(got) == set(want)
     hits = sum(len(set(got[k]) & set(want[k])) for k in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
-    if block > 600:
+    if recall == 1:  # every query is a probe here
         assert got == want
     none = neighbours.nearest_neighbours(table.where("vec_id < 0"))
     assert none.count() == 0
 
 
+def test_neighbours_of_clusters_look_at_few_vectors(spark):
+    draw = np.random.default_rng(5)
+    middles = draw.standard_normal((40, 24))
+    vectors = middles[draw.integers(0, 40, 4000)] + 0.15 * draw.standard_normal((4000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    rows = neighbours.usable(table)
+    blocks = neighbours._ordered(rows, neighbours._fit(rows, 8), 8).cache()
+    assert blocks.where("curve = 0").select("block").distinct().count() >= 100
+    used, radius = neighbours.search_plan(rows, blocks, 5, 50, 0.96)
+    assert used * (2 * radius + 1) <= 128 / 4
+    want = truth(np.arange(4000), vectors, 50)
+    got = {k: set() for k in want}
+    for r in neighbours.nearest_neighbours(table).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert sum(len(got[k] & set(want[k])) for k in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_neighbours_of_the_table(spark):
+    """Recall on the given table, and each score the exact cosine."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    held = sorted((r["vec_id"], r["embedding"]) for r in table.select("vec_id", "embedding").collect())
+    ids, vectors = np.array([k for k, _ in held]), np.array([v for _, v in held], dtype=float)
+    want = truth(ids, vectors, 50)
+    got = {k: set() for k in want}
+    for r in neighbours.nearest_neighbours(table).collect():
+        got[r["query_id"]].add(r["vec_id"])
+        a, b = vectors[ids == r["query_id"]][0], vectors[ids == r["vec_id"]][0]
+        assert r["score"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
+    assert sum(len(got[k] & set(want[k])) for k in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_hilbert_numbers_are_a_walk():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
