@@ -60,9 +60,15 @@ class _RecordFilesWriter(DataSourceWriter):
             if "/" in row["name"] or row["name"] in ("", ".", ".."):
                 raise ValueError(f"not a plain file name: {row['name']}")
             partial = f"{root}/.{uuid.uuid4().hex}.partial"
-            with system.open_output_stream(partial) as target:
-                target.write(row["content"])
-            system.move(partial, f"{root}/{row['name']}")
+            try:
+                with system.open_output_stream(partial) as target:
+                    target.write(row["content"])
+                system.move(partial, f"{root}/{row['name']}")
+            except BaseException:
+                # nothing of a failed task stays behind
+                if system.get_file_info(partial).type != fs.FileType.NotFound:
+                    system.delete_file(partial)
+                raise
         return WriterCommitMessage()
 
 

@@ -185,6 +185,15 @@ def test_fasta_values():
     )
 
 
+def test_failed_writes_leave_no_partial_file(tmp_path):
+    (tmp_path / "taken").mkdir()
+    (tmp_path / "taken" / "inner").write_text("x")  # a folder that no file can replace
+    writer = files._RecordFilesWriter(f"file://{tmp_path}")
+    with pytest.raises(OSError):
+        writer.write(iter([{"name": "one", "content": b"1"}, {"name": "taken", "content": b"2"}]))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one", "taken"]
+
+
 def test_fasta_files_round_trip(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.fa").write_text(">a\n" + "ACGT" * 50 + "\n")
