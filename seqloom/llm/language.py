@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import lowest, tidy
+from seqloom.llm.shared import cut_lineage, lowest, tidy
 
 DIMENSIONS = 1 << 16
 #: Bound of the training sample: rows per label.
@@ -178,20 +178,33 @@ def _document_counts(training: DataFrame) -> tuple[int, np.ndarray]:
     return int(total[-1]), total[:-1]
 
 
-def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
+def usable_rows(docs: DataFrame) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5
-    usable = docs.select("doc_id", "text", "lang").where(
+    return docs.select("doc_id", "text", "lang").where(
         (held != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    rows, counts = _document_counts(usable)
-    idf = np.log((1 + rows) / (1 + counts)) + 1
+
+
+def sample(docs: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """``doc_id, text, lang, _order``: ``per_label`` rows a label, one for each id it has.
+
+    Of rows that repeat an id and language, the one of the smallest text hash is taken.
+    """
+    usable = usable_rows(docs)
     order = F.xxhash64(F.lit("language"), "doc_id")
     ids = usable.select("doc_id", "lang").distinct()
-    chosen = lowest(ids, "lang", order, per_label).select("doc_id", "lang")
-    # per_label rows a label: bounded by a parameter
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select(
-        "doc_id", "text", "lang", order.alias("_order")
-    )
+    # written, so that its size is known where texts meet it
+    chosen = cut_lineage(lowest(ids, "lang", order, per_label).select("doc_id", "lang"))
+    one = F.min(F.struct(F.xxhash64("text"), "text")).getField("text")
+    rows = usable.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(one.alias("text"))
+    return rows.select("doc_id", "text", "lang", order.alias("_order"))
+
+
+def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
+    usable = usable_rows(docs)
+    rows, counts = _document_counts(usable)
+    idf = np.log((1 + rows) / (1 + counts)) + 1
+    chosen = sample(docs, per_label)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +224,7 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Model:
 
     schema = "_order bigint, doc_id bigint, lang string, used binary, values binary"
     listed = sorted(
-        sample.mapInArrow(tidy(extract), schema).collect(),
+        chosen.mapInArrow(tidy(extract), schema).collect(),
         key=lambda r: (r["_order"], r["doc_id"], r["lang"], bytes(r["used"])),
     )
     labels = sorted({r["lang"] for r in listed})
