@@ -28,6 +28,8 @@ from seqloom.llm.shared import SPACE, cut_lineage, free_name, keep_ids, text_of,
 
 #: Chain heads a bucket holds before it splits.
 CAPACITY = 50_000
+#: The deepest directory, and how often one is doubled before its cells are counted anew.
+ALL_BITS, DOUBLINGS = 63, 8
 
 
 def body() -> Column:
@@ -66,10 +68,16 @@ def directory(heads: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, in
     """``(cell, bucket)`` for every used cell, and the global depth.
 
     ``bucket`` is the first cell of the bucket's prefix, so buckets are ranges of keys in order.
+    The directory starts at the depth that keys spread evenly would need and doubles while a cell
+    is too full; at ``ALL_BITS`` no cell can hold more than two keys.
     """
     total = heads.count()
-    depth = min(40, max(0, math.ceil(math.log2(max(1, total / capacity)))) + 2)
-    cells = heads.groupBy(cell_of(depth).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    depth = min(ALL_BITS, max(0, math.ceil(math.log2(max(1, total / capacity)))) + 2)
+    while True:
+        cells = heads.groupBy(cell_of(depth).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        if depth == ALL_BITS or cells.where(F.col("n") > capacity).isEmpty():
+            break
+        depth = min(ALL_BITS, depth + DOUBLINGS)
     levels = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn(
         "prefix", F.expr(f"shiftright(cell, {depth} - level)")
     )
@@ -91,7 +99,7 @@ def build_index(heads: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     heads = cut_lineage(heads)
     cells, depth = directory(heads, capacity)
     placed = heads.withColumn("cell", cell_of(depth)).join(cells, "cell").drop("cell")
-    owned = placed.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
+    owned = placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "key")
     return cut_lineage(owned)
 
 
