@@ -82,12 +82,25 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def draw_of(seed: int) -> Column:
+    """The hash that places a row; rows without an id are spread by their text."""
+    return F.when(
+        F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "source", "text")
+    ).otherwise(F.xxhash64(F.lit(seed), "doc_id", "source"))
+
+
+def place_of(shard: Column, draw: Column, copy: Column) -> Column:
+    """Key of a copy's position within its shard."""
+    return F.xxhash64(shard, draw, copy)
+
+
 def sized(docs: DataFrame, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
     """``doc_id, source, size, draw, block, fine``, written once; texts are not read again."""
-    rows = docs.select("doc_id", "source", words_of().alias("size"))
-    mixed = F.xxhash64(F.lit(seed), "doc_id", "source")
+    rows = docs.select(
+        "doc_id", "source", words_of().alias("size"), draw_of(seed).alias("draw")
+    )
     return cut_lineage(
-        rows.withColumn("draw", mixed)
+        rows
         .withColumn("block", F.pmod("draw", F.lit(blocks)))
         .withColumn("fine", F.pmod(F.xxhash64("draw"), F.lit(blocks)))
     )
@@ -124,59 +137,121 @@ def _fill(
     return copies, left[0] if left else None, rest
 
 
-def _by_source(rows: DataFrame, block: str) -> dict:
-    """Words per source and block: ``blocks`` rows a source come to the driver, not documents."""
-    words: dict = {}
-    for r in rows.groupBy("source", block).agg(F.sum("size").alias("words")).collect():
-        words.setdefault(r["source"], {})[r[block]] = r["words"]
-    return words
+def _summed(rows: DataFrame, cell: str) -> DataFrame:
+    return rows.groupBy("source", F.col(cell).cast("long").alias("cell")).agg(
+        F.sum("size").alias("words")
+    )
+
+
+FILLED = "source string, cell long, kind int, copies int, edge boolean, rest double"
+
+
+def _filled(cells: DataFrame, goals: DataFrame, kind: int) -> DataFrame:
+    """Copies of each cell of a source, a group being the at most ``BLOCKS`` cells of one source.
+
+    ``rest`` is what the source misses after this; ``edge`` marks the cell that is opened for it.
+    """
+
+    def fill(held: pa.Table) -> pa.Table:
+        held = held.sort_by("cell")
+        words = dict(zip(held["cell"].to_pylist(), held["words"].to_pylist(), strict=True))
+        whole, goal = held["whole"][0].as_py(), held["target"][0].as_py()
+        more, edge, rest = _fill(words, held["missing"][0].as_py(), MOST_REPEATS - whole, goal)
+        n = len(words)
+        return pa.table(
+            {
+                "source": held["source"],
+                "cell": held["cell"],
+                "kind": pa.array([kind] * n, pa.int32()),
+                "copies": pa.array([whole + more[c] for c in words], pa.int32()),
+                "edge": pa.array([c == edge for c in words], pa.bool_()),
+                "rest": pa.array([rest] * n, pa.float64()),
+            }
+        )
+
+    same = F.col("c.source").eqNullSafe(F.col("g.source"))
+    joined = cells.alias("c").join(goals.alias("g"), same).select("c.*", "whole", "target", "missing")
+    return cut_lineage(joined.groupBy("source").applyInArrow(fill, FILLED))
+
+
+def _dealt(cells: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The shard of each copy: a source's quota per shard runs over first copies, then second ones."""
+
+    def deal(held: pa.Table) -> pa.Table:
+        held = held.sort_by("cell")
+        copies = held["copies"].to_numpy()
+        quota = np.array(held["quota"][0].as_py(), dtype=np.int64)
+        shard_of, at = np.repeat(np.arange(len(quota)), quota), 0
+        given: list[list[int]] = [[] for _ in copies]
+        for copy in range(MOST_REPEATS):
+            for k in np.flatnonzero(copies > copy).tolist():
+                given[k].append(int(shard_of[at]))
+                at += 1
+        return held.drop_columns(["quota", "copies"]).append_column(
+            "shards", pa.array(given, pa.list_(pa.int32()))
+        )
+
+    same = F.col("c.source").eqNullSafe(F.col("q.source")) & (F.col("c.kind") == F.col("q.kind"))
+    joined = cells.alias("c").join(quotas.alias("q"), same).select("c.*", "quota")
+    schema = (
+        "source string, cell long, kind int, source_size long, target double, rest double, "
+        "shards array<int>"
+    )
+    return joined.groupBy("source", "kind").applyInArrow(deal, schema).drop("kind")
 
 
 def block_plan(rows: DataFrame, seed: int, shards: int, blocks: int) -> tuple[DataFrame, DataFrame]:
     """Per source its edge block; per source and cell the shards of its copies.
 
     A cell is a block or, at ``blocks + fine`` and above, a part of the edge block. ``rest`` is
-    set where documents decide: what the last part of the edge block still has to give.
+    set where documents decide: what the last part of the edge block still has to give. The driver
+    sees a row or two per source, for the targets and the tree; cells stay in tables.
     """
     spark = rows.sparkSession
-    words = _by_source(rows, "block")
-    names = sorted(s for s in words if s is not None) + ([None] if None in words else [])
-    sizes = {name: sum(words[name].values()) for name in names}
+    cells = cut_lineage(_summed(rows, "block"))
+    sizes = {
+        r["source"]: r["size"]
+        for r in cells.groupBy("source").agg(F.sum("words").alias("size")).collect()
+    }
     goals = targets(sizes)
-    whole, taken, edge, rest = {}, {}, {}, {}
-    for n in names:
-        whole[n] = min(int(goals[n] // sizes[n]), MOST_REPEATS) if sizes[n] else 0
-        missing = goals[n] - whole[n] * sizes[n] if whole[n] < MOST_REPEATS else 0.0
-        taken[n], edge[n], rest[n] = _fill(
-            words[n], missing, MOST_REPEATS - whole[n], goals[n]
-        )
-    edges = spark.createDataFrame([(n, edge[n]) for n in names], "source string, edge long")
-    parts = _by_source(_with_cells(rows, edges, blocks).where(F.col("cell") >= blocks), "fine")
-    cells: list[dict[int, int]] = []  # per colour of the tree: copies of each cell
-    last: dict = {}
-    for n in names:
-        more, last[n], rest[n] = _fill(
-            parts.get(n, {}), rest[n], MOST_REPEATS - whole[n], goals[n]
+    whole = {n: min(int(goals[n] // s), MOST_REPEATS) if s else 0 for n, s in sizes.items()}
+    missing = {
+        n: goals[n] - whole[n] * s if whole[n] < MOST_REPEATS else 0.0 for n, s in sizes.items()
+    }
+    wanted = cut_lineage(
+        spark.createDataFrame(
+            [(n, sizes[n], goals[n], whole[n], missing[n]) for n in sizes],
+            "source string, source_size long, target double, whole int, missing double",
         )
-        cells.append({b: whole[n] + taken[n][b] for b in words[n] if b != edge[n]})
-        cells.append({blocks + f: whole[n] + more[f] for f in parts.get(n, {})})
-    quota = split_quotas(np.array([sum(c.values()) for c in cells]), shards, seed)
-    plan = []
-    for i, held in enumerate(cells):
-        n = names[i // 2]
-        shard_of = iter(np.repeat(np.arange(shards), quota[:, i]).tolist())
-        given: dict[int, list[int]] = {cell: [] for cell in held}
-        for copy in range(MOST_REPEATS):
-            for cell in sorted(held):
-                if held[cell] > copy:
-                    given[cell].append(next(shard_of))
-        for cell, listed in given.items():
-            open_ = cell - blocks == last[n] and whole[n] < MOST_REPEATS
-            plan.append((n, cell, sizes[n], goals[n], listed, rest[n] if open_ else None))
-    schema = (
-        "source string, cell long, source_size long, target double, shards array<int>, rest double"
     )
-    return edges, spark.createDataFrame(plan, schema)
+    filled = _filled(cells, wanted, 0)
+    edges = cut_lineage(filled.groupBy("source").agg(F.max(F.when(F.col("edge"), F.col("cell"))).alias("edge")))
+    still = filled.groupBy("source").agg(F.max("rest").alias("missing")).alias("f")
+    still = wanted.drop("missing").alias("w").join(
+        still, F.col("w.source").eqNullSafe(F.col("f.source"))
+    ).select("w.*", "f.missing")
+    parts = _summed(_with_cells(rows, edges, blocks).where(F.col("cell") >= blocks), "fine")
+    opened = _filled(parts, still, 1).withColumn("cell", F.col("cell") + blocks)
+    kept = filled.where("NOT edge").withColumn("rest", F.lit(None).cast("double"))
+    # with all copies taken whole no document has to decide
+    opened = opened.alias("o").join(
+        wanted.select("source", "whole").alias("v"), F.col("o.source").eqNullSafe(F.col("v.source"))
+    )
+    opened = opened.withColumn(
+        "rest", F.expr(f"IF(edge AND whole < {MOST_REPEATS}, rest, NULL)")
+    ).select([f"o.{c}" for c in filled.columns if c != "rest"] + ["rest"])
+    both = cut_lineage(kept.unionByName(opened).drop("edge"))
+    counted = both.groupBy("source", "kind").agg(F.sum("copies").alias("n")).collect()
+    counted.sort(key=lambda r: (r["source"] is None, r["source"] or "", r["kind"]))
+    quota = split_quotas(np.array([r["n"] for r in counted], dtype=np.int64), shards, seed)
+    quotas = spark.createDataFrame(
+        [(r["source"], r["kind"], quota[:, i].tolist()) for i, r in enumerate(counted)],
+        "source string, kind int, quota array<long>",
+    )
+    sized_cells = both.alias("b").join(
+        wanted.alias("w"), F.col("b.source").eqNullSafe(F.col("w.source"))
+    ).select("b.source", "cell", "kind", "source_size", "target", "rest", "copies")
+    return edges, cut_lineage(_dealt(sized_cells, quotas))
 
 
 def _with_cells(rows: DataFrame, edges: DataFrame, blocks: int) -> DataFrame:
@@ -188,12 +263,17 @@ def _with_cells(rows: DataFrame, edges: DataFrame, blocks: int) -> DataFrame:
 def mixture(
     docs: DataFrame, seed: int = 7, shards: int = SHARDS, blocks: int = BLOCKS
 ) -> DataFrame:
-    """``doc_id, source, size, draw, source_size, target, shards``: the shard of each taken copy."""
+    """``doc_id, source, size, draw, source_size, target, shards, places``.
+
+    ``shards`` holds the shard of each taken copy, ``places`` the key it is ordered by there.
+    """
     rows = sized(docs, seed, blocks)
     edges, plan = block_plan(rows, seed, shards, blocks)
     joined = _placed(rows, edges, plan, blocks)
     edge = _fit_edge(joined.where("rest IS NOT NULL"), seed, shards)
-    return joined.where("rest IS NULL").unionByName(edge).drop("rest")
+    both = joined.where("rest IS NULL").unionByName(edge).drop("rest")
+    places = F.transform("shards", lambda shard, copy: place_of(shard, F.col("draw"), copy))
+    return both.withColumn("places", places)
 
 
 def _placed(rows: DataFrame, edges: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
@@ -234,8 +314,8 @@ def _fit_edge(rows: DataFrame, seed: int, shards: int) -> DataFrame:
 def shard_rows(mixed: DataFrame) -> DataFrame:
     """The mixture as rows ``shard, position key, doc_id``, shuffled within each shard."""
     return (
-        mixed.select("doc_id", "draw", F.posexplode("shards").alias("copy", "shard"))
-        .withColumn("place", F.xxhash64("shard", "draw", "copy"))
+        mixed.select("doc_id", "places", F.posexplode("shards").alias("copy", "shard"))
+        .withColumn("place", F.element_at("places", F.col("copy") + 1))
         .repartitionByRange("shard", "place")
         .sortWithinPartitions("shard", "place", "doc_id")
         .select("shard", "place", "doc_id", "copy")
@@ -245,20 +325,23 @@ def shard_rows(mixed: DataFrame) -> DataFrame:
 def mixed_documents(
     docs: DataFrame, seed: int = 7, shards: int = SHARDS, blocks: int = BLOCKS
 ) -> DataFrame:
-    """The columns of ``docs``, each document as often as the mixture takes it.
+    """The columns of ``docs``, each document as often as the mixture takes it, shard by shard.
 
-    Texts do not move: their block follows from a hash, and the plan, ``2 * blocks`` rows a source,
-    goes to them as far as its checked size allows. Documents of the edge part come by id; rows
-    that repeat a ``doc_id`` within a source are taken equally often.
+    A document's block follows from a hash, and the plan, ``2 * blocks`` rows a source, goes to it
+    as far as its checked size allows. Documents of the edge part come by their hash, so rows that
+    repeat a ``doc_id`` within a source are taken equally often. Texts move once, to their place: range partitions
+    hold the shards in order, and a shard is read in the order of its shuffle.
     """
     rows = sized(docs, seed, blocks)
     edges, plan = block_plan(rows, seed, shards, blocks)
     held, draw = free_name(docs, "held"), free_name(docs, "draw")
     sources = edges.withColumnRenamed("source", "of")
-    cells = plan.select(F.col("source").alias("in"), "cell", F.size("shards").alias("times"), "rest")
+    cells = plan.select(F.col("source").alias("in"), "cell", "shards", "rest")
     last = _fit_edge(_placed(rows, edges, plan, blocks).where("rest IS NOT NULL"), seed, shards)
     last = cut_lineage(
-        last.groupBy(F.col("draw").alias("one")).agg(F.max(F.size("shards")).alias("more"))
+        last.groupBy(F.col("draw").alias("one")).agg(
+            F.max_by("shards", F.struct(F.size("shards"), "shards")).alias("more")
+        )
     )
     if cells.count() <= BROADCAST_IDS // 4:
         sources, cells = F.broadcast(sources), F.broadcast(cells)
@@ -268,13 +351,15 @@ def mixed_documents(
     whole = docs.select(
         F.struct(*docs.columns).alias(held),
         F.col("source").alias("_source"),
-        F.xxhash64(F.lit(seed), "doc_id", "source").alias(draw),
+        draw_of(seed).alias(draw),
     )
     block, fine = F.pmod(F.col(draw), F.lit(blocks)), F.pmod(F.xxhash64(draw), F.lit(blocks))
     cell = F.when(block == F.col("edge"), fine + blocks).otherwise(block)
     met = whole.join(sources, F.col("_source").eqNullSafe(F.col("of"))).withColumn("_cell", cell)
     met = met.join(cells, F.col("_source").eqNullSafe(F.col("in")) & (F.col("_cell") == F.col("cell")))
     met = met.join(last, F.col(draw) == F.col("one"), "left")
-    times = F.when(F.col("rest").isNull(), F.col("times")).otherwise(F.coalesce("more", F.lit(0)))
-    each = F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")
-    return met.select(held, each).select(f"{held}.*")
+    given = F.when(F.col("rest").isNull(), F.col("shards")).otherwise(F.col("more"))
+    each = met.select(held, draw, F.posexplode(given).alias("_copy", "_shard"))
+    each = each.withColumn("_place", place_of(F.col("_shard"), F.col(draw), F.col("_copy")))
+    ordered = each.repartitionByRange("_shard", "_place").sortWithinPartitions("_shard", "_place")
+    return ordered.select(f"{held}.*")

@@ -33,6 +33,7 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("size") * F.size("shards")).alias("taken"),
         "source",
         "shards",
+        "places",
     )
 
 

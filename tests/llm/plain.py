@@ -78,9 +78,9 @@ def shingles(text, size=4):
     return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
 
 
-def jaccard_components(rows, least=85):
+def jaccard_components(rows, least=85, words=4):
     """``doc_id -> (set size, smallest linked doc_id)``."""
-    sets = {key: shingles(text) for key, text in rows}
+    sets = {key: shingles(text, words) for key, text in rows}
     where = {}
     for key, held in sets.items():
         for shingle in held:

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import plain
@@ -99,8 +100,24 @@ def test_directory_splits_overfull_buckets(spark):
     placed = heads.withColumn("cell", exact_dedup.cell_of(depth)).join(cells, "cell")
     held = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}
     assert sum(held.values()) == len(keys)
-    # 41 keys share all bits of the deepest cell; every other bucket fits
-    assert sorted(held.values())[-1] == 41 and sorted(held.values())[-2] <= 16 and len(held) > 8
+    # 40 keys share the bits of the first directory, which doubles until they fit
+    assert max(held.values()) <= 16 and len(held) > 8
+
+
+def test_buckets_split_until_each_fits(spark):
+    """Keys that share their first bits: a depth from their number alone would leave them together."""
+    keys = [(k << 20,) for k in range(300)] + [(-(1 << 60) + k,) for k in range(60)]
+    heads = spark.createDataFrame(keys, "key long").cache()
+    cells, depth = exact_dedup.directory(heads, 4)
+    placed = heads.withColumn("cell", exact_dedup.cell_of(depth)).join(cells, "cell")
+    assert placed.count() == len(keys)
+    held = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert max(held) <= 4 and depth > 40
+    with_heads = heads.selectExpr("key", "key AS keep_id", "1L AS group_size")
+    index = exact_dedup.build_index(with_heads, 4)
+    owned = index.select("bucket", F.input_file_name().alias("file")).collect()
+    assert len(owned) == len(keys)
+    assert len({(r["bucket"], r["file"]) for r in owned}) == len({r["bucket"] for r in owned})
 
 
 def test_drop_copies_keeps_columns(odd, empty):
@@ -189,8 +206,29 @@ def test_mixing_whole_table(documents):
         target, taken = check_mixture(rows, mixing.mixture(documents, blocks=blocks).collect())
         near = 0.05 if blocks == mixing.BLOCKS else 0.1
         assert all(abs(taken[s] - target[s]) <= near * target[s] for s in target)
-    shards = mixing.shard_rows(mixing.mixture(documents))
-    assert shards.count() == sum(len(r["shards"]) for r in mixing.mixture(documents).collect())
+    mixture = mixing.mixture(documents).collect()
+    listed = mixing.shard_rows(mixing.mixture(documents)).collect()
+    assert len(listed) == sum(len(r["shards"]) for r in mixture)
+    # the mixture of the pipeline: shard after shard, each in its shuffled order
+    order = sorted((s, p, r["doc_id"]) for r in mixture for s, p in zip(r["shards"], r["places"], strict=True))
+    mixed = [r["doc_id"] for r in mixing.mixed_documents(documents).collect()]
+    assert mixed == [k for *_, k in order] and mixed != sorted(mixed)
+
+
+def test_mixing_of_many_sources_and_missing_ids(spark):
+    """A source a document, beside one of many rows without an id."""
+    rows = [(k, "w " * (1 + k % 5), "en", f"s{k}") for k in range(300)]
+    rows += [(None, f"text {k} " * (1 + k % 9), "en", "hot") for k in range(900)]
+    docs = make(spark, rows)
+    got = mixing.mixture(docs).collect()
+    target, taken = check_mixture(rows, got)
+    assert abs(taken["hot"] - target["hot"]) <= 0.05 * target["hot"]
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target if s != "hot")
+    # rows without an id are spread over blocks by their text
+    sized = mixing.sized(docs).where("source = 'hot'")
+    assert sized.select("block").distinct().count() > 300
+    counts = Counter(r["text"] for r in mixing.mixed_documents(docs).collect())
+    assert sum(counts.values()) == sum(len(r["shards"]) for r in got)
 
 
 def test_targets_and_quotas():
@@ -284,6 +322,16 @@ def test_language(spark, documents, odd, empty):
     assert language.predict(empty, nothing).count() == 0
 
 
+def test_language_takes_one_row_of_a_repeated_id(spark, documents):
+    """Rows that repeat one id and language weigh as one in training, however many they are."""
+    base = documents.select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    hot = base.where("crc32(cast(doc_id AS string)) % 5 <> 0").limit(1).cache()
+    many = base.unionByName(hot.crossJoin(spark.range(2000)).drop("id"))
+    model, again = language.train(base), language.train(many)
+    assert model.labels == again.labels
+    assert len(language.sample(many).collect()) == len(language.sample(base).collect())
+
+
 def test_language_ignores_held_out_labels(spark, documents):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     wrong = documents.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang")))

@@ -1,13 +1,15 @@
 """Vectors, pages and the pipeline."""
 
 import os
+import re
+from collections import Counter
 
-import duckdb
 import numpy as np
+import plain
 import pytest
 
 import corpus_pipeline
-from seqloom.llm import boilerplate, exact_dedup, language, neighbours, ngram_join, packing, queries
+from seqloom.llm import boilerplate, language, mixing, neighbours, ngram_join, packing, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -112,29 +114,46 @@ def test_native_plans_hold_no_python(spark):
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_pipeline(spark):
-    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{FOLDER}/documents.parquet'").fetchall()
+    """Each stage against brute force on what the one before it kept, and the rows of the run."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    stages, kept, held = dict(corpus_pipeline.STAGES), [], docs
+    for name in list(stages)[:-1]:
+        held = spark.createDataFrame(stages[name](spark, held, FOLDER).collect(), docs.schema)
+        kept.append([(r["doc_id"], r["text"]) for r in held.collect()])
+    known, single, apart, mixed = kept
     model = language.train(docs)
-    texts = {k: t for k, t, _ in rows if model.predict(t)[0] != "und" and model.predict(t)[1] >= 0.4}
-    kept = {r["doc_id"] for r in exact_dedup.exact_groups(docs.where(docs.doc_id.isin(list(texts)))).where("kept").collect()}
-    texts = {k: t for k, t in texts.items() if k in kept}
-    import plain
-
-    roots = {root if n else k for k, (n, root) in plain.jaccard_components(texts.items()).items()}
-    found = corpus_pipeline.run(spark, FOLDER).collect()
-    assert {r["doc_id"] for r in found} <= roots
-    # the mixture takes words in proportion to weights: some documents go, some come twice
-    assert len({r["doc_id"] for r in found}) > 0.3 * len(roots)
+    found = {r["doc_id"]: model.predict(r["text"]) for r in docs.collect()}
+    assert {k for k, _ in known} == {k for k, (name, score) in found.items() if name != "und" and score >= 0.4}
+    groups = {}
+    for k, text in known:
+        body = re.sub("[\x20\x09-\x0d]", "", text or "")
+        groups.setdefault(body, []).append((-len(text or ""), k))
+    assert sorted(k for k, _ in single) == sorted(min(g)[1] for g in groups.values())
+    linked = plain.jaccard_components(single, least=80, words=5)
+    assert sorted(k for k, _ in apart) == sorted(k for k, (_, root) in linked.items() if k == root)
+    assert len(apart) < len(single) < len(known)
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    words = {k: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for k, t in apart}
+    sizes, taken = {}, {}
+    for k in words:
+        sizes[source[k]] = sizes.get(source[k], 0) + words[k]
+    times = Counter(k for k, _ in mixed)
+    for k, n in times.items():
+        assert n <= 3
+        taken[source[k]] = taken.get(source[k], 0) + n * words[k]
+    for name, goal in mixing.targets(sizes).items():
+        assert abs(taken.get(name, 0) - goal) <= 0.05 * goal
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == times
     held = {}
-    for r in found:
+    for r in rows:
         held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for parts in held.values():
-        assert sum(n for _, n in parts) <= packing.CAPACITY
-        assert sorted(parts)[0][0] == 0
-    words = {k: len(t.split()) for k, t in texts.items()}
-    taken = sum(words[r["doc_id"]] for r in found if r["piece"] == 0)
-    total = sum(words[k] for k in roots)
-    assert abs(taken - total) < 0.05 * total
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= packing.CAPACITY
 
 
 def test_stages_keep_columns_and_empty_tables(spark):
