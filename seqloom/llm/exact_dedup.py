@@ -9,7 +9,9 @@ Texts are equal when identical after every character of ``[\\x20\\x09-\\x0D]`` i
    its capacity splits by one more bit; the local depth of a cell is the first depth at which its
    prefix fits, which is what doubling step by step arrives at.
 4. Owner tasks take ranges of buckets and write them, sorted by key, to the shared folder.
-5. Bytes decide: every row of a key with several rows is compared with the head of its chain.
+5. A row finds its bucket in the directory and its chain head within that bucket. Tasks take
+   ``(bucket, key)``, and those of a hot key are split, as a bucket with it would fill one owner.
+6. Bytes decide: every row of a key with several rows is compared with the head of its chain.
    Rows that differ (two texts with one 64-bit key) form the next link, until none is left.
 
 Of equal texts the row with the most code points in its own text stays, then the smallest
@@ -20,11 +22,20 @@ count each in ``group_size`` and carry the same flags. An empty table gives an e
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.shared import SPACE, cut_lineage, free_name, keep_ids, text_of, without_ids
+from seqloom.llm.shared import (
+    BROADCAST_IDS,
+    SPACE,
+    cut_lineage,
+    free_name,
+    keep_ids,
+    text_of,
+    without_ids,
+)
 
 #: Chain heads a bucket holds before it splits.
 CAPACITY = 50_000
@@ -94,43 +105,58 @@ def cell_of(depth: int) -> Column:
     return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def build_index(heads: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Chain heads in bucket files: owner tasks take ranges of buckets, sorted by key."""
+class Index(NamedTuple):
+    """Chain heads in bucket files, ``(bucket, key, keep_id, group_size)``, and their directory."""
+
+    heads: DataFrame
+    cells: DataFrame
+    depth: int
+
+    def located(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the bucket of their ``key``; the directory goes to them within its bound."""
+        cells = self.cells
+        if cells.count() <= BROADCAST_IDS:
+            cells = F.broadcast(cells)
+        return rows.withColumn("cell", cell_of(self.depth)).join(cells, "cell").drop("cell")
+
+
+def build_index(heads: DataFrame, capacity: int = CAPACITY) -> Index:
+    """Owner tasks take ranges of buckets and write them sorted by key."""
     heads = cut_lineage(heads)
     cells, depth = directory(heads, capacity)
-    placed = heads.withColumn("cell", cell_of(depth)).join(cells, "cell").drop("cell")
-    owned = placed.repartitionByRange("bucket").sortWithinPartitions("bucket", "key")
-    return cut_lineage(owned)
+    index = Index(heads, cut_lineage(cells), depth)
+    owned = index.located(heads).repartitionByRange("bucket").sortWithinPartitions("bucket", "key")
+    return index._replace(heads=cut_lineage(owned))
 
 
-def differing(docs: DataFrame, index: DataFrame, key_bits: int = 64) -> list[DataFrame]:
+def differing(docs: DataFrame, index: Index, key_bits: int = 64) -> list[DataFrame]:
     """Rows that share a key with other bytes, as ``(doc_id, key, link)``, one table per link.
 
     Only texts of keys with several rows travel, to meet the head of their chain; the list of
     those keys goes to the texts as far as its checked size allows.
     """
-    wanted = index.where("group_size > 1").select("key")
+    wanted = index.heads.where("group_size > 1").select("key")
     bodies = docs.select("doc_id", F.length(text_of()).alias("n_chars"), body().alias("body"))
     bodies = bodies.withColumn("key", content_key(F.col("body"), key_bits))
-    left = cut_lineage(keep_ids(bodies, wanted, "key", wanted.count()))
+    left = cut_lineage(index.located(keep_ids(bodies, wanted, "key", wanted.count())))
     links: list[DataFrame] = []
-    heads = index.select("key", "keep_id")
+    heads = index.heads.select("bucket", "key", "keep_id")
     while True:
         first = (
-            left.join(heads, "key")
+            left.join(heads, ["bucket", "key"])
             .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-            .groupBy("key")
+            .groupBy("bucket", "key")
             .agg(F.min("body").alias("head"))
         )
         # the head is one row per key: written, so that the join sees two plain sides
         first = cut_lineage(first)
-        left = cut_lineage(left.join(first, "key").where("body <> head").drop("head"))
+        left = cut_lineage(left.join(first, ["bucket", "key"]).where("body <> head").drop("head"))
         if left.isEmpty():
             return links
         links.append(
             left.select("doc_id", "key", F.lit(len(links) + 1).alias("link"), "n_chars")
         )
-        heads = chain_heads(left, "key").select("key", "keep_id")
+        heads = chain_heads(left, "bucket", "key").select("bucket", "key", "keep_id")
 
 
 def exact_groups(
@@ -155,10 +181,10 @@ def _groups(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> Da
             "left",
         ).select("r.*", F.coalesce("link", F.lit(0)).alias("link"))
         rows = cut_lineage(rows)
-        index = cut_lineage(chain_heads(rows, "key", "link"))
-        joined = rows.join(index, ["key", "link"])
+        chained = cut_lineage(chain_heads(rows, "key", "link"))
+        joined = rows.join(chained, ["key", "link"])
     else:
-        joined = rows.join(index, "key")
+        joined = index.located(rows).join(index.heads, ["bucket", "key"])
     return joined.select(
         "doc_id",
         "keep_id",

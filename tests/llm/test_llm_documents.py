@@ -115,9 +115,12 @@ def test_buckets_split_until_each_fits(spark):
     assert max(held) <= 4 and depth > 40
     with_heads = heads.selectExpr("key", "key AS keep_id", "1L AS group_size")
     index = exact_dedup.build_index(with_heads, 4)
-    owned = index.select("bucket", F.input_file_name().alias("file")).collect()
+    owned = index.heads.select("bucket", F.input_file_name().alias("file")).collect()
     assert len(owned) == len(keys)
     assert len({(r["bucket"], r["file"]) for r in owned}) == len({r["bucket"] for r in owned})
+    # a row meets its head in the bucket that the directory names
+    met = index.located(heads).join(index.heads, ["bucket", "key"])
+    assert met.where("key = keep_id").count() == len(keys) == met.count()
 
 
 def test_drop_copies_keeps_columns(odd, empty):
