@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.shared import BROADCAST_IDS, cut_lineage, scratch_folder
 from seqloom.llm.tokens import DEFAULT, word_ids
 
-STRIDE = 2048
+STRIDE = 1024
 PER_SHARD = 4096
 CLOSING = (1).to_bytes(4, "little")
 ROUNDS = 6
@@ -182,31 +182,37 @@ def write_shards(
             sink.close()
             system.move(aside, f"{root}/{shard_name(current)}")
 
-        for batch in batches:
-            crc = []
-            shards = batch.column("shard").to_pylist()
-            for shard, ids in zip(shards, batch.column("ids").to_pylist(), strict=True):
-                if shard != current:
-                    if sink:
-                        close()
-                    current, aside = shard, f"{root}/_{shard}-{uuid.uuid4().hex}"
-                    sink = system.open_output_stream(aside)
-                data = unpack.decompress(ids)
-                crc.append(zlib.crc32(data))
-                sink.write(data + bytes(record - len(data)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("slot"),
-                    batch.column("shard"),
-                    pa.array(batch.column("slot").to_numpy() % per_shard),
-                    batch.column("n_tokens"),
-                    pa.array(crc, pa.int64()),
-                    batch.column("parts"),
-                ],
-                ["slot", "shard", "row", "n_tokens", "ids_crc32", "parts"],
-            )
-        if sink:
-            close()
+        try:
+            for batch in batches:
+                crc = []
+                shards = batch.column("shard").to_pylist()
+                for shard, ids in zip(shards, batch.column("ids").to_pylist(), strict=True):
+                    if shard != current:
+                        if sink:
+                            close()
+                        current, aside = shard, f"{root}/_{shard}-{uuid.uuid4().hex}"
+                        sink = system.open_output_stream(aside)
+                    data = unpack.decompress(ids)
+                    crc.append(zlib.crc32(data))
+                    sink.write(data + bytes(record - len(data)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("slot"),
+                        batch.column("shard"),
+                        pa.array(batch.column("slot").to_numpy() % per_shard),
+                        batch.column("n_tokens"),
+                        pa.array(crc, pa.int64()),
+                        batch.column("parts"),
+                    ],
+                    ["slot", "shard", "row", "n_tokens", "ids_crc32", "parts"],
+                )
+            if sink:
+                close()
+                sink = None
+        finally:
+            if sink and not sink.closed:  # a task that fails leaves no file aside
+                sink.close()
+                system.delete_file(aside)
 
     schema = (
         "slot bigint, shard bigint, row bigint, n_tokens int, ids_crc32 bigint,"
