@@ -8,7 +8,7 @@ from brute import restore
 from pyspark.sql import functions as F
 
 from seqloom.functions.matching import lz76_phrases
-from seqloom.operators import graph, lz76_joins, markov
+from seqloom.operators import graph, long_repeats, lz76_joins, markov
 from seqloom.operators.repeats import with_copies
 from seqloom.operators.residual import PlainCodec
 from seqloom.plans import archive_v1, archive_v2, restoring_by_joins
@@ -286,3 +286,33 @@ def test_lz76_over_stretches_and_pieces(spark, table):
     seqs = ["".join(draw.choices("ACGT", k=40_000)), "".join(draw.choices("AC", k=9000)) * 2]
     got = lz76_joins.lz76_by_joins(table(*seqs))
     assert {r[0]: r[1] for r in got.collect()} == {k: lz76_phrases(s) for k, s in enumerate(seqs)}
+
+
+def test_lz76_of_windows_that_meet_over_pieces(spark, table):
+    draw = random.Random(8)
+    unit = "".join(draw.choices("ACGT", k=40))
+    seqs = ["".join(draw.choices("ACGTN", k=9000)) + unit + "".join(draw.choices("AC", k=3000)) + unit, unit, "A" + unit * 2]
+    got = lz76_joins.lz76_by_joins(table(*seqs), 24, lz76_joins.BLOCK)
+    assert {r[0]: r[1] for r in got.collect()} == {k: lz76_phrases(s) for k, s in enumerate(seqs)}
+
+
+def test_only_windows_that_may_come_again_are_grouped(spark, table):
+    draw = random.Random(9)
+    seqs = ["".join(draw.choices("ACGT", k=n)) for n in (0, 10, 39, 5000)]
+    seqs.append(seqs[3][:600] + seqs[3])
+    records = table(*seqs)
+    for positions in (1000, 1 << 16):
+        rows = long_repeats.recurring_kmers(records, 40, positions=positions).collect()
+        assert {(r[0], r[1]) for r in rows} >= {(4, p) for p in (*range(561), *range(600, 1161))}
+        assert all(bytes(r[2]).decode() == seqs[r[0]][r[1] : r[1] + 40] for r in rows)
+        if positions > 5600:
+            assert len(rows) == 2 * 561
+
+
+def test_position_tables_are_never_broadcast(spark, table):
+    unit = "".join(random.Random(10).choices("ACGT", k=300))
+    best = long_repeats.best_copies(table(unit + "G" + unit), 15, 40)
+    chosen = long_repeats.select_greedily(best)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert [r["length"] for r in chosen.collect()] == [300]
