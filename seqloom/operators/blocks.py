@@ -21,6 +21,7 @@ from seqloom.formats import (
     RESIDUAL,
     SHORT_RESIDUAL,
 )
+from seqloom.functions.slices import by_slices
 from seqloom.operators.repeats import spans
 from seqloom.operators.residual import ResidualCodec
 
@@ -72,6 +73,7 @@ def pruned_column(length: str = "length(seq)", copies: str = "copies"):
     kind = to_arrow_type(COPY_LIST)
 
     @F.arrow_udf(COPY_LIST)
+    @by_slices
     def pruned(totals: pa.Array, lists: pa.Array) -> pa.Array:
         fields = ("start", "source", "length")
         return pa.array(
@@ -143,6 +145,7 @@ def _tokenised_chunks(codec: ResidualCodec):
         return blocks
 
     @F.arrow_udf(PLANNED)
+    @by_slices
     def chunks(seqs: pa.Array, lists: pa.Array) -> pa.Array:
         return pa.array(
             [plan(s or "", p or []) for s, p in zip(seqs.to_pylist(), lists.to_pylist())],

@@ -19,6 +19,7 @@ from seqloom.functions.context_bits import (
     gap_bits,
     unit_bits,
 )
+from seqloom.functions.slices import by_slices
 from seqloom.operators.kmers import CHUNK_POSITIONS, piece_offsets, route
 from seqloom.session import rebalance
 
@@ -186,6 +187,7 @@ def gap_bits_column(order: int = 3, pseudocount: float = 1.0):
     check_order(order, pseudocount)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    @by_slices
     def bits(seqs: pa.Array, starts: pa.Array, lengths: pa.Array, sources: pa.Array) -> pa.Array:
         cells = []
         for seq, *spans in zip(*(c.to_pylist() for c in (seqs, starts, lengths, sources)), strict=True):

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from seqloom.formats import COPY_LIST
 from seqloom.functions.matching import every_copy, greedy_copies
+from seqloom.functions.slices import by_slices
 from seqloom.operators import long_repeats
 from seqloom.operators.kmers import LOCAL_RECORD, route
 from seqloom.session import is_empty
@@ -40,6 +41,7 @@ def _list_udf(search):
     kind = to_arrow_type(COPY_LIST)
 
     @F.arrow_udf(COPY_LIST)
+    @by_slices
     def copies(seqs: pa.Array) -> pa.Array:
         found = [np.array(list(search(seq or "")), np.int64).reshape(-1, 3) for seq in seqs.to_pylist()]
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)

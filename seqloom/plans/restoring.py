@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.functions.catalog import apart
+from seqloom.functions.slices import sliced
 from seqloom.operators.residual import TOGETHER, Encoded, ResidualCodec, together
 
 # A tile has a literal text, or a source, or a code. ``length`` is what it adds to the sequence.
@@ -103,9 +104,11 @@ def follow_all(cells: list[list[dict] | None], codec: ResidualCodec | None) -> l
 
 
 def _follow_column(codec: ResidualCodec | None):
+    rows = TOGETHER if codec and codec.in_lanes else 1
+
     @F.arrow_udf(T.StringType())
     def followed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for group in together(batches, TOGETHER):
+        for group in together(sliced(batches), rows):
             texts = follow_all(sum((cells.to_pylist() for cells in group), []), codec)
             for cells in group:
                 yield pa.array(texts[: len(cells)], pa.string())

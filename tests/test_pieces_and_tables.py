@@ -2,16 +2,18 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.formats import VARIANTS
 from seqloom.functions import table_functions
 from seqloom.functions.catalog import expr
+from seqloom.functions.slices import ROWS, by_slices, sliced
 from seqloom.operators import complexity, kmers
 from seqloom.operators.residual import ModelCodec
 from seqloom.operators.token_models import StretchModel, UniformModel, train_stretches
-from seqloom.plans import archive_v2, benchmark
+from seqloom.plans import archive_v1, archive_v2, benchmark
 from seqloom.sources import fasta_pieces
 
 
@@ -104,3 +106,29 @@ def test_packed_bit_texts(spark):
         assert bytes(spark.range(1).select(expr("pack_bit_text", f"'{bits}'")).first()[0]) == want
     with pytest.raises(Exception, match="0 or 1"):
         spark.range(1).select(expr("pack_bit_text", "'012'")).collect()
+
+
+def test_python_objects_of_few_rows_at_a_time():
+    sizes = []
+
+    @by_slices
+    def work(left: pa.Array, right: pa.Array) -> pa.Array:
+        sizes.append(len(left))
+        return pa.array([a + b for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.int64())
+
+    for n in (0, 1, ROWS, ROWS + 1, 10_000):
+        assert work(pa.array(range(n), pa.int64()), pa.array([1] * n, pa.int64())).to_pylist() == list(range(1, n + 1))
+    assert max(sizes) == ROWS
+    assert [len(part) for part in sliced([pa.array([0] * 600)])] == [ROWS, ROWS, 88]
+
+
+def test_batches_of_many_records_are_restored_in_slices(spark):
+    rows = [(k, f">r{k}", "ACGTN"[k % 5 :] * (k % 40)) for k in range(700)]
+    records = spark.createDataFrame(rows, "record_id long, header string, seq string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        for plan in (archive_v1, archive_v2):
+            assert sorted(tuple(r) for r in plan.decompress(plan.compress(records)).collect()) == rows
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
