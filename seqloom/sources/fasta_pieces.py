@@ -167,16 +167,20 @@ def scan_pieces(spark: SparkSession, path: str, **options: str | int) -> DataFra
 
 
 def read_pieces(spark: SparkSession, path: str, **options: str | int) -> tuple[DataFrame, DataFrame]:
-    """``(record_id, header, length)`` and ``(record_id, offset, bases)`` of a file or folder.
+    """``(record_id, header, length)`` and ``(record_id, offset, bases, size_bound)`` of a file or folder.
 
-    The files are read once. A file without symbols fails here, any other error where it is read.
+    ``size_bound`` is the length of the piece's record. The files are read once. A file without
+    symbols fails here, any other error where it is read.
     """
     rows = cut_lineage(scan_pieces(spark, path, **options).drop("error"))
     size = F.octet_length("bases").cast("long")
     earlier = Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     # one number a piece: a record of 100 GB has some 25,000 of them
     places = rows.select(
-        "path", "piece", F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias("offset")
+        "path",
+        "piece",
+        F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias("offset"),
+        F.sum(size).over(Window.partitionBy("path")).alias("size_bound"),
     )
     pieces = rows.join(places, ["path", "piece"]).where(size > 0)
     whole = rows.groupBy("path").agg(F.max("header").alias("header"), F.sum(size).alias("length"))
@@ -187,7 +191,7 @@ def read_pieces(spark: SparkSession, path: str, **options: str | int) -> tuple[D
             "header",
             F.when(F.col("length") > 0, F.col("length")).otherwise(empty.cast("long")).alias("length"),
         ),
-        pieces.select(F.col("path").alias("record_id"), "offset", "bases"),
+        pieces.select(F.col("path").alias("record_id"), "offset", "bases", "size_bound"),
     )
 
 
@@ -196,8 +200,9 @@ def recut(pieces: DataFrame, width: int = 1, positions: int = CHUNK_POSITIONS) -
 
     Every window of ``width`` symbols of a record lies in exactly one piece, as in
     ``kmers.chunks``; here the record itself is in no cell. A piece goes to the few places it
-    touches, so no row grows with the record.
+    touches, so no row grows with the record. A ``size_bound`` goes with its pieces.
     """
+    bound = [name for name in ("size_bound",) if name in pieces.columns]
     reach = f"(offset - {width - 1})"
     touched = F.expr(
         f"""IF(octet_length(bases) = 0, array(), sequence(
@@ -205,7 +210,7 @@ def recut(pieces: DataFrame, width: int = 1, positions: int = CHUNK_POSITIONS) -
     )
     at = F.expr(f"place * {positions}L")
     parts = (
-        pieces.select("record_id", "offset", "bases", F.explode(touched).alias("place"))
+        pieces.select("record_id", "offset", "bases", *bound, F.explode(touched).alias("place"))
         .withColumn("from", F.greatest(F.col("offset"), at))
         .withColumn("to", F.least(F.expr("offset + octet_length(bases)"), at + (positions + width - 1)))
         .where("`from` < `to`")
@@ -214,13 +219,15 @@ def recut(pieces: DataFrame, width: int = 1, positions: int = CHUNK_POSITIONS) -
             "place",
             "from",
             F.expr("substring(bases, CAST(`from` - offset + 1 AS INT), CAST(`to` - `from` AS INT))").alias("bases"),
+            *bound,
         )
     )
     # at most ``positions + width`` symbols a group
     joined = parts.groupBy("record_id", "place").agg(
-        F.array_sort(F.collect_list(F.struct("from", "bases"))).alias("parts")
+        F.array_sort(F.collect_list(F.struct("from", "bases"))).alias("parts"),
+        *[F.max(name).alias(name) for name in bound],
     )
     text = "CAST(array_join(transform(parts, p -> CAST(p.bases AS STRING)), '') AS BINARY)"
-    return joined.select("record_id", at.alias("offset"), F.expr(text).alias("bases")).where(
+    return joined.select("record_id", at.alias("offset"), F.expr(text).alias("bases"), *bound).where(
         F.octet_length("bases") >= width
     )

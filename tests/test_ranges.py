@@ -8,7 +8,7 @@ from brute import restore
 from pyspark.sql import functions as F
 
 from seqloom.functions.matching import lz76_phrases
-from seqloom.operators import graph, long_repeats, lz76_joins, markov
+from seqloom.operators import graph, kmers, long_repeats, lz76_joins, markov
 from seqloom.operators.repeats import with_copies
 from seqloom.operators.residual import PlainCodec
 from seqloom.plans import archive_v1, archive_v2, restoring_by_joins
@@ -82,6 +82,25 @@ def test_fasta_pieces_of_one_large_file(spark, tmp_path):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("k", [3, 12])
+def test_pieces_of_short_records_meet_before_they_are_counted(spark, table, k):
+    draw = random.Random(k)
+    seqs = ["".join(draw.choices("ACG"[: 1 + n % 3], k=draw.randrange(400))) for n in range(12)] + ["A" * 300]
+    records = table(*seqs)
+    # two records are said to be long, one has a piece twice
+    size = F.expr(f"IF(record_id IN (2, 12), {1 << 21}L, 400L)")
+    pieces = fasta_pieces.recut(kmers.chunks(records, 1, positions=30).withColumn("size_bound", size), k, 50)
+    pieces = pieces.unionByName(pieces.where("record_id = 5 AND offset = 50"))
+    assert "size_bound" in pieces.columns
+    got = kmers.piece_window_counts(pieces, k)
+    want = kmers.piece_window_counts(pieces.drop("size_bound"), k)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    # only the windows of long records are shuffled one by one
+    only = kmers.piece_window_counts(pieces.withColumn("size_bound", F.lit(400)), k)
+    plan = only._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation <empty>" in plan.split("Aggregate [record_id")[-1]
+
+
 @pytest.mark.parametrize("text", ["ACGT\n", ">x\n", ">x\nAC>GT\n", ">x\nAC\n>y\nGT", ">x\nAC GT", ">x\nACX"])
 def test_fasta_pieces_report_faults(spark, tmp_path, text):
     (tmp_path / "a.fa").write_text(text)
