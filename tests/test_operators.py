@@ -48,6 +48,60 @@ def test_edges(table):
     assert rows(graph.degrees(edges))[0] == (0, "ACG", 1, 4)
 
 
+def odd_records(spark):
+    """Records that share an id, a null id, and one that is said to be long."""
+    seqs = [*random_seqs(5, 15), "ACGTNACGNNACGT" * 9, None]
+    ids = [*range(len(seqs)), 4, 4, 7, None, None, None]
+    seqs += [seqs[4], seqs[9], seqs[11], seqs[8], "ACGTACGT", "ACGTACGT"]
+    rows = [(i, f">r{i}", s, 1 << 21 if n in (5, 6) else 500) for n, (i, s) in enumerate(zip(ids, seqs))]
+    return spark.createDataFrame(rows, "record_id long, header string, seq string, size_bound long")
+
+
+@pytest.mark.parametrize("k", [1, 3, 6, 7, 8, 9])
+def test_edges_by_source_and_their_degrees(spark, k):
+    records = odd_records(spark)
+    edges = graph.debruijn_edges(records, k)
+    listed = graph.debruijn_edges(records, k, by_source=True)
+    assert sorted(map(str, graph.degrees(listed).collect())) == sorted(map(str, graph.degrees(edges).collect()))
+    flat = listed.select("record_id", "source", F.inline("targets"))
+    assert sorted(map(str, flat.collect())) == sorted(map(str, edges.collect()))
+    once = records.dropDuplicates(["record_id"])
+    back = graph.edges_from_map(graph.edges_as_map(graph.debruijn_edges(once, k, by_source=True)))
+    assert rows(back.na.fill(-1)) == rows(graph.debruijn_edges(once, k).na.fill(-1))
+
+
+def test_edges_of_short_records_need_no_shuffle_and_are_counted_once(table):
+    records = table("ACGTACGT", "ACGGT").withColumn("size_bound", F.lit(8))
+
+    def plan(found):
+        return found._jdf.queryExecution().optimizedPlan().toString()
+
+    listed = graph.debruijn_edges(records, 3, by_source=True)
+    for found in (graph.degrees(listed), graph.edges_from_map(graph.edges_as_map(listed))):
+        # what is shuffled belongs to records that are spread, and there are none
+        assert plan(found).count("Aggregate [record_id") <= 2
+        assert "LogicalRDD" not in plan(found).split("Aggregate [record_id", 1)[1]
+    marked = graph.debruijn_edges(records, 3, first_uses=True)
+    assert plan(graph.mermaid_lines(marked)).count("LogicalRDD") == 1
+    assert plan(graph.mermaid_lines(graph.debruijn_edges(records, 3))).count("LogicalRDD") == 2
+
+
+@pytest.mark.parametrize("k", [1, 3, 8, 9])
+def test_mermaid_lines_by_first_uses(spark, k):
+    records = odd_records(spark)
+    want = graph.mermaid_lines(graph.debruijn_edges(records, k))
+    marked = graph.debruijn_edges(records, k, first_uses=True)
+    got = graph.mermaid_lines(marked)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    shown = graph.mermaid(records, marked, 5, 2)
+    assert sorted(map(str, shown.collect())) == sorted(
+        map(str, graph.mermaid(records, graph.debruijn_edges(records, k), 5, 2).collect())
+    )
+    with pytest.raises(ValueError, match="both"):
+        graph.debruijn_edges(records, k, by_source=True, first_uses=True)
+
+
 def test_graph_errors(table):
     with pytest.raises(ValueError, match="k-mer"):
         graph.debruijn_edges(table("ACGT"), 0)
