@@ -45,6 +45,10 @@ def value(spark, name, *args):
         ("shannon_bits", ["'ACGTACGT'"], 2.0),
         ("mermaid_id", ["'1a-b'"], "node_1a_b"),
         ("mermaid_id", ["''"], "node_"),
+        ("mermaid_id", ["'aZ_09'"], "aZ_09"),
+        ("mermaid_id", ["'9'"], "node_9"),
+        ("mermaid_id", ["'ä b:'"], "__b_"),
+        ("mermaid_id", ["CAST(NULL AS STRING)"], None),
         ("context_tail", ["'ACGTAC'", "4L", "3L"], "CGT"),
         ("context_tail", ["'ACGTAC'", "4L", "0L"], ""),
         ("fasta_text", ["'>a'", "'ACGTAC'", "3"], ">a\nACG\nTAC\n"),
