@@ -30,11 +30,41 @@ def _coded(text: bytes) -> np.ndarray:
     return codes
 
 
+#: Numbers of contexts and symbols up to which they are counted in place, not sorted.
+_IN_PLACE = 1 << 22
+
+
 def following_counts(text: bytes, order: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of the positions from ``lead`` on, as numbers, and what follows each of them."""
     codes = _coded(text)
-    keys = (_contexts(codes, order) * ABSENT + codes)[lead:]
-    pairs, times = np.unique(keys, return_counts=True)
+    return _counted((_contexts(codes, order) * ABSENT + codes)[lead:])
+
+
+def following_counts_of_all(texts: list[bytes], order: int, leads: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of many texts together; each begins without symbols before it."""
+    codes = _coded(b"".join(texts))
+    sizes = np.array([len(text) for text in texts])
+    number = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(codes)) + order * (number + 1)
+    padded = np.full(len(codes) + order * len(texts), ABSENT, dtype=np.int64)
+    padded[at] = codes
+    keys = np.zeros(len(codes), dtype=np.int64)
+    for shift in range(order, 0, -1):
+        keys = keys * (ABSENT + 1) + padded[at - shift]
+    keys = keys * ABSENT + codes
+    if any(leads):
+        inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys = keys[inside >= np.array(leads)[number]]
+    return _counted(keys, (ABSENT + 1) ** order * ABSENT)
+
+
+def _counted(keys: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if most and most <= _IN_PLACE:
+        found = np.bincount(keys)
+        pairs = np.flatnonzero(found)
+        times = found[pairs]
+    else:
+        pairs, times = np.unique(keys, return_counts=True)
     contexts, place = np.unique(pairs // ABSENT, return_inverse=True)
     counts = np.zeros((len(contexts), ABSENT), dtype=np.int64)
     counts[place, pairs % ABSENT] = times

@@ -16,6 +16,7 @@ from seqloom.functions.context_bits import (
     UNITS,
     context_text,
     following_counts,
+    following_counts_of_all,
     gap_bits,
     unit_bits,
 )
@@ -86,6 +87,22 @@ def _exploded_counts(sequences: DataFrame, keys: list[str], order: int) -> DataF
     )
 
 
+def _runs(texts: list[bytes | None], leads: list[int], size: int = 1 << 20) -> Iterator[tuple[list, list]]:
+    """Texts with their leads in runs of about ``size`` symbols."""
+    some: list[bytes] = []
+    before: list[int] = []
+    held = 0
+    for text, lead in zip(texts, leads, strict=True):
+        some.append(text or b"")
+        before.append(lead)
+        held += len(some[-1])
+        if held >= size:
+            yield some, before
+            some, before, held = [], [], 0
+    if some:
+        yield some, before
+
+
 def _counter(order: int, keys: list[str], fields: str, with_lead: bool):
     """Counts every row's contexts; without ``keys``, those of a batch together."""
 
@@ -94,11 +111,15 @@ def _counter(order: int, keys: list[str], fields: str, with_lead: bool):
             texts = batch.column("bases").to_pylist()
             leads = batch.column("lead").to_pylist() if with_lead else [0] * len(texts)
             rows, contexts, counts = [], [], []
-            for i, (text, lead) in enumerate(zip(texts, leads, strict=True)):
+            for i, (text, lead) in enumerate(zip(texts, leads, strict=True) if keys else ()):
                 found, times = following_counts(text or b"", order, lead)
                 rows.append(np.full(len(found), i))
                 contexts.append(found)
                 counts.append(times)
+            for some, before in _runs(texts, leads) if not keys else ():
+                found, times = following_counts_of_all(some, order, before)
+                contexts.append(found)
+                counts.append(times)
             if not texts:
                 continue
             context, times = np.concatenate(contexts), np.concatenate(counts)

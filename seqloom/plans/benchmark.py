@@ -205,9 +205,13 @@ def write_measured(archives: DataFrame, path: str) -> dict[str, Any]:
 def measured_variants(
     records: DataFrame, variants: Iterable[str], codec: ResidualCodec | None, folder: str, **options: Any
 ) -> list[dict[str, Any]]:
-    """What each variant's archives take, one written table and one look at it a variant."""
+    """What each variant's archives take, one written table and one look at it a variant.
+
+    Records that hold their ``copies``, found with the same options, are taken as they are.
+    """
     found = {"k": options.get("k", 15), "min_length": options.get("min_repeat_len", 40)}
-    records = cut_lineage(with_copies(records, **found))
+    if "copies" not in records.columns:
+        records = cut_lineage(with_copies(records, **found))
     return [
         {"name": variant, **write_measured(variant_archives(records, variant, codec, **options)[0], f"{folder}/{variant}")}
         for variant in variants

@@ -1,9 +1,11 @@
 import itertools
 import random
+from collections import Counter
 from dataclasses import replace
 
 import pytest
 
+from seqloom.operators import markov
 from seqloom.operators.residual import ModelCodec
 from seqloom.operators.token_models import MarkovModel, UniformModel
 from hypothesis import given, settings
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from brute import coded_bits, copies, every_source, lz76
 from conftest import SAMPLE
+from seqloom.functions import context_bits
 from seqloom.functions.catalog import expr
 from seqloom.functions.matching import every_copy, greedy_copies, lz76_phrases
 from seqloom.functions.rangecoder import Decoder, Encoder, integer_cdf
@@ -214,3 +217,19 @@ def test_lanes_of_few_symbols_and_wide_scales():
         ModelCodec(UniformModel(8)).encode_batch(["ACX"] * 100, [""] * 100)
     broken = [replace(c, bit_length=4, payload=b"\xff") for c in ModelCodec(UniformModel(0)).encode_batch(["AC"] * 70, [""] * 70)]
     assert len(ModelCodec(UniformModel(0)).decode_batch(broken, [""] * 70)) == 70
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 9])
+def test_contexts_of_many_texts_are_counted_together(order):
+    draw = random.Random(order)
+    texts = [b"", *("".join(draw.choices("ACGTN", k=draw.randrange(30))).encode() for _ in range(20)), b"A" * 50]
+    leads = [min(len(text), draw.randrange(order + 1)) for text in texts]
+    want = Counter()
+    for text, lead in zip(texts, leads):
+        for context, counts in zip(*context_bits.following_counts(text, order, lead)):
+            want.update({(int(context), k): int(n) for k, n in enumerate(counts) if n})
+    contexts, counts = context_bits.following_counts_of_all(texts, order, leads)
+    got = {(int(c), k): int(n) for c, row in zip(contexts, counts) for k, n in enumerate(row) if n}
+    assert got == dict(want) and len(set(contexts.tolist())) == len(contexts)
+    assert [b"".join(some) for some, _ in markov._runs(texts, leads, 40)] != [b"".join(texts)]
+    assert b"".join(b"".join(some) for some, _ in markov._runs(texts, leads, 40)) == b"".join(texts)
