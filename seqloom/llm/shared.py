@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,15 +29,19 @@ def without_ids(rows: DataFrame, ids: DataFrame, names: list[str], count: int) -
 
 
 def tidy(work: Callable) -> Callable:
-    """``work`` over Arrow batches, which gives Arrow's unused memory back when a task ends.
+    """``work`` over Arrow batches, which gives unused memory back when a task ends.
 
-    Workers outlive their tasks, and a pool that keeps the largest batch of each stage would count
-    against the stages that follow.
+    Workers outlive their tasks, and an allocator that keeps the largest batch of each stage would
+    count against the stages that follow: Arrow's pool, and the C library's heap with numpy's arrays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            gc.collect()
+            trim(0)
 
     return run
 
