@@ -6,7 +6,7 @@
 3. A keyed Feistel network over the next power of four, walked until it lands below the number of
    sequences, maps each number to one slot: a permutation that needs no table and that anyone who
    has the key can compute for any slot.
-4. Range partitions of slots write shards of ``PER_SHARD`` records of fixed length (``STRIDE`` ids of
+4. Sequences are dealt out by shard, and tasks write shards of ``PER_SHARD`` records of fixed length (``STRIDE`` ids of
    2 bytes, or 4 for large vocabularies, padded with 0), so slot ``s`` starts at a known byte of a
    known file and reading can resume anywhere. A shard is written aside and renamed, so a task
    that is run twice leaves the same file.
@@ -34,6 +34,8 @@ STRIDE = 1024
 PER_SHARD = 4096
 CLOSING = (1).to_bytes(4, "little")
 ROUNDS = 6
+#: Tasks that write shards: one a shard, up to this many.
+MOST_TASKS = 10_000
 
 
 def _mix(x: np.ndarray, key: int, round_: int) -> np.ndarray:
@@ -82,10 +84,10 @@ _PARTS = pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32()), ("lengt
 
 
 def sequences(docs: DataFrame, tokenizer: str = DEFAULT, stride: int = STRIDE) -> DataFrame:
-    """``split, place, n_tokens, ids, parts``: gapless sequences of each input split, compressed."""
+    """``split, place, n_tokens, ids, parts``: gapless sequences of each input split."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = word_ids(tokenizer), zstandard.ZstdCompressor(level=5)
+        encoder = word_ids(tokenizer)
         width = width_of(len(encoder.packed))
         rest, parts, filled = [], [], 0
 
@@ -101,7 +103,7 @@ def sequences(docs: DataFrame, tokenizer: str = DEFAULT, stride: int = STRIDE) -
 
         def closed() -> tuple:
             ids = np.frombuffer(b"".join(rest), "<u4").astype(width)
-            return len(ids), pack.compress(ids.tobytes()), parts
+            return len(ids), ids.tobytes(), parts
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -133,17 +135,20 @@ def sequences(docs: DataFrame, tokenizer: str = DEFAULT, stride: int = STRIDE) -
 
 
 def slotted(held: DataFrame, key: int, per_shard: int = PER_SHARD) -> tuple[DataFrame, int]:
-    """Sequences with ``slot`` and ``shard``, and their number. ``held`` is a written table."""
+    """Sequences with ``slot`` and ``shard``, ids compressed, and their number. ``held`` is a written table."""
     counted = held.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
     size = int(counted.agg(F.sum("n")).first()[0] or 0)
     before = counted.select("split", (F.expr("sum(n) OVER (ORDER BY split)") - F.col("n")).alias("before"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            number = batch.column("number").to_numpy()
-            slot = slots_of(number, size, key)
-            batch = batch.drop_columns(["number"])
-            yield batch.append_column("slot", pa.array(slot)).append_column("shard", pa.array(slot // per_shard))
+            slot = slots_of(batch.column("number").to_numpy(), size, key)
+            ids = pa.array([pack.compress(cell.as_buffer()) for cell in batch.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("n_tokens"), ids, batch.column("parts"), pa.array(slot), pa.array(slot // per_shard)],
+                ["n_tokens", "ids", "parts", "slot", "shard"],
+            )
 
     # a row per input split; the sequences themselves do not move for their numbers
     if before.count() <= BROADCAST_IDS:
@@ -167,9 +172,12 @@ def write_shards(
     per_shard: int = PER_SHARD,
 ) -> DataFrame:
     """Writes the shards and gives ``slot, shard, row, n_tokens, ids_crc32, parts`` per sequence."""
-    held = cut_lineage(sequences(docs, tokenizer, stride))
-    rows, _ = slotted(held, key, per_shard)
-    placed = rows.repartitionByRange("shard").sortWithinPartitions("slot")
+    # many sequences a page are compressed together; each on its own once it moves
+    held = cut_lineage(sequences(docs, tokenizer, stride), compression="zstd")
+    rows, size = slotted(held, key, per_shard)
+    # shards are of one size, so ranges need not be sampled by a pass over all sequences first
+    tasks = min(max(1, -(-size // per_shard)), MOST_TASKS)
+    placed = rows.repartitionById(tasks, F.expr(f"CAST(shard % {tasks} AS INT)")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, unpack = word_ids(tokenizer), zstandard.ZstdDecompressor()

@@ -6,12 +6,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import unquote
 
 import numpy as np
 import plain
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -25,6 +27,7 @@ from seqloom.llm import (
     secrets,
     token_shards,
 )
+from seqloom.session import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, sha int, copies int, row int"
@@ -561,3 +564,25 @@ def test_token_shards(odd, empty, tmp_path):
     assert files == [token_shards.shard_name(k) for k in range(-(-size // 32))]
     assert all((tmp_path / "s" / f).stat().st_size % 128 == 0 for f in files)
     assert token_shards.write_shards(empty, str(tmp_path / "e"), **options).count() == 0
+
+
+def test_token_sequences_lie_together_and_shards_are_dealt_out_evenly(spark, tmp_path, monkeypatch):
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(300)]
+    rows = [(k, " ".join(draw.choices(words, k=400))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    written = []
+
+    def kept(rows, **options):
+        written.append(cut_lineage(rows, **options))
+        return written[-1]
+
+    monkeypatch.setattr(token_shards, "cut_lineage", kept)
+    found = token_shards.write_shards(docs, str(tmp_path / "s"), per_shard=20)
+    ids = [ids.astype("<u2") for ids in token_shards.read_slots(str(tmp_path / "s"), 0, found.count(), per_shard=20)]
+    alone = sum(len(zstandard.ZstdCompressor(level=5).compress(x.tobytes())) for x in ids)
+    size = sum(os.path.getsize(f.removeprefix("file:")) for f in (unquote(f) for f in written[0].inputFiles()))
+    assert size < 0.95 * alone
+    # a shard a task, and one file a task
+    shards = found.select("shard", F.input_file_name().alias("file")).distinct().collect()
+    assert len(shards) == len({r["shard"] for r in shards}) == len({r["file"] for r in shards}) > 3
