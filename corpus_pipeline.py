@@ -12,11 +12,15 @@ from seqloom.session import scratch_folder, ship_package
 
 #: The near-duplicate stage: words a shingle, and the least Jaccard similarity in hundredths.
 WORDS, LEAST = 5, 80
+#: An executor's heap has grown to its limit by the last stages, so Python stays small beside it:
+#: bytes of an Arrow batch, which JVM and worker both hold, and words whose ids a worker remembers.
+BATCH_BYTES, REMEMBERED = 2 << 20, 100_000
 
 
 def _shipped(stage):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return stage(docs)
 
     return run_stage
@@ -39,7 +43,7 @@ def _mixed(docs: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.shared import cut_lineage, tidy
-from seqloom.llm.tokens import DEFAULT, word_ids
+from seqloom.llm.tokens import DEFAULT, REMEMBERED, word_ids
 
 CAPACITY = 4096
 GROUPS = 48
@@ -46,12 +46,19 @@ BUCKET_ROWS = 200_000
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str = DEFAULT, capacity: int = CAPACITY, with_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str = DEFAULT,
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and, on request, ``ids`` as little-endian u32."""
+    """``doc_id, piece, start, length, ids_crc32`` and, on request, ``ids`` as little-endian u32.
+
+    A worker remembers the ids of so many words: fewer take less memory and more time.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(tokenizer)
+        encoder = word_ids(tokenizer, remembered)
         for batch in batches:
             keys = batch.column(0)
             for at in range(0, batch.num_rows, 256):
@@ -315,9 +322,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Dat
     return numbered.mapInArrow(tidy(place), ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str = DEFAULT, remembered: int = REMEMBERED
+) -> DataFrame:
     """Every piece of every document with its place; token ids are computed once."""
-    placed = pack(cut_lineage(pieces(docs, tokenizer)))
+    placed = pack(cut_lineage(pieces(docs, tokenizer, remembered=remembered)))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

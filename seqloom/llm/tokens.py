@@ -50,6 +50,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.remembered = REMEMBERED
         self.signs: dict[str, bytes] = {"": b""}
         self.spelling = _byte_letters()
 
@@ -104,17 +105,18 @@ class WordIds:
 
     def _ids(self, blocks: list[bytes]) -> list[bytes]:
         split = [block.split() for block in blocks]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set().union(*split)
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.remembered:  # these words stay, the frequent ones among them
+            self.known = {word: self.known[word] for word in words.difference(new)}
         self.learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-def word_ids(name: str = DEFAULT) -> WordIds:
+def word_ids(name: str = DEFAULT, remembered: int = REMEMBERED) -> WordIds:
     """The worker's own encoder; ``name`` is a public tokenizer's file or any path."""
     if name not in _loaded:
         path = name if "/" in name else public_tokenizers.path(name)
         _loaded[name] = WordIds(path)
+    _loaded[name].remembered = remembered
     return _loaded[name]
