@@ -6,11 +6,14 @@ from collections import Counter
 
 import numpy as np
 import plain
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_llm_documents import FOLDER, check_packing, copy_groups, make, odd_rows, reference_ids
 
 import corpus_pipeline
-from seqloom.llm import boilerplate, exact_dedup, language, ngram_join, packing, token_shards
+from seqloom.llm import boilerplate, exact_dedup, language, ngram_join, packing, token_shards, tokens
 
 
 def long_words():
@@ -131,3 +134,37 @@ def test_pipeline_on_odd_rows(spark):
     assert set(Counter(r["text"] for r in mixed).values()) <= {1, 2, 3}
     packed = stages["best-fit packing"](spark, held, FOLDER).collect()
     check_packing([(r["doc_id"], r["text"]) for r in mixed], packed)
+
+
+def test_few_remembered_words_give_the_same_ids():
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdeé.", k=draw.randrange(1, 7))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=40)) for _ in range(200)]
+    encoder = tokens.WordIds(public_tokenizers.path(tokens.DEFAULT))
+    want = encoder.encode(texts)
+    encoder.forget()
+    encoder.remembered = 100
+    got = []
+    for text in texts:
+        got += encoder.encode([text])
+        assert len(encoder.known) <= 140
+        assert set(text.lower().encode().split()) <= encoder.known.keys()
+    assert got == want
+
+
+def test_stages_take_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    docs = spark.range(0, 400, 1, 1).select(F.expr("repeat(string(id % 10), 50000)").alias("text"))
+    try:
+        stage = corpus_pipeline._shipped(lambda docs: docs.mapInArrow(sizes, "size long"))
+        found = [r["size"] for r in stage(spark, docs, "").collect()]
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert sum(found) >= 400 * 50_000 and max(found) <= corpus_pipeline.BATCH_BYTES + 200_000
