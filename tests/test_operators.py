@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from brute import copies
 from conftest import SAMPLE
 from models import NextModel, PairModel
@@ -86,6 +87,16 @@ def test_edges_of_short_records_need_no_shuffle_and_are_counted_once(table):
     assert plan(graph.mermaid_lines(graph.debruijn_edges(records, 3))).count("LogicalRDD") == 2
 
 
+def test_adjacency_query_moves_no_edge_of_short_records(spark, tmp_path):
+    draw = random.Random(2)
+    texts = [(k, "".join(draw.choices("ACGT", k=90)), 90) for k in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.debruijn_adjacency(spark, str(tmp_path))
+    assert sum(r["cnt"] for r in found.collect()) == 30 * 85
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final and "Exchange hashpartitioning(record_id" not in final
+
+
 @pytest.mark.parametrize("k", [1, 3, 8, 9])
 def test_mermaid_lines_by_first_uses(spark, k):
     records = odd_records(spark)
