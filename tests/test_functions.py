@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from dataclasses import replace
 
+import numpy as np
 import pytest
 
 from seqloom.operators import markov
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from brute import coded_bits, copies, every_source, lz76
 from conftest import SAMPLE
-from seqloom.functions import context_bits
+from seqloom.functions import context_bits, queued
 from seqloom.functions.catalog import expr
 from seqloom.functions.matching import every_copy, greedy_copies, lz76_phrases
-from seqloom.functions.rangecoder import Decoder, Encoder, integer_cdf
+from seqloom.functions.rangecoder import Decoder, Encoder, decode_run, encode_run, integer_cdf
 from seqloom.functions.register import register_functions
 
 
@@ -233,3 +234,57 @@ def test_contexts_of_many_texts_are_counted_together(order):
     assert got == dict(want) and len(set(contexts.tolist())) == len(contexts)
     assert [b"".join(some) for some, _ in markov._runs(texts, leads, 40)] != [b"".join(texts)]
     assert b"".join(b"".join(some) for some, _ in markov._runs(texts, leads, 40)) == b"".join(texts)
+
+
+def _own_tables(draw, count, longest):
+    records, tables = [], []
+    for _ in range(count):
+        symbols = draw.choice([1, 2, 5, 5])
+        weights = [draw.choice([0, 1, 3, 1000]) for _ in range(symbols)]
+        weights[draw.randrange(symbols)] += 1
+        size = draw.choice([0, 1, 2, 50, draw.randrange(longest)])
+        records.append(np.array(draw.choices(range(symbols), [w + 0.01 for w in weights], k=size), np.uint8))
+        tables.append(integer_cdf(weights, draw.choice([32768, 7, 1 << 23, 1 << 40])))
+    return records, tables
+
+
+@pytest.mark.parametrize("count, cells", [(1, 1 << 23), (40, 1 << 23), (300, 1 << 23), (300, 4000)])
+def test_records_in_queues_take_the_bits_of_the_plain_coder(count, cells, monkeypatch):
+    monkeypatch.setattr(queued, "CELLS", cells)
+    records, tables = _own_tables(random.Random(count), count, 400)
+    if count == 300:  # tables that lanes take, each record one of its own
+        tables = [table if table[-1] <= queued.TOTAL else [m * 7 for m in range(1, 6)] for table in tables]
+    cells = queued.encode_records(records, tables)
+    for tokens, table, cell in zip(records, tables, cells, strict=True):
+        assert cell == encode_run(tokens.tolist(), 0, lambda _, t=table: t, lambda s, _: s)
+    backs = queued.decode_records(cells, [len(r) for r in records], tables)
+    assert all(np.array_equal(*pair) for pair in zip(records, backs, strict=True))
+
+
+def test_records_of_odd_lengths_share_their_steps(monkeypatch):
+    """3,000 symbols of the longest are 3,000 steps, and nothing is coded one by one."""
+    draw = random.Random(5)
+    sizes = [3000, *(draw.randrange(1, 900) for _ in range(400))]
+    records = [np.array(draw.choices(range(5), k=size), np.uint8) for size in sizes]
+    tables = [integer_cdf([1 + k % 5, 2, 3, 4, 5], 32768) for k in range(len(sizes))]
+    steps, made = [], queued._Lanes.shift
+    monkeypatch.setattr(queued._Lanes, "shift", lambda *a: steps.append(1) or made(*a))
+    for name in ("encode_run", "decode_run"):
+        plain = getattr(queued, name)
+        monkeypatch.setattr(queued, name, lambda tokens, *a, f=plain, **b: f(tokens, *a, **b) if len(tokens) == 0 else 1 / 0)
+    cells = queued.encode_records(records, tables)
+    assert len(steps) == 3000
+    backs = queued.decode_records(cells, sizes, tables)
+    assert len(steps) == 6000 and all(np.array_equal(*pair) for pair in zip(records, backs, strict=True))
+
+
+def test_queued_decoder_refuses_what_no_table_gives():
+    records = [np.zeros(100, np.uint8)] * 40
+    tables = [[1, 32768]] * 40
+    cells = queued.encode_records(records, tables)
+    with pytest.raises(ValueError):
+        queued.decode_records([(payload, 8 * len(payload) + 1) for payload, _ in cells], [100] * 40, tables)
+    with pytest.raises(ValueError):
+        queued.encode_records([np.array([2], np.uint8)], [[1, 2]])
+    with pytest.raises(ValueError):
+        queued.encode_records([np.array([0], np.uint8)], [[2, 2]])
