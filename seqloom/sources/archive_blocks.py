@@ -24,6 +24,7 @@ BLOCK_COLUMNS = """path STRING, block_no BIGINT, type STRING, start BIGINT, leng
 WITH_PAYLOAD = f"{BLOCK_COLUMNS}, payload BINARY"
 TASK_BYTES = 1 << 26
 _BATCH = 4096
+_WHOLE = 1 << 62
 
 _TESTS: dict[type, Callable[[Any, Any], bool]] = {
     ds.EqualTo: lambda held, value: held is not None and held == value,
@@ -76,10 +77,9 @@ class ArchiveReader(ds.DataSourceReader):
                 yield one
 
     def partitions(self) -> list[RangeGroup]:
-        files = [f for f in file_sizes(self.path) if _passes({"path": f[0]}, self.of_path)]
+        files = (f for f in file_sizes(self.path) if _passes({"path": f[0]}, self.of_path))
         # an archive is one range: what is read of it is its front
-        largest = max((size for _, size in files), default=1)
-        return dealt_ranges(files, max(1, largest), self.task)
+        return dealt_ranges(files, _WHOLE, self.task)
 
     def read(self, partition: RangeGroup) -> Iterator[pa.RecordBatch]:
         rows: list[dict[str, Any]] = []

@@ -1,5 +1,8 @@
 """Byte ranges of files, for readers that never hold a file as a whole."""
 
+import os
+import pickle
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,41 +21,69 @@ class FileRange(InputPartition):
     end: int
 
 
-@dataclass
 class RangeGroup(InputPartition):
-    """Ranges that one task reads."""
+    """Ranges that one task reads.
+
+    The driver holds the groups of all tasks, so a group is packed, some ten bytes a file of a
+    folder of small ones, and unpacked where it is read.
+    """
+
+    def __init__(self, ranges: list[FileRange]):
+        folder = ranges[0].path[: ranges[0].path.rindex("/") + 1] if ranges else ""
+        if not all(one.path.startswith(folder) for one in ranges):
+            folder = ""
+        rows = [(r.path[len(folder) :], r.size, r.number, r.start, r.end) for r in ranges]
+        columns = [list(column) for column in zip(*rows, strict=True)]
+        self.packed = zlib.compress(pickle.dumps((folder, columns)))
 
-    ranges: list[FileRange]
+    @property
+    def ranges(self) -> list[FileRange]:
+        folder, columns = pickle.loads(zlib.decompress(self.packed))
+        return [FileRange(folder + name, *rest) for name, *rest in zip(*columns, strict=True)]
 
 
-def file_sizes(uri: str) -> list[tuple[str, int]]:
-    """URIs and sizes of a file, or of the files of a folder, by name."""
+def file_sizes(uri: str) -> Iterator[tuple[str, int]]:
+    """URIs and sizes of a file, or of the files of a folder, in any order.
+
+    A local folder (or one that is mounted) is listed as it is read, and never held as a whole.
+    """
     system, root = fs.FileSystem.from_uri(uri)
     found = system.get_file_info(root)
     if found.type == fs.FileType.NotFound:
         raise FileNotFoundError(uri)
     if found.type == fs.FileType.File:
-        return [(uri, found.size)]
+        return iter([(uri, found.size)])
     prefix = uri[: uri.rindex(root.rstrip("/"))]
-    files = system.get_file_info(fs.FileSelector(root, recursive=False))
-    # hidden names are work in progress of some writer
-    plain = [f for f in files if f.type == fs.FileType.File and f.base_name[0] not in "._"]
-    return sorted((prefix + f.path, f.size) for f in plain)
+    return ((prefix + path, size) for path, size in _listed(system, root))
+
+
+def _listed(system: fs.FileSystem, root: str) -> Iterator[tuple[str, int]]:
+    """Paths and sizes of a folder's files; hidden names are work in progress of some writer."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(root) as entries:
+            for entry in entries:
+                if entry.name[0] not in "._" and entry.is_file():
+                    yield f"{root.rstrip('/')}/{entry.name}", entry.stat().st_size
+    else:
+        for f in system.get_file_info(fs.FileSelector(root, recursive=False)):
+            if f.type == fs.FileType.File and f.base_name[0] not in "._":
+                yield f.path, f.size
 
 
 def dealt_ranges(files: Iterable[tuple[str, int]], piece: int, task: int) -> list[RangeGroup]:
     """Ranges of ``piece`` bytes, in groups of about ``task`` bytes; an open file costs some too."""
-    groups: list[list[FileRange]] = []
-    held = task
+    groups: list[RangeGroup] = []
+    ranges: list[FileRange] = []
+    held = 0
     for path, size in files:
         for number, start in enumerate(range(0, max(size, 1), piece)):
             end = min(size, start + piece)
             if held >= task:
-                groups.append([])
-                held = 0
-            groups[-1].append(FileRange(path, size, number, start, end))
+                groups.append(RangeGroup(ranges))
+                ranges, held = [], 0
+            ranges.append(FileRange(path, size, number, start, end))
             held += end - start + (1 << 16)
-    return [RangeGroup(group) for group in groups]
+    return [*groups, RangeGroup(ranges)] if ranges else groups
 
 
 class RangeFile:

@@ -1,7 +1,9 @@
 """Reading by byte ranges, restoring by joins, and both numeric routes of code lengths."""
 
+import pickle
 import random
 import time
+import tracemalloc
 
 import pytest
 from brute import restore
@@ -170,6 +172,44 @@ def test_filters_reach_the_archive_reader(spark, archive_folder):
         assert list(reader.rows(path, file)) == [] and file.bytes_read < whole / 2
 
 
+def planned(monkeypatch, module, reader, count, size):
+    """Bytes of the driver a file, while a folder is planned and for what it hands to tasks; and the ranges."""
+    folder = "file:///somewhere/that/has/a/long/path/0123456789abcdef0123456789abcdef"
+    monkeypatch.setattr(module, "file_sizes", lambda _: ((f"{folder}/{k}", size(k)) for k in range(count)))
+    tracemalloc.start()
+    groups = reader.partitions()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(g.ranges) > 1100 for g in groups) == 0
+    return peak / count, sum(len(pickle.dumps(g)) for g in groups) / count, [r for g in groups for r in g.ranges]
+
+
+def test_the_driver_packs_a_folder_of_many_archives(spark, monkeypatch):
+    schema = spark.createDataFrame([], archive_blocks.BLOCK_COLUMNS).schema
+    reader = archive_blocks.ArchiveReader({"path": "file:///x"}, schema)
+    peak, handed, ranges = planned(monkeypatch, archive_blocks, reader, 60_000, lambda k: k % 900)
+    assert peak < 60 and handed < 15
+    assert [(r.path.rsplit("/")[-1], r.size, r.number, r.start, r.end) for r in ranges] == [
+        (str(k), k % 900, 0, 0, k % 900) for k in range(60_000)
+    ]
+
+
+def test_folders_are_listed_as_they_are_read(tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("b.fa", "a.fa", ".x.partial", "_SUCCESS"):
+        (tmp_path / "in" / name).write_text("12345")
+    (tmp_path / "in" / "folder").mkdir()
+    (tmp_path / "in" / "link.fa").symlink_to(tmp_path / "in" / "a.fa")
+    uri = f"file://{tmp_path}/in"
+    listed = file_sizes(uri)
+    assert iter(listed) is listed
+    assert sorted(listed) == [(f"{uri}/{name}", 5) for name in ("a.fa", "b.fa", "link.fa")]
+    assert sorted(file_sizes(uri + "/")) == [(f"{uri}/{name}", 5) for name in ("a.fa", "b.fa", "link.fa")]
+    assert list(file_sizes(f"{uri}/a.fa")) == [(f"{uri}/a.fa", 5)]
+    with pytest.raises(FileNotFoundError):
+        file_sizes(f"{uri}/none")
+
+
 # --- restoring by joins ----------------------------------------------------
 
 
