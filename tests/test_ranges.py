@@ -194,6 +194,16 @@ def test_the_driver_packs_a_folder_of_many_archives(spark, monkeypatch):
     ]
 
 
+def test_the_driver_packs_ranges_of_small_fasta_files(monkeypatch):
+    """As ``fasta_piece_edges`` reads them: a record in one or two ranges, a file each."""
+    reader = fasta_pieces._FastaReader({"path": "file:///x", "pieceBytes": "1000"})
+    peak, handed, ranges = planned(monkeypatch, fasta_pieces, reader, 40_000, lambda k: 400 + k % 1600)
+    assert peak < 100 and handed < 25
+    two = [k for k in range(40_000) if 400 + k % 1600 > 1000]
+    assert len(ranges) == 40_000 + len(two)
+    assert [(r.number, r.start, r.end) for r in ranges if r.path.endswith("/1599")] == [(0, 0, 1000), (1, 1000, 1999)]
+
+
 def test_folders_are_listed_as_they_are_read(tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("b.fa", "a.fa", ".x.partial", "_SUCCESS"):
