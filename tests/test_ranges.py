@@ -204,6 +204,16 @@ def test_the_driver_packs_ranges_of_small_fasta_files(monkeypatch):
     assert [(r.number, r.start, r.end) for r in ranges if r.path.endswith("/1599")] == [(0, 0, 1000), (1, 1000, 1999)]
 
 
+def test_the_driver_packs_ranges_of_a_large_fasta_file(monkeypatch):
+    """As ``fasta_pieces`` may read them: ranges of one file, a few to a task."""
+    reader = fasta_pieces._FastaReader({"path": "file:///x", "pieceBytes": "1000", "taskBytes": str(1 << 26)})
+    peak, handed, ranges = planned(monkeypatch, fasta_pieces, reader, 1, lambda k: 50_000_500)
+    assert peak / 50_001 < 60 and handed / 50_001 < 15
+    assert [(r.number, r.start, r.end) for r in ranges] == [
+        (k, 1000 * k, min(1000 * k + 1000, 50_000_500)) for k in range(50_001)
+    ]
+
+
 def test_folders_are_listed_as_they_are_read(tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("b.fa", "a.fa", ".x.partial", "_SUCCESS"):
