@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.matching import lz76_phrases
 from seqloom.operators import graph, kmers, long_repeats, lz76_joins, markov
-from seqloom.operators.repeats import with_copies
+from seqloom.operators.repeats import best_sources, with_copies
 from seqloom.operators.residual import PlainCodec
 from seqloom.plans import archive_v1, archive_v2, restoring_by_joins
 from seqloom.sources import archive_blocks, fasta, fasta_pieces, files
@@ -395,3 +395,38 @@ def test_position_tables_are_never_broadcast(spark, table):
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert [r["length"] for r in chosen.collect()] == [300]
+
+
+def test_neighbours_with_neighbouring_sources_are_compared_once(spark, table, monkeypatch):
+    draw = random.Random(12)
+    unit, other = ("".join(draw.choices("ACGT", k=n)) for n in (300, 90))
+    seqs = [unit + "G" + unit, unit + "A" + unit[:200] + other + "C" + unit[:200] + other, other]
+    compared, made = [], long_repeats._compared
+
+    def counted(runs, *others):
+        compared.append(runs.selectExpr("count(*)", "sum(last - start + 1)").first())
+        return made(runs, *others)
+
+    monkeypatch.setattr(long_repeats, "_compared", counted)
+    records = table(*seqs)
+    got = sorted(map(tuple, long_repeats.best_copies(records, 15, 40).collect()))
+    assert compared[0][0] < 10 and compared[0][1] > 500
+    assert got == sorted(map(tuple, best_sources(records, 15, 40).collect()))
+
+
+def test_next_candidate_of_many_copies(spark):
+    draw = random.Random(13)
+    rows = []
+    for record in range(4):
+        for start in sorted(draw.sample(range(3 * long_repeats.BLOCK), 1500 if record else 3)):
+            # many copies end at one place
+            end = draw.choice([(start // 500 + 1) * 500, start + draw.randrange(1, 9000)])
+            rows.append((record, start, 0, max(1, end - start)))
+    best = spark.createDataFrame(rows, "record_id long, start long, source long, length long")
+    pointers = long_repeats._pointers(best)
+    want = []
+    for record, start, _, length in rows:
+        later = [s for r, s, _, _ in rows if r == record and s >= start + length]
+        want += [(record, start, min(later))] if later else []
+    assert sorted(map(tuple, pointers.collect())) == sorted(want)
+    assert "lambda" not in pointers._jdf.queryExecution().optimizedPlan().toString()
