@@ -4,11 +4,13 @@ import pickle
 import random
 import time
 import tracemalloc
+from pathlib import Path
 
 import pytest
 from brute import restore
 from pyspark.sql import functions as F
 
+from seqloom import session
 from seqloom.functions.matching import lz76_phrases
 from seqloom.operators import graph, kmers, long_repeats, lz76_joins, markov
 from seqloom.operators.repeats import best_sources, with_copies
@@ -430,3 +432,31 @@ def test_next_candidate_of_many_copies(spark):
         want += [(record, start, min(later))] if later else []
     assert sorted(map(tuple, pointers.collect())) == sorted(want)
     assert "lambda" not in pointers._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_of_iterations_leave_the_disk(spark, table):
+    draw = random.Random(14)
+    unit = "".join(draw.choices("ACGT", k=200))
+    seqs = [unit + "G" + unit + unit[:70], "AC" * 60, "", "A"]
+    before, setting = set(session._written), spark.conf.get(session._CLEANUP, None)
+    got = lz76_joins.lz76_by_joins(table(*seqs))
+    left = [path for path in session._written if path not in before]
+    there = {path.name for path in Path(session.scratch_folder(spark).removeprefix("file://")).iterdir()}
+    assert len(left) == 2 and all(path.rsplit("/")[-1] in there for path in left)
+    assert {r[0]: r[1] for r in got.collect()} == {k: lz76_phrases(s) for k, s in enumerate(seqs)}
+    assert spark.conf.get(session._CLEANUP, None) == setting
+
+
+def test_a_kept_table_outlives_the_steps_around_it(spark):
+    kept = []
+
+    def inner():
+        kept.append(session.keep(session.settled(spark, lambda: session.cut_lineage(spark.range(3)))))
+        return session.cut_lineage(spark.range(5)).where("id > 1")
+
+    before = set(session._written)
+    outer = session.settled(spark, inner)
+    assert outer.count() == 3 and kept[0].count() == 3
+    assert {path for path in session._written if path not in before} == {outer._seqloom_path, kept[0]._seqloom_path}
+    session.drop(*kept, spark.range(1))
+    assert kept[0]._seqloom_path not in session._written
